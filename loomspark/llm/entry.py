@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
+from . import chat, mixing, neardup, sharding
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op7_chat": chat.op7_chat,
+        "op8_neardup": neardup.op8_neardup,
         "op10_mixing": mixing.op10_mixing,
     }
 
