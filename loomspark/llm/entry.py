@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neardup, sharding
+from . import chat, mixing, neardup, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op7_chat": chat.op7_chat,
         "op8_neardup": neardup.op8_neardup,
         "op10_mixing": mixing.op10_mixing,
