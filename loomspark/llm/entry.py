@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neardup, sharding, toxicity
+from . import chat, decontamination, mixing, neardup, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_decontamination": decontamination.op6_decontamination,
         "op7_chat": chat.op7_chat,
         "op8_neardup": neardup.op8_neardup,
         "op10_mixing": mixing.op10_mixing,

@@ -19,6 +19,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For comparison by wording alone: every ASCII byte but letters and digits separates words.
+_PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -40,16 +42,17 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base]
 
 
-def word_codes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_codes(data: np.ndarray, bounds: np.ndarray, loose: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all words of texts laid end to end, and for each text where its words begin (one more at the end).
 
-    ``data``: their UTF-8 bytes; ``bounds``: where each text begins, and the end.
+    ``data``: their UTF-8 bytes; ``bounds``: where each text begins, and the end. ``loose``: punctuation
+    separates words too.
     """
     bounds = bounds - bounds[0]
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     low = _LOWER[data]
-    black = ~_SPACE[low]
+    black = ~(_PUNCTUATION if loose else _SPACE)[low]
     first, last = black.copy(), black.copy()
     first[1:] &= ~black[:-1]
     last[:-1] &= ~black[1:]
@@ -88,9 +91,9 @@ def texts_in_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np
         i = j
 
 
-def each_text(column: pa.Array) -> Iterator[np.ndarray]:
+def each_text(column: pa.Array, loose: bool = False) -> Iterator[np.ndarray]:
     """The word codes of every text in turn."""
     for i, j, data, bounds in texts_in_chunks(column):
-        codes, at = word_codes(data, bounds)
+        codes, at = word_codes(data, bounds, loose)
         for k in range(j - i):
             yield codes[at[k] : at[k + 1]]

@@ -251,11 +251,15 @@ def _remainder(column):
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(4))
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """The labels of ids that are not held out."""
+    return labels.filter(_remainder(F.col("doc_id")) != 2).select("doc_id", "toxic")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, learned from the labels of three quarters of the ids."""
     docs = read(spark, sf_dir, "documents")
-    labels = read(spark, sf_dir, "labels").filter(_remainder(F.col("doc_id")) != 2).select("doc_id", "toxic")
-    scored = toxicity(docs, labels)
+    scored = toxicity(docs, learnable(read(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id",
         F.coalesce(_remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"),
