@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, mixing, neardup, sharding, toxicity
+from . import chat, decontamination, mixing, neardup, sharding, toxicity, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_chat": chat.op7_chat,
         "op8_neardup": neardup.op8_neardup,
+        "op9_urls": urls.op9_urls,
         "op10_mixing": mixing.op10_mixing,
     }
 
