@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, mixing, neardup, sharding, toxicity, urls
+from . import chat, decontamination, mixing, neardup, neighbours, sharding, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op4_neighbours": neighbours.op4_neighbours,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_chat": chat.op7_chat,
