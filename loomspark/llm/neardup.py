@@ -4,12 +4,13 @@
    are one class from here on, so copies cost nothing further.
 2. Trees: at a node, the path so far draws which of the 64 coordinates to branch on (1/threshold of them on average,
    at least one); classes that share the token at a drawn coordinate meet in a child. Independent trees raise recall.
-3. A first pass compares each class with one leader of its nodes and joins what passes, so that a large group of near
-   copies becomes one component in a number of comparisons that is linear in the group.
-4. Nodes that still hold several components are compared exhaustively when small and branched again when large, until
-   none is large. Pairs whose tokens rule the threshold out (four standard deviations) or that are in one component
-   already are left out. Nothing is capped: a node that stays large is branched on.
-5. Links are confirmed on the full shingle sets, made again from the whole texts.
+3. A first pass compares each class with one leader of its nodes and joins what passes, so that the bulk of a large
+   group of near copies becomes one component in a number of comparisons that is linear in the group.
+4. A node whose members are in one component is done. A node with few members outside its main component is small: the
+   few are compared with all of it. Other nodes are branched again, until none is left; nothing is capped. Rows whose
+   tokens rule the threshold out against all of the few (four standard deviations) go no further.
+5. Links are confirmed on the full shingle sets, made again from the whole texts. Only links that join components are
+   kept, so no group's pairs are written out.
 """
 
 from __future__ import annotations
@@ -79,24 +80,132 @@ def _children(rows: DataFrame, threshold: float) -> DataFrame:
     return deeper.select(F.xxhash64("node", "at", F.element_at("tokens", F.col("at") + 1)).alias("node"), "rep")
 
 
-def _node_pairs(least: float):
-    """From small nodes (reps, components, tokens), the pairs whose tokens agree often enough."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Slices of equal (node, salt) in batches that are sorted by them; a group may come in several slices."""
+    for batch in batches:
+        node, salt = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        edges = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (salt[1:] != salt[:-1]))) if batch.num_rows else []
+        for i, j in zip(edges, [*edges[1:], batch.num_rows], strict=True):
+            yield (int(node[i]), int(salt[i])), batch.slice(i, j - i)
+
+
+def _promising(least: float):
+    """Of each node's rows, sorted by (node, salt, rest), those whose tokens agree often enough with a row of another
+    component, one of the two being of the node's few."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            reps = batch.column(0)
-            for k in range(batch.num_rows):
-                tokens = np.array(batch.column(2)[k].values.flatten()).reshape(-1, TOKENS)
-                group = np.unique(batch.column(1)[k].values.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-                ids = reps[k].values
-                for i in range(len(tokens) - 1):
-                    near = (tokens[i + 1 :] == tokens[i]).sum(axis=1) >= least * TOKENS
-                    for j in np.flatnonzero(near & (group[i + 1 :] != group[i])) + i + 1:
-                        a.append(ids[i])
-                        b.append(ids[int(j)])
-            kind = reps.type.value_type
-            yield pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in a], kind), pa.array([x.as_py() for x in b], kind)], names=["a", "b"])
+        now, schema = None, None
+        few: list = []  # rows that are in other components than most
+
+        def closed():
+            return [r for r in few if r[3]]
+
+        for key, part in _groups(batches):
+            schema = part.schema
+            out = []
+            if key != now:
+                out, now, few = closed(), key, []
+                stack = np.zeros((0, TOKENS), np.int32)
+            tokens = np.asarray(part.column(5).flatten()).reshape(-1, TOKENS)
+            for i, (rest, rep, component) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
+                near = np.flatnonzero((stack == tokens[i]).sum(axis=1) >= least * TOKENS) if not rest and key[1] == 0 or rest else []
+                hits = [k for k in near if few[k][2] != component]
+                for k in hits:
+                    few[k][3] = True
+                row = [(*key, rest), rep, component, bool(hits)]
+                if rest and hits:
+                    out.append(row)
+                elif not rest:
+                    few.append(row)
+                    stack = np.concatenate([stack, tokens[i : i + 1]])
+            if out:
+                yield _flat(out, schema)
+        if few:
+            yield _flat(closed(), schema)
+
+    return run
+
+
+def _flat(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    columns = [[r[0][0] for r in rows], [r[0][1] for r in rows], [r[0][2] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
+    return pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(columns)], names=["node", "salt", "rest", "rep", "component"])
+
+
+class _Few:
+    """The shingle sets of a node's few, with an index from shingle to sets; finds every link with them."""
+
+    def __init__(self):
+        self.reps, self.parts, self.sets, self.index = [], [], [], None
+
+    def add(self, rep, component, codes: np.ndarray) -> None:
+        self.reps.append(rep)
+        self.parts.append(component)
+        self.sets.append(codes)
+
+    def linked(self, codes: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which sets have den * intersection >= num * union with this one."""
+        if self.index is None:
+            flat = np.concatenate(self.sets)
+            owner = np.repeat(np.arange(len(self.sets)), [len(c) for c in self.sets])
+            order = np.argsort(flat, kind="stable")
+            keys, first = np.unique(flat[order], return_index=True)
+            self.index = keys, np.append(first, len(flat)), owner[order], np.array([len(c) for c in self.sets])
+        keys, first, owner, sizes = self.index
+        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+        at = at[keys[at] == codes]
+        n = first[at + 1] - first[at]
+        both = np.bincount(owner[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sizes))
+        return np.flatnonzero(den * both >= num * (sizes + len(codes) - both))
+
+
+def _linked(n: int, num: int, den: int):
+    """From the promising rows with their texts, sorted by (node, salt, rest), links that join components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, few, root, kind = None, _Few(), {}, None
+        found: list[tuple] = []
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        def meet(rep, component, codes, upto):
+            for k in few.linked(codes, num, den):
+                a, b = find(few.parts[k]), find(component)
+                if k < upto and a != b:
+                    root[a] = b
+                    found.append((few.reps[k], rep))
+
+        def inside():  # the few among themselves, in the node's first part
+            if now is not None and now[1] == 0 and few.sets:
+                for k, codes in enumerate(few.sets):
+                    meet(few.reps[k], few.parts[k], codes, k)
+
+        ready = False
+        for key, part in _groups(batches):
+            kind = part.schema.field(3).type
+            if key != now:
+                if not ready:
+                    inside()
+                now, few, root, ready = key, _Few(), {}, False
+            for rest, rep, component, words in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), each_text(part.column(5)), strict=True):
+                codes = np.unique(shingle_codes(words, n))
+                if not rest:
+                    few.add(rep, component, codes)
+                    continue
+                if not ready:
+                    inside()
+                    ready = True
+                if few.sets:
+                    meet(rep, component, codes, len(few.sets))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i in range(2)], names=["a", "b"])
+                found = []
+        if not ready:
+            inside()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i in range(2)], names=["a", "b"])
 
     return run
 
@@ -125,10 +234,19 @@ def _confirm(n: int, num: int, den: int):
     return run
 
 
+#: Rows of a node that are compared with its few in one task.
+_TOGETHER = 4096
 #: So many ids (8 MB) are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents with these ids, once each."""
+    ids = written(ids.distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.select("id", "text").join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, together: int = 64) -> DataFrame:
     """The pairs (a, b) of ids with ``den`` * intersection >= ``num`` * union of their texts' shingle sets.
 
@@ -140,15 +258,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, tog
     rows = dealt.select("a", "salt", F.lit(True).alias("member"), F.col("b").alias("id")).unionByName(
         dealt.select("a", "salt").distinct().select("a", "salt", F.lit(False).alias("member"), F.col("a").alias("id"))
     )
-    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("id", "text").join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = _texts(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
     full = rows.join(texts, "id").select("a", "salt", "member", F.col("id").alias("b"), "text")
     dealt_out = full.repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
     kind = docs.schema["id"].dataType
     out = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     found = written(dealt_out.mapInArrow(_confirm(n, num, den), out), "confirmed")
-    dropped(pairs, ids)
+    dropped(pairs)
     return found
 
 
@@ -160,7 +276,7 @@ def near_duplicates(
     num: int = 80,
     den: int = 100,
     trees: int = 8,
-    small: int = 48,
+    few: int = 512,
 ) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -170,8 +286,8 @@ def near_duplicates(
     words has an empty set and is linked with nothing. Rows with equal ids are one document to the links (the texts of
     all of them count). Null ids are never linked; they get a null component and are kept. Other columns are not read.
     A link is missed with a chance below 0.001 at the threshold and less above it (``trees`` trees); a group with
-    several links between its parts is missed far more rarely. ``small``: the size up to which a node is compared
-    exhaustively.
+    several links between its parts is missed far more rarely. ``few``: a node is compared exhaustively when so
+    many of its members at most are in other components than most of them are.
     """
     threshold = num / den
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / TOKENS)
@@ -184,37 +300,46 @@ def near_duplicates(
     root = base.withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees)])))
     rows = written(_children(root, threshold), "nodes")
 
-    # a leader for each node, drawn by the node; each class meets its likeliest leader
-    heads = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "rep").alias("h"), F.col("rep").alias("r"))).alias("head"))
-    heads = heads.filter("size > 1").select("node", F.col("head.r").alias("leader"))
-    met = rows.join(heads, "node").filter("rep != leader").select("rep", "leader").distinct()
+    # a leader for each node: the member whose nodes are the largest, as the middle of a group has most of its tokens
+    counts = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = written(rows.join(counts, "node"), "shared")
+    weight = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
+    heads = shared.join(weight, "rep").groupBy("node").agg(F.max(F.struct("weight", "rep")).alias("head")).select("node", F.col("head.rep").alias("leader"))
+    met = shared.join(heads, "node").filter("rep != leader").select("rep", "leader").distinct()
     met = met.join(base, "rep").join(base.select(F.col("rep").alias("leader"), F.col("tokens").alias("theirs")), "leader")
     like = F.size(F.filter(F.zip_with("tokens", "theirs", lambda x, y: x == y), lambda x: x))
     met = met.withColumn("like", like).filter(F.col("like") >= least * TOKENS)
     best = met.groupBy("rep").agg(F.max(F.struct("like", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("rep").alias("b"))
     links = confirmed(best, source, n, num, den)
-    known = written(components(links), "known")
+    known = written(components(links), "known").select(F.col("id").alias("rep"), "component")
 
     # what is left: nodes with more than one component
-    level, found = rows, []
+    level, ready = shared.select("node", "rep"), None
     while True:
-        marked = level.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        nodes = marked.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        nodes = nodes.filter("size > 1 and lo != hi").select("node", "size")
-        open_rows = written(marked.join(nodes, "node").join(base, "rep").select("node", "size", "rep", "component", "tokens"), "open")
-        few = open_rows.filter(F.col("size") <= small).groupBy("node")
-        few = few.agg(F.collect_list(F.struct("rep", "component", "tokens")).alias("all"))  # up to ``small`` rows
-        kind = docs.schema[id_col].dataType
-        out = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-        found.append(few.select("all.rep", "all.component", "all.tokens").mapInArrow(_node_pairs(least), out))
-        large = open_rows.filter(F.col("size") > small)
-        if large.isEmpty():
+        marked = level.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        parts = marked.groupBy("node", "component").agg(F.count("*").alias("n"))
+        nodes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
+        nodes = nodes.filter("parts > 1").select("node", "size", F.col("most.component").alias("main"), (F.col("size") - F.col("most.n")).alias("others"))
+        opened = written(marked.join(nodes, "node"), "open")
+        narrow = opened.filter(F.col("others") <= few).withColumn("rest", F.col("component") == F.col("main"))
+        salts = F.ceil(F.col("size") / _TOGETHER).cast("int")
+        salt = F.when(F.col("rest"), F.array(F.pmod(F.xxhash64("rep"), salts).cast("int"))).otherwise(F.sequence(F.lit(0), salts - 1))
+        narrow = narrow.select("node", F.explode(salt).alias("salt"), "rest", "rep", "component")
+        ready = narrow if ready is None else ready.unionByName(narrow)
+        wide = opened.filter(F.col("others") > few)
+        if wide.isEmpty():
             break
-        level = written(_children(large, threshold), "nodes")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    more = confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), source, n, num, den)
+        level = written(_children(wide.join(base, "rep"), threshold), "nodes")
+        size = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        level = level.join(size, "node").select("node", "rep")
+    kind = docs.schema[id_col].dataType.simpleString()
+    row = f"node long, salt int, rest boolean, rep {kind}, component {kind}"
+    sorted_ = lambda df: df.repartition("node", "salt").sortWithinPartitions("node", "salt", "rest")
+    seen = ready.join(base, "rep").select("node", "salt", "rest", "rep", "component", "tokens")
+    hopeful = written(sorted_(seen).mapInArrow(_promising(least), row), "hopeful")
+    texts = _texts(source, hopeful.select(F.col("rep").alias("id"))).select(F.col("id").alias("rep"), "text")
+    full = hopeful.join(texts, "rep").select("node", "salt", "rest", "rep", "component", "text")
+    more = sorted_(full).mapInArrow(_linked(n, num, den), f"a {kind}, b {kind}")
     last = components(links.unionByName(more))
 
     reps = classes.select("one", "two", "rep").join(last.select(F.col("id").alias("rep"), "component"), "rep", "left")

@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are beginnings of words (4 to 8 letters), chosen from the labelled examples by how strongly they go with the
-label. Each example is a unit vector of (1 + ln tf) * idf. A text's neighbours are the examples with the largest
+label, and one more term stands for all other words. Each example is a unit vector of (1 + ln tf) * idf, where that one
+has a fixed weight, so that a text with one such word is apart from a text that is full of them. A text's neighbours are the examples with the largest
 cosine, found exactly: an index keeps, for blocks of 64 examples, each term's largest weight, so the blocks can be
 visited by falling upper bound and the search ends when no block left can change the result. Neighbours vote with the
 square of their cosine; votes are mapped to frequencies that leave-one-out votes of the examples had (isotonic).
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .tables import dropped, read, written
 
 SHORTEST, LONGEST, BLOCK = 4, 8, 64
+#: Weight of the term that stands for all other words.
+REST = 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -142,12 +145,13 @@ class Model:
         self.prepared = None
         self.knots = (np.zeros(0), np.zeros(0))
         if rows:
-            index = Index(self.vectors, len(terms))
+            index = Index(self.vectors, len(terms) + 1)
             votes = np.array([self.vote(*index.nearest(v, k, e)) for e, v in enumerate(self.vectors)])
             self.knots = isotonic(votes, self.labels)
 
     def unit(self, found: dict[int, int]) -> dict[int, float]:
         raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in found.items()}
+        raw[len(self.terms)] = REST
         norm = math.sqrt(sum(w * w for w in raw.values()))
         return {t: w / norm for t, w in raw.items()}
 
@@ -158,7 +162,7 @@ class Model:
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
         """Probability of the label, and the neighbours that it rests on (none where no term occurs)."""
         if self.prepared is None:
-            self.prepared = Finder(self.terms), Index(self.vectors, len(self.terms))
+            self.prepared = Finder(self.terms), Index(self.vectors, len(self.terms) + 1)
         find, index = self.prepared
         found = find(text)
         if not found or not self.ids:
@@ -167,7 +171,7 @@ class Model:
         return float(np.interp(self.vote(ids, scores), *self.knots)), ids, scores
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, examples: int, most_terms: int, k: int, evidence: float) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, examples: int, most_terms: int, k: int, evidence: float, purity: float) -> Model:
     """The model from at most ``examples`` labelled rows (those with the least hashes of their ids)."""
     spark = docs.sparkSession
     named = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -184,9 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         rate = F.lit(hits / n)
         xlogx = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
         gain = 2 * (xlogx(F.col("hits"), F.col("n") * rate) + xlogx(F.col("n") - F.col("hits"), F.col("n") * (1 - rate)))
-        kept = counts.filter(F.col("hits") > F.col("n") * rate).withColumn("gain", gain).filter(F.col("gain") >= evidence)
+        kept = counts.filter(F.col("hits") >= F.col("n") * F.greatest(rate, F.lit(purity))).withColumn("gain", gain).filter(F.col("gain") >= evidence)
         chosen = kept.orderBy(F.desc("gain"), "term").limit(most_terms).collect()  # bounded by most_terms
-        terms = sorted(r["term"] for r in chosen)
+        strong = {r["term"] for r in chosen}
+        terms = sorted(t for t in strong if not any(t[:i] in strong for i in range(SHORTEST, len(t))))  # the shortest beginning stands for longer ones
         df = {r["term"]: r["n"] for r in chosen}
         idf = [math.log((n + 1) / (df[t] + 1)) + 1 for t in terms]
 
@@ -212,17 +217,18 @@ def toxicity(
     most_terms: int = 4096,
     k: int = 16,
     evidence: float = 15.0,
+    purity: float = 0.25,
     learn_from: DataFrame | None = None,
 ) -> DataFrame:
     """(id_col, score, evidence) for every row of ``docs``; score is the probability of label 1.
 
     ``labels`` holds id_col and label_col; of its rows with a label, at most ``examples`` are learned from, with texts
     from ``learn_from`` (else ``docs``). At most ``most_terms`` terms are used, those with a log-likelihood ratio of
-    ``evidence`` or more. evidence lists up to ``k`` neighbours: id, cosine, label. A text that is null, empty or has
+    ``evidence`` or more of which ``purity`` of the texts that have them are toxic. evidence lists up to ``k`` neighbours: id, cosine, label. A text that is null, empty or has
     none of the terms gets the rate of label 1 among such examples and no evidence. Without labels every score is
     0.05. An id with several labels counts by the largest. Other columns are not read.
     """
-    fitted = fit(docs if learn_from is None else learn_from, labels, id_col, text_col, label_col, examples, most_terms, k, evidence)
+    fitted = fit(docs if learn_from is None else learn_from, labels, id_col, text_col, label_col, examples, most_terms, k, evidence, purity)
     model = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fitted))  # bounded by ``examples`` and ``most_terms``
     kind = docs.schema[id_col].dataType.simpleString()
     near = "array<struct<id:" + kind + ",cosine:double,label:int>>"
