@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, mixing, neardup, neighbours, sharding, toxicity, urls, webtext
+from . import chat, decontamination, language_model, mixing, neardup, neighbours, sharding, toxicity, urls, webtext
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_katz": language_model.op2_katz,
         "op3_webtext": webtext.op3_webtext,
         "op4_neighbours": neighbours.op4_neighbours,
         "op5_toxicity": toxicity.op5_toxicity,
