@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import documents, library, ordered, packing, progress, scalar
+from .registry import QUERIES, SQL
+
+MODULES = (documents, library, ordered, packing, progress, scalar)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
