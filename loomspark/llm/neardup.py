@@ -59,7 +59,7 @@ def _sketches(n: int, schema: pa.Schema):
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, one, two, tokens) of every row of ``docs`` (id, text); without words, no tokens."""
+    """(id, n_shingles, one, two, tokens) of every row of ``docs`` (id, text); without words, an empty list of them."""
     kind = docs.schema["id"].dataType
     out = T.StructType([T.StructField("id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("one", T.LongType()), T.StructField("two", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -105,10 +105,11 @@ def _promising(least: float):
             out = []
             if key != now:
                 out, now, few = closed(), key, []
-                stack = np.zeros((0, TOKENS), np.int32)
+                stack = np.zeros((64, TOKENS), np.int32)
             tokens = np.asarray(part.column(5).flatten()).reshape(-1, TOKENS)
             for i, (rest, rep, component) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
-                near = np.flatnonzero((stack == tokens[i]).sum(axis=1) >= least * TOKENS) if not rest and key[1] == 0 or rest else []
+                look = rest or key[1] == 0
+                near = np.flatnonzero((stack[: len(few)] == tokens[i]).sum(axis=1) >= least * TOKENS) if look else []
                 hits = [k for k in near if few[k][2] != component]
                 for k in hits:
                     few[k][3] = True
@@ -116,8 +117,10 @@ def _promising(least: float):
                 if rest and hits:
                     out.append(row)
                 elif not rest:
+                    if len(few) == len(stack):
+                        stack = np.concatenate([stack, np.zeros_like(stack)])
+                    stack[len(few)] = tokens[i]
                     few.append(row)
-                    stack = np.concatenate([stack, tokens[i : i + 1]])
             if out:
                 yield _flat(out, schema)
         if few:
@@ -276,7 +279,7 @@ def near_duplicates(
     num: int = 80,
     den: int = 100,
     trees: int = 8,
-    few: int = 512,
+    few: int = 2048,
 ) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -293,7 +296,7 @@ def near_duplicates(
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / TOKENS)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     every = written(sketches(source, n), "sketches")
-    classes = every.filter("tokens is not null and id is not null").groupBy("one", "two").agg(F.min(F.struct("id", "tokens")).alias("least"))
+    classes = every.filter("n_shingles > 0 and id is not null").groupBy("one", "two").agg(F.min(F.struct("id", "tokens")).alias("least"))
     classes = written(classes.select("one", "two", F.col("least.id").alias("rep"), "least.tokens"), "classes")
     base = classes.select("rep", "tokens")
 
