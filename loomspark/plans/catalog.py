@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import documents, library, ordered, packing, pages, progress, scalar
+from . import documents, labels, library, ordered, packing, pages, progress, scalar
 from .registry import QUERIES, SQL
 
-MODULES = (documents, library, ordered, packing, pages, progress, scalar)
+MODULES = (documents, labels, library, ordered, packing, pages, progress, scalar)
 
 
 def queries() -> dict:
