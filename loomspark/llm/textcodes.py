@@ -21,7 +21,16 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: For comparison by wording alone: every ASCII byte but letters and digits separates words.
 _PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
-_powers: dict[int, np.ndarray] = {}
+
+
+class _Made(dict):
+    """Tables that a process makes when it first needs them; what is sent to another process is empty."""
+
+    def __reduce__(self):
+        return _Made, ()
+
+
+_powers: dict[int, np.ndarray] = _Made()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
