@@ -187,8 +187,9 @@ def nearest(
 
     laid = entries.select("v", "ids").mapInArrow(index, "v array<double>, ids array<long>, leaves array<int>")
     laid = laid.select(F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), F.lit(None).cast("long").alias("id"), "v", "ids", "leaves", F.lit(None).cast("binary").alias("visits"))
-    asked = valid.filter(F.pmod("id", F.lit(every)) == 0).select("id", "v").repartition("id")
-    asked = asked.mapInArrow(plan, "id long, v array<double>, visits binary")
+    asked = valid.filter(F.pmod("id", F.lit(every)) == 0).select("id", "v")
+    parts = max(1, -(-asked.count() // 128))  # a search through the forest takes milliseconds, so few queries make a task
+    asked = asked.repartition(parts, "id").mapInArrow(plan, "id long, v array<double>, visits binary")
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "id", "v", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("leaves"), "visits")
     dealt = laid.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "query")
     found = dealt.mapInArrow(score, "query_id long, id long, score double")
