@@ -105,7 +105,7 @@ def nearest(
     k: int = 20,
     trees: int = 12,
     leaf: int = 32,
-    cover: float = 0.75,
+    cover: float = 0.85,
     sample: int = 20_000,
     block: int = 8192,
     seed: int = 7,
