@@ -9,7 +9,7 @@ from loomspark.llm.decontamination import contaminated
 from loomspark.llm.mixing import mix_sources
 from loomspark.llm.neardup import near_duplicates
 from loomspark.llm.sharding import with_shards
-from loomspark.llm.tables import read, written
+from loomspark.llm.tables import free_name, read, written
 from loomspark.llm.toxicity import REJECTED_FROM, learnable, toxicity
 
 #: So many ids (16 MB) are broadcast to be left out; more are left out by a shuffled join.
@@ -51,11 +51,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Weights 3, 1, 2 by source, for 150% of all words. Documents without words have nothing to take and go.
     """
-    mixed = mix_sources(docs).groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    times = mixed.filter("size > 0").select("_mixed_id", copies.alias("_copies")).filter("_copies > 0")
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_mixed_id")))
-    return joined.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    key, times = free_name(docs, "_mixed_id"), free_name(docs, "_copies")
+    mixed = mix_sources(docs).groupBy(F.col("doc_id").alias(key)).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    taken = mixed.filter("size > 0").select(key, F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(times)).filter(F.col(times) > 0)
+    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(key)))
+    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import read
+from .tables import free_name, read
 
 #: 13 hexadecimal digits make a whole number below 2**52, which a double holds exactly.
 _DIGITS, _RANGE = 13, float(1 << 52)
@@ -43,14 +43,6 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     return (-best["shard"]).cast("int")
 
 
-def _free(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def with_shards(df: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1.0,) * 24, out: str = "shard") -> DataFrame:
     """``df`` with the shard of every row; a column that has the name already is replaced.
 
@@ -67,16 +59,16 @@ def with_slots(df: DataFrame, shard: str = "shard", order: Sequence[str] = ("doc
     over those counts (shards x buckets rows, whatever the input), and a sort within buckets. Rows that agree in all
     order columns get neighbouring positions in any order. Null order values come first. Null shards make a group too.
     """
-    bucket, before = _free(df, "_bucket"), _free(df, "_before")
+    bucket, before, mine, its = (free_name(df, c) for c in ("_bucket", "_before", "_shard_of", "_bucket_of"))
     dealt = df.withColumn(bucket, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order]), F.lit(buckets)).cast("int"))
     ahead = Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy(shard, bucket).agg(F.count("*").alias(before))
-    starts = counts.select(F.col(shard).alias("_s"), F.col(bucket).alias("_b"), F.coalesce(F.sum(before).over(ahead), F.lit(0)).alias(before))
+    starts = counts.select(F.col(shard).alias(mine), F.col(bucket).alias(its), F.coalesce(F.sum(before).over(ahead), F.lit(0)).alias(before))
     inside = Window.partitionBy(shard, bucket).orderBy(*[F.col(f"`{c}`") for c in order])
     ranked = dealt.withColumn(out, F.row_number().over(inside) - 1)
     # shards x buckets rows of 20 bytes: the bound on what is broadcast
-    found = ranked.join(F.broadcast(starts), F.col(shard).eqNullSafe(F.col("_s")) & (F.col(bucket) == F.col("_b")))
-    return found.withColumn(out, (F.col(out) + F.col(before)).cast("long")).drop("_s", "_b", bucket, before)
+    found = ranked.join(F.broadcast(starts), F.col(shard).eqNullSafe(F.col(mine)) & (F.col(bucket) == F.col(its)))
+    return found.withColumn(out, (F.col(out) + F.col(before)).cast("long")).drop(mine, its, bucket, before)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:

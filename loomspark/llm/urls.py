@@ -8,7 +8,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read, written
+from .tables import free_name, read, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
@@ -61,14 +61,14 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_rows: int = 8, min
     """Rules (tokens, confidence, support, lift) for blocking, from (url, blocked).
 
     An itemset needs ``min_support`` of the labelled URLs and ``min_rows`` of them. A rule goes when a rule of fewer of
-    its tokens has at least its confidence. Rows whose label is null don't count; without labels there are no rules.
+    its tokens has at least its confidence. Rows whose label is null don't count; with fewer than ``min_rows`` labels there are no rules.
     """
     spark = labelled.sparkSession
     empty = "tokens array<string>, confidence double, support double, lift double"
     known = labelled.filter("blocked is not null")
     rows = known.select(F.when(F.col("blocked"), F.array_append(tokens_of(F.col("url")), F.lit(_BLOCK))).otherwise(tokens_of(F.col("url"))).alias("items"))
     n = rows.count()
-    if not n:
+    if n < max(1, min_rows):
         return spark.createDataFrame([], empty)
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / n), minConfidence=min_confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(rows)
     rules = model.associationRules.filter((F.element_at("consequent", 1) == _BLOCK) & (F.col("lift") >= min_lift))
@@ -112,8 +112,9 @@ def judged(pages: DataFrame, given: Sequence[tuple[str, str, str]], labelled: Da
     fits = split.withColumn("end", F.explode(_ends(F.col("host")))).join(listed, "end").filter(F.col("path").startswith(F.col("begin")))
     fits = fits.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("f")).select("url", "f.rule", F.col("f.verdict").alias("said"))
     found = split.join(fits, "url", "left").join(matches(urls, mine(labelled, **limits)), "url", "left")
-    found = found.select(F.col("url").alias("_url"), "host", "path", "rule", "mined", "confidence", F.coalesce("said", F.when(F.col("mined").isNotNull(), "block").otherwise("allow")).alias("verdict"))
-    whole = pages.select(*[F.col(f"`{c}`") for c in keep]).join(found, F.col(f"`{url_col}`") == F.col("_url"), "left").drop("_url")
+    name = free_name(pages, "_url")
+    found = found.select(F.col("url").alias(name), "host", "path", "rule", "mined", "confidence", F.coalesce("said", F.when(F.col("mined").isNotNull(), "block").otherwise("allow")).alias("verdict"))
+    whole = pages.select(*[F.col(f"`{c}`") for c in keep]).join(found, F.col(f"`{url_col}`") == F.col(name), "left").drop(name)
     return whole.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit("")), "verdict": F.coalesce("verdict", F.lit("allow"))})
 
 
