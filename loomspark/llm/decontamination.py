@@ -1,8 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-Test items are cut into segments. Runs of three words of the segments are counted over all documents; the rarer half
-of each segment's runs are its seeds. Where seeds of a segment meet a document on nearly one diagonal, that window of
-the document is aligned with the segment, so copies with words changed, added or left out are scored as well.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment of words.
+
+Test items are cut into segments of nearly equal length. The seeds at a place of a segment are its word with the next
+word, and with the next but one. A best alignment of score t has t - 1 or more matched words whose next matched word is
+at most one error away, and each of these shares a seed with the document at its place. So, of a segment with n - 1
+places, any n - t + k hold k shared ones, and only as many are kept: those whose seeds are rarest over all documents.
+Where k kept places meet a document within the shift that such a score leaves for gaps, that window of the document is
+aligned with the segment. No copy of the least score is missed, whatever its edits.
 """
 
 from __future__ import annotations
@@ -17,9 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import dropped, read, written
-from .textcodes import each_text, shingle_codes, texts_in_chunks, word_codes
+from .textcodes import mixed, texts_in_chunks, word_codes
 
-SEED = 3
 #: Words of a segment at most, so that an alignment is bounded.
 SEGMENT = 128
 MISMATCH, GAP = 0.5, 0.5
@@ -40,20 +42,36 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int]:
     return best, at
 
 
+def pair_codes(words: np.ndarray, gap: int) -> np.ndarray:
+    """Codes of each word with the one ``gap`` places on, the same for every gap; of the words alone for gap 0."""
+    if not gap:
+        return words
+    n = max(0, len(words) - gap)
+    return mixed(words[:n] * np.uint64(0xA0761D6478BD642F) + words[gap:]) if n else words[:0]
+
+
 class Seeds:
-    """A block of segments with an index of their runs of three words (all, until ``keep`` leaves the rarer)."""
+    """A block of segments with an index of their word pairs (all, until ``keep`` leaves those of the rarer places)."""
 
-    def __init__(self, items: list[tuple[object, str | None]]):
+    def __init__(self, items: list[tuple[object, str | None]], least: float):
         self.item, self.words = [], []
         for key, text in items:
             data = np.frombuffer((text or "").encode(), dtype=np.uint8)
             codes, _ = word_codes(data, np.array([0, len(data)]), loose=True)
-            for i in range(0, len(codes), SEGMENT):
+            for part in np.array_split(codes, -(-len(codes) // SEGMENT)) if len(codes) else []:
                 self.item.append(key)
-                self.words.append(codes[i : i + SEGMENT])
-        runs = [shingle_codes(w, SEED) for w in self.words]
-        self.codes, where = np.unique(np.concatenate([np.zeros(0, np.uint64), *runs]), return_inverse=True)
-        self.index(where, np.repeat(np.arange(len(runs)), [len(r) for r in runs]), np.concatenate([np.zeros(0, np.int64), *[np.arange(len(r)) for r in runs]]))
+                self.words.append(part)
+        self.size = np.array([len(w) for w in self.words], dtype=np.int64)
+        #: The least score of a segment, the words by which its gaps may shift it then, the kept places that must be met.
+        self.score = np.minimum(self.size, np.maximum(least * self.size, 6))
+        self.shift = np.floor(2 * (self.size - self.score)).astype(np.int64)
+        self.met_least = np.maximum(1, (np.ceil(self.score).astype(np.int64) + 1) // 3)
+        self.gaps = [g for g in range(3) if g or (self.size == 1).any()]
+        found = [(k, g, pair_codes(w, g)) for k, w in enumerate(self.words) for g in ((1, 2) if len(w) > 1 else (0,))]
+        codes = np.concatenate([np.zeros(0, np.uint64), *[c for _, _, c in found]])
+        self.codes, where = np.unique(codes, return_inverse=True)
+        none = np.zeros(0, np.int64)
+        self.index(where, np.concatenate([none, *[np.full(len(c), k) for k, _, c in found]]), np.concatenate([none, *[np.arange(len(c)) for _, _, c in found]]))
 
     def index(self, seed: np.ndarray, segment: np.ndarray, place: np.ndarray) -> None:
         """Postings (segment, place) of each seed, and a table of bits that rules most other codes out."""
@@ -64,69 +82,105 @@ class Seeds:
         self.likely[self.codes[self.first[1:] > self.first[:-1]] >> np.uint64(42)] = True
 
     def keep(self, counts: np.ndarray) -> None:
-        """Leaves, of each segment's runs, those whose count is at most the segment's median."""
-        n = counts[self.seed]
-        middle = np.array([np.median(n[self.segment == s]) if (self.segment == s).any() else 0 for s in range(len(self.item))])
-        rare = n <= middle[self.segment]
+        """Leaves, of each segment, the places with the rarest seeds: as many as surely hold ``met_least`` shared ones."""
+        spot = self.segment * SEGMENT + self.place
+        spots, at = np.unique(spot, return_inverse=True)
+        n = np.bincount(at, weights=counts[self.seed], minlength=len(spots))
+        segment = spots // SEGMENT
+        order = np.lexsort((n, segment))
+        rank = np.empty(len(spots), np.int64)
+        rank[order] = np.arange(len(spots)) - np.searchsorted(segment, segment[order])
+        least = np.maximum(1, np.ceil(self.score).astype(np.int64) - 1)  # places that are shared
+        places = np.maximum(1, self.size - 1)
+        rare = (rank < (places - least + self.met_least)[segment])[at]
         self.index(self.seed[rare], self.segment[rare], self.place[rare])
 
-    def met(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, seed) of every seed among a document's runs."""
-        at = np.flatnonzero(self.likely[codes >> np.uint64(42)])
-        if not len(at):
-            return at, at
-        k = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
-        hit = (self.codes[k] == codes[at]) & (self.first[k + 1] > self.first[k])
-        return at[hit], k[hit]
+    def met(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, seed) of every seed in texts laid end to end; ``ends``: for each word, where its text ends."""
+        wheres, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for gap in self.gaps:
+            pairs = pair_codes(codes, gap)
+            at = np.flatnonzero(self.likely[pairs >> np.uint64(42)])
+            at = at[at + gap < ends[at]]
+            if len(at):
+                k = np.minimum(np.searchsorted(self.codes, pairs[at]), len(self.codes) - 1)
+                hit = (self.codes[k] == pairs[at]) & (self.first[k + 1] > self.first[k])
+                wheres.append(at[hit])
+                seeds.append(k[hit])
+        return np.concatenate(wheres), np.concatenate(seeds)
 
 
 def _counted(seeds: Seeds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(seeds.codes), np.int64)
         for batch in batches:
-            for i, j, data, bounds in texts_in_chunks(batch.column(0)):
+            for _, _, data, bounds in texts_in_chunks(batch.column(0)):
                 codes, at = word_codes(data, bounds, loose=True)
-                runs = shingle_codes(codes, SEED) if len(codes) >= SEED else np.zeros(0, np.uint64)
-                where, seed = seeds.met(runs)
-                doc = np.searchsorted(at, where, side="right") - 1
-                inside = where + SEED <= at[np.minimum(doc + 1, j - i)]
-                both = np.unique(doc[inside] * len(seeds.codes) + seed[inside]) if len(where) else where
-                np.add.at(total, both % max(1, len(seeds.codes)), 1)
+                _, seed = seeds.met(codes, np.repeat(at[1:], np.diff(at)))
+                total += np.bincount(seed, minlength=len(total))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["seed", "n"])
 
     return run
 
 
-def _aligned(seeds: Seeds, words: np.ndarray, least: float) -> dict[object, tuple[float, int, int]]:
-    """For each item that the document repeats: score, where its window begins, words of the segment."""
-    found: dict[object, tuple[float, int, int]] = {}
-    runs = shingle_codes(words, SEED)
-    where, seed = seeds.met(runs)
+#: Postings that are looked at together, but for a single text with more.
+_POSTINGS = 1 << 22
+
+
+def _aligned(seeds: Seeds, codes: np.ndarray, at: np.ndarray) -> list[tuple[int, object, float, int, int]]:
+    """(text, item, score, where its window begins, words of the segment) for each item that a text repeats.
+
+    ``codes``: the words of texts laid end to end; ``at``: where each text begins, and the end.
+    """
+    out: list[tuple[int, object, float, int, int]] = []
+    where, seed = seeds.met(codes, np.repeat(at[1:], np.diff(at)))
+    order = np.argsort(where, kind="stable")
+    where, seed = where[order], seed[order]
+    each = np.append(0, np.cumsum(seeds.first[seed + 1] - seeds.first[seed]))
+    doc_at = np.searchsorted(where, at)
+    i = 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(each[doc_at], each[doc_at[i]] + _POSTINGS, side="right")) - 1)
+        out += _aligned_part(seeds, codes, at, where[doc_at[i] : doc_at[j]], seed[doc_at[i] : doc_at[j]])
+        i = j
+    return out
+
+
+def _aligned_part(seeds: Seeds, codes: np.ndarray, at: np.ndarray, where: np.ndarray, seed: np.ndarray) -> list[tuple[int, object, float, int, int]]:
     if not len(where):
-        return found
+        return []
     n = seeds.first[seed + 1] - seeds.first[seed]
     post = np.repeat(seeds.first[seed] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    segment, place, start = seeds.segment[post], seeds.place[post], np.repeat(where, n) - seeds.place[post]
-    order = np.lexsort((start, segment))
-    segment, place, start = segment[order], place[order], start[order]
-    length = np.array([len(w) for w in seeds.words])[segment]
-    new = np.ones(len(segment), dtype=bool)
-    new[1:] = (segment[1:] != segment[:-1]) | (start[1:] - start[:-1] > length[1:] // 2 + 8)
-    edges = np.append(np.flatnonzero(new), len(segment))
+    segment, place, where = seeds.segment[post], seeds.place[post], np.repeat(where, n)
+    doc = np.searchsorted(at, where, side="right") - 1
+    start = where - at[doc] - place
+    order = np.lexsort((place, start, segment, doc))
+    doc, segment, start, place = doc[order], segment[order], start[order], place[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (segment[1:] != segment[:-1]) | (start[1:] != start[:-1]) | (place[1:] != place[:-1])
+    doc, segment, start = doc[new], segment[new], start[new]
+    own = np.ones(len(doc), dtype=bool)
+    own[1:] = (doc[1:] != doc[:-1]) | (segment[1:] != segment[:-1])
+    line = (np.cumsum(own) - 1) * (len(codes) + 4 * SEGMENT) + start  # further apart than any shift between groups
+    dense = np.searchsorted(line, line + seeds.shift[segment], side="right") - np.arange(len(line)) >= seeds.met_least[segment]
+    doc, segment, start, line = doc[dense], segment[dense], start[dense], line[dense]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = line[1:] - line[:-1] > seeds.size[segment[1:]]
+    edges = np.append(np.flatnonzero(new), len(doc))
+    best: dict[tuple[int, object], tuple[float, int, int]] = {}
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        own = seeds.words[segment[a]]
-        size = len(own)
-        if len(np.unique(place[a:b])) < min(2, size - SEED + 1):
+        d, k = int(doc[a]), int(segment[a])
+        item, size, shift = seeds.words[k], int(seeds.size[k]), int(seeds.shift[k])
+        low = max(0, int(start[a]) - shift)
+        window = codes[at[d] + low : min(at[d + 1], at[d] + int(start[b - 1]) + size + 2 * shift)]
+        if np.isin(item, window).sum() < seeds.score[k]:
             continue
-        margin = size // 4 + 4
-        low = max(0, int(start[a]) - margin)
-        score, _ = align(own, words[low : int(start[b - 1]) + size + margin])
-        share = score / size
-        key = seeds.item[segment[a]]
-        if score >= min(size, max(least * size, 6)) and (key not in found or share > found[key][0]):
-            found[key] = (share, low, size)
-    return found
+        score, _ = align(item, window)
+        share, key = score / size, (d, seeds.item[k])
+        if score >= seeds.score[k] and (key not in best or share > best[key][0]):
+            best[key] = (share, low, size)
+    return [(*key, *what) for key, what in best.items()]
 
 
 #: Bytes of test items that are sent to the executors at a time; more items take further passes over the documents.
@@ -138,8 +192,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     score is the best alignment's share of the segment's length (1 for a whole copy); rows have ``least`` or more and at
     least 6 words' worth, or the whole of a shorter segment. window is the word where the aligned window begins. Words
-    are compared lower-cased and without ASCII punctuation. Items are cut into segments of 128 words; a row has the
-    best. Items or documents that are null, empty or without words match nothing. Repeated rows give repeated results;
+    are compared lower-cased and without ASCII punctuation. Items are cut into equal segments of 128 words at most; a row
+    has the best. Items or documents that are null, empty or without words match nothing. Repeated rows give repeated results;
     repeated items count as one. Null ids are kept as they are. Other columns are not read.
 
     Test items are passed to the tasks in blocks of ``BLOCK_BYTES``, each with two passes over the documents (counts,
@@ -156,7 +210,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for block in range(blocks):
         # BLOCK_BYTES bounds these rows
         rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").collect()
-        seeds = Seeds([(r["item"], r["text"]) for r in rows])
+        seeds = Seeds([(r["item"], r["text"]) for r in rows], least)
         sent = spark.sparkContext.broadcast(cloudpickle.dumps(seeds))
 
         def count(batches, sent=sent):
@@ -172,7 +226,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def match(batches, kept=kept):
             own = pickle.loads(kept.value)
             for batch in batches:
-                rows = [(k, item, *what) for k, words in enumerate(each_text(batch.column(1), loose=True)) for item, what in _aligned(own, words, least).items()]
+                rows = []
+                for i, _, data, bounds in texts_in_chunks(batch.column(1)):
+                    rows += [(i + k, *what) for k, *what in _aligned(own, *word_codes(data, bounds, loose=True))]
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([r[1] for r in rows]) if rows else pa.array([], pa.null()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int32())],

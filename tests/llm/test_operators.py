@@ -251,6 +251,37 @@ def test_contamination_finds_copies_and_edited_copies_only(spark):
     assert decontamination.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_contamination_is_that_of_brute_force_alignment(spark):
+    rng = random.Random(16)
+    items = [(i, words(rng, n, 900)) for i, n in enumerate([40, 40, 40, 60, 128, 129, 12, 9, 2])]
+
+    def edited(text, share, kinds):
+        out = []
+        for w in text.split():
+            kind = rng.choice(kinds) if rng.random() < share else "keep"
+            out += {"keep": [w], "change": [f"x{rng.randrange(99)}"], "drop": [], "add": [w, f"x{rng.randrange(99)}"]}[kind]
+        return " ".join(out)
+
+    fifth = " ".join("changed" if i % 5 == 2 else w for i, w in enumerate(items[0][1].split()))
+    third = " ".join("x" if i % 3 == 1 else w for i, w in enumerate(items[3][1].split()))
+    half = " ".join(items[1][1].split()[:21])
+    texts = [items[2][1], third, half] + [fifth] * 30 + [edited(items[2][1], 0.3, ["change"]) for _ in range(40)]
+    texts += [edited(t, share, ["change", "drop", "add"]) for _, t in items for share in (0.15, 0.3, 0.45) for _ in range(4)]
+    texts += [" ".join(t.split()[: len(t.split()) // 2] + ["put", "in", "here"] + t.split()[len(t.split()) // 2 :]) for _, t in items]
+    rows = [(i, f"{words(rng, rng.randrange(40), 900)} {t} {words(rng, rng.randrange(40), 900)}", None) for i, t in enumerate(texts)]
+    code = lambda t: np.array([int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in t.split()], np.uint64)
+    expected = {}
+    for (doc_id, text, _), (item, own) in itertools.product(rows, items):
+        parts = np.array_split(code(own), -(-len(own.split()) // decontamination.SEGMENT))
+        for part in parts:
+            score = decontamination.align(part, code(text))[0]
+            if score >= min(len(part), max(0.5 * len(part), 6)):
+                expected[doc_id, item] = max(expected.get((doc_id, item), 0), score / len(part))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(i, 0) for i, t in enumerate(texts) if t == fifth} <= set(got)
+    assert got == pytest.approx(expected)
+
+
 def test_alignment_is_that_of_the_full_table():
     rng = random.Random(8)
     for _ in range(30):
