@@ -1,17 +1,18 @@
 """Katz backoff scoring: Good-Turing discounted pair counts over additively smoothed word counts.
 
 The lowest level is p1(w) = (c + 1/2) / (N + (V + 1)/2) over all words of the training texts and one unseen word. Above
-it are pairs of classes: each of the frequent words (up to 65,535 of them) is a class of its own, all others share one,
-in which a word has its share of p1. For a history h
+it are pairs of words, all of them. For a history h
 
     p(w | h) = d(c(h, w)) c(h, w) / c(h)   where the pair was seen,
              = a(h) p1(w)                  where it was not,
 
-with Good-Turing discounts d for counts up to 5 and a(h) such that the sum over all classes is 1. The text's end is a
+with Good-Turing discounts d for counts up to 5 and a(h) such that the sum over all words is 1. The text's end is a
 word, and the history of its first word.
 
-Counts of words and pairs are gathered from all training texts and kept as tables, the pairs in shards by key. What
-every task gets is bounded by the number of frequent words: their codes and p1, and c(h) and a(h).
+Counts of words and pairs are gathered from all training texts and kept as tables, the pairs in shards by pair. The
+frequent words' codes, p1 and a(h) are sent to every task; those of other words are joined. A text's score is the sum of
+log p1 and log a over its words (each is a word once and a history once), and for every pair that was seen what its
+probability differs from that, which is kept with the pair.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ END = int(mixed(np.array([0x454E44], dtype=np.uint64))[0])
 DISCOUNTED = 5
 #: Bytes of text for each shard of pairs, so that a shard's counts fit a task.
 SHARD_BYTES = 48 << 20
+#: Tokens whose pairs are counted together before they are sent.
+_TOKENS = 1 << 20
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -60,6 +63,15 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _packed64(values: np.ndarray) -> bytes:
+    """The same for 64-bit values."""
+    return zlib.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked64(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = [np.unique(codes, return_counts=True) for _, _, codes, _ in _tokens(batch.column(0))]
@@ -76,68 +88,93 @@ class Classes:
         order = np.argsort(codes)
         self.codes, self.counts = codes[order], counts[order]
         self.below = total + 0.5 * (distinct + 1)
-        one = (self.counts + 0.5) / self.below
-        self.share = np.append(one, max(1e-300, 1 - one.sum()))  # the last: all other words
+        self.share = (self.counts + 0.5) / self.below
         self.log = np.log10(self.share)
 
     def of(self, codes: np.ndarray) -> np.ndarray:
-        """The class of each code; the last is the others'."""
+        """The place of each code among the frequent; one past the last for the others."""
         if not len(self.codes):
             return np.zeros(len(codes), np.int64)
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         return np.where(self.codes[at] == codes, at, len(self.codes))
 
-    def keys(self, codes: np.ndarray) -> np.ndarray:
-        """history * 65536 + word for every token of whole texts laid end to end."""
+    def ids(self, codes: np.ndarray) -> np.ndarray:
+        """A frequent word's place, another word's code."""
         own = self.of(codes)
-        end = self.of(np.array([END], dtype=np.uint64))[0]
-        return np.append(end, own[:-1]) * 65536 + own
+        return np.where(own < len(self.codes), own.astype(np.uint64), codes)
+
+    def pairs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """History and word (ids) for every token of whole texts laid end to end."""
+        own = self.ids(codes)
+        return np.append(self.ids(np.array([END], dtype=np.uint64)), own[:-1]), own
+
+
+def _keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(mixed(history) * np.uint64(0xA0761D6478BD642F) + word)
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (mixed(keys.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    return (mixed(keys) % np.uint64(shards)).astype(np.int64)
 
 
 def _pair_counts(classes: bytes, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(classes.value)
         for batch in batches:
-            parts = [np.unique(own.keys(codes), return_counts=True) for _, _, codes, _ in _tokens(batch.column(0))]
+            parts, size = [], 0
+            for _, _, codes, _ in _tokens(batch.column(0)):
+                parts.append((*own.pairs(codes), np.ones(len(codes), np.int32)))
+                size += len(codes)
+                if size >= _TOKENS:
+                    yield _by_shard(*_summed_pairs(parts), shards)
+                    parts, size = [], 0
             if parts:
-                keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                n = np.bincount(back, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-                yield _by_shard(keys, n, shards)
+                yield _by_shard(*_summed_pairs(parts), shards)
 
     return run
 
 
-def _by_shard(keys: np.ndarray, n: np.ndarray, shards: int) -> pa.RecordBatch:
-    dealt = _shard(keys, shards)
-    found = np.unique(dealt)
-    rows = [(keys[dealt == s], n[dealt == s]) for s in found]
-    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([_packed(np.diff(k, prepend=0)) for k, _ in rows], pa.binary()), pa.array([_packed(c) for _, c in rows], pa.binary())], names=["shard", "keys", "n"])
+def _summed_pairs(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs by key, with the sums of their numbers. Empties ``parts``, as a shard's pairs fill much of a task's memory."""
+    history, word, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    parts.clear()
+    keys = _keys(history, word)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    del keys
+    n = np.add.reduceat(n[order], first, dtype=np.int64) if len(first) else n.astype(np.int64)
+    at = order[first]
+    return history[at], word[at], n
+
+
+def _by_shard(history: np.ndarray, word: np.ndarray, n: np.ndarray, shards: int) -> pa.RecordBatch:
+    dealt = _shard(_keys(history, word), shards)
+    order = np.lexsort((word, history, dealt))
+    found, first = np.unique(dealt[order], return_index=True)
+    rows = np.split(order, first[1:]) if len(found) else []
+    packed = [[_packed64(np.diff(history[r], prepend=np.uint64(0))) for r in rows], [_packed64(word[r]) for r in rows], [_packed(n[r]) for r in rows]]
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *[pa.array(c, pa.binary()) for c in packed]], names=["shard", "history", "word", "n"])
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shard, from rows sorted by shard."""
+    """One row for each shard, its pairs ordered by key, from rows sorted by shard."""
 
-    def row(shard, keys, n):
-        k, back = np.unique(np.concatenate(keys), return_inverse=True)
-        c = np.bincount(back, weights=np.concatenate(n)).astype(np.int64)
+    def row(shard, parts):
+        history, word, c = _summed_pairs(parts)
         seen = np.bincount(np.minimum(c, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([_packed(np.diff(k, prepend=0))], pa.binary()), pa.array([_packed(c)], pa.binary()), pa.array([seen.tolist()], pa.list_(pa.int64()))], names=["shard", "keys", "n", "seen"])
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([_packed64(history)], pa.binary()), pa.array([_packed64(word)], pa.binary()), pa.array([_packed(c)], pa.binary()), pa.array([seen.tolist()], pa.list_(pa.int64()))], names=["shard", "history", "word", "n", "seen"])
 
-    now, keys, n = None, [], []
+    now, parts = None, []
     for batch in batches:
-        for shard, k, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if shard != now and keys:
-                yield row(now, keys, n)
-                keys, n = [], []
+        for shard, h, w, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if shard != now and parts:
+                yield row(now, parts)
+                parts = []
             now = shard
-            keys.append(np.cumsum(_unpacked(k)))
-            n.append(_unpacked(c))
-    if keys:
-        yield row(now, keys, n)
+            parts.append((np.cumsum(_unpacked64(h), dtype=np.uint64), _unpacked64(w), _unpacked(c).astype(np.uint32)))
+    if parts:
+        yield row(now, parts)
 
 
 def discounts(seen: list[int]) -> np.ndarray:
@@ -150,39 +187,70 @@ def discounts(seen: list[int]) -> np.ndarray:
     return out
 
 
+def _kept(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(n <= DISCOUNTED, d[np.minimum(n, DISCOUNTED)], 1.0) * n
+
+
 def _mass(classes: bytes, d: np.ndarray):
-    """For each history: its count, what its discounted counts add up to, and p1 of the words seen after it."""
+    """For each history: its count, what its discounted counts add up to, and p1 of the frequent words seen after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(classes.value)
+        share = np.append(own.share, 0.0)
+        for batch in batches:
+            for h, w, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                n = _unpacked(c)
+                history, back = np.unique(_unpacked64(h), return_inverse=True)
+                after = share[np.minimum(_unpacked64(w), np.uint64(len(own.share))).astype(np.int64)]
+                sums = [np.bincount(back, weights=x, minlength=len(history)) for x in (n, _kept(n, d), after)]
+                yield from pa.Table.from_arrays([pa.array(history.view(np.int64)), *[pa.array(x, pa.float64()) for x in sums]], names=["history", "n", "kept", "below"]).to_batches(1 << 16)
+
+    return run
+
+
+def _rare(side: int, classes: bytes):
+    """Shard, place and ids of the pairs whose history (side 0) or word (side 1) isn't frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = np.uint64(len(pickle.loads(classes.value).codes))
         for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, n = np.cumsum(_unpacked(k)), _unpacked(c)
-                history, back = np.unique(keys >> 16, return_inverse=True)
-                kept = np.where(n <= DISCOUNTED, d[np.minimum(n, DISCOUNTED)], 1.0) * n
-                sums = [np.bincount(back, weights=w) for w in (n, kept, own.share[keys & 65535])]
-                yield pa.RecordBatch.from_arrays([pa.array(history), *[pa.array(s, pa.float64()) for s in sums]], names=["history", "n", "kept", "below"])
+            for shard, *pair in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                ids = [_unpacked64(x) for x in pair]
+                at = np.flatnonzero(ids[side] >= many)
+                columns = [pa.array(np.full(len(at), shard, np.int32)), pa.array(at.astype(np.int32)), *[pa.array(x[at].view(np.int64)) for x in ids]]
+                yield from pa.Table.from_arrays(columns, names=["shard", "place", "history", "word"]).to_batches(1 << 16)
 
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is added to pairs by (shard, place), packed by shard."""
+    for batch in batches:
+        shard, place, value = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        order = np.lexsort((place, shard))
+        found, first = np.unique(shard[order], return_index=True)
+        rows = np.split(order, first[1:]) if len(found) else []
+        columns = [[_packed(place[r]) for r in rows], [value[r].astype("<f8").tobytes() for r in rows]]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], names=["shard", "place", "value"])
+
+
 class Pairs:
-    """What a shard's counts need to become probabilities: discounts, c(h) and log10 a(h)."""
+    """What the frequent words bring to a pair: as histories log10 a(h) and log10 of a(h) c(h), as words log10 p1; and discounts."""
 
-    def __init__(self, d: np.ndarray, n: np.ndarray, log_a: np.ndarray):
-        self.d, self.n, self.log_a = d, n, log_a
+    def __init__(self, d: np.ndarray, log_a: np.ndarray, log_n: np.ndarray, log: np.ndarray):
+        self.d, self.log_a, self.less, self.log1 = d, log_a, np.append(log_a + log_n, 0.0), np.append(log, 0.0)
 
-    def log(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 p of seen pairs."""
-        kept = np.where(counts <= DISCOUNTED, self.d[np.minimum(counts, DISCOUNTED)], 1.0) * counts
-        return np.log10(kept / self.n[keys >> 16])
+    def log(self, history: np.ndarray, word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 p of seen pairs less that of a backed-off pair, but for what other words bring."""
+        last = np.uint64(len(self.log_a))
+        return np.log10(_kept(counts, self.d)) - self.less[np.minimum(history, last).astype(np.int64)] - self.log1[np.minimum(word, last).astype(np.int64)]
 
 
-def _documents(classes: bytes):
-    """For each text: tokens, frequent ones, their p1 (code null), and its other words with their numbers."""
+def _documents(classes: bytes, pairs: bytes):
+    """For each text: tokens, frequent ones, their p1 and p1 a (code null), and its other words with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(classes.value)
+        own, model = pickle.loads(classes.value), pickle.loads(pairs.value)
         for batch in batches:
             for i, j, codes, text in _tokens(batch.column(2)):
                 kind = own.of(codes)
@@ -190,6 +258,7 @@ def _documents(classes: bytes):
                 tokens = np.bincount(text, minlength=j - i)
                 often = np.bincount(text[~rare], minlength=j - i)
                 base = np.bincount(text[~rare], weights=own.log[kind[~rare]], minlength=j - i)
+                back = np.bincount(text[~rare], weights=model.log_a[kind[~rare]], minlength=j - i)
                 order = np.lexsort((codes[rare], text[rare]))
                 of, code = text[rare][order], codes[rare][order]
                 first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (code[1:] != code[:-1]))) if len(of) else np.zeros(0, np.int64)
@@ -203,8 +272,9 @@ def _documents(classes: bytes):
                         pa.array(np.concatenate([tokens, n])),
                         pa.array(np.concatenate([often, np.zeros(len(n), np.int64)])),
                         pa.array(np.concatenate([base, np.zeros(len(n))])),
+                        pa.array(np.concatenate([base + back, np.zeros(len(n))])),
                     ],
-                    names=["id", "mark", "code", "n", "often", "base"],
+                    names=["id", "mark", "code", "n", "often", "base", "pairs"],
                 )
 
     return run
@@ -220,48 +290,51 @@ def _postings(classes: bytes, shards: int):
         own = pickle.loads(classes.value)
         for batch in batches:
             kind = batch.schema.field(0).type
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(kind), pa.list_(pa.int64())]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(kind), pa.list_(pa.int64())]
             for i, j, codes, text in _tokens(batch.column(2)):
-                both, n = np.unique(own.keys(codes) * (1 << 24) + text, return_counts=True)
-                keys, text = both >> 24, both & ((1 << 24) - 1)
+                keys = _keys(*own.pairs(codes))
+                order = np.lexsort((text, keys))
+                keys, text = keys[order], text[order]
+                first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])))
+                keys, text, n = keys[first], text[first], np.diff(np.append(first, len(keys)))
                 dealt = _shard(keys, shards)
                 ids, marks = batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i).to_pylist()
                 chunk = int.from_bytes(hashlib.blake2b(repr((ids, marks)).encode(), digest_size=8).digest(), "little", signed=True)
-                rows = [(int(s), 1, chunk, _packed(np.diff(keys[h], prepend=0)), _packed(n[h]), _packed(text[h]), None, None) for s in np.unique(dealt) for h in [dealt == s]]
-                rows.append((chunk % shards, 2, chunk, None, None, None, ids, marks))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["shard", "phase", "chunk", "keys", "n", "text", "ids", "marks"])
+                rows = [(int(s), 2, chunk, _packed64(np.diff(keys[h], prepend=np.uint64(0))), None, _packed(n[h]), _packed(text[h]), None, None) for s in np.unique(dealt) for h in [dealt == s]]
+                rows.append((chunk % shards, 3, chunk, None, None, None, None, ids, marks))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["shard", "phase", "chunk", "keys", "word", "n", "text", "ids", "marks"])
 
     return run
 
 
-def _scored(classes: bytes, pairs: bytes):
+def _scored(pairs: bytes):
     """Each chunk's sums by text over the pairs of a shard, from rows sorted by shard with the shard's counts first.
 
-    For each token: the pair's discounted probability if it was seen, else the history's weight times the level below.
+    For each token whose pair was seen: what its probability differs from that of a backed-off one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, model = pickle.loads(classes.value), pickle.loads(pairs.value)
-        now, known, logs = None, np.zeros(0, np.int64), np.zeros(0)
+        model = pickle.loads(pairs.value)
+        now, known, logs = None, np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
             rows = []
-            for shard, phase, chunk, keys, n, text, ids, marks in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+            for shard, phase, chunk, keys, word, n, text, ids, marks in zip(*(batch.column(c).to_pylist() for c in range(9)), strict=True):
                 if shard != now:
-                    now, known, logs = shard, np.zeros(0, np.int64), np.zeros(0)
-                if phase == 2:
-                    rows.append((chunk, None, None, ids, marks))
-                    continue
-                keys, n = np.cumsum(_unpacked(keys)), _unpacked(n)
+                    now, known, logs = shard, np.zeros(0, np.uint64), np.zeros(0)
                 if phase == 0:
-                    known, logs = keys, model.log(keys, n)
-                    continue
-                value = model.log_a[keys >> 16] + own.log[keys & 65535]
-                if len(known):
+                    history, words = _unpacked64(keys), _unpacked64(word)
+                    known, logs = _keys(history, words), model.log(history, words, _unpacked(n))
+                elif phase == 1:
+                    np.add.at(logs, _unpacked(n), np.frombuffer(word, "<f8"))
+                elif phase == 3:
+                    rows.append((chunk, None, None, ids, marks))
+                elif len(known):
+                    keys, n = np.cumsum(_unpacked64(keys), dtype=np.uint64), _unpacked(n)
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    value = np.where(known[at] == keys, logs[at], value)
-                used, local = np.unique(_unpacked(text), return_inverse=True)
-                rows.append((chunk, _packed(np.diff(used, prepend=0)), np.bincount(local, weights=value * n).tobytes(), None, None))
-            kind = batch.schema.field(6).type
+                    value = np.where(known[at] == keys, logs[at], 0.0)
+                    used, local = np.unique(_unpacked(text), return_inverse=True)
+                    rows.append((chunk, _packed(np.diff(used, prepend=0)), np.bincount(local, weights=value * n).tobytes(), None, None))
+            kind = batch.schema.field(7).type
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.int64(), pa.binary(), pa.binary(), kind, pa.list_(pa.int64())))], names=["chunk", "text", "sums", "ids", "marks"])
 
     return run
@@ -298,7 +371,7 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     ``train``: a boolean column over ``docs``, true on the texts to learn from. A-Z are lower-cased; words are runs of
     other than space and tab to carriage return. score: log10 of the model's probability of the text with its end;
     base_score: the same for p1 alone; n_known: tokens that the training texts have. A null text is empty and has one
-    token, its end. ``frequent``: classes of their own at most; of equally frequent words at the edge none has one.
+    token, its end. ``frequent``: words at most that are sent to every task, others are joined; results don't depend on it.
     Rows that repeat id and text are scored alike. Null ids are kept; a null ``train`` is true. Without training texts
     everything is unseen. Other columns are not read.
     """
@@ -320,32 +393,43 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(4, -(-size // SHARD_BYTES))
     by_shard = lambda df, *then: df.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", *then)
-    counted = learnt.mapInArrow(_pair_counts(classes, shards), "shard int, keys binary, n binary")
-    pairs = written(by_shard(counted).mapInArrow(_merged, "shard int, keys binary, n binary, seen array<long>"), "pairs")
+    counted = learnt.mapInArrow(_pair_counts(classes, shards), "shard int, history binary, word binary, n binary")
+    pairs = written(by_shard(counted).mapInArrow(_merged, "shard int, history binary, word binary, n binary, seen array<long>"), "pairs")
     seen = pairs.agg(*[F.coalesce(F.sum(F.get("seen", F.lit(i))), F.lit(0)) for i in range(DISCOUNTED + 1)]).first()
     d = discounts(list(seen))
-    mass = pairs.select("keys", "n").mapInArrow(_mass(classes, d), "history long, n double, kept double, below double")
-    rows = mass.groupBy("history").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"), F.sum("below").alias("below")).collect()  # a row for each class
-    n, log_a = np.ones(len(own.share)), np.zeros(len(own.share))
-    for r in rows:
-        n[r["history"]] = r["n"]
-        log_a[r["history"]] = math.log10(max(1 - r["kept"] / r["n"], 1e-300) / max(1 - r["below"], 1e-300))
-    model = spark.sparkContext.broadcast(cloudpickle.dumps(Pairs(d, n, log_a)))
+    log1 = F.log10(F.coalesce("c", F.lit(0)) + 0.5) - math.log10(own.below)
+    both = "shard int, place int, history long, word long"
+    after = pairs.select("shard", "history", "word").mapInArrow(_rare(1, classes), both).join(words, F.col("word") == F.col("code"))
+    after = written(after.select("shard", "place", "history", "c"), "after")
+    mass = pairs.select("history", "word", "n").mapInArrow(_mass(classes, d), "history long, n double, kept double, below double")
+    mass = mass.unionByName(after.select("history", F.lit(0.0).alias("n"), F.lit(0.0).alias("kept"), ((F.col("c") + 0.5) / own.below).alias("below")))
+    mass = mass.groupBy("history").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"), F.sum("below").alias("below"))
+    log_a = F.log10(F.greatest(1 - F.col("kept") / F.col("n"), F.lit(1e-300)) / F.greatest(1 - F.col("below"), F.lit(1e-300)))
+    histories = written(mass.select("history", log_a.alias("log_a"), F.log10("n").alias("log_n")), "histories")
+    often = F.col("history").between(0, len(own.codes) - 1)
+    backs, logs = np.zeros(len(own.codes)), np.zeros(len(own.codes))
+    for r in histories.filter(often).collect():  # ``frequent`` rows
+        backs[r["history"]], logs[r["history"]] = r["log_a"], r["log_n"]
+    model = spark.sparkContext.broadcast(cloudpickle.dumps(Pairs(d, backs, logs, own.log)))
+    others = histories.filter(~often)
+    before = pairs.select("shard", "history", "word").mapInArrow(_rare(0, classes), both).select("shard", "place", "history").join(others, "history")
+    extra = before.select("shard", "place", (-F.col("log_a") - F.col("log_n")).alias("value")).unionByName(after.select("shard", "place", (-log1).alias("value")))
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = source.select("id", "mark", "text")
-    laid = texts.mapInArrow(_postings(classes, shards), f"shard int, phase int, chunk long, keys binary, n binary, text binary, ids array<{kind}>, marks array<long>")
+    laid = texts.mapInArrow(_postings(classes, shards), f"shard int, phase int, chunk long, keys binary, word binary, n binary, text binary, ids array<{kind}>, marks array<long>")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("text", "binary"), ("ids", f"array<{kind}>"), ("marks", "array<long>"))]
-    table = pairs.select("shard", F.lit(0).alias("phase"), F.lit(0).cast("long").alias("chunk"), "keys", "n", *none)
-    met = by_shard(laid.unionByName(table), "phase").mapInArrow(_scored(classes, model), f"chunk long, text binary, sums binary, ids array<{kind}>, marks array<long>")
+    at = lambda phase: ("shard", F.lit(phase).alias("phase"), F.lit(0).cast("long").alias("chunk"))
+    table = pairs.select(*at(0), F.col("history").alias("keys"), "word", "n", *none)
+    added = extra.mapInArrow(_gathered, "shard int, place binary, value binary").select(*at(1), F.lit(None).cast("binary").alias("keys"), F.col("value").alias("word"), F.col("place").alias("n"), *none)
+    met = by_shard(laid.unionByName(table).unionByName(added), "phase").mapInArrow(_scored(model), f"chunk long, text binary, sums binary, ids array<{kind}>, marks array<long>")
     sums = met.repartition("chunk").sortWithinPartitions("chunk", F.col("ids").isNull()).mapInArrow(_summed, f"id {kind}, mark long, pairs double")
 
-    each = texts.mapInArrow(_documents(classes), f"id {kind}, mark long, code long, n long, often long, base double")
-    below = math.log10(own.below)
-    whole = each.filter("code is null").select("id", "mark", F.col("n").alias("tokens"), F.col("often").alias("known"), "base", F.lit(0.0).alias("pairs"), F.lit(1).alias("rows"))
-    rare = each.filter("code is not null").join(words, "code", "left")
-    log1 = F.log10(F.coalesce("c", F.lit(0)) + 0.5) - below
-    rare = rare.select("id", "mark", F.lit(0).alias("tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * log1).alias("base"), (F.col("n") * (log1 - float(own.log[-1]))).alias("pairs"), F.lit(0).alias("rows"))
+    each = texts.mapInArrow(_documents(classes, model), f"id {kind}, mark long, code long, n long, often long, base double, pairs double")
+    whole = each.filter("code is null").select("id", "mark", F.col("n").alias("tokens"), F.col("often").alias("known"), "base", "pairs", F.lit(1).alias("rows"))
+    known = words.join(others.withColumnRenamed("history", "code"), "code", "left")
+    rare = each.filter("code is not null").drop("pairs").join(known, "code", "left")
+    rare = rare.select("id", "mark", F.lit(0).alias("tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * log1).alias("base"), (F.col("n") * (log1 + F.coalesce("log_a", F.lit(0.0)))).alias("pairs"), F.lit(0).alias("rows"))
     paired = sums.select("id", "mark", F.lit(0).alias("tokens"), F.lit(0).alias("known"), F.lit(0.0).alias("base"), "pairs", F.lit(0).alias("rows"))
     found = whole.unionByName(rare).unionByName(paired).groupBy("id", "mark").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "base", "pairs", "rows")])
     again = found.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))

@@ -340,6 +340,19 @@ def test_katz_is_that_of_brute_force(spark):
         assert (r["n_tokens"], r["n_known"]) == (n, known)
 
 
+def test_katz_counts_pairs_of_all_words(spark):
+    rng = random.Random(10)
+    train = [words(rng, rng.randrange(1, 60), 40) for _ in range(60)]
+    extra = [words(rng, 30, 60), None, "", "never-seen other", "W1 w2"]
+    rows = [(i, t, "train") for i, t in enumerate(train)] + [(1000 + i, t, "held") for i, t in enumerate(extra)]
+    want = brute_katz(train, train + extra)
+    for frequent in (0, 5, 20):
+        got = {r["doc_id"]: r for r in language_model.katz(docs(spark, rows), F.col("source") == "train", frequent=frequent).collect()}
+        for (i, _, _), (base, score, n, known) in zip(rows, want, strict=True):
+            assert (got[i]["base_score"], got[i]["score"]) == pytest.approx((base, score))
+            assert (got[i]["n_tokens"], got[i]["n_known"]) == (n, known)
+
+
 def test_katz_with_few_classes_sums_to_one_and_repeats_count(spark):
     rng = random.Random(3)
     rows = [(i, words(rng, 30, 50), "train") for i in range(40)] + [(7, "w1 w2", "held"), (7, "w1 w2", "held"), (None, "w1", "held")]
