@@ -3,7 +3,8 @@
 The golden-ratio sequence u(i) = frac((i + 1/2) / phi) is mapped through the cumulative target shares: slot i of the
 schedule belongs to the source whose interval holds u(i), so every stretch of the schedule has nearly the target
 shares. The k-th slot of a source takes the k-th block of its stream: its documents in hashed order, laid end to end,
-and repeated from the start when they run out. All blocks have the same number of words.
+and repeated from the start when they run out. All blocks have the same number of words, but the last of a source ends
+where its target is reached, and a residual slot behind the schedule takes what its blocks leave of the target.
 """
 
 from __future__ import annotations
@@ -90,8 +91,8 @@ def mix_sources(
 ) -> DataFrame:
     """For every row of ``docs``: its id, source, size in words, its source's size and target, and the words taken.
 
-    ``slots`` bounds the length of the schedule: blocks have ceil(target words / slots) words, so a source's words come
-    within a few blocks of its target. A document's words may be taken twice (``most`` passes at most), in part where
+    ``slots`` bounds the length of the schedule: blocks have ceil(target words / slots) words. A source's words are its
+    target's, rounded, however small it is beside a block. A document's words may be taken twice (``most`` passes at most), in part where
     a block ends inside it. Null texts have size 0 and nothing is taken of them; a null source is a source of its own,
     the last one. Repeated rows are separate documents. Columns other than the three named are not read. Same input,
     same result.
@@ -102,10 +103,12 @@ def mix_sources(
     goal = targets.agg(F.max("goal")).first()[0] or 0.0  # one number
     block = max(1, -int(-goal // slots))
     plan = schedule(spark, targets, -int(-goal // block), block)
+    ends = targets.join(plan.groupBy("sid").agg((F.count("*") * block).alias("edge")), "sid", "left")
+    ends = written(ends.withColumn("edge", F.coalesce("edge", F.lit(0))).withColumn("whole", F.round("target").cast("long")), "mix-ends")
 
     key = [F.lit(seed), F.col("doc_id"), F.col("size")]
     spot = F.xxhash64(*key)
-    dealt = sized.join(targets.select(F.col("source").alias("_source"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    dealt = sized.join(ends.select(F.col("source").alias("_source"), "sid", "source_size", "target", "edge", "whole"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     dealt = dealt.withColumn("spot", spot).withColumn("bucket", F.pmod(F.xxhash64(F.col("spot")), F.lit(buckets)))
     ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("sid", "bucket").agg(F.sum("size").alias("words")).select("sid", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
@@ -119,9 +122,13 @@ def mix_sources(
     reach = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block)))
     pieces = laid.withColumn("block", F.explode_outer(reach))
     held = pieces.join(plan.select("sid", "block", F.lit(1).alias("hit")), ["sid", "block"], "left")
-    piece = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("first"), F.col("block") * block)
-    rows = held.groupBy("sid", "bucket", "nth", "start", "doc_id", "source", "size", "source_size", "target")
-    mixed = rows.agg(F.coalesce(F.sum(F.when(F.col("hit") == 1, piece)), F.lit(0)).cast("long").alias("taken"))
+    last = F.least(F.col("first") + F.col("size"), "whole")
+    piece = F.greatest(F.least(last, (F.col("block") + 1) * block) - F.greatest(F.col("first"), F.col("block") * block), F.lit(0))
+    taken = F.coalesce(F.sum(F.when(F.col("hit") == 1, piece)), F.lit(0)) + F.sum(F.when(F.col("residual"), F.col("rest")).otherwise(0))
+    held = held.withColumn("rest", F.greatest(last - F.greatest("first", "edge"), F.lit(0)))
+    # a pass's residual counts once, at its last block
+    held = held.withColumn("residual", F.col("block") == F.floor((F.col("first") + F.col("size") - 1) / block))
+    mixed = held.groupBy("sid", "bucket", "nth", "start", "doc_id", "source", "size", "source_size", "target").agg(taken.cast("long").alias("taken"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 

@@ -84,6 +84,20 @@ def test_targets_are_the_fixed_point_of_resharing(spark):
     assert got == pytest.approx(want)
 
 
+def test_small_sources_take_their_targets_beside_large_blocks(spark):
+    rng = random.Random(11)
+    df = docs(spark, [(i, words(rng, 50), "big") for i in range(400)] + [(1000 + i, words(rng, 7), f"s{i % 9}") for i in range(30)] + [(2000, None, "s1"), (2001, "one", None)])
+    for slots in (3, 16, 1 << 18):
+        got = mixing.mix_sources(df, slots=slots).collect()
+        assert len(got) == 432
+        total, target = collections.Counter(), {}
+        for r in got:
+            total[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+            assert 0 <= r["taken"] <= 2 * r["size"]
+        assert all(abs(total[k] - t) <= 0.5 for k, t in target.items())
+
+
 def test_mix_comes_near_its_targets_and_repeats_itself(spark):
     rng = random.Random(1)
     rows = [(i, words(rng, rng.randrange(0, 60)), rng.choice(["a", "b", "c", None])) for i in range(150)] + [(3, None, "a"), (3, None, "a")]
