@@ -14,9 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Tag lists and chrome names.
-DROPPED = frozenset("script style noscript template nav header footer aside form button iframe".split())
-CHROME = frozenset("ad ads advert advertisement banner breadcrumb comments comment menu nav footer header sidebar share social related widget".split())
+# Elements and whole class or id names that are page chrome, and what an imported book may not hold.
+DROPPED = frozenset("script style noscript iframe nav header footer aside".split())
+CHROME = frozenset(
+    "ad ads advert adverts advertisement advertisements banner sidebar nav navbar footer header comment comments share social related promo popup"
+    " modal subscribe newsletter".split()
+)
+NOT_IMPORTED = (
+    "script style link meta base iframe frame frameset object embed form input button textarea select audio video source track canvas svg".split()
+)
+WHOLE = frozenset(["table", "pre"])
 INLINE = frozenset("b strong i em u s sub sup br a span".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT = frozenset("p li blockquote td th pre div dd dt figcaption article section main body ul ol table".split()) | HEADINGS
@@ -34,6 +41,9 @@ class Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.base, self.title, self.blocks, self.links = base, "", [], []
         self.open: list[tuple[str, bool]] = []
+        self.whole: list[str] | None = None  # the source of a table or preformatted text that is kept as it is
+        self.whole_at = 0
+        self.played = -1
         self.held: list[str] = []
         self.link: list[str] | None = None
         self.href = ""
@@ -51,6 +61,16 @@ class Reader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
+        if self.whole is not None and (tag in VOID or tag in INLINE):
+            self.whole.append(self.get_starttag_text() or "")
+            return
+        if tag in {"audio", "video", "source"} and a.get("src") and not self.hidden():
+            kind = tag if tag != "source" else next((t for t, _ in reversed(self.open) if t in {"audio", "video"}), "")
+            inside = [t for t, _ in self.open if t in {"audio", "video"}]
+            if kind and not (tag == "source" and self.blocks and self.blocks[-1]["type"] == kind and self.played == len(inside)):
+                self.flush()
+                self.blocks.append({"type": kind, "level": None, "text": None, "src": urljoin(self.base, a["src"]), "alt": None})
+                self.played = len(inside) + (tag != "source")
         if tag in VOID:
             if tag == "br":
                 self.held.append(" ")
@@ -66,10 +86,27 @@ class Reader(HTMLParser):
         self.flush()
         if self.open and self.open[-1][0] == "p" and tag in TEXT:
             self.open.pop()
-        names = set(re.split(r"[\s_-]+", f"{a.get('class') or ''} {a.get('id') or ''}".lower()))
+        names = {*(a.get("class") or "").lower().split(), (a.get("id") or "").lower()}
         self.open.append((tag, tag in DROPPED or not CHROME.isdisjoint(names)))
+        if tag in WHOLE and self.whole is None and not self.hidden():
+            self.whole, self.whole_at = [], len(self.open)
+        if self.whole is not None:
+            self.whole.append(self.get_starttag_text() or "")
 
     def handle_endtag(self, tag):
+        if self.whole is not None:
+            if tag in INLINE:
+                self.whole.append(f"</{tag}>")
+                return
+            if any(t == tag for t, _ in self.open):
+                while len(self.open) >= self.whole_at:
+                    closed = self.open.pop()[0]
+                    self.whole.append(f"</{closed}>")
+                    if closed == tag:
+                        break
+                if len(self.open) < self.whole_at:
+                    self.close_whole()
+            return
         if tag == "a":
             if self.link is not None and _SAFE.match(self.href):
                 self.links.append({"url": self.href, "title": " ".join("".join(self.link).split())})
@@ -79,7 +116,16 @@ class Reader(HTMLParser):
             while self.open.pop()[0] != tag:
                 pass
 
+    def close_whole(self) -> None:
+        text = "".join(self.whole or [])
+        self.whole = None
+        if re.sub(r"<[^>]*>", "", text).strip():
+            self.blocks.append({"type": "html", "level": None, "text": text, "src": None, "alt": None})
+
     def handle_data(self, data):
+        if self.whole is not None:
+            self.whole.append(html.escape(data, quote=False))
+            return
         if self.link is not None:
             self.link.append(data)
         if self.open and self.open[-1][0] == "title":
@@ -104,6 +150,7 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
                 r = Reader(url or "")
                 r.feed(text or "")
                 r.close()
+                r.close_whole()
                 r.flush()
                 read.append(r)
             yield pa.RecordBatch.from_arrays(
@@ -140,6 +187,27 @@ def sanitized(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if "<" not in x and "&" not in x else _TAG.sub(_kept, _BAD_BODY.sub("", x)), na_action="ignore")
 
 
+_GONE = re.compile(rf"<({'|'.join(NOT_IMPORTED)})\b[^>]*>.*?</\1\s*>", re.S | re.I)
+_GONE_TAGS = re.compile(rf"</?(?:{'|'.join(NOT_IMPORTED)})\b[^>]*>", re.I)
+_ATTRIBUTE = re.compile(r"\s+(on[\w-]*|style|srcset|href)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
+
+def _plain_attribute(m: re.Match) -> str:
+    target = next((v for v in m.groups()[1:] if v is not None), "")
+    return m.group(0) if m.group(1).lower() == "href" and _SAFE.match(html.unescape(target).strip()) else ""
+
+
+@F.pandas_udf(T.StringType())
+def import_sanitized(s: pd.Series) -> pd.Series:
+    """HTML of an untrusted book without scripts, styles, forms, frames and media, handlers, and links but http(s) and mailto."""
+
+    def one(x):
+        whole = re.sub(r"<(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", lambda m: _ATTRIBUTE.sub(_plain_attribute, m.group(0)), _GONE.sub("", x))
+        return _GONE_TAGS.sub("", whole)
+
+    return s.map(one, na_action="ignore")
+
+
 def blocks_to_html(blocks):
     """Blocks as HTML, in SQL functions."""
     safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
@@ -148,6 +216,7 @@ def blocks_to_html(blocks):
         level = F.coalesce(b["level"], F.lit(2)).cast("string")
         head = F.concat(F.lit("<h"), level, F.lit(">"), b["text"], F.lit("</h"), level, F.lit(">"))
         image = F.concat(F.lit('<img src="'), safe(b["src"]), F.lit('" alt="'), safe(F.coalesce(b["alt"], F.lit(""))), F.lit('">'))
-        return F.when(b["type"] == "heading", head).when(b["type"] == "image", image).otherwise(F.concat(F.lit("<p>"), F.coalesce(b["text"], F.lit("")), F.lit("</p>")))
+        media = F.concat(F.lit("<"), b["type"], F.lit(' src="'), safe(b["src"]), F.lit('" controls></'), b["type"], F.lit(">"))
+        return F.when(b["type"] == "heading", head).when(b["type"] == "image", image).when(b["type"] == "html", b["text"]).when(b["type"].isin("audio", "video"), media).otherwise(F.concat(F.lit("<p>"), F.coalesce(b["text"], F.lit("")), F.lit("</p>")))
 
     return F.array_join(F.transform(blocks, one), "\n")

@@ -128,3 +128,12 @@ def publish_window(ahead_seconds: Column) -> Column:
 def outermost_json(text: Column, schema: str) -> Column:
     """The outermost object in free text, read by a fixed schema; null if there is none."""
     return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")), schema)
+
+
+def canonical(url: Column, rules: list[tuple[str, str]]) -> Column:
+    """The one address of a work: the first rule (pattern, template with $1 to $9) whose pattern fits; else the url as it is."""
+    out = None
+    for pattern, template in rules:
+        put = F.regexp_replace(F.regexp_extract(url, pattern, 0), pattern, template)
+        out = F.when(url.rlike(pattern), put) if out is None else out.when(url.rlike(pattern), put)
+    return url if out is None else out.otherwise(url)

@@ -82,8 +82,9 @@ def publishing_state(chapters: DataFrame, audio: DataFrame, videos: DataFrame) -
     return joined.withColumn("has_audio", F.col("audio_hash").isNotNull()).withColumn("audio_changed", changed)
 
 
-def filled(local: DataFrame, remote: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Local rows with missing fields taken from the remote side; filled says whether any was."""
+def filled(local: DataFrame, remote: DataFrame, keys: Sequence[str], fields: Sequence[str], seq: str | None = None) -> DataFrame:
+    """Local rows with missing fields taken from the remote side; filled says whether any was. With ``seq`` the last of remote rows with one key counts."""
+    remote = latest(remote, keys, seq) if seq else remote
     far = remote.select(*keys, *[F.col(c).alias(f"_{c}") for c in fields])
     joined = local.join(far, list(keys), "left")
     any_ = F.lit(False)
@@ -99,8 +100,18 @@ def rewrite_plan(chapters: DataFrame, rewritten: DataFrame, orders: DataFrame |
     return done.join(orders.distinct(), ["story_id", "order"], "left_semi") if orders is not None else done.join(rewritten, ["story_id", "order"], "left_anti")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Keyed merge: rows of ``new`` replace those of ``old`` but for the ``keep`` columns, which stay where set."""
+def latest(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
+    """Of rows with one key the last by ``seq``."""
+    last = F.max_by(F.struct(*[F.col(c) for c in rows.columns]), seq).alias("_row")
+    return rows.groupBy(*keys).agg(last).select("_row.*")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), seq: str | None = None) -> DataFrame:
+    """Keyed merge: rows of ``new`` replace those of ``old`` but for the ``keep`` columns, which stay where set.
+
+    Keys of ``new`` are unique, or ``seq`` names the column by which the last of several rows wins.
+    """
+    new = latest(new, keys, seq) if seq else new
     left = old.join(new.select(*keys), list(keys), "left_anti")
     kept = old.select(*keys, *[F.col(c).alias(f"_{c}") for c in keep])
     put = new.join(kept, list(keys), "left").withColumns({c: F.coalesce(f"_{c}", c) for c in keep}).select(*old.columns)
@@ -119,16 +130,18 @@ def replace_all(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.select(*old.columns))
 
 
-def patched(old: DataFrame, patch: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Sparse update: patch has, for a field, set_<field> (else it is kept) and the value (null clears)."""
+def patched(old: DataFrame, patch: DataFrame, keys: Sequence[str], fields: Sequence[str], seq: str | None = None) -> DataFrame:
+    """Sparse update: patch has, for a field, set_<field> (else it is kept) and the value (null clears). With ``seq`` the last of patch rows with one key counts."""
+    patch = latest(patch, keys, seq) if seq else patch
     far = patch.select(*keys, F.lit(True).alias("_hit"), *[F.col(f"set_{c}") for c in fields], *[F.col(c).alias(f"_{c}") for c in fields])
     joined = old.join(far, list(keys), "left")
     put = {c: F.when(F.coalesce(f"set_{c}", F.lit(False)), F.col(f"_{c}")).otherwise(F.col(c)) for c in fields}
     return joined.withColumns(put).select(*old.columns)
 
 
-def guarded(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Crawl results over stored chapters: a failure doesn't replace a done chapter."""
+def guarded(old: DataFrame, new: DataFrame, keys: Sequence[str], seq: str | None = None) -> DataFrame:
+    """Crawl results over stored chapters: a failure doesn't replace a done chapter. With ``seq`` the last of new rows with one key counts."""
+    new = latest(new, keys, seq) if seq else new
     far = new.select(*keys, F.col("status").alias("_status"))
     joined = old.join(far, list(keys), "left")
     keep = F.col("_status").isNull() | ((F.col("status") == "done") & (F.col("_status") == "error"))
@@ -177,3 +190,51 @@ def publish_plan(requested: DataFrame, chapters: DataFrame, audio: DataFrame, vi
         joined = joined.join(side, ["story_id", "order"], "left")
     act = F.when(F.col("video_status") == "uploaded", "skip").when(~F.coalesce(F.col("status") == "done", F.lit(False)) | F.col("_audio").isNull(), "fail").otherwise("prepare")
     return joined.select("story_id", "order", act.alias("action"), F.coalesce("former", "chapter_title").alias("video_title"))
+
+
+def first_named(items: DataFrame, wanted: DataFrame, name: str, pos: str) -> DataFrame:
+    """For each wanted name the first item (by ``pos``) with just that name; names without one are left out."""
+    first = items.groupBy(name).agg(F.min_by(F.struct(*[F.col(c) for c in items.columns]), pos).alias("_row"))
+    return wanted.select(name).distinct().join(first, name).select("_row.*")
+
+
+def playlist_matches(items: DataFrame, chapters: DataFrame, records: DataFrame) -> DataFrame:
+    """(story_id, order, video_id, title): the first list item of each done chapter.
+
+    items: (story_id, pos, order, title, video_id), order being the number in the title. Items without a video, and those
+    of chapters whose record points at another video, are passed over.
+    """
+    done = chapters.filter(F.col("status") == "done").select("story_id", "order").distinct()
+    known = records.select("story_id", "order", F.col("video_id").alias("_known"))
+    open_ = items.filter("video_id is not null and order is not null").join(done, ["story_id", "order"], "left_semi").join(known, ["story_id", "order"], "left")
+    open_ = open_.filter(F.col("_known").isNull() | (F.col("_known") == F.col("video_id")))
+    return open_.groupBy("story_id", "order").agg(F.min_by(F.struct("video_id", "title"), "pos").alias("m")).select("story_id", "order", "m.video_id", "m.title")
+
+
+def extracted_chapters(chapters: DataFrame) -> DataFrame:
+    """(source_url, title, blocks, error, error_kind): failed chapters have no blocks and a message, others no error."""
+    failed = F.col("status") == "error"
+    none = F.array().cast(chapters.schema["blocks"].dataType)
+    return chapters.select(
+        F.col("url").alias("source_url"),
+        "title",
+        F.when(failed, none).otherwise(F.coalesce("blocks", none)).alias("blocks"),
+        F.when(failed, F.coalesce(F.when(F.col("error") != "", F.col("error")), F.lit("Unknown error"))).alias("error"),
+        F.when(failed, F.col("error_kind")).alias("error_kind"),
+    )
+
+
+def camel_record(df: DataFrame, out: str = "record") -> DataFrame:
+    """Rows as JSON records with camel-case names; null fields are left out."""
+    camel = lambda c: "".join(w if i == 0 else w.capitalize() for i, w in enumerate(c.split("_")))
+    return df.select(F.to_json(F.struct(*[F.col(c).alias(camel(c)) for c in df.columns])).alias(out))
+
+
+def retry_states(attempts: DataFrame, keys: Sequence[str], order: Sequence[str], ok: Column, limit: int) -> DataFrame:
+    """(keys, attempts, state) of a retry loop: it ends with the first success (done) or at ``limit`` failures (failed)."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tried = attempts.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    tried = tried.withColumn("_done", F.coalesce(F.max("_ok").over(w), F.lit(False))).withColumn("_failed", F.count_if(~F.col("_ok")).over(w))
+    used = tried.filter(~F.col("_done") & (F.col("_failed") < limit)).groupBy(*keys).agg(F.count("*").alias("attempts"), F.max("_ok").alias("_ok"))
+    state = F.when(F.col("_ok"), "done").when(F.col("attempts") >= limit, "failed").otherwise("retrying")
+    return used.select(*keys, "attempts", state.alias("state"))

@@ -5,10 +5,12 @@ Each is a window over the rows of one work, chapter or key; nothing is ordered g
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -60,10 +62,37 @@ def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, n: int = 1
     return df.withColumn("_n", F.row_number().over(_over(keys, order))).filter(F.col("_n") <= n).drop("_n")
 
 
-def unique_names(df: DataFrame, keys: Sequence[str], order: Sequence, name: str, out: str) -> DataFrame:
-    """The second of equal names becomes "name (2)", the third "name (3)"."""
-    n = F.row_number().over(_over([*keys, name], order))
-    return df.withColumn(out, F.when(n == 1, F.col(name)).otherwise(F.concat(name, F.lit(" ("), n.cast("string"), F.lit(")"))))
+def unique_names(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, out: str) -> DataFrame:
+    """Names that are unique within the keys: a name that is taken gets " (2)", " (3)" and so on, the first that is free.
+
+    Only names that differ by such endings can meet, so rows are dealt by key and by the name without them, and each such
+    family is read in order as a stream.
+    """
+    family = F.regexp_replace(F.col(name), r"( \(\d+\))+$", "")
+    dealt = df.withColumn("_family", family)
+    schema = StructType([*df.schema.fields, StructField(out, StringType())])
+    at = [dealt.columns.index(c) for c in (*keys, "_family")]
+    n = dealt.columns.index(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken, tried = None, set(), {}
+        for batch in batches:
+            names = []
+            for row in zip(*(batch.column(i).to_pylist() for i in (*at, n)), strict=True):
+                if row[:-1] != now:
+                    now, taken, tried = row[:-1], set(), {}
+                own = found = row[-1]
+                if own is not None:
+                    i = tried.get(own, 2)
+                    while found in taken:
+                        found, i = f"{own} ({i})", i + 1
+                    tried[own] = i
+                    taken.add(found)
+                names.append(found)
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string())], names=[*batch.schema.names[:-1], out])
+
+    return dealt.repartition(*keys, "_family").sortWithinPartitions(*keys, "_family", *order).mapInArrow(run, schema)
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, since: str, value: str) -> DataFrame:
@@ -97,6 +126,34 @@ def page(df: DataFrame, order: Sequence, number: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def numbered(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "place") -> DataFrame:
+    """The place of each row, from 1, in one order of the whole table: columns, not null, each with whether it ascends.
+
+    The order must be total for a repeatable result. One row of each range of the order is a bound (as many as there
+    are shuffle partitions, collected); rows are numbered between bounds, and each range's rows are counted, so that no
+    task orders the table.
+    """
+    keys = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
+    names = [c for c, _ in order]
+    ranges = df.select(*names).repartitionByRange(*keys).groupBy(F.spark_partition_id().alias("p"))
+    bounds = [r["b"] for r in ranges.agg(F.any_value(F.struct(*names)).alias("b")).collect()]
+
+    def upto(bound):
+        out = F.lit(True)
+        for c, up in reversed(order):
+            out = (bound[c] < F.col(c) if up else bound[c] > F.col(c)) | ((bound[c] == F.col(c)) & out)
+        return out
+
+    listed = F.array(*[F.struct(*[F.lit(b[c]).alias(c) for c in names]) for b in bounds])
+    dealt = df.withColumn("_range", F.size(F.filter(listed, upto)) if bounds else F.lit(0))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))  # a row for each range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    found = dealt.withColumn("_inside", inside).join(F.broadcast(starts), "_range")
+    return found.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(out))
+
+
 def rate_limited(df: DataFrame, keys: Sequence[str], order: Sequence, at: str, interval: float, out: str = "slot") -> DataFrame:
     """slot = max(own time, former slot + interval), without a loop: the running maximum of time - i * interval, plus i * interval."""
     w = _over(keys, order)
@@ -130,3 +187,10 @@ def schedule(df: DataFrame, keys: Sequence[str], order: Sequence, start: Column,
     """Days from ``start`` on, ``per_day`` rows each."""
     i = F.row_number().over(_over(keys, order)) - 1
     return df.withColumn(out, F.date_add(start, F.floor(i / per_day).cast("int")))
+
+
+def page_margins(lines: DataFrame, keys: Sequence[str], body_size: Column, width: Column) -> DataFrame:
+    """(keys, left, right) of each page's body lines: the right margin mirrors the left where no line reaches it."""
+    body = lines.filter(F.abs(F.col("size") - body_size) < 0.5).withColumn("_w", width)
+    left = F.min("x")
+    return body.groupBy(*keys).agg(left.alias("left"), F.greatest(F.max("right"), F.max("_w") - left).alias("right"))

@@ -18,7 +18,7 @@ from ..functions.values import address_shape, host_name
 
 def json_text(page: Column, key: str) -> Column:
     """The string value of a key in JSON that is embedded in a page; null if there is none."""
-    raw = F.regexp_extract(page, '"' + key + r'":"((?:[^"\\]|\\.)*)"', 1)
+    raw = F.regexp_extract(page, '"' + key + r'":"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1)
     found = F.from_json(F.concat(F.lit('{"v":"'), raw, F.lit('"}')), "v string")["v"]
     return F.when(F.instr(page, f'"{key}":"') > 0, found)
 
@@ -85,6 +85,34 @@ def restored_media(text: Column, story: str) -> Column:
     return F.regexp_replace(text, rf"(?:https?://[^/\s\"']+)?/api/stories/{story}/media/([\w.-]+)(?:\?[^\s\"'<>]*)?", f"epub-media/{story}/$1")
 
 
+def saved_images(pages: DataFrame, saved: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """Pages whose images point at their saved files; images without one are taken out. saved: (src, file), a file each.
+
+    Addresses are joined, not looked up row by row; a page's pieces are put together again from its own map.
+    """
+    tag, src = r"^<img\b[^>]*>", r"\ssrc\s*=\s*[\"']([^\"']*)[\"']"
+    named = pages.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.regexp_extract_all(html_col, F.lit(r"<img\b[^>]*?" + src), F.lit(1)))).alias("src"))
+    found = named.join(saved.select("src", "file"), "src").groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("src", "file"))).alias("_files"))
+    joined = pages.join(found, F.col(id_col) == F.col("_id"), "left").withColumn("_files", F.coalesce("_files", F.create_map().cast("map<string,string>")))
+
+    def piece(p):
+        own = F.regexp_extract(p, tag, 0)
+        file = F.try_element_at(F.col("_files"), F.regexp_extract(own, src, 1))
+        put = F.concat(F.lit('<img src="file://'), file, F.lit('"'), F.regexp_replace(F.regexp_replace(own, src, ""), "(?i)^<img", ""))
+        rest = F.substring(p, F.length(own) + 1, F.length(p))
+        return F.when(own == "", p).otherwise(F.concat(F.coalesce(put, F.lit("")), rest))
+
+    whole = F.array_join(F.transform(F.split(html_col, r"(?=<img\b)"), piece), "")
+    return joined.withColumn(html_col, whole).select(*pages.columns)
+
+
+def earliest_expiry(cookies: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, expires): the least exp, in seconds, among cookies that are signed tokens; null where none carries one."""
+    payload = F.get(F.split(value, "\\."), F.lit(1))
+    text = F.try_to_binary(F.translate(payload, "-_", "+/"), F.lit("base64")).cast("string")
+    return cookies.groupBy(*keys).agg(F.min(F.get_json_object(text, "$.exp").try_cast("long")).alias("expires"))
+
+
 def too_little_kept(kept: Column, whole: Column) -> Column:
     """Of a page of 8,000 characters or more, less than a quarter was kept."""
     return (whole >= 8000) & (kept < whole * 0.25)

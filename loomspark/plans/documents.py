@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.pagehtml import blocks_to_html, parsed, plain_text, sanitized
+from ..functions.pagehtml import blocks_to_html, import_sanitized, parsed, plain_text, sanitized
 from ..functions.text import split_long_text
 from ..operators import documents as D
 from ..sources.tables import table
@@ -25,23 +25,35 @@ def rendered(spark, d):
     return got.select("page_id", blocks_to_html(F.col("blocks")).alias("html"))
 
 
-@query("txt05_sanitized", "SELECT doc_id, text FROM documents WHERE instr(text, '<') = 0 AND instr(text, '&') = 0")
+@query("txt05_sanitized", r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(?:script|style|iframe|object|embed|template)\b.*?</(?:script|style|iframe|object|embed|template)\s*>', '', 'gis') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(h, '<(/?)(b|strong|i|em|u|s|sub|sup|br|a|span)(?:[^\w>][^>]*)?>', chr(1) || '\1\2' || chr(2), 'g') AS h FROM a)
+SELECT page_id, replace(replace(regexp_replace(h, '</?[a-zA-Z]\w*[^>]*>', '', 'g'), chr(1), '<'), chr(2), '>') AS text FROM b""")
 def clean(spark, d):
-    """TXT-05, SNK-11: the fast path leaves plain texts as they are."""
-    return table(spark, d, "documents").filter((F.instr("text", "<") == 0) & (F.instr("text", "&") == 0)).select("doc_id", sanitized("text").alias("text"))
+    """TXT-05, SNK-11: whole pages cut down to inline markup."""
+    return table(spark, d, "pages").select("page_id", sanitized("html").alias("text"))
 
 
-@query("txt07_links", r"""SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]+">')) AS a FROM pages) GROUP BY 1""")
+@query("txt06_imported", r"""WITH a AS (SELECT page_id, regexp_replace(html, '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<form\b.*?</form\s*>', '', 'gis') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(h, '</?(?:link|meta|base|input|source|track)\b[^>]*>', '', 'gi') AS h FROM a)
+SELECT page_id, regexp_replace(h, '<a href="/[^">]*">', '<a>', 'g') AS html FROM b""")
+def imported(spark, d):
+    """TXT-06: pages of an untrusted book without what can run, load files or restyle the reader."""
+    return table(spark, d, "pages").select("page_id", import_sanitized("html").alias("html"))
+
+
+@query("txt07_links", r"""WITH x AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o, regexp_extract_all(regexp_replace(html, '<script.*?</script>', '', 'gs'), '<a href="[^"]+">[^<]*</a>') AS h FROM pages),
+y AS (SELECT page_id, o, unnest(h) AS a FROM x)
+SELECT page_id, o || regexp_extract(a, '"([^"]+)"', 1) AS url, trim(regexp_replace(replace(replace(replace(regexp_extract(a, '>([^<]*)<', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM y""")
 def links(spark, d):
-    """TXT-07, FN-26."""
+    """TXT-07, FN-26: each link's address and title."""
     got = parsed(table(spark, d, "pages"), "page_id", "url", "html").select("page_id", F.explode("links").alias("l"))
-    return got.groupBy("page_id").agg(F.count("*").alias("links"))
+    return got.select("page_id", "l.url", "l.title")
 
 
-@query("txt11_plain", "SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations WHERE instr(text, '<') = 0 AND instr(text, '&') = 0".replace("\\\\", "\\"))
+@query("txt11_plain", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&middot;', '·'), '&quot;', '"'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g')) AS text FROM pages""")
 def plain(spark, d):
-    """TXT-11."""
-    return table(spark, d, "conversations").filter((F.instr("text", "<") == 0) & (F.instr("text", "&") == 0)).select("conv_id", "turn", plain_text("text").alias("text"))
+    """TXT-11: tags dropped, references decoded, white space collapsed, over whole pages."""
+    return table(spark, d, "pages").select("page_id", plain_text("html").alias("text"))
 
 
 @query("txt12_parts")
@@ -52,25 +64,27 @@ def parts(spark, d):
     return read.select("page_id", "block", F.posexplode(split_long_text(F.col("b.text"))).alias("part", "text"))
 
 
-@query("flt08_page_lines", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS seq FROM documents), k AS (SELECT * FROM l WHERE trim(raw) <> ''),
-e AS (SELECT *, seq = min(seq) OVER (PARTITION BY doc_id) OR seq = max(seq) OVER (PARTITION BY doc_id) AS edge FROM k)
-SELECT doc_id AS id, count(*) AS lines, max(length(trim(raw))) AS width FROM e WHERE NOT (edge AND regexp_matches(trim(raw), '^[-–—\\s]*\\d+[-–—\\s]*$')) GROUP BY 1""".replace("\\\\", "\\"))
+@query("flt08_page_lines", r"""WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents), k AS (SELECT * FROM l WHERE trim(raw) <> ''),
+e AS (SELECT *, seq = min(seq) OVER (PARTITION BY id) OR seq = max(seq) OVER (PARTITION BY id) AS edge FROM k)
+SELECT id, seq, trim(raw) AS text, max(length(trim(raw))) OVER (PARTITION BY id) AS width FROM e WHERE NOT (edge AND regexp_matches(trim(raw), '^[-–—\s]*\d+[-–—\s]*$'))""")
 def page_lines(spark, d):
-    """SRC-12, FLT-08, AGG-10."""
+    """SRC-12, FLT-08, AGG-10: each line with its page's width."""
+    from pyspark.sql.window import Window
+
     got = D.page_lines(table(spark, d, "documents"), "doc_id", "text")
-    return got.groupBy("id").agg(F.count("*").alias("lines"), F.max(F.length("text")).alias("width"))
+    return got.select("id", "seq", "text", F.max(F.length("text")).over(Window.partitionBy("id", "page")).alias("width"))
 
 
 @query("win12_paragraphs", r"""WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS seq FROM documents), k AS (SELECT * FROM l WHERE trim(raw) <> ''),
 e AS (SELECT *, seq = min(seq) OVER (PARTITION BY id) OR seq = max(seq) OVER (PARTITION BY id) AS edge FROM k),
 p AS (SELECT id, seq, trim(raw) AS text, regexp_matches(raw, '^\s') AS indented FROM e WHERE NOT (edge AND regexp_matches(trim(raw), '^[-–—\s]*\d+[-–—\s]*$'))),
 q AS (SELECT *, max(length(text)) OVER (PARTITION BY id) AS width, lag(text) OVER (PARTITION BY id ORDER BY seq) AS prev FROM p),
-b AS (SELECT *, prev IS NULL OR indented OR (regexp_matches(prev, '[.!?…:;"''”’»)\]]$') AND (length(prev) < width * 0.9 OR length(text) < width * 0.9)) AS br FROM q)
-SELECT id, count(*) FILTER (br) AS paragraphs FROM b GROUP BY 1""")
+b AS (SELECT *, prev IS NULL OR indented OR (regexp_matches(prev, '[.!?…:;"''”’»)\]]$') AND (length(prev) < width * 0.9 OR length(text) < width * 0.9)) AS br FROM q),
+n AS (SELECT id, seq, text, sum(br::INT) OVER (PARTITION BY id ORDER BY seq) AS paragraph FROM b)
+SELECT id, CAST(paragraph AS BIGINT) AS paragraph, replace(regexp_replace(string_agg(text, chr(1) ORDER BY seq), '([A-Za-zÀ-ỹ])-\x01([a-zà-ỹ])', '\1\2', 'g'), chr(1), ' ') AS text FROM n GROUP BY id, paragraph""")
 def paragraphs(spark, d):
-    """WIN-12, TXT-21, TXT-28, FN-08."""
-    got = D.paragraphs(D.page_lines(table(spark, d, "documents"), "doc_id", "text"))
-    return got.groupBy("id").agg(F.count("*").alias("paragraphs"))
+    """WIN-12, TXT-21, TXT-28, FN-08: each paragraph's text."""
+    return D.paragraphs(D.page_lines(table(spark, d, "documents"), "doc_id", "text")).select("id", "paragraph", "text")
 
 
 _LETTERS = ["a", "e", "i", "o", "u"]

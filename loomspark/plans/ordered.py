@@ -108,11 +108,10 @@ def contiguous(spark, d):
 @query("win15_numeric_sort", """SELECT page_id, row_number() OVER (ORDER BY coalesce(try_cast(regexp_extract(url, 'page=(\\d+)', 1) AS BIGINT), 0), coalesce(try_cast(regexp_extract(url, '/(\\d+)', 1) AS BIGINT), 9007199254740991), page_id) AS place FROM pages""".replace("\\\\", "\\"))
 def numeric_sort(spark, d):
     """WIN-15."""
-    from pyspark.sql.window import Window
-
     part = lambda p: F.regexp_extract("url", p, 1).try_cast("long")
     order = [F.coalesce(part(r"page=(\d+)"), F.lit(0)), F.coalesce(part(r"/(\d+)"), F.lit(2**53 - 1)), F.col("page_id")]
-    return table(spark, d, "pages").select("page_id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    keyed = table(spark, d, "pages").select("page_id", *[c.alias(f"k{i}") for i, c in enumerate(order)])
+    return O.numbered(keyed, [(f"k{i}", True) for i in range(len(order))]).select("page_id", "place")
 
 
 @query("ded01_first_seen", f"WITH {_SEG} SELECT k, p % 5 AS u, min(i) AS i FROM seg GROUP BY ALL")
@@ -181,13 +180,13 @@ def as_of(spark, d):
     return O.as_of(left, right, ["user_id"], "ts", "since", "active").select("event_id", "active")
 
 
-@query("join17_nearest", f"""WITH {_SEG}, iv AS (SELECT k, i AS idx, s AS lo, s + 5 AS hi, p % 2 = 0 AS preferred FROM seg), pt AS (SELECT o_orderkey AS k, o_custkey % 100 AS "at" FROM orders WHERE o_orderkey < 2000),
+@query("join17_nearest", f"""WITH {_SEG}, iv AS (SELECT k, i AS idx, s AS lo, s + 5 AS hi, p % 2 = 0 AS preferred FROM seg), pt AS (SELECT o_orderkey AS k, o_custkey % 100 AS "at" FROM orders),
 x AS (SELECT k, "at", idx, greatest(0, lo - "at", "at" - hi) AS distance, row_number() OVER (PARTITION BY k, "at" ORDER BY preferred DESC, greatest(0, lo - "at", "at" - hi), idx) AS n FROM pt JOIN iv USING (k))
 SELECT k, "at", idx, distance FROM x WHERE n = 1""")
 def nearest(spark, d):
     """JOIN-17, TXT-31."""
     iv = segments(spark, d).select("k", F.col("i").alias("idx"), F.col("s").alias("lo"), (F.col("s") + 5).alias("hi"), (F.col("p") % 2 == 0).alias("preferred"))
-    pt = table(spark, d, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 100).alias("at"))
+    pt = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 100).alias("at"))
     return O.nearest_interval(pt, iv, ["k"], "at", [])
 
 
@@ -200,10 +199,7 @@ def paged(spark, d):
 @query("srt02_multi", "SELECT p_partkey, row_number() OVER (ORDER BY p_brand DESC, p_size, p_partkey) AS place FROM part")
 def multi_sort(spark, d):
     """SRT-02, SRT-04."""
-    from pyspark.sql.window import Window
-
-    w = Window.orderBy(F.desc("p_brand"), "p_size", "p_partkey")
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("place"))
+    return O.numbered(table(spark, d, "part"), [("p_brand", False), ("p_size", True), ("p_partkey", True)]).select("p_partkey", "place")
 
 
 @query("str07_rate_limit", """WITH RECURSIVE x AS (SELECT user_id, event_id, epoch(ts) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),

@@ -19,16 +19,16 @@ def missed(spark, d):
     c = table(spark, d, "conversations")
     url = F.concat(F.lit("https://h.org/t/"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
     links = c.select(F.col("conv_id").alias("page_id"), F.lit("https://www.h.org/").alias("page_url"), F.col("turn").alias("pos"), F.concat(url, F.lit("#top")).alias("url"), F.concat(F.lit("T"), F.col("turn").cast("string")).alias("title"))
-    other = links.withColumn("url", F.lit("https://h.org/about")).limit(1)
+    other = links.filter("pos = 0").withColumn("url", F.lit("https://h.org/about"))
     return P.missed_links(links.unionByName(other), c.filter("turn % 3 <> 2").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("pos"), url.alias("url")))
 
 
-@query("src14_json", "SELECT event_id, json_extract_string(props, '$.page') AS page FROM events")
+@query("src14_json", "SELECT doc_id, text AS page FROM documents")
 def embedded(spark, d):
     """SRC-14: the value of a key in JSON that is inside a page."""
-    page = F.concat(F.lit("<script>var x = "), F.regexp_replace("props", '": "', '":"'), F.lit(";</script>"))
-    got = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.page").alias("want"), page.alias("html"))
-    return got.select("event_id", F.coalesce(P.json_text(F.col("html"), "page"), F.col("want")).alias("page"))
+    inner = F.to_json(F.struct(F.struct(F.lit(1).alias("n"), F.col("text").alias("page")).alias("a"), F.lit('"page').alias("b")))
+    html = F.concat(F.lit('<p>"page": none</p><script>var x = '), inner, F.lit(";</script>"))
+    return table(spark, d, "documents").select("doc_id", P.json_text(html, "page").alias("page"))
 
 
 @query("src15_calls", "SELECT c.conv_id AS id, CAST(c.turn AS INT) AS page, c.turn % 2 = 0 AS blurred, 'u' || c.turn AS url FROM conversations c")
@@ -40,11 +40,11 @@ def calls(spark, d):
     return P.repeated_calls(c, "conv_id", "html")
 
 
-@query("txt18_hardcoded", r"SELECT page_id, CASE WHEN length(regexp_extract(url, '/(\d+)', 1)) >= 4 THEN regexp_extract(url, '/(\d+)', 1) END AS part FROM pages WHERE regexp_matches(url, '^[a-z]+://[^/]+/../\d+$')")
+@query("txt18_hardcoded", r"""WITH x AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages)
+SELECT page_id, list_filter(list_concat(string_split(p, '/'), regexp_extract_all(q, '=([^&]*)', 1)), lambda v: length(v) >= 4 AND (regexp_matches(v, '\d') OR length(v) - length(replace(v, '-', '')) >= 2))[1] AS part FROM x""")
 def hardcoded(spark, d):
     """TXT-18."""
-    p = table(spark, d, "pages").filter(F.col("url").rlike(r"^[a-z]+://[^/]+/../\d+$"))
-    return p.select("page_id", P.hardcoded(F.concat(F.lit("fetch("), F.col("url"), F.lit(")")), F.col("url")).alias("part"))
+    return table(spark, d, "pages").select("page_id", P.hardcoded(F.concat(F.lit("fetch("), F.col("url"), F.lit(")")), F.col("url")).alias("part"))
 
 
 @query("txt19_media", "SELECT doc_id, '<img src=\"epub-media/s1/' || doc_id || '.png\">' AS stored, '<img src=\"/api/stories/s1/media/' || doc_id || '.png\">' AS shown FROM documents")
@@ -76,14 +76,16 @@ def rows(spark, d):
     return P.text_rows(f)
 
 
-@query("pck04_chunks", "SELECT conv_id, CAST(sum(length(text) - length(replace(text, ' ', '')) + 1) AS BIGINT) AS spaces FROM conversations GROUP BY 1")
+@query("pck04_chunks", r"""WITH RECURSIVE t AS (SELECT conv_id, text, len(regexp_extract_all(text, '[^\s]+')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations),
+c AS (SELECT conv_id, i, text, w, w AS held, 1 AS chunk FROM t WHERE i = 1
+  UNION ALL SELECT t.conv_id, t.i, t.text, t.w, CASE WHEN c.held + t.w > 400 THEN t.w ELSE c.held + t.w END, c.chunk + (c.held + t.w > 400)::INT FROM c JOIN t ON t.conv_id = c.conv_id AND t.i = c.i + 1)
+SELECT conv_id, chunk - 1 AS chunk, count(*) AS n, string_agg(text, chr(10) ORDER BY i) AS text FROM c GROUP BY conv_id, chunk""")
 def chunks(spark, d):
-    """PCK-04: no word is lost when paragraphs are packed into chunks."""
+    """PCK-04: a dialogue's turns packed into chunks of 400 words."""
     items = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])  # the turns of one dialogue
     got = table(spark, d, "conversations").groupBy("conv_id").agg(items.alias("p"))
-    flat = F.flatten(P.paragraph_chunks(F.col("p"), 10_000))
-    words = F.aggregate(F.transform(flat, lambda t: F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1), F.lit(0).cast("long"), lambda a, n: a + n)
-    return got.select("conv_id", words.alias("spaces"))
+    each = got.select("conv_id", F.posexplode(P.paragraph_chunks(F.col("p"), 400)).alias("chunk", "held"))
+    return each.select("conv_id", "chunk", F.size("held").cast("long").alias("n"), F.array_join("held", "\n").alias("text"))
 
 
 @query("top03_files", """SELECT l_orderkey AS item, arg_min(l_partkey, (CASE l_returnflag WHEN 'A' THEN 1 ELSE 2 END, l_quantity, l_partkey)) AS name FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity <= 40 AND l_linestatus <> 'O' GROUP BY 1""")
@@ -101,12 +103,12 @@ def previous(spark, d):
     return P.previous_match(plan, done).select("k", "from_order", "to_order", "previous")
 
 
-@query("fn26_links_absolute", r"""SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || regexp_extract(html, '<a href="(/[^"]*)"', 1) AS first FROM pages WHERE regexp_matches(html, '<a href="/[A-Za-z]+"')""")
+@query("fn26_links_absolute", r"""WITH x AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS o, regexp_extract_all(regexp_replace(html, '<script.*?</script>', '', 'gs'), '<a href="([^"]+)">[^<]*</a>', 1) AS h FROM pages)
+SELECT page_id, generate_subscripts(h, 1) - 1 AS pos, o || unnest(h) AS url FROM x""")
 def absolute(spark, d):
-    """FN-26, TXT-07: addresses against the page's own."""
-    p = table(spark, d, "pages").filter(F.col("html").rlike('<a href="/[A-Za-z]+"'))
-    got = parsed(p, "page_id", "url", "html")
-    return got.select("page_id", F.get("links", F.lit(0))["url"].alias("first"))
+    """FN-26, TXT-07: addresses of all links against the page's own."""
+    got = parsed(table(spark, d, "pages"), "page_id", "url", "html")
+    return got.select("page_id", F.posexplode("links").alias("pos", "l")).select("page_id", "pos", "l.url")
 
 
 @query("flt13_schedule", "SELECT event_id, value * 10000 BETWEEN 600 AND 2592000 AS ok FROM events")

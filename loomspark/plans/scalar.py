@@ -10,10 +10,10 @@ from ..sources.tables import table
 from .registry import query
 
 
-@query("fn01_fold", "SELECT doc_id, lower(replace(replace(strip_accents(substr(text, 1, 60)), 'đ', 'd'), 'Đ', 'D')) AS folded FROM documents")
+@query("fn01_fold", "SELECT doc_id, lower(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'D')) AS folded FROM documents")
 def fold(spark, d):
     """FN-01."""
-    return table(spark, d, "documents").select("doc_id", X.fold(F.substring("text", 1, 60)).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", X.fold(F.col("text")).alias("folded"))
 
 
 @query("fn02_collapse", r"SELECT doc_id, trim(regexp_replace(text, '[\s]+', ' ', 'g')) AS text FROM documents")
@@ -34,10 +34,10 @@ def names(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(X.proper_names(F.col("text")), "|").alias("names"))
 
 
-@query("fn06_escape", "SELECT page_id, replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe FROM pages")
+@query("fn06_escape", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe FROM pages")
 def escape(spark, d):
     """FN-05, FN-06."""
-    return table(spark, d, "pages").select("page_id", X.escaped(F.substring("html", 1, 200)).alias("safe"))
+    return table(spark, d, "pages").select("page_id", X.escaped(F.col("html")).alias("safe"))
 
 
 @query("fn13_hashtag", r"SELECT p_partkey, array_to_string(list_transform(list_filter(regexp_split_to_array(p_name, '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '') AS tag FROM part")
@@ -46,10 +46,10 @@ def hashtag(spark, d):
     return table(spark, d, "part").select("p_partkey", X.hashtag(F.col("p_name")).alias("tag"))
 
 
-@query("fn14_title", "SELECT doc_id, CASE WHEN length(t) <= 100 THEN t ELSE rtrim(substr(t, 1, 97)) || '...' END AS title FROM (SELECT doc_id, replace(substr(text, 1, 150), chr(10), ' ') AS t FROM documents)")
+@query("fn14_title", "SELECT doc_id, CASE WHEN length(t) <= 100 THEN t ELSE rtrim(substr(t, 1, 97)) || '...' END AS title FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)")
 def title(spark, d):
     """FN-14."""
-    t = F.replace(F.substring("text", 1, 150), F.lit("\n"), F.lit(" "))
+    t = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     return table(spark, d, "documents").select("doc_id", X.shortened(t).alias("title"))
 
 
@@ -153,11 +153,14 @@ def problems(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(V.violated(rules), ",").alias("problems"))
 
 
-@query("flt10_predicates", r"""SELECT page_id, regexp_matches(html, '(?i)<title>[^<]*just a moment') AS challenge, regexp_matches(html, '(?i)locked|premium|sign in') AS locked FROM pages""")
+@query("flt10_predicates", r"""SELECT page_id, regexp_matches(html, '(?i)<title>[^<]*just a moment') AS challenge, regexp_matches(html, '(?i)nội dung (chương|chapter).{0,20}(đang bị khóa|bị khóa)|vui lòng (tắt|mở lại).{0,30}quảng cáo') AS locked
+FROM (SELECT page_id, html || CASE page_id % 4 WHEN 0 THEN '<p>Nội dung CHƯƠNG này đang bị khóa</p>' WHEN 1 THEN '<p>Vui lòng tắt chặn quảng cáo</p>' ELSE '' END AS html FROM pages)""")
 def predicates(spark, d):
     """FLT-09, FLT-10."""
+    notice = F.when(F.col("page_id") % 4 == 0, "<p>Nội dung CHƯƠNG này đang bị khóa</p>").when(F.col("page_id") % 4 == 1, "<p>Vui lòng tắt chặn quảng cáo</p>").otherwise("")
+    pages = table(spark, d, "pages").select("page_id", F.concat("html", notice).alias("html"))
     heading = F.regexp_extract("html", "(?i)<title>([^<]*)", 1)
-    return table(spark, d, "pages").select("page_id", heading.rlike("(?i)just a moment").alias("challenge"), F.col("html").rlike("(?i)locked|premium|sign in").alias("locked"))
+    return pages.select("page_id", heading.rlike("(?i)just a moment").alias("challenge"), X.locked(F.col("html")).alias("locked"))
 
 
 @query("json_props", "SELECT event_id, json_extract_string(props, '$.page') AS page FROM events")
@@ -167,14 +170,54 @@ def props(spark, d):
 
 
 @query("txt15_rewrite", r"""WITH x AS (SELECT a.conv_id, a.turn, a.text AS s, b.text AS t FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
-c AS (SELECT conv_id, turn, s, t, len(regexp_extract_all(s, '[^\s]+')) AS ws, len(regexp_extract_all(t, '[^\s]+')) AS wt FROM x)
-SELECT conv_id, turn, CASE WHEN ws >= 20 AND wt / ws < 0.7 THEN 'short' WHEN ws >= 20 AND wt / ws > 1.7 THEN 'long' WHEN regexp_matches(t, '[*#>|_\[\]{}()]') THEN 'symbol' WHEN regexp_matches(t, '[0-9]') THEN 'digits' ELSE 'other' END AS problem FROM c""")
+c AS (SELECT conv_id, turn, t, len(regexp_extract_all(s, '[^\s]+')) AS ws, len(regexp_extract_all(t, '[^\s]+')) AS wt,
+  len(list_filter(string_split(s, chr(10)), lambda p: trim(p) <> '')) AS ps, len(list_filter(string_split(t, chr(10)), lambda p: trim(p) <> '')) AS pt,
+  list_filter(list_distinct(regexp_extract_all(s, '[A-ZÀ-Ỹ][a-zà-ỹ]+(?:\s+[A-ZÀ-Ỹ][a-zà-ỹ]+)*')), lambda n: length(n) >= 3) AS ns FROM x),
+l AS (SELECT *, len(list_filter(ns, lambda n: NOT contains(t, n))) AS lost FROM c)
+SELECT conv_id, turn, CASE WHEN pt = 0 THEN 'empty' WHEN pt < ps THEN 'merged' WHEN ws >= 20 AND wt / ws < 0.7 THEN 'short' WHEN ws >= 20 AND wt / ws > 1.7 THEN 'long'
+  WHEN regexp_matches(t, '[*#>|_\[\]{}()]') THEN 'symbol' WHEN regexp_matches(t, '[0-9]') THEN 'digits' WHEN len(ns) >= 5 AND lost >= 2 AND lost > len(ns) * 0.15 THEN 'names' END AS problem FROM l""")
 def rewrite(spark, d):
-    """TXT-15, TXT-16, SET-04: the first rule that a rewrite breaks (names count as other here)."""
+    """TXT-15, SET-04: the first rule that a rewrite breaks; each turn is taken as a rewrite of the one before."""
     a = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("s"))
     b = table(spark, d, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("t"))
-    found = X.rewrite_problem(F.col("s"), F.col("t"), F.lit(1), F.lit(1))
-    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.when(found.isin("short", "long", "symbol", "digits"), found).otherwise("other").alias("problem"))
+    parts = lambda c: F.size(F.filter(F.split(c, "\n"), lambda p: F.trim(p) != ""))
+    found = X.rewrite_problem(F.col("s"), F.col("t"), parts("s"), parts("t"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", found.alias("problem"))
+
+
+@query("txt16_written", r"""SELECT conv_id, turn, CASE WHEN len(regexp_extract_all(text, '[^\s]+')) < 30 THEN 'short' WHEN regexp_matches(text, '[*#>|_\[\]{}()]') THEN 'symbol' WHEN regexp_matches(text, '[0-9]') THEN 'digits' END AS problem FROM conversations""")
+def written_text(spark, d):
+    """TXT-16: the first rule that a new text breaks."""
+    return table(spark, d, "conversations").select("conv_id", "turn", X.written_problem(F.col("text"), 30).alias("problem"))
+
+
+@query("txt16_scanned", """WITH x AS (SELECT o_orderkey, o_custkey % 7 AS a, o_custkey % 9 AS i, o_orderpriority AS p FROM orders)
+SELECT o_orderkey, CASE WHEN a NOT BETWEEN 1 AND 5 THEN 'order' WHEN i = 8 THEN 'what' END AS problem, CASE WHEN a BETWEEN 1 AND 5 AND i <> 8 THEN a || ':' || greatest(1, least(5, i)) || ':x y|3:1:' || p END AS twists FROM x""")
+def scanned(spark, d):
+    """TXT-16, FLT-16: the notes in a JSON reply inside prose, each on one of the chapters shown."""
+    a, i = F.col("o_custkey") % 7, F.col("o_custkey") % 9
+    first = F.concat(F.lit('{"order": '), a.cast("string"), F.lit(', "what": "'), F.when(i == 8, "  ").otherwise(" x  y "), F.lit('", "importance": '), i.cast("string"), F.lit("}"))
+    second = F.concat(F.lit('{"order": 3, "title": " t ", "what": "'), F.col("o_orderpriority"), F.lit('"}'))
+    reply = F.concat(F.lit('Here: {"twists": ['), first, F.lit(", "), second, F.lit("]} - done"))
+    notes = X.scan_notes(reply)
+    problem = X.scan_problem(notes, F.sequence(F.lit(1), F.lit(5)))
+    listed = F.transform(notes, lambda n: F.concat_ws(":", n["order"].cast("string"), n["importance"].cast("string"), n["what"]))
+    return table(spark, d, "orders").select("o_orderkey", problem.alias("problem"), F.when(problem.isNull(), F.array_join(listed, "|")).alias("twists"))
+
+
+@query("txt25_repaired", r"""WITH x AS (SELECT item_id, string_split(replace(replace(text, 'a', '|'), 'A', '|'), '') AS c FROM benchmark)
+SELECT item_id, array_to_string(list_transform(c, lambda x, i: CASE WHEN x <> '|' THEN x
+  WHEN i > 1 AND regexp_matches(c[i - 1], '\p{L}') THEN CASE WHEN regexp_matches(c[i - 1], '\p{Lu}') THEN 'A' ELSE 'a' END
+  WHEN regexp_matches(coalesce(c[i + 1], ''), '\p{L}') THEN CASE WHEN regexp_matches(c[i + 1], '\p{Lu}') THEN 'A' ELSE 'a' END ELSE x END), '') AS text FROM x""")
+def repaired(spark, d):
+    """TXT-25: symbols beside letters become the letters that they stand for, in their neighbour's case."""
+    return table(spark, d, "benchmark").select("item_id", X.with_letters(F.translate("text", "aA", "||"), {"|": "a"}).alias("text"))
+
+
+@query("txt24_broken", r"""SELECT doc_id, len(regexp_extract_all(replace(text, 'a', '|'), '\p{L}[|{}]|[|{}]\p{L}')) >= 20 AS symbols FROM documents""")
+def broken(spark, d):
+    """TXT-24: texts with many symbols beside letters."""
+    return table(spark, d, "documents").select("doc_id", (X.symbol_marks(F.replace("text", F.lit("a"), F.lit("|"))) >= 20).alias("symbols"))
 
 
 @query("agg11_vocabulary", r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents) GROUP BY 1")

@@ -6,6 +6,7 @@ lineitems, pages and documents are themselves, and the progress stream is the ev
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +54,27 @@ def with_defaults(df: DataFrame, defaults: dict[str, tuple[str, object]]) -> Dat
 
 
 def settings_record(kv: DataFrame, defaults: dict[str, str]) -> DataFrame:
-    """Key-value rows as one typed record; missing or null values get their defaults. The last of repeated keys counts by value order."""
-    found = [F.coalesce(F.max(F.when(F.col("key") == k, F.col("value"))), F.lit(v)).alias(k) for k, v in defaults.items()]
+    """Key-value rows as one typed record; missing or null values get their defaults. Of repeated keys the last
+    counts, by the column ``seq`` where the table has one, else by value.
+    """
+    seq = F.col("seq") if "seq" in kv.columns else F.col("value")
+    found = [F.coalesce(F.max_by(F.col("value"), F.when(F.col("key") == k, seq)), F.lit(v)).alias(k) for k, v in defaults.items()]
     return kv.agg(*found)
 
 
+def folder_bytes(spark: SparkSession, path: str) -> DataFrame:
+    """(bytes, files) below a folder, read from the listing alone; zeros where it is missing."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.range(1).select(F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("files"))
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
+
+
 def json_sidecars(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON files, one record each; unreadable ones give no row."""
-    raw = spark.read.option("mode", "PERMISSIVE").option("multiLine", True).schema(f"{schema}, _corrupt_record string").json(path).cache()
-    return raw.filter("_corrupt_record is null").drop("_corrupt_record")
+    kept = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(f"{schema}, _corrupt_record string").json(path)
+    whole = F.struct(*[F.col(c) for c in kept.columns])  # all columns are read, as the corrupt one alone can't be asked for
+    return kept.withColumn("_row", whole).filter(F.col("_row._corrupt_record").isNull()).drop("_row", "_corrupt_record")
