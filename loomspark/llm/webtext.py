@@ -4,6 +4,9 @@ A page becomes blocks of text with their place in the document. A linear classif
 label; the difference is its terminal capacity. Smoothness edges join blocks that follow one another and blocks of one
 container (each container is a node of its own, joined to its blocks and to the container around it), so labels change
 where both text and structure do. The minimum cut separates content from the rest.
+
+Names of elements count against what is inside only as far as the page allows it: a container that holds most of the
+page's prose, with next to none outside, is no sidebar whatever it is called.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ _BLOCKS = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 _SPACED = frozenset("br td th hr img input".split())
-_DROPPED = frozenset("head title form button select option label fieldset nav dialog menu".split())
+_DROPPED = frozenset("head title button select option label nav menu".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_BAD_ELEMENTS = frozenset("footer aside search".split())
+_BAD_ELEMENTS = frozenset("footer aside search form fieldset dialog".split())
 _BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement adsense banner banners breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer"
     " gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promotion"
@@ -37,78 +40,152 @@ _BAD_WORDS = frozenset(
     " responses replies discussion alert".split()
 )
 _GOOD_WORDS = frozenset("article articlebody body content entry main post prose story text".split())
-_RAW = r"script|style|noscript|template|textarea|iframe|svg|math|object|video|audio|canvas|xmp|noframes"
+# Raw text up to the end tag (to the end of the page without one), and elements of no text that are passed over where they close.
+_RAW = frozenset("script style textarea xmp".split())
+_PASSED = frozenset("noscript template iframe svg math object video audio canvas noframes".split())
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>|([^<]+|<)",
-    re.S | re.I,
-)
+_STATE = re.compile(r"^(?:no|not|has|with|without|is|are|tag|category|cat|format|type|status)[-_]|[-_](?:open|opened|closed|enabled|disabled|active|inactive|on|off)$")
+_TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _ENDS = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 
 
-class Place(NamedTuple):
-    """An open element: its tag, number, the one around it, and what it says about the text inside."""
+class Container:
+    """An element with text of its own around or below it, the number of the one around it, and what its names say."""
 
-    tag: str
-    number: int
-    around: int
-    good: bool
-    bad: bool
-    dropped: bool
-    article: bool
+    __slots__ = ("around", "article", "bad", "good", "tag")
+
+    def __init__(self, tag: str, around: int, good: bool, bad: bool, article: bool):
+        self.tag, self.around, self.good, self.bad, self.article = tag, around, good, bad, article
 
 
 class Block(NamedTuple):
+    """A run of text: how much of it is linked, its innermost block element, and the number of its container."""
+
     text: str
     linked: int
-    head: bool
-    place: Place
+    tag: str
+    container: int
+
+    @property
+    def head(self) -> bool:
+        return self.tag in _HEADS
+
+    def prose(self) -> int:
+        """Characters that look like running text."""
+        free = len(self.text) - self.linked
+        return free if free * 2 > len(self.text) and (len(self.text) >= 80 or _ENDS.search(self.text)) else 0
+
+
+def _named(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id or role names go with content, and with boilerplate.
+
+    A name counts as a whole and by its words; names of a state ("comments-open", "no-sidebar", "tag-social") say nothing,
+    nor does the header of an entry.
+    """
+    good = bad = False
+    for found in _NAMES.findall(attributes):
+        for name in "".join(found).split():
+            low = name.lower()
+            words = {w.lower() for w in _SPLIT.split(name) if w} | {w for w in re.split(r"[^a-z0-9]+", low) if w}
+            fits = not _GOOD_WORDS.isdisjoint(words)
+            good |= fits
+            if not _STATE.search(low):
+                bad |= not (_BAD_WORDS - {"header"} if fits else _BAD_WORDS).isdisjoint(words)
+    return good and not bad, bad
+
+
+def _tokens(page: str) -> Iterator[tuple[str | None, str, str, str]]:
+    """(text, "", "", "") or (None, "/" of an end tag or "", tag, attributes), in one pass over the page.
+
+    Values in quotes after "=" may hold ">"; where that would leave a tag open to the page's end, it ends at its first
+    ">". What is inside scripts and the like is left out.
+    """
+    at, size = 0, len(page)
+    unclosed: set[str] = set()
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield page[at:], "", "", ""
+            return
+        if lt > at:
+            yield page[at:lt], "", "", ""
+        at = lt
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            if end < 0:
+                return  # a comment without an end holds the rest
+            at = end + 3
+            continue
+        after = page[at + 1 : at + 2]
+        if after in ("!", "?"):
+            end = page.find(">", at)
+            at = end + 1 if end >= 0 else size
+            continue
+        if not (after.isascii() and (after.isalpha() or after == "/")):
+            yield "<", "", "", ""
+            at += 1
+            continue
+        first = page.find(">", at)
+        if first < 0:
+            yield page[at:], "", "", ""  # no tag is closed from here on
+            return
+        m = _TAG.match(page, at) or _TAG.match(page, at, first + 1) or _LOOSE.match(page, at, first + 1)
+        if m is None:
+            at = first + 1  # "</" before anything but a name
+            continue
+        end, tag, attributes = m.group(1), m.group(2).lower(), m.group(3)
+        at = m.end()
+        if not end and (tag in _RAW or tag in _PASSED) and not attributes.endswith("/"):
+            closed = None if tag in unclosed else _CLOSING[tag].search(page, at)
+            if closed is not None:
+                at = closed.end()
+            elif tag in _RAW:
+                return
+            else:
+                unclosed.add(tag)
+            yield " ", "", "", ""
+            continue
+        yield None, end, tag, attributes
 
 
-def _names(attributes: str) -> set[str]:
-    found = set()
-    for a, b, c in _NAMES.findall(attributes):
-        value = a or b or c
-        found.update(w.lower() for w in _SPLIT.split(value) if w)
-        found.update(w for w in re.split(r"[^a-z0-9]+", value.lower()) if w)
-    return found
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][\w:-]*)([^>]*)>")
+_CLOSING = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW | _PASSED}
 
 
-def blocks_of(page: str) -> tuple[list[Block], list[int]]:
-    """The blocks of text of a page in order, and for each container the one around it (itself at the top).
+def blocks_of(page: str) -> tuple[list[Block], list[Container]]:
+    """The blocks of text of a page in order, and its containers; the first is the page.
 
     A <p> ends where another block begins; an end tag that nothing opened is ignored, and one that closes over others
     closes them.
     """
-    top = Place("", 0, 0, False, False, False, False)
-    stack, around, out = [top], [0], []
+    containers, out = [Container("", 0, False, False, False)], []
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, whether its text is dropped
+    opened: dict[str, int] = {}
     words: list[str] = []
     links = linked = 0
-    head = False
 
     def flush():
-        nonlocal words, linked, head
+        nonlocal words, linked
         if words:
             text = " ".join(html.unescape("".join(words)).split())
-            if text and not stack[-1].dropped:
-                out.append(Block(text, linked, head, stack[-1]))
+            if text and not stack[-1][2]:
+                out.append(Block(text, min(linked, len(text)), stack[-1][0], stack[-1][1]))
             words, linked = [], 0
-        head = False
 
-    for raw, end, tag, attributes, text in (m.groups() for m in _TOKEN.finditer(page)):
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
+    for text, end, tag, attributes in _tokens(page):
         if text is not None:
             words.append(text)
             if links and not text.isspace():
                 linked += len(text.strip())
             continue
-        if tag is None:
-            if raw is not None:
-                words.append(" ")
-            continue
-        tag = tag.lower()
         if tag == "a":
             links = 0 if end else 1
             continue
@@ -116,9 +193,9 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
             words.append(" ")
         plain = tag not in _BLOCKS and tag not in _DROPPED
         if end:
-            if not plain and any(p.tag == tag for p in stack):
+            if not plain and opened.get(tag):
                 flush()
-                while stack.pop().tag != tag:
+                while pop() != tag:
                     pass
             continue
         if tag in _VOID:
@@ -127,43 +204,73 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
             continue
         if plain:
             continue
-        hidden = bool(attributes) and _HIDDEN.search(attributes) is not None
         flush()
-        if stack[-1].tag == "p":
-            stack.pop()
-        elif stack[-1].tag == tag and tag in {"li", "dd", "dt", "tr", "option"}:
-            stack.pop()
-        outer = stack[-1]
-        names = _names(attributes) if attributes else ()
-        bad = bool(names) and not _BAD_WORDS.isdisjoint(names) or tag in _BAD_ELEMENTS or tag == "header" and not outer.article
-        good = bool(names) and not _GOOD_WORDS.isdisjoint(names) and not bad
-        article = tag in {"article", "main"}
+        if stack[-1][0] == "p" or stack[-1][0] == tag and tag in {"li", "dd", "dt", "tr", "option"}:
+            pop()
+        _, number, dropped = stack[-1]
+        inside = containers[number].article
+        good, bad = _named(attributes) if attributes else (False, False)
+        bad = bad or tag in _BAD_ELEMENTS or tag == "header" and not inside or bool(attributes) and _HIDDEN.search(attributes) is not None
         leaf = tag in {"p", "li", "dd", "dt", "tr", "pre", "blockquote"} or tag in _HEADS
-        number = outer.number
         if not leaf or bad:
-            number = len(around)
-            around.append(outer.number)
-        stack.append(Place(tag, number, outer.number, outer.good or good, (outer.bad and not (article and tag == "article" and not outer.article)) or bad, outer.dropped or hidden or tag in _DROPPED, outer.article or article))
-        head = tag in _HEADS
+            containers.append(Container(tag, number, good and not bad or containers[number].good, bad, inside or tag in {"article", "main"}))
+            number = len(containers) - 1
+        stack.append((tag, number, dropped or tag in _DROPPED))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
-    return out, around
+    return out, containers
 
 
-def content_margin(block: Block, some_article: bool) -> float:
+def boilerplate(blocks: list[Block], containers: list[Container]) -> list[bool]:
+    """For each container whether it, or one around it, is named as boilerplate and may be.
+
+    The page's <html> and <body> never are. Nor is a container with at least half of the page's prose while what no
+    named container holds is little (under 140 characters or a quarter of its own) and no article is among that.
+    """
+    own, total = [0] * len(containers), 0
+    for b in blocks:
+        own[b.container] += b.prose()
+    below = list(own)
+    for c in range(len(containers) - 1, 0, -1):
+        below[containers[c].around] += below[c]
+    total = below[0]
+    named = [c.bad and c.tag not in ("html", "body") for c in containers]
+
+    def inherited() -> list[bool]:
+        out = [named[0]]
+        for c in range(1, len(containers)):
+            out.append(named[c] or out[containers[c].around])
+        return out
+
+    for c in sorted((c for c in range(len(containers)) if named[c] and below[c] * 2 >= total > 0), key=lambda c: (-below[c], c)):
+        bad = inherited()
+        if bad[containers[c].around]:
+            continue  # decided by the one around it
+        clean = sum(n for n, out in zip(own, bad, strict=True) if not out)
+        articles = sum(n for k, n in enumerate(own) if not bad[k] and containers[k].article)
+        whole = containers[c].tag in ("article", "main")
+        if whole or articles < 140 and clean < max(140, below[c] / 4):
+            named[c] = False
+    return inherited()
+
+
+def content_margin(block: Block, container: Container, bad: bool, some_article: bool) -> float:
     """The classifier: cost of calling the block boilerplate less the cost of calling it content."""
     n = len(block.text)
-    margin = -1.0 + min(n, 300) / 100 - 4.0 * min(1.0, block.linked / n)
+    margin = -1.0 + min(n, 300) / 100 - 4.0 * block.linked / n
     if _ENDS.search(block.text):
         margin += 0.8
+    if block.tag == "p" and block.linked * 2 < n:
+        margin += 0.5
     if block.head:
         margin += 1.0
-    if block.place.article:
-        margin += 4.0
+    if container.article:
+        margin += 4.0 if some_article else 1.0
     elif some_article:
         margin -= 4.0
-    if block.place.good:
+    if container.good:
         margin += 2.0
-    if block.place.bad:
+    if bad:
         margin -= 12.0
     if block.text.startswith(("©", "Copyright")):
         margin -= 4.0
@@ -179,7 +286,7 @@ def minimum_cut(margins: list[int], edges: dict[tuple[int, int], int]) -> list[b
 
     margins: a node's capacity from the source (positive) or to the sink (negative); edges: undirected capacities.
     A node whose margin is at least all its edges together keeps its own side, and its edges become margins of its
-    neighbours. That settles most of a page; what is left is solved by augmenting paths.
+    neighbours. That settles most of a page; what is left is solved by blocking flows in layers (Dinic).
     """
     n = len(margins)
     near: list[dict[int, int]] = [{} for _ in range(n)]
@@ -199,56 +306,77 @@ def minimum_cut(margins: list[int], edges: dict[tuple[int, int], int]) -> list[b
                 todo.append(j)
             near[i] = {}
     left = [i for i in range(n) if side[i] is None]
-    room = {i: dict(near[i]) for i in left}
-    for start in [i for i in left if margin[i] > 0]:
-        while margin[start] > 0:
-            came, queue, goal = {start: start}, deque([start]), None
-            while queue and goal is None:
-                i = queue.popleft()
-                for j, w in room[i].items():
-                    if w > 0 and j not in came:
-                        came[j] = i
-                        if margin[j] < 0:
-                            goal = j
-                            break
-                        queue.append(j)
-            if goal is None:
-                break
-            path, j = [], goal
-            while j != start:
-                path.append((came[j], j))
-                j = came[j]
-            flow = min(margin[start], -margin[goal], *(room[a][b] for a, b in path))
-            for a, b in path:
-                room[a][b] -= flow
-                room[b][a] += flow
-            margin[start] -= flow
-            margin[goal] += flow
-    seen = {i for i in left if margin[i] > 0}
+    inner = _source_side({i: margin[i] for i in left}, {i: near[i] for i in left})
+    return [side[i] if side[i] is not None else i in inner for i in range(n)]
+
+
+def _source_side(margin: dict[int, int], room: dict[int, dict[int, int]]) -> set[int]:
+    """The nodes on the source's side of a minimum cut: blocking flows, one for each layering by distance to a sink.
+
+    The number of layerings is at most that of the nodes, and each takes time in proportion to edges times nodes at worst.
+    """
+    while True:
+        depth = {i: 0 for i in margin if margin[i] < 0}
+        queue = deque(depth)
+        while queue:
+            j = queue.popleft()
+            for i in room[j]:
+                if i not in depth and room[i][j] > 0:
+                    depth[i] = depth[j] + 1
+                    queue.append(i)
+        starts = [i for i in margin if margin[i] > 0 and i in depth]
+        if not starts:
+            break
+        order, at = {i: list(room[i]) for i in depth}, dict.fromkeys(depth, 0)
+        for start in starts:
+            path = [start]
+            while path and margin[start] > 0:
+                i = path[-1]
+                if margin[i] < 0:
+                    flow = min(margin[start], -margin[i], *(room[a][b] for a, b in zip(path, path[1:])))
+                    for a, b in zip(path, path[1:]):
+                        room[a][b] -= flow
+                        room[b][a] += flow
+                    margin[start] -= flow
+                    margin[i] += flow
+                    path = [start]
+                    continue
+                while at[i] < len(order[i]) and not (room[i][order[i][at[i]]] > 0 and depth.get(order[i][at[i]], -1) == depth[i] - 1):
+                    at[i] += 1
+                if at[i] < len(order[i]):
+                    path.append(order[i][at[i]])
+                else:
+                    path.pop()
+                    if path:
+                        at[path[-1]] += 1
+    seen = {i for i in margin if margin[i] > 0}
     queue = deque(seen)
     while queue:
         for j, w in room[queue.popleft()].items():
             if w > 0 and j not in seen:
                 seen.add(j)
                 queue.append(j)
-    return [side[i] if side[i] is not None else i in seen for i in range(n)]
+    return seen
 
 
 def main_text(page: str | None) -> list[str]:
     """The blocks of a page's main text, in order."""
-    blocks, around = blocks_of(page or "")
+    blocks, containers = blocks_of(page or "")
     if not blocks:
         return []
-    some = any(b.place.article for b in blocks)
+    bad = boilerplate(blocks, containers)
+    prose = [0 if bad[b.container] else b.prose() for b in blocks]
+    inside = sum(p for p, b in zip(prose, blocks, strict=True) if containers[b.container].article)
+    some = 4 * inside > sum(prose) or not any(prose) and any(containers[b.container].article for b in blocks)
     n = len(blocks)
-    margins = [round(1000 * content_margin(b, some)) for b in blocks] + [0] * len(around)
+    margins = [round(1000 * content_margin(b, containers[b.container], bad[b.container], some)) for b in blocks] + [0] * len(containers)
     edges: dict[tuple[int, int], int] = {}
     for i, b in enumerate(blocks):
-        edges[i, n + b.place.number] = INSIDE
+        edges[i, n + b.container] = INSIDE
         if i:
             edges[i - 1, i] = NEXT
-    for c in range(1, len(around)):
-        edges[n + c, n + around[c]] = OUTER
+    for c in range(1, len(containers)):
+        edges[n + c, n + containers[c].around] = OUTER
     kept = minimum_cut(margins, edges)
     return [b.text for b, k in zip(blocks, kept[:n], strict=True) if k]
 
