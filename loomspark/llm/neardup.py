@@ -4,10 +4,12 @@
    are one class from here on, so copies cost nothing further.
 2. Trees: at a node, the path so far draws which of the 64 coordinates to branch on (1/threshold of them on average,
    at least one); classes that share the token at a drawn coordinate meet in a child. Independent trees raise recall.
+   From the third level on a node draws 1.2/threshold, so that a pair at the threshold is not lost in deep trees: by the
+   branching process's fixed point, ten trees of any depth lose it with a chance of 0.0003 at 0.85 and 0.0007 at 0.8.
 3. A first pass compares each class with one leader of its nodes and joins what passes, so that the bulk of a large
    group of near copies becomes one component in a number of comparisons that is linear in the group.
-4. A node whose members are in one component is done. A node with few members outside its main component is small: the
-   few are compared with all of it. Other nodes are branched again, until none is left; nothing is capped. Rows whose
+4. A node whose members are in one component is done. A node with few members outside its main component, and few shingles
+   in those, is small: the few are compared with all of it. Other nodes are branched again, until none is left; nothing is capped. Rows whose
    tokens rule the threshold out against all of the few (four standard deviations) go no further.
 5. Links are confirmed on the full shingle sets, made again from the whole texts. Only links that join components are
    kept, so no group's pairs are written out.
@@ -53,30 +55,31 @@ def _sketches(n: int, schema: pa.Schema):
             flat = np.concatenate([np.zeros(0, np.int32), *[r for r in rows if r is not None]])
             ends = np.cumsum([0] + [TOKENS * (r is not None) for r in rows]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), tokens.cast(schema.field(4).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), tokens.cast(schema.field(5).type)], schema=schema)
 
     return run
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, one, two, tokens) of every row of ``docs`` (id, text); without words, an empty list of them."""
+    """(id, mark, n_shingles, one, two, tokens) of every row of ``docs`` (id, text); without words, an empty list of them."""
     kind = docs.schema["id"].dataType
-    out = T.StructType([T.StructField("id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("one", T.LongType()), T.StructField("two", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+    out = T.StructType([T.StructField("id", kind), T.StructField("mark", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("one", T.LongType()), T.StructField("two", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return docs.select("id", "text").mapInArrow(_sketches(n, to_arrow_schema(out)), out)
+    return docs.select("id", "text", F.xxhash64("text").alias("mark")).mapInArrow(_sketches(n, to_arrow_schema(out)), out)
 
 
-def _drawn(node, threshold: float):
-    """The coordinates that a node branches on: always one, and a second with the chance that makes 1/threshold."""
+def _drawn(node, threshold: float, level: int):
+    """The coordinates that a node branches on: one, a second with the chance that makes 1/threshold, 1.2/threshold from level 2 on."""
     pick = lambda k: F.pmod(F.xxhash64(node, F.lit(k)), F.lit(TOKENS)).cast("int")
-    more = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(1 << 20)) < int((1 / threshold - 1) * (1 << 20))
+    mean = (1.2 if level >= 2 else 1.0) / threshold
+    more = F.pmod(F.xxhash64(node, F.lit(3)), F.lit(1 << 20)) < int((mean - 1) * (1 << 20))
     return F.when(more, F.array_distinct(F.array(pick(1), pick(2)))).otherwise(F.array(pick(1)))
 
 
-def _children(rows: DataFrame, threshold: float) -> DataFrame:
+def _children(rows: DataFrame, threshold: float, level: int = 0) -> DataFrame:
     """(node, rep) of the next level, from (node, rep, tokens)."""
-    deeper = rows.withColumn("at", F.explode(_drawn(F.col("node"), threshold)))
+    deeper = rows.withColumn("at", F.explode(_drawn(F.col("node"), threshold, level)))
     return deeper.select(F.xxhash64("node", "at", F.element_at("tokens", F.col("at") + 1)).alias("node"), "rep")
 
 
@@ -239,35 +242,43 @@ def _confirm(n: int, num: int, den: int):
 
 #: Rows of a node that are compared with its few in one task.
 _TOGETHER = 4096
-#: So many ids (8 MB) are broadcast to fetch their texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: So many rows of a few numbers (some 30 MB) are broadcast to be joined; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Shingles of a node's few at most, if they are more than a handful, so that their sets and index fit a task.
+_SHINGLES, _HANDFUL = 1 << 22, 8
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents with these ids, once each."""
-    ids = written(ids.distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    return docs.select("id", "text").join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
+def _beside(small: DataFrame, label: str, made: list[DataFrame]) -> DataFrame:
+    """``small`` as a table, marked for broadcast where its rows are few, so that a hot key's rows stay where they are."""
+    table = written(small, label)
+    made.append(table)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int, together: int = 64) -> DataFrame:
-    """The pairs (a, b) of ids with ``den`` * intersection >= ``num`` * union of their texts' shingle sets.
+def _texts(docs: DataFrame, homes: DataFrame, reps: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """(rep, text) of these classes, from the one row (id, mark of the text) that each is at home in."""
+    wanted = _beside(homes.join(reps.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("id").alias("_id"), "mark"), "wanted", made)
+    met = docs.join(wanted, (F.col("id") == F.col("_id")) & (F.xxhash64("text") == F.col("mark")))
+    return met.select("rep", "text").dropDuplicates(["rep"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, homes: DataFrame, n: int, num: int, den: int, made: list[DataFrame], together: int = 64) -> DataFrame:
+    """The pairs (a, b) of classes with ``den`` * intersection >= ``num`` * union of their texts' shingle sets.
 
     A text that is in many pairs is sent once for every ``together`` of them.
     """
     pairs = written(pairs.distinct(), "pairs")
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / together).cast("int").alias("salts"))
     dealt = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    rows = dealt.select("a", "salt", F.lit(True).alias("member"), F.col("b").alias("id")).unionByName(
-        dealt.select("a", "salt").distinct().select("a", "salt", F.lit(False).alias("member"), F.col("a").alias("id"))
+    rows = dealt.select("a", "salt", F.lit(True).alias("member"), F.col("b").alias("rep")).unionByName(
+        dealt.select("a", "salt").distinct().select("a", "salt", F.lit(False).alias("member"), F.col("a").alias("rep"))
     )
-    texts = _texts(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
-    full = rows.join(texts, "id").select("a", "salt", "member", F.col("id").alias("b"), "text")
+    texts = _texts(docs, homes, rows, made)
+    full = rows.join(texts, "rep").select("a", "salt", "member", F.col("rep").alias("b"), "text")
     dealt_out = full.repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
-    kind = docs.schema["id"].dataType
-    out = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    found = written(dealt_out.mapInArrow(_confirm(n, num, den), out), "confirmed")
+    found = written(dealt_out.mapInArrow(_confirm(n, num, den), "a long, b long"), "confirmed")
     dropped(pairs)
+    made.append(found)
     return found
 
 
@@ -278,7 +289,7 @@ def near_duplicates(
     n: int = 5,
     num: int = 80,
     den: int = 100,
-    trees: int = 8,
+    trees: int = 10,
     few: int = 2048,
 ) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of ``docs``.
@@ -286,68 +297,79 @@ def near_duplicates(
     Words: runs of other than space and tab to carriage return, A-Z lower-cased. A set: distinct shingles of ``n``
     words, or the whole sequence of a shorter text. Two texts are linked when ``den`` * intersection >= ``num`` * union;
     component_id is the least id that links reach, kept is true on the rows with that id. A text that is null or without
-    words has an empty set and is linked with nothing. Rows with equal ids are one document to the links (the texts of
-    all of them count). Null ids are never linked; they get a null component and are kept. Other columns are not read.
-    A link is missed with a chance below 0.001 at the threshold and less above it (``trees`` trees); a group with
-    several links between its parts is missed far more rarely. ``few``: a node is compared exhaustively when so
-    many of its members at most are in other components than most of them are.
+    words has an empty set and is linked with nothing. Rows with equal ids are one document to the links: each of their
+    texts is compared, and all that any of them reaches is one component. Null ids are never linked; they get a null
+    component and are kept. Other columns are not read. A link is missed with a chance below 0.001 at the threshold and
+    less above it (``trees`` trees), however deep they go; a group with several links between its parts is missed far
+    more rarely. ``few``: a node is compared exhaustively when so many of its members at most are in other components
+    than most of them are. Classes of equal sets are told apart by 64 of their 128 bits.
     """
     threshold = num / den
     least = threshold - 4 * math.sqrt(threshold * (1 - threshold) / TOKENS)
+    made: list[DataFrame] = []
+
+    def table(df: DataFrame, label: str) -> DataFrame:
+        made.append(written(df, label))
+        return made[-1]
+
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     every = written(sketches(source, n), "sketches")
-    classes = every.filter("n_shingles > 0 and id is not null").groupBy("one", "two").agg(F.min(F.struct("id", "tokens")).alias("least"))
-    classes = written(classes.select("one", "two", F.col("least.id").alias("rep"), "least.tokens"), "classes")
-    base = classes.select("rep", "tokens")
+    named = every.filter("n_shingles > 0 and id is not null").withColumn("rep", F.xxhash64("one", "two"))
+    classes = table(named.groupBy("rep").agg(F.min(F.struct("id", "mark", "tokens", "n_shingles")).alias("least")).select("rep", "least.*"), "classes")
+    homes, base = classes.select("rep", "id", "mark"), classes.select("rep", "tokens")
 
     root = base.withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees)])))
-    rows = written(_children(root, threshold), "nodes")
+    rows = table(_children(root, threshold), "nodes")
 
     # a leader for each node: the member whose nodes are the largest, as the middle of a group has most of its tokens
-    counts = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = written(rows.join(counts, "node"), "shared")
+    counts = _beside(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "counts", made)
+    shared = table(rows.join(counts, "node"), "shared")
     weight = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
     heads = shared.join(weight, "rep").groupBy("node").agg(F.max(F.struct("weight", "rep")).alias("head")).select("node", F.col("head.rep").alias("leader"))
-    met = shared.join(heads, "node").filter("rep != leader").select("rep", "leader").distinct()
+    met = shared.join(_beside(heads, "heads", made), "node").filter("rep != leader").select("rep", "leader").distinct()
     met = met.join(base, "rep").join(base.select(F.col("rep").alias("leader"), F.col("tokens").alias("theirs")), "leader")
     like = F.size(F.filter(F.zip_with("tokens", "theirs", lambda x, y: x == y), lambda x: x))
     met = met.withColumn("like", like).filter(F.col("like") >= least * TOKENS)
     best = met.groupBy("rep").agg(F.max(F.struct("like", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("rep").alias("b"))
-    links = confirmed(best, source, n, num, den)
-    known = written(components(links), "known").select(F.col("id").alias("rep"), "component")
+    links = confirmed(best, source, homes, n, num, den, made)
+    firsts = named.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("id", "a")
+    same = table(named.join(firsts, "id").filter("rep > a").select("a", F.col("rep").alias("b")).distinct(), "same")  # texts of one id
+    links = links.unionByName(same)
+    known = table(components(links), "known").select(F.col("id").alias("rep"), "component")
 
     # what is left: nodes with more than one component
-    level, ready = shared.select("node", "rep"), None
+    level, ready, depth = shared.select("node", "rep"), None, 1
     while True:
-        marked = level.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        parts = marked.groupBy("node", "component").agg(F.count("*").alias("n"))
-        nodes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts"))
-        nodes = nodes.filter("parts > 1").select("node", "size", F.col("most.component").alias("main"), (F.col("size") - F.col("most.n")).alias("others"))
-        opened = written(marked.join(nodes, "node"), "open")
-        narrow = opened.filter(F.col("others") <= few).withColumn("rest", F.col("component") == F.col("main"))
+        marked = level.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(classes.select("rep", "n_shingles"), "rep")
+        parts = marked.groupBy("node", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
+        nodes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.sum("shingles").alias("shingles"), F.max(F.struct("n", "component", "shingles")).alias("most"), F.count("*").alias("parts"))
+        nodes = nodes.filter("parts > 1").select("node", "size", F.col("most.component").alias("main"), (F.col("size") - F.col("most.n")).alias("others"), (F.col("shingles") - F.col("most.shingles")).alias("shingles"))
+        opened = table(marked.drop("n_shingles").join(_beside(nodes, "nodes", made), "node"), "open")
+        small = (F.col("others") <= few) & ((F.col("shingles") <= _SHINGLES) | (F.col("others") <= _HANDFUL))
+        narrow = opened.filter(small).withColumn("rest", F.col("component") == F.col("main"))
         salts = F.ceil(F.col("size") / _TOGETHER).cast("int")
         salt = F.when(F.col("rest"), F.array(F.pmod(F.xxhash64("rep"), salts).cast("int"))).otherwise(F.sequence(F.lit(0), salts - 1))
         narrow = narrow.select("node", F.explode(salt).alias("salt"), "rest", "rep", "component")
         ready = narrow if ready is None else ready.unionByName(narrow)
-        wide = opened.filter(F.col("others") > few)
+        wide = opened.filter(~small)
         if wide.isEmpty():
             break
-        level = written(_children(wide.join(base, "rep"), threshold), "nodes")
-        size = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        level = level.join(size, "node").select("node", "rep")
-    kind = docs.schema[id_col].dataType.simpleString()
-    row = f"node long, salt int, rest boolean, rep {kind}, component {kind}"
+        level = table(_children(wide.join(base, "rep"), threshold, depth), "nodes")
+        size = _beside(level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "counts", made)
+        level, depth = level.join(size, "node").select("node", "rep"), depth + 1
+    row = "node long, salt int, rest boolean, rep long, component long"
     sorted_ = lambda df: df.repartition("node", "salt").sortWithinPartitions("node", "salt", "rest")
     seen = ready.join(base, "rep").select("node", "salt", "rest", "rep", "component", "tokens")
-    hopeful = written(sorted_(seen).mapInArrow(_promising(least), row), "hopeful")
-    texts = _texts(source, hopeful.select(F.col("rep").alias("id"))).select(F.col("id").alias("rep"), "text")
-    full = hopeful.join(texts, "rep").select("node", "salt", "rest", "rep", "component", "text")
-    more = sorted_(full).mapInArrow(_linked(n, num, den), f"a {kind}, b {kind}")
-    last = components(links.unionByName(more))
-
-    reps = classes.select("one", "two", "rep").join(last.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    reps = reps.select("one", "two", F.coalesce("component", "rep").alias("component_id"))
-    whole = every.select("id", "n_shingles", "one", "two").join(reps, ["one", "two"], "left")
+    hopeful = table(sorted_(seen).mapInArrow(_promising(least), row), "hopeful")
+    full = hopeful.join(_texts(source, homes, hopeful, made), "rep").select("node", "salt", "rest", "rep", "component", "text")
+    more = sorted_(full).mapInArrow(_linked(n, num, den), "a long, b long")
+    last = components(links.unionByName(more)).select(F.col("id").alias("rep"), "component")
+
+    reached = classes.select("rep", "id").join(last, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    leasts = reached.groupBy("component").agg(F.min("id").alias("component_id"))
+    reps = written(reached.join(leasts, "component").select("rep", "component_id"), "reps")
+    dropped(*made)
+    whole = every.select("id", "n_shingles", F.xxhash64("one", "two").alias("rep")).join(reps, "rep", "left")
     whole = whole.withColumn("component_id", F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("id")))
     return whole.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -176,6 +176,29 @@ def test_near_duplicates_are_those_of_brute_force(spark, n, num):
     assert all(r["n_shingles"] == len(shingles(texts[r["doc_id"]], n)) and r["kept"] == (r["component_id"] == r["doc_id"]) for r in got)
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_near_duplicates_compare_every_text_of_an_id(spark, parts):
+    rng = random.Random(9)
+    a, b, c = words(rng, 100), words(rng, 100), words(rng, 100)
+    rows = [(5, a), (5, b), (9, a + " x"), (10, b + " y"), (11, c), (12, c + " z"), (12, "something else with five words"), (5, a)]
+    got = neardup.near_duplicates(docs(spark, [(i, t, None) for i, t in rows]).repartition(parts), n=3, num=85, den=100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {5: 5, 9: 5, 10: 5, 11: 11, 12: 11} == brute_components(rows, 3, 85, 100)
+    assert len(got) == len(rows)
+
+
+def test_near_duplicates_inside_a_large_group_below_the_threshold(spark):
+    rng = random.Random(11)
+    base = words(rng, 150, 10**6)
+    loose = [(i, edited(rng, base, 12)) for i in range(240)]  # alike by about a half
+    tight = [(1000 + i, edited(rng, loose[i][1], 2)) for i in range(60)]
+    want = brute_components(loose + tight, 3, 85, 100)
+    got = neardup.near_duplicates(docs(spark, [(i, t, None) for i, t in loose + tight]), n=3, num=85, den=100, few=20).collect()
+    linked = {i for i, c in want.items() if c != i}
+    found = {r["doc_id"]: r["component_id"] for r in got}
+    assert len(linked) >= 40 and all(found[i] in (want[i], i) for i in want)
+    assert sum(found[i] == want[i] for i in linked) >= 0.97 * len(linked)
+
+
 def test_near_duplicates_of_nulls_and_nothing(spark):
     rows = neardup.near_duplicates(docs(spark, [(None, "a b c d e f", None), (None, "a b c d e f", None), (5, "a b c d e f", None), (5, "a b c d e f", None)])).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in rows) == [(0, 0, True), (0, 0, True), (5, 5, True), (5, 5, True)]
