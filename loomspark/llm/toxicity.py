@@ -1,127 +1,94 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are beginnings of words (4 to 8 letters), chosen from the labelled examples by how strongly they go with the
-label, and one more term stands for all other words. Each example is a unit vector of (1 + ln tf) * idf, where that one
-has a fixed weight, so that a text with one such word is apart from a text that is full of them. A text's neighbours are the examples with the largest
-cosine, found exactly: an index keeps, for blocks of 64 examples, each term's largest weight, so the blocks can be
-visited by falling upper bound and the search ends when no block left can change the result. Neighbours vote with the
-square of their cosine; votes are mapped to frequencies that leave-one-out votes of the examples had (isotonic).
+Every word of a text is a term, with weight (1 + ln tf) * idf; terms that go with the label in the examples (by their
+log-likelihood ratio) weigh more, by as much as they are purer than chance. A text's neighbours are the examples with the
+largest cosine, found exactly: the index keeps, for blocks of 64 examples, each term's largest weight, so a text's upper
+bound for every block comes first, then the scores of the most promising blocks, then those of just the blocks whose bound
+reaches the worst neighbour so far. Neighbours vote with the square of their cosine; votes are mapped to frequencies
+that leave-one-out votes of the examples had (isotonic).
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-import re
-from collections import Counter
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .tables import dropped, read, written
+from .textcodes import each_text
 
-SHORTEST, LONGEST, BLOCK = 4, 8, 64
-#: Weight of the term that stands for all other words.
-REST = 4.0
-_WORD = re.compile(r"[^\W\d_]+")
+BLOCK = 64
+#: Blocks that are scored before bounds decide about the others.
+FIRST = 4
 
 
-def _beginnings(text: str) -> set[str]:
-    return {w[:n] for w in set(_WORD.findall(text.lower())) for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
-
-
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, toxic texts, texts) of the batch's distinct texts; a row for each term."""
-    for batch in batches:
-        hits, every = Counter(), Counter()
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = _beginnings(text or "")
-            every.update(found)
-            if label:
-                hits.update(found)
-        yield pa.RecordBatch.from_pydict({"term": list(every), "hits": [hits[t] for t in every], "n": list(every.values())}, schema=pa.schema([("term", pa.string()), ("hits", pa.int64()), ("n", pa.int64())]))
-
-
-class Finder:
-    """Counts, in a text, the words that begin with each of the terms."""
-
-    def __init__(self, terms: list[str]):
-        self.machine = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
-            self.machine.add_word(t, (i, len(t)))
-        if terms:
-            self.machine.make_automaton()
-        self.any = bool(terms)
-
-    def __call__(self, text: str | None) -> dict[int, int]:
-        found: dict[int, int] = {}
-        if text and self.any:
-            low = text.lower()
-            for end, (i, n) in self.machine.iter(low):
-                before = end - n
-                if before < 0 or not low[before].isalpha():
-                    found[i] = found.get(i, 0) + 1
-        return found
+def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after another."""
+    n = stop - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class Index:
-    """Block-max inverted index over the examples' unit vectors."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        self.size = len(vectors)
-        blocks = -(-self.size // BLOCK)
-        self.posts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.tops: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for e, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[t].append((e, w))
-        for posts in lists:
-            ids = np.array([e for e, _ in posts], dtype=np.int64)
-            weights = np.array([w for _, w in posts], dtype=np.float64)
-            at, first = np.unique(ids // BLOCK, return_index=True)
-            tops = np.maximum.reduceat(weights, first) if len(ids) else weights
-            self.posts.append((ids, weights))
-            self.tops.append((at, tops, np.append(first, len(ids))))
-        self.blocks = blocks
-
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the k nearest examples with a positive cosine; ties to the smaller id."""
-        bound = np.zeros(self.blocks)
-        for t, w in query.items():
-            at, tops, _ = self.tops[t]
-            bound[at] += w * tops
-        order = np.argsort(-bound, kind="stable")
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        for block in order:
-            # a margin for rounding, so that a bound never falls below a sum of the same terms
-            if bound[block] <= 0 or len(ids) == k and bound[block] < scores[-1] - 1e-9:
-                break
-            here = np.zeros(BLOCK)
-            for t, w in query.items():
-                at, _, first = self.tops[t]
-                j = int(np.searchsorted(at, block))
-                if j < len(at) and at[j] == block:
-                    own, weights = self.posts[t]
-                    here[own[first[j] : first[j + 1]] - block * BLOCK] += w * weights[first[j] : first[j + 1]]
-            if skip // BLOCK == block and skip >= 0:
-                here[skip - block * BLOCK] = 0
-            new = np.flatnonzero(here > 0)
-            ids = np.concatenate([ids, new + block * BLOCK])
-            scores = np.concatenate([scores, here[new]])
-            best = np.lexsort((ids, -np.round(scores, 12)))[:k]
-            ids, scores = ids[best], scores[best]
-        return ids, scores
+    """Block-max inverted index over examples' vectors, given as (example, term, weight) triples."""
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, n_terms: int):
+        order = np.lexsort((example, term))
+        self.example, self.weight, term = example[order].astype(np.int32), weight[order], term[order]
+        self.size, self.blocks = size, -(-size // BLOCK)
+        block = self.example // BLOCK
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        #: Of each (term, block): the block, the largest weight, and where its postings begin.
+        self.block, self.start = block[first], np.append(first, len(term))
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.of_term = np.searchsorted(term[first], np.arange(n_terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and inner products of the k nearest examples with a positive one; ties to the smaller number."""
+        low, high = self.of_term[terms], self.of_term[terms + 1]
+        cells, own = _ranges(low, high), np.repeat(weights, high - low)
+        block = self.block[cells]
+        bound = np.bincount(block, weights=own * self.top[cells], minlength=self.blocks)
+        scores = np.zeros(self.size)
+
+        def add(chosen: np.ndarray) -> None:
+            nonlocal scores
+            use = chosen[block]
+            a, b = self.start[cells[use]], self.start[cells[use] + 1]
+            at = _ranges(a, b)
+            scores += np.bincount(self.example[at], weights=np.repeat(own[use], b - a) * self.weight[at], minlength=self.size)
+            if skip >= 0:
+                scores[skip] = 0
+
+        if not len(cells):
+            return np.zeros(0, np.int64), scores[:0]
+        chosen = bound >= (np.partition(bound, -FIRST)[-FIRST] if self.blocks > FIRST else 0)
+        chosen &= bound > 0
+        add(chosen)
+        # a margin for rounding, so that a bound never falls below a sum of the same terms
+        worst = np.partition(scores, -k)[-k] - 1e-9 if self.size >= k else 0.0
+        rest = ~chosen & (bound > 0) & (bound >= worst)
+        if rest.any():
+            add(rest)
+        found = np.flatnonzero(scores > 0)
+        if len(found) > k:
+            found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-9]
+        best = found[np.lexsort((found, -np.round(scores[found], 12)))[:k]]
+        return best, scores[best]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing step fit of y on x (pool adjacent violators), each mean drawn a little to 1/2."""
-    order = np.argsort(x, kind="stable")
+    x = np.round(x, 9)
+    order = np.lexsort((-y, x))  # equal x share a mean, in whatever order they come
     pools: list[list[float]] = []
     for a, b in zip(x[order], y[order], strict=True):
         pools.append([a, b, 1.0])
@@ -134,77 +101,107 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Terms, examples and calibration: what a task needs to score texts. Its size is bounded by the sample's."""
 
-    def __init__(self, terms: list[str], idf: list[float], ids: list, labels: list[int], found: list[dict[int, int]], k: int):
-        self.terms, self.idf, self.k = terms, idf, k
-        empty = [y for y, f in zip(labels, found, strict=True) if not f]
-        self.base = (sum(empty) + 0.5) / (len(empty) + 10)
-        rows = [(i, y, f) for i, y, f in zip(ids, labels, found, strict=True) if f]
-        rows.sort(key=lambda r: sorted(r[2]))  # alike examples share blocks
-        self.ids, self.labels = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
-        self.vectors = [self.unit(r[2]) for r in rows]
-        self.prepared = None
+    def __init__(self, ids: list, labels: np.ndarray, codes: list[np.ndarray], counts: list[np.ndarray], k: int, boost: float, evidence: float):
+        self.ids, self.k, n = ids, k, len(ids)
+        self.labels = labels.astype(np.float64)
+        own = np.repeat(np.arange(n), [len(c) for c in codes])
+        none = np.zeros(0)
+        self.vocabulary, term = np.unique(np.concatenate([none.astype(np.uint64), *codes]), return_inverse=True)
+        tf = np.concatenate([none, *counts])
+        df, hits = np.bincount(term, minlength=len(self.vocabulary)), np.bincount(term, weights=self.labels[own], minlength=len(self.vocabulary))
+        self.base = float((self.labels.sum() + 0.5) / (n + 10))
+        rate = self.labels.mean() if n else 0.0
+        xlogx = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+        gain = 2 * (xlogx(hits, df * rate) + xlogx(df - hits, df * (1 - rate)))
+        share = hits / np.maximum(df, 1)
+        apart = np.where((gain >= evidence) & (share > rate), (share - rate) / max(1e-9, 1 - rate), 0.0)
+        self.weight = (np.log((n + 1) / (df + 1)) + 1) * (1 + boost * apart)
+        self.unseen = math.log(n + 1) + 1
+        raw = (1 + np.log(np.maximum(tf, 1))) * self.weight[term]
+        norm = np.sqrt(np.bincount(own, weights=raw * raw, minlength=n))
+        self.index = Index(own, term, raw / np.maximum(norm[own], 1e-300), n, len(self.vocabulary))
         self.knots = (np.zeros(0), np.zeros(0))
-        if rows:
-            index = Index(self.vectors, len(terms) + 1)
-            votes = np.array([self.vote(*index.nearest(v, k, e)) for e, v in enumerate(self.vectors)])
-            self.knots = isotonic(votes, self.labels)
-
-    def unit(self, found: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in found.items()}
-        raw[len(self.terms)] = REST
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()}
-
-    def vote(self, ids: np.ndarray, scores: np.ndarray) -> float:
-        weight = scores * scores
-        return float((weight @ self.labels[ids] + 0.1 * self.base) / (weight.sum() + 0.1))
-
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """Probability of the label, and the neighbours that it rests on (none where no term occurs)."""
-        if self.prepared is None:
-            self.prepared = Finder(self.terms), Index(self.vectors, len(self.terms) + 1)
-        find, index = self.prepared
-        found = find(text)
-        if not found or not self.ids:
-            return self.base, np.zeros(0, np.int64), np.zeros(0)
-        ids, scores = index.nearest(self.unit(found), self.k)
-        return float(np.interp(self.vote(ids, scores), *self.knots)), ids, scores
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, examples: int, most_terms: int, k: int, evidence: float, purity: float) -> Model:
-    """The model from at most ``examples`` labelled rows (those with the least hashes of their ids)."""
+
+    def unit(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms and their weights in the unit vector of a text's words; words that no example has count in its length."""
+        if not len(self.vocabulary):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.vocabulary, codes), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == codes
+        raw = (1 + np.log(counts)) * np.where(known, self.weight[at], self.unseen)
+        return at[known], raw[known] / math.sqrt(raw @ raw)
+
+    def vote(self, examples: np.ndarray, cosines: np.ndarray) -> float:
+        weight = cosines * cosines
+        return float((weight @ self.labels[examples] + 0.1 * self.base) / (weight.sum() + 0.1))
+
+    def score(self, words: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Probability of the label for a text's words, and the neighbours that it rests on."""
+        if len(words) and self.ids:
+            near, cosines = self.index.nearest(*self.unit(*np.unique(words, return_counts=True)), self.k)
+            if len(near):
+                return float(np.interp(self.vote(near, cosines), *self.knots)), near, cosines
+        return self.base, np.zeros(0, np.int64), np.zeros(0)
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct words (codes) and how often it has them."""
+    for batch in batches:
+        found = [np.unique(w, return_counts=True) for w in each_text(batch.column(0), loose=True)]
+        codes = pa.array([c.view(np.int64) for c, _ in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], codes, pa.array([n for _, n in found], pa.list_(pa.int64()))], names=["id", "label", "codes", "counts"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, examples: int, most_bytes: int, k: int, boost: float, evidence: float) -> Model:
+    """The model from at most ``examples`` labelled rows (those with the least hashes of their ids) of ``most_bytes`` text in all."""
     spark = docs.sparkSession
     named = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     drawn = named.orderBy(F.xxhash64("id"), "id").limit(examples)  # the documented bound
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = written(texts.join(F.broadcast(drawn), "id").dropDuplicates(["id"]), "examples")
-    totals = rows.agg(F.count("*"), F.sum("label")).first()
-    n, hits = totals[0], totals[1] or 0
-    terms: list[str] = []
-    idf: list[float] = []
-    if n and hits:
-        apart = rows.select("text", "label").dropDuplicates(["text", "label"])  # copies are no further evidence for a term
-        counts = apart.mapInArrow(_term_counts, "term string, hits long, n long").groupBy("term").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
-        rate = F.lit(hits / n)
-        xlogx = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-        gain = 2 * (xlogx(F.col("hits"), F.col("n") * rate) + xlogx(F.col("n") - F.col("hits"), F.col("n") * (1 - rate)))
-        kept = counts.filter(F.col("hits") >= F.col("n") * F.greatest(rate, F.lit(purity))).withColumn("gain", gain).filter(F.col("gain") >= evidence)
-        chosen = kept.orderBy(F.desc("gain"), "term").limit(most_terms).collect()  # bounded by most_terms
-        strong = {r["term"] for r in chosen}
-        terms = sorted(t for t in strong if not any(t[:i] in strong for i in range(SHORTEST, len(t))))  # the shortest beginning stands for longer ones
-        df = {r["term"]: r["n"] for r in chosen}
-        idf = [math.log((n + 1) / (df[t] + 1)) + 1 for t in terms]
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Finder(terms)
-        for batch in batches:
-            found = [find(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["id", "label", "terms", "counts"])
-
+    alike = texts.filter("text <> ''").join(F.broadcast(drawn), "id").groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label"))
+    rows = written(alike, "examples")
+    upto = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = rows.select("id", F.octet_length("text").alias("n"))  # ``examples`` rows of two numbers
+    kept = sizes.withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") <= most_bytes).select("id")
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.select("text", "id", "label").mapInArrow(vectors, f"id {kind}, label int, terms array<int>, counts array<int>").orderBy("id").collect()  # ``examples`` rows of terms only
+    used = rows.join(F.broadcast(kept), "id").select("text", "id", "label")
+    got = used.mapInArrow(_vectors, f"id {kind}, label int, codes array<long>, counts array<long>").orderBy("label", "id").toArrow()  # bounded by both
     dropped(rows)
-    return Model(terms, idf, [r["id"] for r in got], [int(r["label"] > 0) for r in got], [dict(zip(r["terms"], r["counts"], strict=True)) for r in got], k)
+    codes = [np.asarray(c.values).view(np.uint64) for c in got.column(2)]
+    counts = [np.asarray(c.values).astype(np.float64) for c in got.column(3)]
+    common = _common_first(codes)
+    ids, toxic = got.column(0).to_pylist(), np.array(got.column(1).to_pylist(), dtype=np.int64) > 0
+    return Model([ids[i] for i in common], toxic[common], [codes[i] for i in common], [counts[i] for i in common], k, boost, evidence)
+
+
+def _common_first(codes: list[np.ndarray]) -> np.ndarray:
+    """An order in which examples that share the most frequent words (a language, mostly) are together, and so share blocks."""
+    if not codes:
+        return np.zeros(0, np.int64)
+    words, n = np.unique(np.concatenate(codes), return_counts=True)
+    often = words[np.argsort(-n, kind="stable")[:24]]
+    return np.lexsort(np.array([np.isin(often, c) for c in codes]).T[::-1])
+
+
+def _calibrated(spark: SparkSession, model: Model) -> None:
+    """Sets the model's knots from the votes that each example gets from the others; examples are dealt over tasks."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = pickle.loads(sent.value)
+        order = np.argsort(m.index.example, kind="stable")
+        first = np.searchsorted(m.index.example[order], np.arange(m.index.size + 1))
+        terms = np.repeat(np.arange(len(m.vocabulary)), np.diff(m.index.start[m.index.of_term]))
+        for batch in batches:
+            votes = []
+            for e in batch.column(0).to_pylist():
+                own = order[first[e] : first[e + 1]]
+                votes.append(m.vote(*m.index.nearest(terms[own], m.index.weight[own], m.k, e)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["id", "vote"])
+
+    tasks = max(1, -(-model.index.size // 256))
+    got = spark.range(0, model.index.size, 1, tasks).mapInArrow(run, "id long, vote double").toArrow()  # a number for each example
+    model.knots = isotonic(got.column(1).to_numpy(), model.labels[got.column(0).to_numpy()])
 
 
 def toxicity(
@@ -213,37 +210,39 @@ def toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    examples: int = 16384,
-    most_terms: int = 4096,
+    examples: int = 8192,
+    most_bytes: int = 48 << 20,
     k: int = 16,
+    boost: float = 20.0,
     evidence: float = 15.0,
-    purity: float = 0.25,
     learn_from: DataFrame | None = None,
 ) -> DataFrame:
     """(id_col, score, evidence) for every row of ``docs``; score is the probability of label 1.
 
-    ``labels`` holds id_col and label_col; of its rows with a label, at most ``examples`` are learned from, with texts
-    from ``learn_from`` (else ``docs``). At most ``most_terms`` terms are used, those with a log-likelihood ratio of
-    ``evidence`` or more of which ``purity`` of the texts that have them are toxic. evidence lists up to ``k`` neighbours: id, cosine, label. A text that is null, empty or has
-    none of the terms gets the rate of label 1 among such examples and no evidence. Without labels every score is
-    0.05. An id with several labels counts by the largest. Other columns are not read.
+    ``labels`` holds id_col and label_col; of its rows with a label, at most ``examples`` are learned from, with at most
+    ``most_bytes`` of text from ``learn_from`` (else ``docs``); examples with equal texts are one, with the largest label.
+    Words are runs of other than white space and ASCII punctuation, A-Z lower-cased; all are terms. A term whose
+    log-likelihood ratio with the label is ``evidence`` or more weighs up to 1 + ``boost`` times its idf. evidence lists
+    up to ``k`` neighbours: id, cosine, label. A text that is null, empty or shares no word with any example gets the rate
+    of label 1 among the examples and no evidence. Without labels every score is 0.05. An id with several labels counts
+    by the largest. Other columns are not read.
     """
-    fitted = fit(docs if learn_from is None else learn_from, labels, id_col, text_col, label_col, examples, most_terms, k, evidence, purity)
-    model = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fitted))  # bounded by ``examples`` and ``most_terms``
+    fitted = fit(docs if learn_from is None else learn_from, labels, id_col, text_col, label_col, examples, most_bytes, k, boost, evidence)
+    if fitted.ids:
+        _calibrated(docs.sparkSession, fitted)
+    model = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fitted))  # bounded by ``examples`` and ``most_bytes``
     kind = docs.schema[id_col].dataType.simpleString()
     near = "array<struct<id:" + kind + ",cosine:double,label:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(model.value)
         for batch in batches:
-            ids_type = batch.schema.field(0).type
-            scores, lists = [], []
-            for text in batch.column(1):
-                score, ids, cosines = m.score(text.as_py())
-                scores.append(score)
-                lists.append([{"id": m.ids[e], "cosine": float(c), "label": int(m.labels[e])} for e, c in zip(ids, cosines, strict=True)])
-            of = pa.list_(pa.struct([("id", ids_type), ("cosine", pa.float64()), ("label", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(lists, of)], names=["id", "score", "evidence"])
+            found = [m.score(words) for words in each_text(batch.column(1), loose=True)]
+            at = np.concatenate([np.zeros(0, np.int64), *[f[1] for f in found]])
+            ids = pa.array(m.ids, batch.schema.field(0).type).take(pa.array(at))
+            lists = pa.StructArray.from_arrays([ids, pa.array(np.concatenate([np.zeros(0), *[f[2] for f in found]])), pa.array(m.labels[at].astype(np.int32))], names=["id", "cosine", "label"])
+            ends = np.cumsum([0] + [len(f[1]) for f in found]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.ListArray.from_arrays(pa.array(ends), lists)], names=["id", "score", "evidence"])
 
     found = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, score double, evidence {near}")
     return found.select(F.col("id").alias(id_col), "score", "evidence")

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -231,15 +232,63 @@ def test_nearest_examples_are_those_of_all_cosines():
         v = {rng.randrange(30): rng.random() + 0.1 for _ in range(rng.randrange(1, 6))}
         norm = math.sqrt(sum(x * x for x in v.values()))
         vectors.append({t: x / norm for t, x in v.items()})
-    index = toxicity.Index(vectors, 30)
+    triples = [(e, t, w) for e, v in enumerate(vectors) for t, w in v.items()]
+    rng.shuffle(triples)
+    index = toxicity.Index(np.array([e for e, _, _ in triples]), np.array([t for _, t, _ in triples]), np.array([w for _, _, w in triples]), 300, 30)
+    assert len(index.nearest(np.zeros(0, np.int64), np.zeros(0), 7)[0]) == 0
     for q in vectors[:60]:
-        ids, scores = index.nearest(q, 7)
+        ids, scores = index.nearest(np.array(list(q)), np.array(list(q.values())), 7)
         every = sorted(((-round(sum(w * v.get(t, 0) for t, w in q.items()), 12), e) for e, v in enumerate(vectors)))
         every = [(s, e) for s, e in every if s < 0][:7]
         assert ids.tolist() == [e for _, e in every]
         assert scores == pytest.approx([-s for s, _ in every])
 
 
+def test_toxicity_scores_are_those_of_all_examples(spark, sf):
+    """The whole table's scores against words, idf, boosts, cosines and votes over all examples, without an index."""
+    split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    told = {r["doc_id"]: r["toxic"] for r in toxicity.learnable(spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    alike = {}
+    for i in sorted(told):
+        if texts.get(i):
+            alike.setdefault(texts[i], [i, 0])[1] |= told[i]
+    examples = [(i, y, collections.Counter(split(t))) for t, (i, y) in alike.items()]
+    n, positive = len(examples), sum(y for _, y, _ in examples)
+    df, hits = collections.Counter(w for _, _, c in examples for w in c), collections.Counter(w for _, y, c in examples if y for w in c)
+    rate, base = positive / n, (positive + 0.5) / (n + 10)
+    part = lambda o, e: o * math.log(o / e) if o else 0.0
+
+    def weight(w):
+        if w not in df:
+            return math.log(n + 1) + 1
+        gain, share = 2 * (part(hits[w], df[w] * rate) + part(df[w] - hits[w], df[w] * (1 - rate))), hits[w] / df[w]
+        return (math.log((n + 1) / (df[w] + 1)) + 1) * (1 + 20 * ((share - rate) / (1 - rate) if gain >= 15 and share > rate else 0))
+
+    def unit(c):
+        raw = {w: (1 + math.log(k)) * weight(w) for w, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
+        return {w: x / norm for w, x in raw.items()}
+
+    vectors = [unit(c) for _, _, c in examples]
+
+    def vote(v, but=None):
+        cosines = [(sum(x * u.get(w, 0.0) for w, x in v.items()), e) for e, u in enumerate(vectors) if e != but]
+        near = sorted((c for c in cosines if c[0] > 0), reverse=True)[:16]
+        return (sum(c * c * examples[e][1] for c, e in near) + 0.1 * base) / (sum(c * c for c, _ in near) + 0.1), {examples[e][0] for _, e in near}
+
+    knots = toxicity.isotonic(np.array([vote(v, e)[0] for e, v in enumerate(vectors)]), np.array([float(y) for _, y, _ in examples]))
+    got = toxicity.toxicity(spark.read.parquet(f"{sf}/documents.parquet"), toxicity.learnable(spark.read.parquet(f"{sf}/labels.parquet"))).collect()
+    for r in got:
+        found = split(texts[r["doc_id"]])
+        value, near = vote(unit(collections.Counter(found)))
+        if not near:
+            assert r["score"] == pytest.approx(base) and not r["evidence"]
+            continue
+        assert r["score"] == pytest.approx(float(np.interp(value, *knots)), abs=1e-6)
+        assert len({e["id"] for e in r["evidence"]} & near) >= len(near) - 2  # ties aside
+
+
 def test_toxicity_learns_from_labels_and_gives_evidence(spark):
     rng = random.Random(4)
     rows = [(i, words(rng, 30) + (" you utter buffoon" if i % 5 == 0 else ""), None) for i in range(200)] + [(900, None, None), (901, "", None), (902, "such a BUFFOON indeed", None), (902, "such a BUFFOON indeed", None)]
