@@ -40,15 +40,22 @@ class Index:
 
     def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, n_terms: int):
         order = np.lexsort((example, term))
-        self.example, self.weight, term = example[order].astype(np.int32), weight[order], term[order]
-        self.size, self.blocks = size, -(-size // BLOCK)
-        block = self.example // BLOCK
+        self._laid(example[order].astype(np.int32), weight[order].astype(np.float32), np.bincount(term, minlength=n_terms).astype(np.int32), size)
+
+    def __reduce__(self):
+        """What is sent is the postings alone; a task makes their blocks again."""
+        return _index, (self.example, self.weight, np.diff(self.start[self.of_term]).astype(np.int32), self.size)
+
+    def _laid(self, example: np.ndarray, weight: np.ndarray, each: np.ndarray, size: int) -> None:
+        """Sets the postings, ordered by term and example (``each``: how many a term has), and their blocks."""
+        self.example, self.weight, self.size, self.blocks = example, weight, size, -(-size // BLOCK)
+        term, n_terms, block = np.repeat(np.arange(len(each)), each), len(each), example // BLOCK
         new = np.ones(len(term), dtype=bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         first = np.flatnonzero(new)
         #: Of each (term, block): the block, the largest weight, and where its postings begin.
         self.block, self.start = block[first], np.append(first, len(term))
-        self.top = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.top = np.maximum.reduceat(weight, first) if len(first) else weight
         self.of_term = np.searchsorted(term[first], np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +105,12 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
 
 
+def _index(*laid) -> Index:
+    found = Index.__new__(Index)
+    found._laid(*laid)
+    return found
+
+
 class Model:
     """Terms, examples and calibration: what a task needs to score texts. Its size is bounded by the sample's."""
 
@@ -115,12 +128,11 @@ class Model:
         gain = 2 * (xlogx(hits, df * rate) + xlogx(df - hits, df * (1 - rate)))
         share = hits / np.maximum(df, 1)
         apart = np.where((gain >= evidence) & (share > rate), (share - rate) / max(1e-9, 1 - rate), 0.0)
-        self.weight = (np.log((n + 1) / (df + 1)) + 1) * (1 + boost * apart)
+        self.weight = ((np.log((n + 1) / (df + 1)) + 1) * (1 + boost * apart)).astype(np.float32)
         self.unseen = math.log(n + 1) + 1
-        raw = (1 + np.log(np.maximum(tf, 1))) * self.weight[term]
+        raw = (1 + np.log(np.maximum(tf, 1))) * self.weight[term].astype(np.float64)
         norm = np.sqrt(np.bincount(own, weights=raw * raw, minlength=n))
         self.index = Index(own, term, raw / np.maximum(norm[own], 1e-300), n, len(self.vocabulary))
-        self.knots = (np.zeros(0), np.zeros(0))
 
     def unit(self, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Known terms and their weights in the unit vector of a text's words; words that no example has count in its length."""
@@ -135,12 +147,12 @@ class Model:
         weight = cosines * cosines
         return float((weight @ self.labels[examples] + 0.1 * self.base) / (weight.sum() + 0.1))
 
-    def score(self, words: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    def score(self, words: np.ndarray, knots: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
         """Probability of the label for a text's words, and the neighbours that it rests on."""
         if len(words) and self.ids:
             near, cosines = self.index.nearest(*self.unit(*np.unique(words, return_counts=True)), self.k)
             if len(near):
-                return float(np.interp(self.vote(near, cosines), *self.knots)), near, cosines
+                return float(np.interp(self.vote(near, cosines), *knots)), near, cosines
         return self.base, np.zeros(0, np.int64), np.zeros(0)
 
 
@@ -183,9 +195,8 @@ def _common_first(codes: list[np.ndarray]) -> np.ndarray:
     return np.lexsort(np.array([np.isin(often, c) for c in codes]).T[::-1])
 
 
-def _calibrated(spark: SparkSession, model: Model) -> None:
-    """Sets the model's knots from the votes that each example gets from the others; examples are dealt over tasks."""
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+def _calibrated(spark: SparkSession, model: Model, sent) -> tuple[np.ndarray, np.ndarray]:
+    """The knots from the votes that each example gets from the others; examples are dealt over tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(sent.value)
@@ -201,7 +212,7 @@ def _calibrated(spark: SparkSession, model: Model) -> None:
 
     tasks = max(1, -(-model.index.size // 256))
     got = spark.range(0, model.index.size, 1, tasks).mapInArrow(run, "id long, vote double").toArrow()  # a number for each example
-    model.knots = isotonic(got.column(1).to_numpy(), model.labels[got.column(0).to_numpy()])
+    return isotonic(got.column(1).to_numpy(), model.labels[got.column(0).to_numpy()])
 
 
 def toxicity(
@@ -228,16 +239,15 @@ def toxicity(
     by the largest. Other columns are not read.
     """
     fitted = fit(docs if learn_from is None else learn_from, labels, id_col, text_col, label_col, examples, most_bytes, k, boost, evidence)
-    if fitted.ids:
-        _calibrated(docs.sparkSession, fitted)
     model = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fitted))  # bounded by ``examples`` and ``most_bytes``
+    knots = _calibrated(docs.sparkSession, fitted, model) if fitted.ids else (np.zeros(0), np.zeros(0))
     kind = docs.schema[id_col].dataType.simpleString()
     near = "array<struct<id:" + kind + ",cosine:double,label:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(model.value)
         for batch in batches:
-            found = [m.score(words) for words in each_text(batch.column(1), loose=True)]
+            found = [m.score(words, knots) for words in each_text(batch.column(1), loose=True)]
             at = np.concatenate([np.zeros(0, np.int64), *[f[1] for f in found]])
             ids = pa.array(m.ids, batch.schema.field(0).type).take(pa.array(at))
             lists = pa.StructArray.from_arrays([ids, pa.array(np.concatenate([np.zeros(0), *[f[2] for f in found]])), pa.array(m.labels[at].astype(np.int32))], names=["id", "cosine", "label"])

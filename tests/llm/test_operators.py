@@ -241,7 +241,7 @@ def test_nearest_examples_are_those_of_all_cosines():
         every = sorted(((-round(sum(w * v.get(t, 0) for t, w in q.items()), 12), e) for e, v in enumerate(vectors)))
         every = [(s, e) for s, e in every if s < 0][:7]
         assert ids.tolist() == [e for _, e in every]
-        assert scores == pytest.approx([-s for s, _ in every])
+        assert scores == pytest.approx([-s for s, _ in every], abs=1e-6)
 
 
 def test_toxicity_scores_are_those_of_all_examples(spark, sf):
@@ -285,7 +285,7 @@ def test_toxicity_scores_are_those_of_all_examples(spark, sf):
         if not near:
             assert r["score"] == pytest.approx(base) and not r["evidence"]
             continue
-        assert r["score"] == pytest.approx(float(np.interp(value, *knots)), abs=1e-6)
+        assert r["score"] == pytest.approx(float(np.interp(value, *knots)), abs=1e-4)
         assert len({e["id"] for e in r["evidence"]} & near) >= len(near) - 2  # ties aside
 
 
