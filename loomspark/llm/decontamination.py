@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from .tables import dropped, read, written
 from .textcodes import mixed, texts_in_chunks, word_codes
@@ -204,8 +206,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = written(benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").alias("text")).filter("text is not null").distinct(), "items")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"id {kinds[0]}, item {kinds[1]}, score double, window long, item_words int"
+    kinds = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    schema = StructType([StructField("id", kinds[0]), StructField("item", kinds[1]), StructField("score", DoubleType()), StructField("window", LongType()), StructField("item_words", IntegerType())])
+    arrow = to_arrow_schema(schema)
     out = None
     for block in range(blocks):
         # BLOCK_BYTES bounds these rows
@@ -229,11 +232,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 rows = []
                 for i, _, data, bounds in texts_in_chunks(batch.column(1)):
                     rows += [(i + k, *what) for k, *what in _aligned(own, *word_codes(data, bounds, loose=True))]
-                ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([r[1] for r in rows]) if rows else pa.array([], pa.null()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int32())],
-                    names=["id", "item", "score", "window", "item_words"],
-                ) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([("id", batch.schema.field(0).type), ("item", _arrow(kinds[1])), ("score", pa.float64()), ("window", pa.int64()), ("item_words", pa.int32())]))
+                ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())).cast(arrow.field(0).type)
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[c] for r in rows], arrow.field(c).type) for c in range(1, 5)]], schema=arrow)
 
         part = source.mapInArrow(match, schema)
         out = part if out is None else out.unionByName(part)
@@ -241,10 +241,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "window", "item_words")
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

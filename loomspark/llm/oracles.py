@@ -4,24 +4,21 @@ SQL: dict[str, str] = {}
 
 SQL["op7_chat"] = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(CAST(floor(turn / 64.0) AS BIGINT), 0) AS part,
-         replace(coalesce(role, 'unknown'), '<|', '< |') AS name, replace(coalesce(text, ''), '<|', '< |') AS txt
+  SELECT conv_id, turn, translate(replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >'), chr(13) || chr(10), '  ') AS name,
+         replace(coalesce(text, ''), '<|', '< |') AS txt
   FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name, txt) - 1 AS place FROM t),
 p AS (SELECT DISTINCT conv_id AS c, name AS speaker FROM t WHERE name <> 'system'),
 s AS (
-  SELECT conv_id, part, speaker, turn, name, txt,
+  SELECT conv_id, place, place // 64 AS part, speaker, name, txt,
          CASE WHEN name = 'system' THEN '<|system|>' || chr(10)
               WHEN name = speaker THEN '<|assistant|>' || chr(10)
               ELSE '<|user name=' || name || '|>' || chr(10) END AS head
-  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.c),
-w AS (
-  SELECT *, length(head) + length(txt) + 8 AS n,
-         row_number() OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, name, txt) AS i
-  FROM s),
-o AS (
-  SELECT *, CAST(sum(n) OVER (PARTITION BY conv_id, part, speaker ORDER BY i) AS BIGINT) AS stop FROM w)
-SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (name = speaker) AS n_own,
-       string_agg(head || txt || '<|end|>' || chr(10), '' ORDER BY i) AS rendered,
-       coalesce(string_agg(CAST(stop - n + length(head) AS VARCHAR) || '-' || CAST(stop AS VARCHAR), ',' ORDER BY i) FILTER (name = speaker), '') AS masks
+  FROM n JOIN p ON n.conv_id IS NOT DISTINCT FROM p.c),
+w AS (SELECT *, length(head) + length(txt) + 8 AS n FROM s),
+o AS (SELECT *, CAST(sum(n) OVER (PARTITION BY conv_id, speaker ORDER BY place) AS BIGINT) AS stop FROM w)
+SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (name = speaker) AS n_own, min(stop - n) AS start,
+       string_agg(head || txt || '<|end|>' || chr(10), '' ORDER BY place) AS rendered,
+       coalesce(string_agg(CAST(stop - n + length(head) AS VARCHAR) || '-' || CAST(stop AS VARCHAR), ',' ORDER BY place) FILTER (name = speaker), '') AS masks
 FROM o GROUP BY conv_id, speaker, part
 """

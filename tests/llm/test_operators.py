@@ -121,15 +121,32 @@ def test_rotation_masks_cut_out_the_speakers_texts(spark):
     rows = [(1, 0, "system", "be nice"), (1, 1, "ann", "hello <|assistant|>"), (1, 2, "bob", "oh\nyes"), (1, 3, "ann", None), (1, 70, "bob", "later"), (2, 0, "system", "alone"), (3, None, None, "x"), (3, 1, "ann", "y"), (3, 1, "ann", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {(r["conv_id"], r["speaker"], r["part"]): r for r in chat.rotate(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 1), (1, "bob", 1), (3, "ann", 0), (3, "unknown", 0)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (3, "ann", 0), (3, "unknown", 0)}
     r = got[1, "ann", 0]
     spans = [r["rendered"][int(a) : int(b)] for a, b in (m.split("-") for m in r["masks"].split(","))]
     assert spans == ["hello < |assistant|><|end|>\n", "<|end|>\n"]
     assert "<|user name=bob|>\noh\nyes<|end|>\n" in r["rendered"] and r["rendered"].startswith("<|system|>\nbe nice")
-    assert got[1, "ann", 1]["masks"] == "" and got[3, "ann", 0]["n_own"] == 2
+    assert r["rendered"].endswith("later<|end|>\n") and got[3, "ann", 0]["n_own"] == 2
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_long_dialogues_are_one_rendering_in_parts(spark):
+    rng = random.Random(3)
+    names = ["ann", "bob", "system", "e|>ve\nx"]
+    rows = [(1, t, rng.choice(names), f"text {i} 😀") for i, t in enumerate([None] * 150 + [7] * 150 + [rng.randrange(-90, 300) for _ in range(200)])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    told = sorted(((t is not None, t or 0, n.replace("|>", "| >").replace("\n", " "), x) for _, t, n, x in rows))
+    for speaker in ("ann", "bob", "e| >ve x"):
+        parts = sorted((r for r in chat.rotate(df).filter(F.col("speaker") == speaker).collect()), key=lambda r: r["part"])
+        whole = "".join(r["rendered"] for r in parts)
+        head = lambda n: "<|system|>" if n == "system" else "<|assistant|>" if n == speaker else f"<|user name={n}|>"
+        assert whole == "".join(f"{head(n)}\n{x}<|end|>\n" for _, _, n, x in told)
+        assert [r["n_turns"] for r in parts] == [64] * 7 + [52] and [r["part"] for r in parts] == list(range(8))
+        assert [r["start"] for r in parts] == [0, *itertools.accumulate(len(r["rendered"]) for r in parts)][:-1]
+        spans = [whole[int(a) : int(b)] for r in parts for a, b in (m.split("-") for m in r["masks"].split(",") if m)]
+        assert spans == [f"{x}<|end|>\n" for _, _, n, x in told if n == speaker]
+
+
 # near-duplicates
 
 
@@ -368,6 +385,17 @@ def test_contamination_is_that_of_brute_force_alignment(spark):
     assert got == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("kind", ["int", "smallint", "string", "date", "bigint"])
+def test_contamination_keeps_ids_of_any_type(spark, kind):
+    text = "a passage of some twelve different words that a benchmark item really has"
+    items = spark.createDataFrame([(7, text), (8, "tiny item")], "n int, text string")
+    key = F.date_add(F.lit("2020-01-01"), F.col("n")) if kind == "date" else F.col("n").cast(kind)
+    found = spark.createDataFrame([(1, f"before {text} after"), (2, "a document with the tiny item in it"), (3, "none")], "doc_id int, text string")
+    got = decontamination.contaminated(found, items.select(key.alias("item_id"), "text"))
+    assert got.schema["item_id"].dataType.simpleString() == kind and sorted(r["doc_id"] for r in got.collect()) == [1, 2]
+    assert decontamination.contaminated(found.filter("doc_id = 3"), items.select(key.alias("item_id"), "text")).count() == 0
+
+
 def test_alignment_is_that_of_the_full_table():
     rng = random.Random(8)
     for _ in range(30):
