@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import free_name, read, written
+from .tables import dropped, free_name, read, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
-#: The item that stands for the label in a transaction; no token begins with "=".
-_BLOCK = "=block"
 
 
 def host_of(url: Column) -> Column:
@@ -57,26 +56,62 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(all_, lambda x: F.length(x) > 2)))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_rows: int = 8, min_confidence: float = 0.5, min_lift: float = 2.0) -> DataFrame:
+def _counted(itemsets: DataFrame, urls: DataFrame) -> DataFrame:
+    """``itemsets`` (tokens) with rows, hits, held_rows and held_hits: URLs that hold all their tokens, and blocked ones.
+
+    urls: (own, blocked, held). An itemset is listed under the one of its tokens that the fewest URLs have, so a URL meets
+    only the itemsets that its own tokens list.
+    """
+    use = urls.select(F.explode("own").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    keyed = itemsets.select("tokens", F.explode("tokens").alias("t")).join(use, "t", "left").groupBy("tokens").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t")).alias("k"))
+    met = urls.withColumn("t", F.explode("own")).join(keyed.select("tokens", F.col("k.t").alias("t")), "t").filter(F.size(F.array_except("tokens", "own")) == 0)
+    one = lambda c: F.count_if(c)
+    return met.groupBy("tokens").agg(
+        one(~F.col("held")).alias("rows"), one(~F.col("held") & F.col("blocked")).alias("hits"), one(F.col("held")).alias("held_rows"), one(F.col("held") & F.col("blocked")).alias("held_hits")
+    )
+
+
+def mine(labelled: DataFrame, min_support: float = 0.002, min_rows: int = 8, min_confidence: float = 0.5, min_lift: float = 2.0, false_rules: float = 0.05) -> DataFrame:
     """Rules (tokens, confidence, support, lift) for blocking, from (url, blocked).
 
-    An itemset needs ``min_support`` of the labelled URLs and ``min_rows`` of them. A rule goes when a rule of fewer of
-    its tokens has at least its confidence. Rows whose label is null don't count; with fewer than ``min_rows`` labels there are no rules.
+    Two thirds of the URLs (by their hash) are mined, with FP-growth over the blocked ones: an itemset needs ``min_support``
+    of the mined URLs and ``min_rows`` of them. Tokens that the same URLs have are one, so itemsets don't multiply.
+    Confidence and lift are then counted over all mined URLs. A rule stands if it holds on the other third too: with
+    confidence and lift there, and with a Wilson bound above the rate of blocked URLs, at a level at which all candidates
+    together give ``false_rules`` wrong rules. A rule goes when a rule of fewer of its tokens has at least its confidence.
+    Rows whose label or URL is null don't count; equal URLs are one, blocked if most of their rows are. With fewer than
+    ``min_rows`` blocked URLs there are no rules.
     """
     spark = labelled.sparkSession
-    empty = "tokens array<string>, confidence double, support double, lift double"
-    known = labelled.filter("blocked is not null")
-    rows = known.select(F.when(F.col("blocked"), F.array_append(tokens_of(F.col("url")), F.lit(_BLOCK))).otherwise(tokens_of(F.col("url"))).alias("items"))
-    n = rows.count()
-    if n < max(1, min_rows):
-        return spark.createDataFrame([], empty)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / n), minConfidence=min_confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(rows)
-    rules = model.associationRules.filter((F.element_at("consequent", 1) == _BLOCK) & (F.col("lift") >= min_lift))
-    rules = written(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support", "lift"), "rules")
-    parts = rules.select("tokens", "confidence", F.explode("tokens").alias("t"))
-    # a shorter rule can only be within a longer one that has its first token
-    short = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("least"), F.element_at("tokens", 1).alias("t"))
-    covered = parts.join(short, "t").filter((F.size("part") < F.size("tokens")) & (F.col("least") >= F.col("confidence")) & (F.size(F.array_except("part", "tokens")) == 0))
+    known = labelled.filter("blocked is not null and url is not null").groupBy("url").agg((F.avg(F.col("blocked").cast("int")) > 0.5).alias("blocked"))
+    known = known.select(F.xxhash64("url").alias("u"), "blocked", (F.pmod(F.xxhash64("url"), F.lit(3)) == 0).alias("held"), tokens_of(F.col("url")).alias("own"))
+    rows = written(known, "labelled")
+    n, hits, held, held_hits = rows.agg(F.count_if(~F.col("held")), F.count_if(~F.col("held") & F.col("blocked")), F.count_if(F.col("held")), F.count_if(F.col("held") & F.col("blocked"))).first()
+    if hits < max(1, min_rows) or not held_hits:
+        dropped(rows)
+        return spark.createDataFrame([], "tokens array<string>, confidence double, support double, lift double")
+    least = max(min_support * n, min_rows)
+    each = rows.filter("not held").select("u", "blocked", F.explode("own").alias("t"))
+    sets = each.groupBy("t").agg(F.count("*").alias("n"), F.sum(F.col("u") % (1 << 40)).alias("sum"), F.count_if("blocked").alias("hits")).filter(F.col("hits") >= least)
+    apart = sets.groupBy("n", "sum").agg(F.min("t").alias("t")).select("t")
+    items = each.filter("blocked").join(apart, "t").groupBy("u").agg(F.collect_set("t").alias("items"))  # the tokens of one URL
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / hits), numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(items)
+    itemsets = written(model.freqItemsets.filter(F.col("freq") >= least).select(F.array_sort("items").alias("tokens")), "itemsets")
+    counted = _counted(itemsets, rows).withColumns({"confidence": F.col("hits") / F.col("rows"), "support": F.col("hits") / n})
+    counted = counted.withColumn("lift", F.col("confidence") / (hits / n))
+    rules = written(counted.filter((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)), "rules")
+    z = NormalDist().inv_cdf(1 - false_rules / max(1, rules.count()))
+    share, size = F.col("held_hits") / F.col("held_rows"), F.col("held_rows")
+    bound = (share + z * z / (2 * size) - z * F.sqrt(share * (1 - share) / size + z * z / (4 * size * size))) / (1 + z * z / size)
+    rate = held_hits / held
+    holds = (size > 0) & (share >= min_confidence) & (share >= min_lift * rate) & (bound > rate)
+    rules = written(rules.filter(holds).select("tokens", "confidence", "support", "lift"), "rules")
+    dropped(rows, itemsets)
+    # a shorter rule can only be within a longer one that has its rarest token
+    use = rules.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    short = rules.select("tokens", F.col("confidence").alias("least"), F.explode("tokens").alias("t")).join(use, "t").groupBy(F.col("tokens").alias("part"), "least").agg(F.min(F.struct("n", "t")).alias("k"))
+    parts = rules.select("tokens", "confidence", F.explode("tokens").alias("t")).join(short.select("part", "least", F.col("k.t").alias("t")), "t")
+    covered = parts.filter((F.size("part") < F.size("tokens")) & (F.col("least") >= F.col("confidence")) & (F.size(F.array_except("part", "tokens")) == 0))
     return rules.join(covered.select("tokens").distinct(), "tokens", "left_anti")
 
 

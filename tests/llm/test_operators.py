@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import statistics
 import zlib
 
 import numpy as np
@@ -566,3 +567,46 @@ def test_mined_rules_are_those_that_hold(spark):
     df = spark.createDataFrame([(1, "https://other.org/casino/1"), (2, "https://other.org/news/1")], "page_id long, url string")
     got = {r["page_id"]: (r["verdict"], r["mined"]) for r in urls.judged(df, urls.RULES, labelled).collect()}
     assert got == {1: ("block", "p:casino"), 2: ("allow", None)}
+
+
+def test_mined_rules_are_those_of_all_itemsets(spark):
+    """Against every subset of tokens that a blocked URL has, counted over all URLs; then noise alone gives no rules."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        a, b, c = rng.choice("pqr"), rng.choice(["news", "shop", "play", "blog"]), rng.choice(["x", "y", "z"])
+        bad = 0.95 if (a, b) == ("p", "play") else 0.9 if (b, c) == ("shop", "z") else 0.1
+        rows.append((f"http://{a}.com/{b}/i{i}?k={c}", rng.random() < bad))
+    df = spark.createDataFrame([*rows, rows[0]], "url string, blocked boolean")
+    told = df.distinct().select("blocked", (F.pmod(F.xxhash64("url"), F.lit(3)) == 0).alias("held"), urls.tokens_of(F.col("url")).alias("own")).collect()
+    mined, held = [r for r in told if not r["held"]], [r for r in told if r["held"]]
+    n, hits, held_rate = len(mined), sum(r["blocked"] for r in mined), sum(r["blocked"] for r in held) / len(held)
+    least = max(0.002 * n, 8)
+    having = collections.defaultdict(list)
+    for i, r in enumerate(mined):
+        for t in r["own"]:
+            having[t].append(i)
+    apart = {min(t for t in having if having[t] == same) for same in having.values()}
+    blocked = [sorted(apart & set(r["own"])) for r in mined if r["blocked"]]
+    freq = collections.Counter(s for own in blocked for k in range(1, len(own) + 1) for s in itertools.combinations(own, k))
+    candidates = {}
+    for s, f in freq.items():
+        if f >= least:
+            every = sum(set(s) <= set(r["own"]) for r in mined)
+            if f / every >= 0.5 and f / every / (hits / n) >= 2:
+                candidates[s] = f / every
+    z = statistics.NormalDist().inv_cdf(1 - 0.05 / len(candidates))
+
+    def holds(s):
+        found = [r["blocked"] for r in held if set(s) <= set(r["own"])]
+        m = len(found)
+        p = sum(found) / m if m else 0.0
+        bound = (p + z * z / (2 * m) - z * math.sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m) if m else 0.0
+        return p >= 0.5 and p >= 2 * held_rate and bound > held_rate
+
+    kept = {s: c for s, c in candidates.items() if holds(s)}
+    want = {s: c for s, c in kept.items() if not any(set(t) < set(s) and kept[t] >= c for t in kept)}
+    got = {tuple(r["tokens"]): r["confidence"] for r in urls.mine(df).collect()}
+    assert got == pytest.approx(want) and any({"p:play"} <= set(s) for s in want)
+    noise = spark.createDataFrame([(u, rng.random() < 0.2) for u, _ in rows], "url string, blocked boolean")
+    assert urls.mine(noise).count() == 0
