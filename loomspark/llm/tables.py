@@ -17,9 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset (tests on one machine), a folder made for it."""
+    """The session's ``spark.checkpoint.dir``; where it is unset and all runs on one machine (tests), a folder made for it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -64,7 +64,8 @@ def _counted(itemsets: DataFrame, urls: DataFrame) -> DataFrame:
     """
     use = urls.select(F.explode("own").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     keyed = itemsets.select("tokens", F.explode("tokens").alias("t")).join(use, "t", "left").groupBy("tokens").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t")).alias("k"))
-    met = urls.withColumn("t", F.explode("own")).join(keyed.select("tokens", F.col("k.t").alias("t")), "t").filter(F.size(F.array_except("tokens", "own")) == 0)
+    spread = urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "own")  # few URLs can meet many itemsets
+    met = spread.withColumn("t", F.explode("own")).join(keyed.select("tokens", F.col("k.t").alias("t")), "t").filter(F.size(F.array_except("tokens", "own")) == 0)
     one = lambda c: F.count_if(c)
     return met.groupBy("tokens").agg(
         one(~F.col("held")).alias("rows"), one(~F.col("held") & F.col("blocked")).alias("hits"), one(F.col("held")).alias("held_rows"), one(F.col("held") & F.col("blocked")).alias("held_hits")
