@@ -117,10 +117,10 @@ class Model:
     def __init__(self, ids: list, labels: np.ndarray, codes: list[np.ndarray], counts: list[np.ndarray], k: int, boost: float, evidence: float):
         self.ids, self.k, n = ids, k, len(ids)
         self.labels = labels.astype(np.float64)
-        own = np.repeat(np.arange(n), [len(c) for c in codes])
-        none = np.zeros(0)
-        self.vocabulary, term = np.unique(np.concatenate([none.astype(np.uint64), *codes]), return_inverse=True)
-        tf = np.concatenate([none, *counts])
+        own = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in codes])
+        self.vocabulary, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]), return_inverse=True)
+        term = term.astype(np.int32)
+        tf = np.concatenate([np.zeros(0, np.int32), *counts])
         df, hits = np.bincount(term, minlength=len(self.vocabulary)), np.bincount(term, weights=self.labels[own], minlength=len(self.vocabulary))
         self.base = float((self.labels.sum() + 0.5) / (n + 10))
         rate = self.labels.mean() if n else 0.0
@@ -130,7 +130,8 @@ class Model:
         apart = np.where((gain >= evidence) & (share > rate), (share - rate) / max(1e-9, 1 - rate), 0.0)
         self.weight = ((np.log((n + 1) / (df + 1)) + 1) * (1 + boost * apart)).astype(np.float32)
         self.unseen = math.log(n + 1) + 1
-        raw = (1 + np.log(np.maximum(tf, 1))) * self.weight[term].astype(np.float64)
+        raw = (1 + np.log(tf)) * self.weight[term].astype(np.float64)
+        del tf
         norm = np.sqrt(np.bincount(own, weights=raw * raw, minlength=n))
         self.index = Index(own, term, raw / np.maximum(norm[own], 1e-300), n, len(self.vocabulary))
 
@@ -161,7 +162,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [np.unique(w, return_counts=True) for w in each_text(batch.column(0), loose=True)]
         codes = pa.array([c.view(np.int64) for c, _ in found], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], codes, pa.array([n for _, n in found], pa.list_(pa.int64()))], names=["id", "label", "codes", "counts"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], codes, pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))], names=["id", "label", "codes", "counts"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, examples: int, most_bytes: int, k: int, boost: float, evidence: float) -> Model:
@@ -177,10 +178,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     kept = sizes.withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") <= most_bytes).select("id")
     kind = docs.schema[id_col].dataType.simpleString()
     used = rows.join(F.broadcast(kept), "id").select("text", "id", "label")
-    got = used.mapInArrow(_vectors, f"id {kind}, label int, codes array<long>, counts array<long>").orderBy("label", "id").toArrow()  # bounded by both
+    got = used.mapInArrow(_vectors, f"id {kind}, label int, codes array<long>, counts array<int>").orderBy("label", "id").toArrow()  # bounded by both
     dropped(rows)
     codes = [np.asarray(c.values).view(np.uint64) for c in got.column(2)]
-    counts = [np.asarray(c.values).astype(np.float64) for c in got.column(3)]
+    counts = [np.asarray(c.values) for c in got.column(3)]
     common = _common_first(codes)
     ids, toxic = got.column(0).to_pylist(), np.array(got.column(1).to_pylist(), dtype=np.int64) > 0
     return Model([ids[i] for i in common], toxic[common], [codes[i] for i in common], [counts[i] for i in common], k, boost, evidence)
@@ -221,8 +222,8 @@ def toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    examples: int = 8192,
-    most_bytes: int = 48 << 20,
+    examples: int = 4096,
+    most_bytes: int = 32 << 20,
     k: int = 16,
     boost: float = 20.0,
     evidence: float = 15.0,
