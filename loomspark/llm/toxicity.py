@@ -115,8 +115,9 @@ class Model:
     """Terms, examples and calibration: what a task needs to score texts. Its size is bounded by the sample's."""
 
     def __init__(self, ids: list, labels: np.ndarray, codes: list[np.ndarray], counts: list[np.ndarray], k: int, boost: float, evidence: float):
-        self.ids, self.k, n = ids, k, len(ids)
+        self.k, n = k, len(ids)
         self.labels = labels.astype(np.float64)
+        self.ids = ids if 0 < self.labels.sum() < n else []  # labels of one kind tell nothing apart
         own = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in codes])
         self.vocabulary, term = np.unique(np.concatenate([np.zeros(0, np.uint64), *codes]), return_inverse=True)
         term = term.astype(np.int32)
@@ -236,7 +237,8 @@ def toxicity(
     Words are runs of other than white space and ASCII punctuation, A-Z lower-cased; all are terms. A term whose
     log-likelihood ratio with the label is ``evidence`` or more weighs up to 1 + ``boost`` times its idf. evidence lists
     up to ``k`` neighbours: id, cosine, label. A text that is null, empty or shares no word with any example gets the rate
-    of label 1 among the examples and no evidence. Without labels every score is 0.05. An id with several labels counts
+    of label 1 among the examples and no evidence, as does every text where the examples have labels of one kind only.
+    Without labels every score is 0.05. An id with several labels counts
     by the largest. Other columns are not read.
     """
     fitted = fit(docs if learn_from is None else learn_from, labels, id_col, text_col, label_col, examples, most_bytes, k, boost, evidence)
