@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.tables import seconds_of, table
+from ..sources.tables import seconds_of, shared_folder, table
 from ..streaming import progress as S
 from .registry import query
 
@@ -17,17 +17,40 @@ def states(spark, d):
     return S.job_states(table(spark, d, "events")).drop("at")
 
 
+def _events(spark, d):
+    """The events table as a stream."""
+    return spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+
+
 @query("str03_stream", _STATES)
 def stream(spark, d):
-    """STR-01, STR-02, STR-03 as a stream over the same events."""
-    schema = table(spark, d, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
-    return S.run_stream(source, "progress_states").drop("at")
+    """STR-01, STR-03 as a stream over the same events."""
+    kept = S.StateTable(spark, shared_folder(spark))
+    return kept.snapshot(kept.take(_events(spark, d))).drop("at")
+
+
+@query("str02_snapshot_tail", _STATES)
+def snapshot_and_tail(spark, d):
+    """STR-02, SNK-18: one who holds the snapshot after the first events and is sent the others has the state of now."""
+    kept = S.StateTable(spark, shared_folder(spark))
+    middle = kept.take(_events(spark, d).filter("event_type IN ('click', 'signup')"))
+    kept.take(_events(spark, d).filter("event_type IS NULL OR event_type NOT IN ('click', 'signup')"), middle)
+    return S.settled(kept.held(middle).unionByName(S.partial_states(kept.tail(middle), "user_id", "event_id")), "user_id").drop("at")
+
+
+@query("str08_retries", """WITH t AS (SELECT user_id, event_id % 7 AS item, event_type AS k, row_number() OVER (PARTITION BY user_id, event_id % 7 ORDER BY ts, event_id) AS n FROM events),
+e AS (SELECT user_id, item, min(n) FILTER (k IN ('purchase', 'error') OR n = 3) AS at, max(n) AS seen FROM t WHERE n <= 3 GROUP BY ALL)
+SELECT e.user_id, CAST(e.item AS BIGINT) AS item, CAST(coalesce(at, seen) AS INT) AS attempts, CASE WHEN at IS NULL THEN 'pending' WHEN k = 'purchase' THEN 'done' ELSE 'failed' END AS state,
+CASE WHEN at IS NULL OR k = 'purchase' THEN NULL WHEN k = 'error' THEN 'error' ELSE 'other' END AS error_kind FROM e LEFT JOIN t ON t.user_id = e.user_id AND t.item = e.item AND t.n = e.at""")
+def retries(spark, d):
+    """STR-08: purchases count as successes, errors end an item at once."""
+    e = table(spark, d, "events").withColumn("item", F.col("event_id") % 7).withColumn("outcome", F.when(F.col("event_type") == "purchase", "ok").otherwise(F.col("event_type")))
+    return S.retried(e, ["user_id", "item"], ["ts", "event_id"], "outcome", ["error"])
 
 
 @query("str04_items", "SELECT user_id, CAST(event_id % 7 AS BIGINT) AS item, arg_max(event_type, (ts, event_id)) AS state FROM events GROUP BY ALL")
 def items(spark, d):
-    """STR-04, STR-08."""
+    """STR-04."""
     return S.chapter_states(table(spark, d, "events").withColumn("item", F.col("event_id") % 7), "user_id", "item", "event_id")
 
 
