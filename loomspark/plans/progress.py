@@ -38,10 +38,10 @@ def snapshot_and_tail(spark, d):
     return S.settled(kept.held(middle).unionByName(S.partial_states(kept.tail(middle), "user_id", "event_id")), "user_id").drop("at")
 
 
-@query("str08_retries", """WITH t AS (SELECT user_id, event_id % 7 AS item, event_type AS k, row_number() OVER (PARTITION BY user_id, event_id % 7 ORDER BY ts, event_id) AS n FROM events),
-e AS (SELECT user_id, item, min(n) FILTER (k IN ('purchase', 'error') OR n = 3) AS at, max(n) AS seen FROM t WHERE n <= 3 GROUP BY ALL)
-SELECT e.user_id, CAST(e.item AS BIGINT) AS item, CAST(coalesce(at, seen) AS INT) AS attempts, CASE WHEN at IS NULL THEN 'pending' WHEN k = 'purchase' THEN 'done' ELSE 'failed' END AS state,
-CASE WHEN at IS NULL OR k = 'purchase' THEN NULL WHEN k = 'error' THEN 'error' ELSE 'other' END AS error_kind FROM e LEFT JOIN t ON t.user_id = e.user_id AND t.item = e.item AND t.n = e.at""")
+@query("str08_ended", """WITH t AS (SELECT user_id, event_id % 7 AS item, event_type AS k, row_number() OVER (PARTITION BY user_id, event_id % 7 ORDER BY ts, event_id) AS n FROM events),
+e AS (SELECT user_id, item, min(n) FILTER (WHERE k IN ('purchase', 'error') OR n = 3) AS stop, max(n) AS seen FROM t WHERE n <= 3 GROUP BY ALL)
+SELECT e.user_id, CAST(e.item AS BIGINT) AS item, CAST(coalesce(stop, seen) AS INT) AS attempts, CASE WHEN stop IS NULL THEN 'pending' WHEN k = 'purchase' THEN 'done' ELSE 'failed' END AS state,
+CASE WHEN stop IS NULL OR k = 'purchase' THEN NULL WHEN k = 'error' THEN 'error' ELSE 'other' END AS error_kind FROM e LEFT JOIN t ON t.user_id = e.user_id AND t.item = e.item AND t.n = e.stop""")
 def retries(spark, d):
     """STR-08: purchases count as successes, errors end an item at once."""
     e = table(spark, d, "events").withColumn("item", F.col("event_id") % 7).withColumn("outcome", F.when(F.col("event_type") == "purchase", "ok").otherwise(F.col("event_type")))

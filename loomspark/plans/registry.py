@@ -14,6 +14,8 @@ def query(name: str, sql: str | None = None):
     """Registers a function of (spark, sf_dir) under ``name``."""
 
     def register(f):
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = f
         if sql is not None:
             SQL[name] = sql
