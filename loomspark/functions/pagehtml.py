@@ -24,6 +24,11 @@ NOT_IMPORTED = (
     "script style link meta base iframe frame frameset object embed form input button textarea select audio video source track canvas svg".split()
 )
 WHOLE = frozenset(["table", "pre"])
+EDITED = frozenset(
+    "address article aside audio blockquote dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr img li main nav ol p pre section table"
+    " tbody td tfoot th thead tr ul video".split()
+)
+NOT_EDITED = frozenset("script style noscript iframe object embed link meta".split())
 INLINE = frozenset("b strong i em u s sub sup br a span".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT = frozenset("p li blockquote td th pre div dd dt figcaption article section main body ul ol table".split()) | HEADINGS
@@ -134,6 +139,108 @@ class Reader(HTMLParser):
             self.held.append(data)
 
 
+class Editor(HTMLParser):
+    """Blocks of what an author edited: inline markup stays in the paragraphs, a line break ends one, nothing counts as chrome.
+
+    Tables and preformatted text are kept whole, as is everything inside an inline element. An inline element that its
+    block leaves open ends with the block.
+    """
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks: list[dict] = []
+        self.open: list[str] = []  # block elements
+        self.inline: list[str] = []
+        self.held: list[str] = []
+        self.inside: list[str] = []  # a heading, a whole element, media or something dropped, with what is open in it
+        self.parts: list[str] = []
+        self.media: str | None = None
+
+    def add(self, kind: str, text: str | None = None, level: int | None = None, src: str | None = None, alt: str | None = None) -> None:
+        self.blocks.append({"type": kind, "level": level, "text": text, "src": src, "alt": alt})
+
+    def flush(self) -> None:
+        for part in re.split(r"<br\s*/?>", "".join(self.held), flags=re.I):
+            if html.unescape(re.sub(r"<[^>]*>", "", part)).strip():
+                self.add("paragraph", part.strip())
+        self.held, self.inline = [], []
+
+    def settle(self, tag: str) -> None:
+        """Ends the heading, whole element or media."""
+        text = "".join(self.parts)
+        if tag in HEADINGS and text.strip():
+            self.add("heading", text.strip(), int(tag[1]))
+        elif tag in WHOLE and re.sub(r"<[^>]*>", "", text).strip():
+            self.add("html", text)
+        elif tag in {"audio", "video"} and self.media:
+            self.add(tag, src=self.media)
+        self.inside, self.parts, self.media = [], [], None
+
+    def handle_starttag(self, tag, attrs):
+        src = (dict(attrs).get("src") or "").strip()
+        if self.inside:
+            if self.inside[0] in WHOLE and tag not in NOT_EDITED:
+                self.parts.append(self.get_starttag_text() or "")
+            if tag == "source":
+                self.media = self.media or src
+            if tag not in VOID:
+                self.inside.append(tag)
+        elif tag in NOT_EDITED:
+            self.inside = [] if tag in VOID else [tag]
+        elif self.inline or tag not in EDITED:
+            self.held.append(self.get_starttag_text() or "")
+            if tag not in VOID:
+                self.inline.append(tag)
+        else:
+            self.flush()
+            if tag in HEADINGS or tag in WHOLE or tag in {"audio", "video"}:
+                self.inside, self.media = [tag], src
+                self.parts = [self.get_starttag_text() or ""] if tag in WHOLE else []
+            elif tag == "img" and src:
+                self.add("image", src=src, alt=dict(attrs).get("alt") or "")
+            elif tag not in VOID:
+                if tag == "p" and self.open and self.open[-1] == "p":
+                    self.open.pop()
+                self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if self.inside:
+            if tag in self.inside:
+                if self.inside[0] in WHOLE:
+                    self.parts.append(f"</{tag}>")
+                while self.inside and self.inside[-1] != tag:
+                    self.inside.pop()
+                if len(self.inside) == 1:
+                    self.settle(tag)
+                else:
+                    self.inside.pop()
+        elif tag in self.inline:
+            self.held.append(f"</{tag}>")
+            while self.inline.pop() != tag:
+                pass
+        elif tag in self.open:
+            self.flush()
+            while self.open.pop() != tag:
+                pass
+        elif self.inline and tag not in VOID:
+            self.held.append(f"</{tag}>")
+
+    def handle_data(self, data):
+        safe = html.escape(data, quote=False)
+        if not self.inside:
+            self.held.append(safe)
+        elif self.inside[0] not in NOT_EDITED and not NOT_EDITED.intersection(self.inside):
+            self.parts.append(data if self.inside[0] in HEADINGS else safe)
+
+    def read(self, text: str) -> list[dict]:
+        self.feed(text)
+        self.close()
+        if self.inside:
+            self.settle(self.inside[0])
+        self.flush()
+        return self.blocks
+
+
 BLOCKS = "array<struct<type:string,level:int,text:string,src:string,alt:string>>"
 
 
@@ -162,6 +269,15 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     return source.mapInArrow(run, f"id {kind}, title string, blocks {BLOCKS}, links array<struct<url:string,title:string>>").withColumnRenamed("id", id_col)
 
 
+_BLOCK = T.StructType([T.StructField(c, T.IntegerType() if c == "level" else T.StringType()) for c in ("type", "level", "text", "src", "alt")])
+
+
+@F.pandas_udf(T.ArrayType(_BLOCK))
+def edited_blocks(s: pd.Series) -> pd.Series:
+    """The blocks of HTML from an editor; null and empty HTML have none."""
+    return s.map(lambda x: Editor().read(x or ""))
+
+
 @F.pandas_udf(T.StringType())
 def plain_text(s: pd.Series) -> pd.Series:
     """The collapsed text of inline HTML."""

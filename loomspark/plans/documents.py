@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.pagehtml import blocks_to_html, import_sanitized, parsed, plain_text, sanitized
+from ..functions.pagehtml import blocks_to_html, edited_blocks, import_sanitized, parsed, plain_text, sanitized
 from ..functions.text import split_long_text
 from ..operators import documents as D
 from ..sources.tables import table
@@ -13,11 +13,22 @@ from .registry import query
 
 @query("txt02_blocks")
 def blocks(spark, d):
-    """SRC-13, TXT-01, TXT-02, TXT-03, TOP-06: each page's title and blocks."""
+    """SRC-13, TXT-01, TXT-02, TOP-06: each page's title and blocks."""
     got = parsed(table(spark, d, "pages"), "page_id", "url", "html")
     return got.select("page_id", "title", F.posexplode("blocks").alias("i", "b")).select("page_id", "title", "i", "b.type", "b.level", "b.text")
 
 
+@query("txt03_edited", r"""WITH x AS (SELECT doc_id, string_split(replace(text, chr(13), ' '), chr(10)) AS p FROM documents),
+y AS (SELECT doc_id, unnest(list_filter(list_transform(p, lambda t: regexp_replace(t, '^\s+|\s+$', '', 'g')), lambda t: length(t) > 0)) AS text, generate_subscripts(list_filter(list_transform(p, lambda t: regexp_replace(t, '^\s+|\s+$', '', 'g')), lambda t: length(t) > 0), 1) AS i FROM x)
+SELECT doc_id, CAST(i - 1 AS INT) AS i, 'paragraph' AS type, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS text FROM y""")
+def edited(spark, d):
+    """TXT-03: texts as an editor holds them, a line break after each line and markup escaped, back to paragraphs."""
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html = F.concat(F.lit("<div><script>x</script>"), F.regexp_replace(F.replace(safe, F.lit("\r"), F.lit(" ")), "\n", "<br>"), F.lit("</div>"))
+    got = table(spark, d, "documents").select("doc_id", edited_blocks(html).alias("blocks"))
+    return got.select("doc_id", F.posexplode("blocks").alias("i", "b")).select("doc_id", "i", "b.type", "b.text")
+
+
 @query("txt04_html")
 def rendered(spark, d):
     """TXT-04: blocks back to HTML."""

@@ -120,3 +120,23 @@ def test_retry_loops(spark, marks, want):
     df = spark.createDataFrame([(1, i, m == "S") for i, m in enumerate(marks)], "k int, i int, ok boolean")
     r = L.retry_states(df, ["k"], ["i"], F.col("ok"), 3).first()
     assert (r["attempts"], r["state"]) == want
+
+
+def test_editor_blocks(spark):
+    from loomspark.functions.pagehtml import edited_blocks
+
+    cases = {
+        "before<p>one<br>two <b>bold</b></p>after": [("paragraph", "before"), ("paragraph", "one"), ("paragraph", "two <b>bold</b>"), ("paragraph", "after")],
+        "<div><h2>A <i>head</i></h2><div class='sidebar'>kept &amp; safe</div></div>": [("heading", "A head"), ("paragraph", "kept &amp; safe")],
+        "<p>&nbsp;<b> </b></p><script>x<p></script><hr>": [],
+        "<table><tr><td>1 &lt; 2</td></tr></table><pre> a\n b</pre><table></table>": [("html", "<table><tr><td>1 &lt; 2</td></tr></table>"), ("html", "<pre> a\n b</pre>")],
+        "<figure><img src=' a.png ' alt='x'><figcaption>cap</figcaption></figure><img alt='none'>": [("image", "a.png"), ("paragraph", "cap")],
+        "<video><source src='v.mp4'><source src='w.webm'>none</video><audio src='a.mp3'></audio>": [("video", "v.mp4"), ("audio", "a.mp3")],
+        "<a href='q'><img src='i.png'></a> text": [("paragraph", "<a href='q'><img src='i.png'></a> text")],
+        "<p>open <b>bold</p><p>next</p>": [("paragraph", "open <b>bold"), ("paragraph", "next")],
+        "": [],
+    }
+    df = spark.createDataFrame([*[(k,) for k in cases], (None,)], "h string")
+    got = {r["h"]: [(b["type"], b["src"] or b["text"]) for b in r["b"]] for r in df.select("h", edited_blocks("h").alias("b")).collect()}
+    assert got.pop(None) == [] and got == cases
+    assert spark.createDataFrame([("<b>" * 100_000 + "x",)], "h string").select(edited_blocks("h")[0]["type"]).first()[0] == "paragraph"
