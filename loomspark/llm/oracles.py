@@ -22,3 +22,35 @@ SELECT conv_id, speaker, part, count(*) AS n_turns, count(*) FILTER (name = spea
        coalesce(string_agg(CAST(stop - n + length(head) AS VARCHAR) || '-' || CAST(stop AS VARCHAR), ',' ORDER BY place) FILTER (name = speaker), '') AS masks
 FROM o GROUP BY conv_id, speaker, part
 """
+
+SQL["op13_interaction"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+l AS (SELECT doc_id AS id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' ELSE '' END)
+         || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+         || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY part, fails),
+a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS z),
+o AS (
+  SELECT a.z || b.z || c.z || d.z || e.z AS filter_order FROM a, a AS b, a AS c, a AS d, a AS e
+  WHERE len(list_distinct([a.z, b.z, c.z, d.z, e.z])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS z, filter_order[:step] AS upto FROM o, range(1, 6) AS r(step)),
+r AS (
+  SELECT c.*, s.*, strpos(fails, z) > 0 AS own, (length(translate(fails, upto[:step - 1], '')) < length(fails)) AS gone FROM c, s),
+p AS (
+  SELECT part, filter_order, step, z,
+         sum(n) - sum(CASE WHEN gone OR own THEN n ELSE 0 END) AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN own AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = z THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN own AND NOT gone THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN own AND NOT gone THEN x ELSE 0 END) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, z)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, z) AS BIGINT) AS shapley
+FROM p
+"""
