@@ -54,3 +54,38 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(sum(removed) OVER (PARTITION BY part, z) AS BIGINT) AS shapley
 FROM p
 """
+
+SQL["op11_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place,
+         {'r': coalesce(role, ''), 't': coalesce(text, '')} AS said
+  FROM conversations WHERE conv_id IS NOT NULL),
+b AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base,
+         flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS steps
+  FROM t GROUP BY conv_id),
+c AS (
+  SELECT conv_id, n, base, xor(list_reduce(list_prepend(4294967295, steps),
+         lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END), 4294967295) % 4 AS h
+  FROM b),
+h AS (SELECT c.*, least(c.h, coalesce(o.n, 0)) AS got FROM c LEFT JOIN c AS o ON c.base = o.conv_id),
+r AS (
+  SELECT h.conv_id, t.place - h.h + h.got AS place, said FROM h JOIN t USING (conv_id) WHERE t.place >= h.h
+  UNION ALL SELECT h.conv_id, t.place, said FROM h JOIN t ON h.base = t.conv_id WHERE t.place < h.got),
+q AS (SELECT conv_id, list(said ORDER BY place) AS path FROM r GROUP BY conv_id),
+w AS (SELECT h.conv_id, coalesce(path, []) AS path FROM h LEFT JOIN q USING (conv_id)),
+d AS (SELECT conv_id, path[:depth] AS path, depth, depth = len(w.path) AS ending FROM w, LATERAL (SELECT unnest(range(0, len(w.path) + 1)) AS depth)),
+n AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, count(*) FILTER (ending) AS n_ends,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ending), '')) AS ends_sha256
+  FROM d GROUP BY path, depth),
+k AS (
+  SELECT n.*, (SELECT count(*) FROM n AS x WHERE x.depth = n.depth + 1 AND x.path[:n.depth] = n.path) AS n_children,
+         CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(path[depth].t, '[^\x20\x09-\x0D]+')) END AS spared
+  FROM n),
+s AS (
+  SELECT a.path, count(*) FILTER (x.n_children = 0) AS n_leaves, sum(x.spared) AS saved_tokens
+  FROM k AS a JOIN k AS x ON x.depth >= a.depth AND x.path[:a.depth] = a.path GROUP BY a.path)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, k.n_ends, k.ends_sha256
+FROM k JOIN s ON k.path = s.path LEFT JOIN k AS p ON p.depth = k.depth - 1 AND p.path = k.path[:k.depth - 1]
+"""
