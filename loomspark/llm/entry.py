@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, interaction, language_model, mixing, neardup, neighbours, sharding, toxicity, trie, urls, webtext
+from . import chat, decontamination, interaction, language_model, lines, mixing, neardup, neighbours, sharding, toxicity, trie, urls, webtext
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_urls": urls.op9_urls,
         "op10_mixing": mixing.op10_mixing,
         "op11_trie": trie.op11_trie,
+        "op12_lines": lines.op12_lines,
         "op13_interaction": interaction.op13_interaction,
     }
 

@@ -61,18 +61,28 @@ def word_codes(data: np.ndarray, bounds: np.ndarray, loose: bool = False) -> tup
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     low = _LOWER[data]
-    black = ~(_PUNCTUATION if loose else _SPACE)[low]
+    starts, ends = word_spans(low, bounds, loose)
+    return span_codes(low, starts, ends), np.searchsorted(starts, bounds)
+
+
+def word_spans(data: np.ndarray, bounds: np.ndarray, loose: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts laid end to end begin and end; no word crosses from one text to the next."""
+    black = ~(_PUNCTUATION if loose else _SPACE)[data]
     first, last = black.copy(), black.copy()
     first[1:] &= ~black[:-1]
     last[:-1] &= ~black[1:]
     inner = bounds[(bounds > 0) & (bounds < len(data))]
     first[inner] = black[inner]
     last[inner - 1] = black[inner - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Codes of spans of bytes; equal bytes have equal codes."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data))[: len(data)], out=total[1:])
-    raw = (total[ends] - total[starts]) * _power(_BACK, len(data))[starts]
-    return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(starts, bounds)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data))[: len(data)], out=total[1:])
+    raw = (total[ends] - total[starts]) * _power(_BACK, len(data) + 1)[starts]
+    return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_codes(words: np.ndarray, n: int) -> np.ndarray:
