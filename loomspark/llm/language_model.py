@@ -3,11 +3,13 @@
 The lowest level is p1(w) = (c + 1/2) / (N + (V + 1)/2) over all words of the training texts and one unseen word. Above
 it are pairs of words, all of them. For a history h
 
-    p(w | h) = d(c(h, w)) c(h, w) / c(h)   where the pair was seen,
+    p(w | h) = d(c(h, w)) c(h, w) / n(h)   where the pair was seen,
              = a(h) p1(w)                  where it was not,
 
-with Good-Turing discounts d for counts up to 5 and a(h) such that the sum over all words is 1. The text's end is a
-word, and the history of its first word.
+with Good-Turing discounts d for counts up to 5 and a(h) such that the sum over all words is 1. n(h) is c(h), or half a
+count more than the discounted counts of h together where these leave less than that for words not seen after h (as
+they do where all were seen over 5 times), so every history keeps something for new words. The text's end is a word,
+and the history of its first word.
 
 The frequent words have numbers, and their counts and a(h) are sent to every task. Pairs are dealt to shards so that a
 shard has all it needs: pairs of two frequent words by the pair, others under their rare word (a pair of two rare words
@@ -301,11 +303,20 @@ class Model:
 
     def __init__(self, own: Classes, d: np.ndarray, kept: np.ndarray, below: np.ndarray):
         self.own, self.d = own, d
-        self.log_a, self.log_n = _log_a(own.counts, kept, below), np.log10(own.counts)
+        self.log_a, self.log_n = _log_a(own.counts, kept, below), np.log10(_size(own.counts, kept))
+
+
+#: The part of a count that words not seen after a history share at least.
+SPARE = 0.5
+
+
+def _size(n: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """n(h) of histories with these counts and discounted counts."""
+    return np.maximum(n, kept + SPARE)
 
 
 def _log_a(n: np.ndarray, kept: np.ndarray, below: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(1 - kept / n, 1e-300) / np.maximum(1 - below, 1e-300))
+    return np.log10((1 - kept / _size(n, kept)) / np.maximum(1 - below, 1e-300))
 
 
 def _picked(values: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -337,7 +348,7 @@ class Shard:
         if len(codes):
             sums[2] = sums[2] + np.bincount(np.searchsorted(self.histories, codes), weights=below, minlength=len(self.histories))
         self.log_a = _log_a(*sums)
-        self.before = self._pairs(history, partner, np.log10(_kept(n, d)) - np.repeat(np.log10(sums[0]), sizes))
+        self.before = self._pairs(history, partner, np.log10(_kept(n, d)) - np.repeat(np.log10(_size(*sums[:2])), sizes))
 
     @staticmethod
     def _keys(key: np.ndarray, partner: np.ndarray) -> np.ndarray:
@@ -489,7 +500,9 @@ def katz(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     learnt = source.filter("train").select("text")
     words = written(learnt.mapInArrow(_word_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("c")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    steps = sorted(((r["c"], r["k"]) for r in words.groupBy("c").agg(F.count("*").alias("k")).collect()), reverse=True)  # distinct counts: at most sqrt(2 N)
+    # counts by their first 12 binary digits: at most 131,072 rows, whatever the corpus
+    low = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2("c")) - 11, F.lit(0))).cast("long")
+    steps = sorted(((r["least"], r["k"]) for r in words.groupBy((F.col("c") - F.col("c") % low).alias("least")).agg(F.count("*").alias("k")).collect()), reverse=True)
     least, room = math.inf, min(frequent, 1 << 16)
     for c, k in steps:
         if k > room:
