@@ -3,8 +3,9 @@
 The golden-ratio sequence u(i) = frac((i + 1/2) / phi) is mapped through the cumulative target shares: slot i of the
 schedule belongs to the source whose interval holds u(i), so every stretch of the schedule has nearly the target
 shares. The k-th slot of a source takes the k-th block of its stream: its documents in hashed order, laid end to end,
-and repeated from the start when they run out. All blocks have the same number of words, but the last of a source ends
-where its target is reached, and a residual slot behind the schedule takes what its blocks leave of the target.
+and repeated from the start when they run out. All blocks have the same number of words, but the stream ends where the
+source's target is reached: slots behind that stay empty, and the last slot of a source holds all that is left then.
+The mix is the slots in order, so where a document's words stand in it follows from the schedule alone.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), budge
     return ranked.select("source", "source_size", "sid", "weight", "target", "low", "high", "goal")
 
 
-def schedule(spark: SparkSession, targets: DataFrame, n_slots: int, block: int) -> DataFrame:
+def schedule(spark: SparkSession, targets: DataFrame, n_slots: int, step: float = STEP) -> DataFrame:
     """(slot, sid, block): which block of which source each slot of the schedule takes.
 
     Slots find their source by a join on the cell (1/1024 of the unit interval) that point and interval share. The
@@ -63,7 +64,7 @@ def schedule(spark: SparkSession, targets: DataFrame, n_slots: int, block: int)
     its place in the chunk, so a source with most of the slots is no single group.
     """
     point = F.col("i") + 0.5
-    slots = spark.range(n_slots).select(F.col("id").alias("i")).select("i", (point * STEP - F.floor(point * STEP)).alias("u"))
+    slots = spark.range(n_slots).select(F.col("id").alias("i")).select("i", (point * step - F.floor(point * step)).alias("u"))
     slots = slots.withColumn("cell", F.floor(F.col("u") * _CELLS).cast("int")).withColumn("chunk", F.floor(F.col("i") / _CHUNK))
     live = targets.filter(F.col("high") > F.col("low"))
     cells = F.sequence(F.floor(F.col("low") * _CELLS).cast("int"), F.least(F.floor(F.col("high") * _CELLS), F.lit(_CELLS - 1)).cast("int"))
@@ -85,30 +86,32 @@ def mix_sources(
     weights: Sequence[float] = (3, 1, 2),
     budget: float = 1.5,
     most: float = 2.0,
-    slots: int = 1 << 18,
+    block: int = 1024,
     buckets: int = 1024,
     seed: int = 17,
+    step: float = STEP,
 ) -> DataFrame:
-    """For every row of ``docs``: its id, source, size in words, its source's size and target, and the words taken.
-
-    ``slots`` bounds the length of the schedule: blocks have ceil(target words / slots) words. A source's words are its
-    target's, rounded, however small it is beside a block. A document's words may be taken twice (``most`` passes at most), in part where
-    a block ends inside it. Null texts have size 0 and nothing is taken of them; a null source is a source of its own,
-    the last one. Repeated rows are separate documents. Columns other than the three named are not read. Same input,
-    same result.
+    """For every row of ``docs``: its id, source, size in words, its source's size and target, the words taken, and places.
+
+    places lists where the words taken stand in the mix, in order: slot, offset (in words, inside the slot), words. A
+    document's pass through its source's stream has a piece for each block of ``block`` words that it meets, so pieces
+    grow with the document alone. A source's words are its target's, rounded; a document's may be taken twice (``most``
+    passes at most), in part where the target ends inside it. A source so small that no slot of the schedule is its own
+    has one behind the schedule. Null texts have size 0 and nothing is taken of them; a null source is a source of its
+    own, the last one. Repeated rows are separate documents. Columns other than the three named are not read. Same
+    input, same result.
     """
     spark = docs.sparkSession
     sized = written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size")), "mix-sizes")
     targets = written(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most), "mix-targets")
     goal = targets.agg(F.max("goal")).first()[0] or 0.0  # one number
-    block = max(1, -int(-goal // slots))
-    plan = schedule(spark, targets, -int(-goal // block), block)
-    ends = targets.join(plan.groupBy("sid").agg((F.count("*") * block).alias("edge")), "sid", "left")
-    ends = written(ends.withColumn("edge", F.coalesce("edge", F.lit(0))).withColumn("whole", F.round("target").cast("long")), "mix-ends")
-
-    key = [F.lit(seed), F.col("doc_id"), F.col("size")]
-    spot = F.xxhash64(*key)
-    dealt = sized.join(ends.select(F.col("source").alias("_source"), "sid", "source_size", "target", "edge", "whole"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    slots = -int(-goal // block)
+    plan = schedule(spark, targets, slots, step)
+    ends = targets.join(plan.groupBy("sid").agg((F.max("block")).alias("last")), "sid", "left")
+    ends = written(ends.withColumn("last", F.coalesce("last", F.lit(0))).withColumn("whole", F.round("target").cast("long")), "mix-ends")
+
+    spot = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
+    dealt = sized.join(ends.select(F.col("source").alias("_source"), "sid", "source_size", "target", "last", "whole"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     dealt = dealt.withColumn("spot", spot).withColumn("bucket", F.pmod(F.xxhash64(F.col("spot")), F.lit(buckets)))
     ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("sid", "bucket").agg(F.sum("size").alias("words")).select("sid", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
@@ -119,19 +122,24 @@ def mix_sources(
     passes = int(-(-most // 1))
     first = F.col("start") + F.col("pass") * F.col("source_size")
     laid = laid.withColumn("pass", F.explode(F.array(*[F.lit(p) for p in range(passes)]))).withColumn("first", first)
-    reach = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("size") - 1) / block)))
+    laid = laid.withColumn("stop", F.least(F.col("first") + F.col("size"), "whole"))
+    # the last block has no end but the stream's
+    met = lambda at: F.least(F.floor(at / block), F.col("last"))
+    reach = F.when(F.col("stop") > F.col("first"), F.sequence(met(F.col("first")), met(F.col("stop") - 1)))
     pieces = laid.withColumn("block", F.explode_outer(reach))
-    held = pieces.join(plan.select("sid", "block", F.lit(1).alias("hit")), ["sid", "block"], "left")
-    last = F.least(F.col("first") + F.col("size"), "whole")
-    piece = F.greatest(F.least(last, (F.col("block") + 1) * block) - F.greatest(F.col("first"), F.col("block") * block), F.lit(0))
-    taken = F.coalesce(F.sum(F.when(F.col("hit") == 1, piece)), F.lit(0)) + F.sum(F.when(F.col("residual"), F.col("rest")).otherwise(0))
-    held = held.withColumn("rest", F.greatest(last - F.greatest("first", "edge"), F.lit(0)))
-    # a pass's residual counts once, at its last block
-    held = held.withColumn("residual", F.col("block") == F.floor((F.col("first") + F.col("size") - 1) / block))
-    mixed = held.groupBy("sid", "bucket", "nth", "start", "doc_id", "source", "size", "source_size", "target").agg(taken.cast("long").alias("taken"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+    low = F.greatest(F.col("first"), F.col("block") * block)
+    high = F.when(F.col("block") < F.col("last"), F.least(F.col("stop"), (F.col("block") + 1) * block)).otherwise(F.col("stop"))
+    held = pieces.join(plan, ["sid", "block"], "left").withColumn("slot", F.coalesce("slot", F.lit(slots) + F.col("sid")))
+    piece = F.when(F.col("block").isNotNull(), F.struct(F.col("slot").cast("long").alias("slot"), (low - F.col("block") * block).cast("long").alias("offset"), (high - low).cast("long").alias("words")))
+    row = ["sid", "bucket", "nth", "start", "doc_id", "source", "size", "source_size", "target"]
+    mixed = held.groupBy(*row).agg(F.array_sort(F.collect_list(piece)).alias("places"))
+    taken = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p["words"])
+    return mixed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "places")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed with weights 3, 1, 2, repeating, to 150% of all words."""
-    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    """All documents mixed with weights 3, 1, 2, repeating, to 150% of all words; slot and offset are where one first stands."""
+    first = F.get("places", F.lit(0))
+    return mix_sources(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", first["slot"].alias("slot"), first["offset"].alias("offset"), F.size("places").cast("long").alias("pieces")
+    )

@@ -89,8 +89,8 @@ def test_targets_are_the_fixed_point_of_resharing(spark):
 def test_small_sources_take_their_targets_beside_large_blocks(spark):
     rng = random.Random(11)
     df = docs(spark, [(i, words(rng, 50), "big") for i in range(400)] + [(1000 + i, words(rng, 7), f"s{i % 9}") for i in range(30)] + [(2000, None, "s1"), (2001, "one", None)])
-    for slots in (3, 16, 1 << 18):
-        got = mixing.mix_sources(df, slots=slots).collect()
+    for block in (20_000, 1024, 1):
+        got = mixing.mix_sources(df, block=block).collect()
         assert len(got) == 432
         total, target = collections.Counter(), {}
         for r in got:
@@ -107,7 +107,8 @@ def test_mix_comes_near_its_targets_and_repeats_itself(spark):
     one, two = ([tuple(r) for r in mixing.mix_sources(df).orderBy("doc_id", "size", "source").collect()] for _ in range(2))
     assert one == two and len(one) == len(rows)
     taken, target = collections.Counter(), {}
-    for doc_id, source, size, source_size, goal, n in one:
+    for doc_id, source, size, source_size, goal, n, places in one:
+        assert n == sum(p["words"] for p in places)
         assert 0 <= n <= 2 * size
         taken[source] += n
         target[source] = goal
@@ -115,6 +116,64 @@ def test_mix_comes_near_its_targets_and_repeats_itself(spark):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def sequential_mix(rows, targets, block, step):
+    """The mix as a list of (doc_id, word number), slot by slot; rows: (doc_id, source, size) in the order of their streams."""
+    streams, whole = collections.defaultdict(list), {k: math.floor(t + 0.5) for k, t in targets.items()}
+    for doc_id, source, size in rows:
+        streams[source] += [(doc_id, w) for w in range(size)]
+    streams = {k: (v * 2)[: whole[k]] for k, v in streams.items()}
+    order = [*sorted(k for k in targets if k is not None), *([None] if None in targets else [])]
+    goal = sum(targets.values())
+    slots = math.ceil(goal / block)
+    owners = []
+    for i in range(slots):
+        u, high = (i + 0.5) * step % 1, 0.0
+        for k in order:
+            high += targets[k] / goal
+            if u < high and targets[k] > 0:
+                break
+        owners.append(k)
+    last = {k: max((i for i, o in enumerate(owners) if o == k), default=None) for k in order}
+    out, used = [], collections.Counter()
+    for i, k in enumerate(owners):
+        stop = len(streams.get(k, [])) if i == last[k] else used[k] + block
+        out += streams.get(k, [])[used[k] : stop]
+        used[k] = stop
+    for k in order:
+        if last[k] is None:
+            out += streams.get(k, [])
+    return out
+
+
+@pytest.mark.parametrize(("block", "step"), [(16, mixing.STEP), (16, 0.37), (7, mixing.STEP), (1024, mixing.STEP)])
+def test_the_mix_is_that_of_a_sequential_schedule(spark, block, step):
+    rng = random.Random(14)
+    df = docs(spark, [(i, words(rng, rng.randrange(0, 60)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(120)] + [(500, "one two", "d")])
+    got = mixing.mix_sources(df, block=block, step=step).collect()
+    spot = F.xxhash64(F.lit(17), F.col("doc_id"), F.col("size"))
+    sized = df.select("doc_id", "source", F.size(F.split(F.trim("text"), " ")).alias("n"), mixing.word_count("text").alias("size"))
+    rows = sized.withColumn("spot", spot).withColumn("bucket", F.pmod(F.xxhash64("spot"), F.lit(1024))).orderBy("bucket", "spot").collect()
+    want = sequential_mix([(r["doc_id"], r["source"], r["size"]) for r in rows], {r["source"]: r["target"] for r in got}, block, step)
+    pieces = []
+    for r in got:
+        at = 0
+        for p in sorted(r["places"], key=lambda p: (p["slot"], p["offset"])):
+            pieces.append((p["slot"], p["offset"], p["words"], r["doc_id"], at % max(1, r["size"])))
+            at += p["words"]
+    pieces.sort()
+    found = [doc_id for _, _, n, doc_id, _ in pieces for _ in range(n)]
+    assert found == [d for d, _ in want]
+
+
+def test_the_schedule_decides_the_order_and_not_the_amounts(spark):
+    rng = random.Random(15)
+    df = docs(spark, [(i, words(rng, rng.randrange(1, 60)), f"s{i % 4}") for i in range(200)])
+    runs = [{r["doc_id"]: (r["taken"], r["places"]) for r in mixing.mix_sources(df, **k).collect()} for k in ({"block": 32}, {"block": 32, "step": 0.0}, {"block": 64})]
+    for other in runs[1:]:
+        assert {k: v[0] for k, v in runs[0].items()} == {k: v[0] for k, v in other.items()}
+        assert {k: v[1] for k, v in runs[0].items()} != {k: v[1] for k, v in other.items()}
+
+
 # chat
 
 
@@ -424,17 +483,22 @@ def brute_katz(train, texts):
     for (h, _), n in pairs.items():
         first[h] += n
     kept = lambda n: (d[n] if n <= 5 else 1.0) * n
+    after = collections.defaultdict(list)
+    for (h, w), n in pairs.items():
+        after[h].append((w, n))
 
     def p(h, w):
-        if pairs[h, w]:
-            return kept(pairs[h, w]) / first[h]
         if not first[h]:
             return p1(w)
-        after = [(x, n) for (g, x), n in pairs.items() if g == h]
-        return (1 - sum(kept(n) for _, n in after) / first[h]) / (1 - sum(p1(x) for x, _ in after)) * p1(w)
+        own = sum(kept(n) for _, n in after[h])
+        size = max(first[h], own + 0.5)
+        if pairs[h, w]:
+            return kept(pairs[h, w]) / size
+        return (1 - own / size) / (1 - sum(p1(x) for x, _ in after[h])) * p1(w)
 
     vocabulary = [*c, "never-seen"]
-    assert sum(p("w1", w) for w in vocabulary) == pytest.approx(1)
+    for h in list(c)[:8] + ["<end>"]:
+        assert sum(p(h, w) for w in vocabulary) == pytest.approx(1)
     out = []
     for t in texts:
         own = (t or "").lower().split() + ["<end>"]
@@ -468,6 +532,21 @@ def test_katz_counts_pairs_of_all_words(spark):
             assert (got[i]["n_tokens"], got[i]["n_known"]) == (n, known)
 
 
+@pytest.mark.parametrize("frequent", [0, 65_535])
+def test_katz_keeps_something_for_new_words_after_frequent_pairs_only(spark, frequent):
+    train = ["a b"] * 10
+    got = {r["doc_id"]: r for r in language_model.katz(docs(spark, [(i, t, "train") for i, t in enumerate(train)] + [(90, "b c a", "held")]), F.col("source") == "train", frequent=frequent).collect()}
+    (base, score, _, _) = brute_katz(train, ["b c a"])[0]
+    assert (got[90]["base_score"], got[90]["score"]) == pytest.approx((base, score))
+    assert base - 6 < got[90]["score"] < 0
+
+
+def test_katz_scores_held_out_texts_above_their_base(spark, sf):
+    got = [r for r in language_model.op2_katz(spark, sf).collect() if r["held_out"]]
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+    assert all(r["score"] > -20 * r["n_tokens"] for r in got)
+
+
 def test_katz_with_few_classes_sums_to_one_and_repeats_count(spark):
     rng = random.Random(3)
     rows = [(i, words(rng, 30, 50), "train") for i in range(40)] + [(7, "w1 w2", "held"), (7, "w1 w2", "held"), (None, "w1", "held")]
