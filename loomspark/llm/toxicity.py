@@ -167,12 +167,15 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, examples: int, most_bytes: int, k: int, boost: float, evidence: float) -> Model:
-    """The model from at most ``examples`` labelled rows (those with the least hashes of their ids) of ``most_bytes`` text in all."""
+    """The model from at most ``examples`` labelled rows (those with the least hashes of their ids) of ``most_bytes`` text in all.
+
+    Texts over a quarter of ``most_bytes`` are not learned from, so one text can't take the room of all others.
+    """
     spark = docs.sparkSession
     named = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     drawn = named.orderBy(F.xxhash64("id"), "id").limit(examples)  # the documented bound
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    alike = texts.filter("text <> ''").join(F.broadcast(drawn), "id").groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label"))
+    alike = texts.filter("text <> ''").filter(F.octet_length("text") <= most_bytes // 4).join(F.broadcast(drawn), "id").groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label"))
     rows = written(alike, "examples")
     upto = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sizes = rows.select("id", F.octet_length("text").alias("n"))  # ``examples`` rows of two numbers
@@ -233,7 +236,7 @@ def toxicity(
     """(id_col, score, evidence) for every row of ``docs``; score is the probability of label 1.
 
     ``labels`` holds id_col and label_col; of its rows with a label, at most ``examples`` are learned from, with at most
-    ``most_bytes`` of text from ``learn_from`` (else ``docs``); examples with equal texts are one, with the largest label.
+    ``most_bytes`` of text from ``learn_from`` (else ``docs``; no text over a quarter of that); examples with equal texts are one, with the largest label.
     Words are runs of other than white space and ASCII punctuation, A-Z lower-cased; all are terms. A term whose
     log-likelihood ratio with the label is ``evidence`` or more weighs up to 1 + ``boost`` times its idf. evidence lists
     up to ``k`` neighbours: id, cosine, label. A text that is null, empty or shares no word with any example gets the rate
