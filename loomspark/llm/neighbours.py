@@ -2,8 +2,13 @@
 
 The forest is fitted on a bounded sample: each split is the hyperplane between two sampled vectors, at the median.
 Every vector is then routed through every tree. A query searches all trees through one priority queue, always
-following the branch whose worst margin so far is least, until the leaves it has visited cover the asked share of the
-vectors; the vectors in those leaves, and only those, are scored exactly.
+following the branch whose worst margin so far is least, until the leaves it has visited hold the asked share of the
+sample, and more than k of it; the vectors in those leaves, and only those, are scored exactly. Which share is asked is
+measured: some sampled vectors search the sample, and the share is taken at which they have found the asked part of their
+true neighbours, so clustered vectors are searched in few leaves and evenly spread ones in many.
+
+Vectors lie in blocks in the order of the first tree's leaves. A query goes to the blocks that share a visited leaf with
+it, by a join on (tree, leaf).
 """
 
 from __future__ import annotations
@@ -21,6 +26,9 @@ from pyspark.sql.window import Window
 
 from .tables import read, written
 
+#: Sampled vectors that search the sample to measure how far a search must go.
+_MEASURED = 48
+
 
 class Forest:
     """Complete binary trees of the same depth; nodes in heap order."""
@@ -31,7 +39,9 @@ class Forest:
         self.inner = (1 << self.depth) - 1
         self.planes = np.zeros((trees, self.inner, sample.shape[1]))
         self.cuts = np.zeros((trees, self.inner))
-        self.shares = np.zeros((trees, 1 << self.depth))
+        #: Of each tree and leaf the sampled vectors in it.
+        self.members: list[list[np.ndarray]] = []
+        self.sampled = n
         rng = np.random.default_rng(seed)
         for t in range(trees):
             level = [np.arange(n)]
@@ -50,7 +60,7 @@ class Forest:
                     self.planes[t, node], self.cuts[t, node] = plane, cut
                     below += [own[side < cut], own[side >= cut]]
                 level = below
-            self.shares[t] = [len(own) / max(1, n) for own in level]
+            self.members.append([own.astype(np.int32) for own in level])
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf of each vector in each tree."""
@@ -63,26 +73,49 @@ class Forest:
             out[:, t] = node - self.inner
         return out
 
-    def search(self, query: np.ndarray, cover: float) -> np.ndarray:
-        """Which leaves (trees x leaves, True) a query visits until they hold about ``cover`` of the vectors.
-
-        Trees are taken as independent: the part that no visited leaf holds is the product over the trees.
-        """
-        visited = np.zeros(self.shares.shape, dtype=bool)
+    def walk(self, query: np.ndarray) -> Iterator[tuple[int, int]]:
+        """All leaves as (tree, leaf), those of the least margin first."""
         margins = self.planes @ query - self.cuts
-        open_ = np.ones(len(self.planes))
         queue = [(0.0, t, 0) for t in range(len(self.planes))]
-        while queue and 1 - np.prod(np.maximum(open_, 0)) < cover:
+        while queue:
             worst, t, node = heapq.heappop(queue)
             while node < self.inner:
                 m = margins[t, node]
                 near, far = (2 * node + 2, 2 * node + 1) if m >= 0 else (2 * node + 1, 2 * node + 2)
                 heapq.heappush(queue, (max(worst, abs(m)), t, far))
                 node = near
-            visited[t, node - self.inner] = True
-            open_[t] -= self.shares[t, node - self.inner]
+            yield t, node - self.inner
+
+    def search(self, query: np.ndarray, least: int) -> np.ndarray:
+        """Which leaves (trees x leaves, True) a query visits until they hold ``least`` sampled vectors, or all."""
+        visited = np.zeros((len(self.planes), 1 << self.depth), dtype=bool)
+        held, n = np.zeros(self.sampled, dtype=bool), 0
+        for t, leaf in self.walk(query):
+            if n >= min(least, self.sampled):
+                break
+            visited[t, leaf] = True
+            own = self.members[t][leaf]
+            n += len(own) - int(held[own].sum())
+            held[own] = True
         return visited
 
+    def share_for(self, queries: np.ndarray, near: np.ndarray, recall: float) -> float:
+        """The share of the sample that searches hold when they have found ``recall`` of the sampled vectors ``near`` each query."""
+        needed = []
+        for query, wanted in zip(queries, near, strict=True):
+            held, n, left = np.zeros(self.sampled, dtype=bool), 0, set(wanted.tolist())
+            for t, leaf in self.walk(query):
+                if not left:
+                    break
+                own = self.members[t][leaf]
+                new = own[~held[own]]
+                held[new] = True
+                n += len(new)
+                found = left.intersection(new.tolist())
+                left -= found
+                needed += [n] * len(found)
+        return sorted(needed)[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] / self.sampled if needed else 1.0
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """List arrays of equal length as a matrix of doubles."""
@@ -105,7 +138,7 @@ def nearest(
     k: int = 20,
     trees: int = 12,
     leaf: int = 32,
-    cover: float = 0.85,
+    recall: float = 0.97,
     sample: int = 20_000,
     block: int = 8192,
     seed: int = 7,
@@ -116,8 +149,10 @@ def nearest(
     no candidate. Vectors that are null, zero or hold null or non-finite components take no part, nor do those of
     another length than most have (of equally many, the longer). Equal vectors are one entry of the index with their
     k + 1 least ids, which is all that a result can need. Rows that repeat an id and its vector count once. The forest
-    is fitted on at most ``sample`` distinct vectors (least hashes) and every vector is indexed. Other columns are not
-    read. An empty table gives no rows.
+    is fitted on at most ``sample`` distinct vectors (least hashes) and every vector is indexed; ``recall`` is the part of
+    their true neighbours among the sample that sampled queries must find, and decides how many leaves all queries visit.
+    Those hold more than ``k`` sampled vectors, if there are so many, so no query gets fewer than ``k`` rows where there
+    are ``k`` candidates. Other columns are not read. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     valid = usable(vectors, id_col, vec_col)
@@ -134,9 +169,16 @@ def nearest(
 
     # one more component makes all lengths equal, so that the largest inner product is the nearest point
     drawn = np.array([r["v"] for r in entries.select("v").orderBy(F.xxhash64("v")).limit(sample).collect()])  # ``sample`` rows
-    forest = Forest(np.hstack([drawn, np.sqrt(np.maximum(widest**2 - (drawn**2).sum(1), 0))[:, None]]), trees, leaf, seed)
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps(forest))  # about 2 * sample / leaf * trees planes
-    blocks = max(1, -(-total // block))
+    wide = np.hstack([drawn, np.sqrt(np.maximum(widest**2 - (drawn**2).sum(1), 0))[:, None]])
+    forest = Forest(wide, trees, leaf, seed)
+    some = np.random.default_rng(seed).permutation(len(drawn))[:_MEASURED]
+    closest = drawn[some] @ drawn.T  # _MEASURED x sample
+    closest[np.arange(len(some)), some] = -np.inf
+    near = np.argsort(-closest, axis=1, kind="stable")[:, : min(k, len(drawn) - 1)]
+    least = max(k + 1, int(np.ceil(forest.share_for(np.hstack([drawn[some], np.zeros((len(some), 1))]), near, recall) * len(drawn))))
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(forest))  # about 2 * sample / leaf * trees planes, and the sample's numbers
+    blocks, leaves = max(1, -(-total // block)), 1 << forest.depth
+    parts_of_leaf = max(1, -(-blocks // leaves))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = pickle.loads(sent.value)
@@ -149,10 +191,12 @@ def nearest(
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = pickle.loads(sent.value)
         for batch in batches:
-            visits = [np.packbits(forest.search(np.append(q, 0.0), cover)).tobytes() for q in _matrix(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(visits, pa.binary())], names=["id", "v", "visits"])
+            visits = [forest.search(np.append(q, 0.0), least) for q in _matrix(batch.column(1))]
+            packed = pa.array([np.packbits(x).tobytes() for x in visits], pa.binary())
+            named = pa.array([np.flatnonzero(x).astype(np.int32) for x in visits], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, named], names=["id", "v", "visits", "named"])
 
-    shape, depth = forest.shares.shape, k + 1
+    shape, depth = (trees, leaves), k + 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, ready = None, [], None
@@ -186,11 +230,19 @@ def nearest(
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
 
     laid = entries.select("v", "ids").mapInArrow(index, "v array<double>, ids array<long>, leaves array<int>")
-    laid = laid.select(F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), F.lit(None).cast("long").alias("id"), "v", "ids", "leaves", F.lit(None).cast("binary").alias("visits"))
+    # blocks follow the first tree's leaves: several leaves make a block, or a leaf several blocks
+    own = F.get("leaves", F.lit(0))
+    place = own * parts_of_leaf + F.pmod(F.xxhash64("v"), F.lit(parts_of_leaf)) if parts_of_leaf > 1 else F.floor(own * blocks / leaves)
+    laid = written(laid.withColumn("block", place.cast("int")), "laid")
+    named = F.transform("leaves", lambda x, t: t * leaves + x)
+    homes = laid.select("block", F.explode(named).alias("leaf")).distinct()
     asked = valid.filter(F.pmod("id", F.lit(every)) == 0).select("id", "v")
     parts = max(1, -(-asked.count() // 128))  # a search through the forest takes milliseconds, so few queries make a task
-    asked = asked.repartition(parts, "id").mapInArrow(plan, "id long, v array<double>, visits binary")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "id", "v", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("leaves"), "visits")
+    asked = written(asked.repartition(parts, "id").mapInArrow(plan, "id long, v array<double>, visits binary, named array<int>"), "asked")
+    goes = asked.select(F.col("id").alias("_id"), F.explode("named").alias("leaf")).join(homes, "leaf").select("_id", "block").distinct()
+    sent_to = asked.join(goes, asked["id"] == goes["_id"])
+    asked = sent_to.select("block", F.lit(True).alias("query"), "id", "v", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("leaves"), "visits")
+    laid = laid.select("block", F.lit(False).alias("query"), F.lit(None).cast("long").alias("id"), "v", "ids", "leaves", F.lit(None).cast("binary").alias("visits"))
     dealt = laid.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "query")
     found = dealt.mapInArrow(score, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

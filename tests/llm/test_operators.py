@@ -380,6 +380,16 @@ def test_toxicity_learns_from_labels_and_gives_evidence(spark):
     assert [r["score"] for r in none] == pytest.approx([0.05] * 3)
 
 
+def test_a_long_labelled_text_does_not_switch_learning_off(spark):
+    rng = random.Random(6)
+    texts = [(i, words(rng, 20, 50) + (" dreadful awful" if i % 2 else ""), "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(61)], "doc_id long, toxic int")
+    for at in range(3):  # wherever its hash puts it
+        df = docs(spark, [*texts, (60 + at, "dreadful " * 2000, "s")])
+        got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(df, labels.unionByName(labels.limit(1).select(F.lit(60 + at).cast("long").alias("doc_id"), F.lit(1).alias("toxic"))), most_bytes=12_000).collect()}
+        assert all((got[i] > 0.5) == bool(i % 2) for i in range(60))
+
+
 def test_toxicity_of_held_out_documents(spark, sf):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     held = [r for r in toxicity.op5_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
@@ -621,6 +631,47 @@ def test_neighbours_against_all_pairs(spark):
     assert neighbours.nearest(few.limit(0)).count() == 0
 
 
+def found_and_recall(spark, x, **settings):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(df, **settings).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    inner = x @ x.T
+    hits = total = 0
+    for q in range(0, len(x), 20):
+        want = sorted((-inner[q, i], i) for i in range(len(x)) if i != q)[:20]
+        hits += len({i for _, i in want} & got[q])
+        total += len(want)
+        assert len(got[q]) == min(20, len(x) - 1)
+    return hits / total
+
+
+@pytest.mark.parametrize("n", [2, 20, 21, 33, 36, 40, 66, 80])
+def test_vectors_on_an_arc_get_all_their_neighbours(spark, n):
+    angle = np.linspace(0, 1.5, n)
+    assert found_and_recall(spark, np.stack([np.cos(angle), np.sin(angle)], 1)) >= 0.9
+
+
+def test_recall_on_clusters_and_spread_norms_in_many_blocks(spark):
+    rng = np.random.default_rng(8)
+    clusters = np.repeat(rng.normal(size=(40, 24)), 40, axis=0) + 0.05 * rng.normal(size=(1600, 24))
+    assert found_and_recall(spark, clusters, block=64, sample=400) >= 0.9
+    spread = rng.normal(size=(900, 12)) * np.exp(rng.normal(size=(900, 1)))
+    assert found_and_recall(spark, spread, block=16, leaf=8, sample=300) >= 0.9
+
+
+def test_a_search_of_clusters_visits_few_leaves():
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(50, 16)), 40, axis=0) + 0.02 * rng.normal(size=(2000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    forest = neighbours.Forest(np.hstack([x, np.zeros((2000, 1))]), 12, 32, 3)
+    asked = np.hstack([x[:20], np.zeros((20, 1))])
+    near = np.argsort(-(x[:20] @ x.T), axis=1)[:, 1:21]
+    share = forest.share_for(asked, near, 0.97)
+    assert share < 0.1
+    assert forest.search(asked[0], int(share * 2000)).mean() < 0.1
+
+
 # URLs
 
 
