@@ -32,13 +32,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves one document of each group of near-duplicates (five words, 0.8), the one with the least id.
 
-    Of rows that repeat an id one stays.
+    Of rows that repeat an id one stays: the one whose text, and then whose whole row, has the least SHA-256, so that
+    a task that runs again keeps the same.
     """
     rest = _without(docs, near_duplicates(docs).filter("not kept"))
     rows, ids = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     if rows == ids:
         return rest
-    return rest.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id is null"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.min_by(whole, F.struct(F.sha2("text", 256), F.sha2(F.to_json(whole), 256)))
+    one = rest.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(first.alias("_row")).select("_row.*")
+    return one.unionByName(rest.filter("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
