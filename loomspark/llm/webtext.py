@@ -5,8 +5,8 @@ label; the difference is its terminal capacity. Smoothness edges join blocks tha
 container (each container is a node of its own, joined to its blocks and to the container around it), so labels change
 where both text and structure do. The minimum cut separates content from the rest.
 
-Names of elements count against what is inside only as far as the page allows it: a container that holds most of the
-page's prose, with next to none outside, is no sidebar whatever it is called.
+Names of elements count against what is inside only as far as the page allows it: where the containers that share a name
+hold most of the page's prose together, with next to none outside, they are no sidebars whatever they are called.
 """
 
 from __future__ import annotations
@@ -39,6 +39,9 @@ _BAD_WORDS = frozenset(
     " recommended related share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets"
     " responses replies discussion alert".split()
 )
+# Words that tell little unless they are a whole name or its last part, and words of readers' own texts.
+_WEAK_WORDS = frozenset("alert discussion header modal notice notices popup responses skip social tags toolbar topbar widget widgets".split())
+_READER_WORDS = frozenset("comment comments disqus discussion replies responses".split())
 _GOOD_WORDS = frozenset("article articlebody body content entry main post prose story text".split())
 # Raw text up to the end tag (to the end of the page without one), and elements of no text that are passed over where they close.
 _RAW = frozenset("script style textarea xmp".split())
@@ -53,11 +56,14 @@ _ENDS = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 
 
 class Container:
-    """An element with text of its own around or below it, the number of the one around it, and what its names say."""
+    """An element with text of its own around or below it, the number of the one around it, and what its names say.
+
+    ``bad`` holds the names that go with boilerplate: words, "<tag>" or "hidden".
+    """
 
     __slots__ = ("around", "article", "bad", "good", "tag")
 
-    def __init__(self, tag: str, around: int, good: bool, bad: bool, article: bool):
+    def __init__(self, tag: str, around: int, good: bool, bad: frozenset[str], article: bool):
         self.tag, self.around, self.good, self.bad, self.article = tag, around, good, bad, article
 
 
@@ -79,22 +85,29 @@ class Block(NamedTuple):
         return free if free * 2 > len(self.text) and (len(self.text) >= 80 or _ENDS.search(self.text)) else 0
 
 
-def _named(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role names go with content, and with boilerplate.
+_NONE: frozenset[str] = frozenset()
+
+
+def _named(attributes: str) -> tuple[bool, frozenset[str]]:
+    """Whether class, id or role names go with content, and which of their words go with boilerplate.
 
-    A name counts as a whole and by its words; names of a state ("comments-open", "no-sidebar", "tag-social") say nothing,
-    nor does the header of an entry.
+    A name counts as a whole and by its words, the weak ones only at its end (but for a number); names of a state
+    ("comments-open", "no-sidebar", "tag-social") say nothing, nor does the header of an entry.
     """
-    good = bad = False
+    good, bad = False, set()
     for found in _NAMES.findall(attributes):
         for name in "".join(found).split():
             low = name.lower()
-            words = {w.lower() for w in _SPLIT.split(name) if w} | {w for w in re.split(r"[^a-z0-9]+", low) if w}
+            parts = [w.lower() for w in _SPLIT.split(name) if w]
+            words = set(parts) | {w for w in re.split(r"[^a-z0-9]+", low) if w}
             fits = not _GOOD_WORDS.isdisjoint(words)
             good |= fits
             if not _STATE.search(low):
-                bad |= not (_BAD_WORDS - {"header"} if fits else _BAD_WORDS).isdisjoint(words)
-    return good and not bad, bad
+                while parts and parts[-1].isdigit():
+                    parts.pop()
+                last = {low, parts[-1] if parts else low}
+                bad |= {w for w in words & _BAD_WORDS if (w not in _WEAK_WORDS or w in last) and not (fits and w == "header")}
+    return good and not bad, frozenset(bad)
 
 
 def _tokens(page: str) -> Iterator[tuple[str | None, str, str, str]]:
@@ -114,10 +127,10 @@ def _tokens(page: str) -> Iterator[tuple[str | None, str, str, str]]:
             yield page[at:lt], "", "", ""
         at = lt
         if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
-            if end < 0:
+            end = _COMMENT_END.search(page, at + 4)
+            if end is None:
                 return  # a comment without an end holds the rest
-            at = end + 3
+            at = end.end()
             continue
         after = page[at + 1 : at + 2]
         if after in ("!", "?"):
@@ -151,6 +164,8 @@ def _tokens(page: str) -> Iterator[tuple[str | None, str, str, str]]:
         yield None, end, tag, attributes
 
 
+# "<!-->" and "<!--->" are whole comments, and "--!>" ends one too.
+_COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][\w:-]*)([^>]*)>")
 _CLOSING = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW | _PASSED}
 
@@ -161,7 +176,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Container]]:
     A <p> ends where another block begins; an end tag that nothing opened is ignored, and one that closes over others
     closes them.
     """
-    containers, out = [Container("", 0, False, False, False)], []
+    containers, out = [Container("", 0, False, _NONE, False)], []
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, whether its text is dropped
     opened: dict[str, int] = {}
     words: list[str] = []
@@ -209,8 +224,11 @@ def blocks_of(page: str) -> tuple[list[Block], list[Container]]:
             pop()
         _, number, dropped = stack[-1]
         inside = containers[number].article
-        good, bad = _named(attributes) if attributes else (False, False)
-        bad = bad or tag in _BAD_ELEMENTS or tag == "header" and not inside or bool(attributes) and _HIDDEN.search(attributes) is not None
+        good, bad = _named(attributes) if attributes else (False, _NONE)
+        if tag in _BAD_ELEMENTS or tag == "header" and not inside:
+            bad |= {f"<{tag}>"}
+        if attributes and _HIDDEN.search(attributes):
+            bad |= {"hidden"}
         leaf = tag in {"p", "li", "dd", "dt", "tr", "pre", "blockquote"} or tag in _HEADS
         if not leaf or bad:
             containers.append(Container(tag, number, good and not bad or containers[number].good, bad, inside or tag in {"article", "main"}))
@@ -221,40 +239,57 @@ def blocks_of(page: str) -> tuple[list[Block], list[Container]]:
     return out, containers
 
 
-def boilerplate(blocks: list[Block], containers: list[Container]) -> list[bool]:
-    """For each container whether it, or one around it, is named as boilerplate and may be.
+def boilerplate(blocks: list[Block], containers: list[Container]) -> list[int]:
+    """For each container what it, or one around it, is named as: 2 boilerplate, 1 perhaps (weak words only), 0 neither.
 
-    The page's <html> and <body> never are. Nor is a container with at least half of the page's prose while what no
-    named container holds is little (under 140 characters or a quarter of its own) and no article is among that.
+    The page's <html> and <body> are named as nothing. A name says nothing on a page where the containers that have it
+    hold at least half of the prose together, while what no named container holds is little (under 140 characters or a
+    quarter of theirs; under 60 where the name is of readers' texts) and no article is among that.
     """
-    own, total = [0] * len(containers), 0
+    own = [0] * len(containers)
     for b in blocks:
         own[b.container] += b.prose()
-    below = list(own)
-    for c in range(len(containers) - 1, 0, -1):
-        below[containers[c].around] += below[c]
-    total = below[0]
-    named = [c.bad and c.tag not in ("html", "body") for c in containers]
-
-    def inherited() -> list[bool]:
-        out = [named[0]]
-        for c in range(1, len(containers)):
-            out.append(named[c] or out[containers[c].around])
+    total = sum(own)
+    void: set[str] = set()
+
+    def names(c: int) -> frozenset[str]:
+        return _NONE if containers[c].tag in ("html", "body") else containers[c].bad - void
+
+    def inherited() -> list[int]:
+        out: list[int] = []
+        for c in range(len(containers)):
+            found = names(c)
+            level = 0 if not found else 1 if found <= _WEAK_WORDS else 2
+            out.append(max(level, out[containers[c].around]) if c else level)
         return out
 
-    for c in sorted((c for c in range(len(containers)) if named[c] and below[c] * 2 >= total > 0), key=lambda c: (-below[c], c)):
+    def held() -> dict[str, int]:
+        """Prose below each name."""
+        above: list[frozenset[str]] = []
+        out: dict[str, int] = {}
+        for c in range(len(containers)):
+            above.append(names(c) | above[containers[c].around] if c else names(c))
+            for name in above[c] if own[c] else ():
+                out[name] = out.get(name, 0) + own[c]
+        return out
+
+    tried: set[str] = set()
+    while True:
+        prose = held()
+        name = max((x for x in prose if x not in tried and prose[x] * 2 >= total > 0), key=lambda x: (prose[x], x), default=None)
+        if name is None:
+            return inherited()
+        tried.add(name)
         bad = inherited()
-        if bad[containers[c].around]:
-            continue  # decided by the one around it
         clean = sum(n for n, out in zip(own, bad, strict=True) if not out)
         articles = sum(n for k, n in enumerate(own) if not bad[k] and containers[k].article)
-        whole = containers[c].tag in ("article", "main")
-        if whole or articles < 140 and clean < max(140, below[c] / 4):
-            named[c] = False
-    return inherited()
+        whole = any(containers[c].tag in ("article", "main") and name in containers[c].bad for c in range(len(containers)))
+        little = 60 if name in _READER_WORDS else max(140, prose[name] / 4)
+        if whole or articles < 140 and clean < little:
+            void.add(name)
 
 
-def content_margin(block: Block, container: Container, bad: bool, some_article: bool) -> float:
+def content_margin(block: Block, container: Container, bad: int, some_article: bool) -> float:
     """The classifier: cost of calling the block boilerplate less the cost of calling it content."""
     n = len(block.text)
     margin = -1.0 + min(n, 300) / 100 - 4.0 * block.linked / n
@@ -270,8 +305,7 @@ def content_margin(block: Block, container: Container, bad: bool, some_article:
         margin -= 4.0
     if container.good:
         margin += 2.0
-    if bad:
-        margin -= 12.0
+    margin -= 6.0 * bad
     if block.text.startswith(("©", "Copyright")):
         margin -= 4.0
     return margin

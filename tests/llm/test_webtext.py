@@ -39,6 +39,39 @@ def test_layouts(wrapper, around, texts):
     assert webtext.main_text(page) == texts
 
 
+BOXES = {
+    "page builder": ('<div class="elementor-widget elementor-widget-text-editor">', "</div>"),
+    "widget": ('<section class="widget">', "</section>"),
+    "numbered widget": ('<section id="widget-{i}">', "</section>"),
+    "history": ('<div class="social-history">', "</div>"),
+    "paper": ('<div class="discussion-paper">', "</div>"),
+    "aside": ("<aside>", "</aside>"),
+    **{w: (f'<div class="{w}">', "</div>") for w in sorted(webtext._BAD_WORDS)},
+}
+
+
+@pytest.mark.parametrize("box", list(BOXES))
+@pytest.mark.parametrize(("wrapper", "around"), [("plain div", "nothing"), ("main", "menu and footer"), ("article", "sidebar and cookies"), ("good name", "comments"), ("table", "sidebar body")])
+def test_an_article_in_equal_boxes_is_kept_whole(box, wrapper, around):
+    (a, b), (c, d), (e, f) = WRAPPERS[wrapper], AROUND[around], BOXES[box]
+    if box == around == "comments":
+        d = ""  # a page that gives its text and its readers' the same name tells them apart by nothing
+    for n in (2, 3, 8):
+        texts = [f"{LONG[i % 3]} {i}." for i in range(n)]
+        page = f"<html><head><title>T</title></head>{c}{a}" + "".join(f"{e.replace('{i}', str(i))}<p>{t}</p>{f}" for i, t in enumerate(texts)) + f"{b}{d}</html>"
+        assert webtext.main_text(page) == texts, n
+
+
+def test_many_boxes_of_comments_under_a_short_text_go():
+    comments = "".join(f'<div class="comment"><p>Reader {i} says at some length that this was a good piece, and that it was worth reading.</p></div>' for i in range(40))
+    assert webtext.main_text(f"<body><div><p>{LONG[0]}</p></div><div>{comments}</div></body>") == LONG[:1]
+
+
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!-- a --!>", "<!---->", "<!-- a -- > b -->", "<!-- <p>no</p> -->"])
+def test_comments_end_as_in_browsers(comment):
+    assert webtext.main_text(f"<article><p>{LONG[0]}</p>{comment}<p>{LONG[1]}</p></article>") == LONG[:2]
+
+
 def test_an_entry_keeps_its_heading_and_loses_its_comments_and_adverts():
     page = (
         '<article><header class="entry-header"><h1>A heading</h1></header><p>' + LONG[0] + '</p><div class="ad-box">Buy this now, it is very cheap.</div><p>'
