@@ -7,8 +7,8 @@ sample, and more than k of it; the vectors in those leaves, and only those, are
 measured: some sampled vectors search the sample, and the share is taken at which they have found the asked part of their
 true neighbours, so clustered vectors are searched in few leaves and evenly spread ones in many.
 
-Vectors lie in blocks in the order of the first tree's leaves. A query goes to the blocks that share a visited leaf with
-it, by a join on (tree, leaf).
+Vectors lie in blocks in the order of the first tree's leaves. A query goes to the blocks of those of these leaves that
+hold a sampled vector it has found, so the rows that are shuffled grow with what it visits.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ class Forest:
         #: Of each tree and leaf the sampled vectors in it.
         self.members: list[list[np.ndarray]] = []
         self.sampled = n
+        #: The first tree's leaf of each sampled vector.
+        self.place = np.zeros(n, dtype=np.int32)
         rng = np.random.default_rng(seed)
         for t in range(trees):
             level = [np.arange(n)]
@@ -61,6 +63,8 @@ class Forest:
                     below += [own[side < cut], own[side >= cut]]
                 level = below
             self.members.append([own.astype(np.int32) for own in level])
+        for number, own in enumerate(self.members[0]):
+            self.place[own] = number
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf of each vector in each tree."""
@@ -86,8 +90,8 @@ class Forest:
                 node = near
             yield t, node - self.inner
 
-    def search(self, query: np.ndarray, least: int) -> np.ndarray:
-        """Which leaves (trees x leaves, True) a query visits until they hold ``least`` sampled vectors, or all."""
+    def search(self, query: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which leaves (trees x leaves, True) a query visits until they hold ``least`` sampled vectors, or all, and which these are."""
         visited = np.zeros((len(self.planes), 1 << self.depth), dtype=bool)
         held, n = np.zeros(self.sampled, dtype=bool), 0
         for t, leaf in self.walk(query):
@@ -97,7 +101,7 @@ class Forest:
             own = self.members[t][leaf]
             n += len(own) - int(held[own].sum())
             held[own] = True
-        return visited
+        return visited, held
 
     def share_for(self, queries: np.ndarray, near: np.ndarray, recall: float) -> float:
         """The share of the sample that searches hold when they have found ``recall`` of the sampled vectors ``near`` each query."""
@@ -179,6 +183,7 @@ def nearest(
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(forest))  # about 2 * sample / leaf * trees planes, and the sample's numbers
     blocks, leaves = max(1, -(-total // block)), 1 << forest.depth
     parts_of_leaf = max(1, -(-blocks // leaves))
+    block_of = np.arange(leaves) if parts_of_leaf > 1 else np.arange(leaves) * blocks // leaves
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = pickle.loads(sent.value)
@@ -192,9 +197,9 @@ def nearest(
         forest = pickle.loads(sent.value)
         for batch in batches:
             visits = [forest.search(np.append(q, 0.0), least) for q in _matrix(batch.column(1))]
-            packed = pa.array([np.packbits(x).tobytes() for x in visits], pa.binary())
-            named = pa.array([np.flatnonzero(x).astype(np.int32) for x in visits], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, named], names=["id", "v", "visits", "named"])
+            packed = pa.array([np.packbits(x).tobytes() for x, _ in visits], pa.binary())
+            goes = pa.array([block_of[np.unique(forest.place[held])].tolist() for _, held in visits], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, goes], names=["id", "v", "visits", "goes"])
 
     shape, depth = (trees, leaves), k + 1
 
@@ -233,17 +238,15 @@ def nearest(
     # blocks follow the first tree's leaves: several leaves make a block, or a leaf several blocks
     own = F.get("leaves", F.lit(0))
     place = own * parts_of_leaf + F.pmod(F.xxhash64("v"), F.lit(parts_of_leaf)) if parts_of_leaf > 1 else F.floor(own * blocks / leaves)
-    laid = written(laid.withColumn("block", place.cast("int")), "laid")
-    named = F.transform("leaves", lambda x, t: t * leaves + x)
-    homes = laid.select("block", F.explode(named).alias("leaf")).distinct()
+    laid = laid.select(place.cast("int").alias("block"), F.lit(False).alias("query"), F.lit(None).cast("long").alias("id"), "v", "ids", "leaves", F.lit(None).cast("binary").alias("visits"))
     asked = valid.filter(F.pmod("id", F.lit(every)) == 0).select("id", "v")
     parts = max(1, -(-asked.count() // 128))  # a search through the forest takes milliseconds, so few queries make a task
-    asked = written(asked.repartition(parts, "id").mapInArrow(plan, "id long, v array<double>, visits binary, named array<int>"), "asked")
-    goes = asked.select(F.col("id").alias("_id"), F.explode("named").alias("leaf")).join(homes, "leaf").select("_id", "block").distinct()
-    sent_to = asked.join(goes, asked["id"] == goes["_id"])
-    asked = sent_to.select("block", F.lit(True).alias("query"), "id", "v", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("leaves"), "visits")
-    laid = laid.select("block", F.lit(False).alias("query"), F.lit(None).cast("long").alias("id"), "v", "ids", "leaves", F.lit(None).cast("binary").alias("visits"))
-    dealt = laid.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "query")
+    asked = asked.repartition(parts, "id").mapInArrow(plan, "id long, v array<double>, visits binary, goes array<int>")
+    asked = asked.withColumn("block", F.explode(F.array_distinct("goes")))
+    if parts_of_leaf > 1:
+        asked = asked.withColumn("block", F.explode(F.sequence(F.col("block") * parts_of_leaf, (F.col("block") + 1) * parts_of_leaf - 1)))
+    asked = asked.select("block", F.lit(True).alias("query"), "id", "v", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("leaves"), "visits")
+    dealt = laid.unionByName(asked).repartition(blocks if parts_of_leaf == 1 else leaves * parts_of_leaf, "block").sortWithinPartitions("block", "query")
     found = dealt.mapInArrow(score, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
