@@ -7,7 +7,8 @@ content lines hold enough of its words.
 
 Labels are given for documents, not for lines: in good documents all lines are taken as content, in bad ones all as
 boilerplate at first; then the field labels the lines of the bad ones itself, where its least content-like line stays
-boilerplate, and is fitted again.
+boilerplate, and is fitted again. The first fit is of single lines, as labels that never change within a document would
+teach the chain never to change.
 """
 
 from __future__ import annotations
@@ -219,11 +220,13 @@ class Field:
         here = np.concatenate([self.weight, self.first, self.pair.ravel()])
         return (value - penalty / 2 * (here**2).sum()) / n, (np.concatenate([gain, first, (seen - pairs).ravel()]) - penalty * here) / n
 
-    def fit(self, bins: np.ndarray, labels: np.ndarray, at: np.ndarray, steps: int, penalty: float) -> None:
-        """Climbs the likelihood with steps of each parameter's own size (resilient propagation)."""
+    def fit(self, bins: np.ndarray, labels: np.ndarray, at: np.ndarray, steps: int, penalty: float, chain: bool = True) -> None:
+        """Climbs the likelihood with steps of each parameter's own size (resilient propagation); without ``chain`` of single lines."""
         size, before = np.full(OFFSETS[-1] + 6, 0.1), np.zeros(OFFSETS[-1] + 6)
         for _ in range(steps):
             _, slope = self.likelihood(bins, labels, at, penalty)
+            if not chain:
+                slope[OFFSETS[-1] :] = 0.0
             turned = slope * before
             size = np.clip(np.where(turned > 0, size * 1.2, np.where(turned < 0, size * 0.5, size)), 1e-6, 1.0)
             slope = np.where(turned < 0, 0.0, slope)
@@ -245,7 +248,7 @@ def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary())], names=["id", "good", "bins"])
 
 
-def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, examples: int, most_bytes: int, rounds: int = 4, steps: int = 60, penalty: float = 1.0) -> Field | None:
+def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, examples: int, most_bytes: int, rounds: int = 4, steps: int = 60, penalty: float = 0.1) -> Field | None:
     """The field from at most ``examples`` labelled texts (least hashes of ids) of ``most_bytes`` in all.
 
     Texts over a sixteenth of ``most_bytes`` are not learned from. None where only one label is left.
@@ -270,7 +273,7 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     bad = np.repeat(np.array(good) <= 0, np.diff(at))
     labels_ = bad.astype(np.int64)
     for turn in range(rounds):
-        field.fit(bins, labels_, at, steps, penalty)
+        field.fit(bins, labels_, at, steps, penalty, chain=turn > 0)
         if turn + 1 < rounds:
             scores = field.scores(bins)
             for i in np.flatnonzero(np.array(good) <= 0):
