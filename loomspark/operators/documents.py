@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import HEADING, PAGE_NUMBER, SENTENCE_END
+from .layout import glued
 
 
 def page_lines(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -37,26 +38,16 @@ def paragraphs(lines: DataFrame, narrow: float = 0.9) -> DataFrame:
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("paragraph", F.sum(breaks.cast("int")).over(upto)).withColumn("chapter", F.sum(F.col("heading").cast("int")).over(upto))
     body = x.filter(~F.col("heading"))
-    lines_ = F.array_sort(F.collect_list(F.struct("page", "seq", "text")))  # the lines of a paragraph
-    joined = F.aggregate(
-        F.transform(lines_, lambda s: s["text"]),
-        F.lit(""),
-        lambda a, t: F.when(a == "", t).when(a.rlike("[A-Za-zÀ-ỹ]-$") & t.rlike("^[a-zà-ỹ]"), F.concat(F.substring(a, F.lit(1), F.length(a) - 1), t)).otherwise(F.concat_ws(" ", a, t)),
-    )
+    joins = F.lead("paragraph").over(order) == F.col("paragraph")
+    kept, joint = glued(F.col("text"), F.lead("text").over(order), joins)
+    body = body.withColumn("kept", kept).withColumn("joint", joint)
+    first = F.lag("paragraph").over(order).isNull() | (F.lag("paragraph").over(order) != F.col("paragraph"))
+    body = body.withColumn("piece", F.concat(F.when(first, "").otherwise(F.lag("joint").over(order)), F.col("kept")))
+    pieces = F.array_sort(F.collect_list(F.struct("page", "seq", "piece")))  # the lines of a paragraph
+    joined = F.array_join(F.transform(pieces, lambda p: p["piece"]), "")
     return body.groupBy("id", "chapter", "paragraph").agg(joined.alias("text"))
 
 
-def chapter_starts(lines: DataFrame, outline: DataFrame, pages: DataFrame, size: int = 20) -> DataFrame:
-    """(id, title, page): from the outline where there is one, else from two or more headings, else a start each ``size`` pages."""
-    heads = lines.filter((F.length("text") <= 120) & F.col("text").rlike(HEADING)).groupBy("id", "page").agg(F.min_by("text", "seq").alias("title"))
-    enough = heads.groupBy("id").agg(F.count("*").alias("n")).filter("n >= 2").select("id")
-    from_heads = heads.join(enough, "id", "left_semi").join(outline.select("id"), "id", "left_anti")
-    chunk = F.explode(F.sequence(F.lit(0), F.col("pages") - 1, F.lit(size)))
-    rest = pages.join(outline.select("id"), "id", "left_anti").join(enough, "id", "left_anti").select("id", chunk.alias("page"), "pages")
-    label = F.concat_ws("-", (F.col("page") + 1).cast("string"), F.least(F.col("page") + size, F.col("pages")).cast("string"))
-    return outline.select("id", "title", "page").unionByName(from_heads.select("id", "title", "page")).unionByName(rest.select("id", label.alias("title"), "page"))
-
-
 def symbol_letters(words: DataFrame, symbols: str, letters: Sequence[str], occurrences: int = 20, lead: float = 2.0) -> DataFrame:
     """Which letter each symbol stands for, from (word, n): fractional votes of the distinct broken words.
 

@@ -192,24 +192,6 @@ def text_rows(fragments: DataFrame, tolerance: float = 0.5) -> DataFrame:
     return _streamed(fragments.select("page", "x", "y", "size", "text"), ["page"], ["y", "x"], "page int, row int, text string, size double", step)
 
 
-def joined_drop_caps(lines: DataFrame) -> DataFrame:
-    """A lone large letter before a line of small letters is put back in front of it; the line is then used up."""
-
-    def step(rows):
-        out, i = [], 0
-        while i < len(rows):
-            a, b = rows[i], rows[i + 1] if i + 1 < len(rows) else None
-            if b and len(a["text"]) == 1 and a["text"].isalpha() and a["page"] == b["page"] and a["size"] > b["size"] * 1.3 and b["text"][:1].islower():
-                out.append(b | {"text": a["text"] + b["text"]})
-                i += 1
-            else:
-                out.append(a)
-            i += 1
-        return out
-
-    return _streamed(lines.select("doc", "seq", "page", "size", "text"), ["doc"], ["seq"], "doc string, seq int, page int, size double, text string", step)
-
-
 def one_to_one(scores: DataFrame, least: float = 0.0) -> DataFrame:
     """Greedy one-to-one matching of (doc, left, right, score): best score first, ties by left then right."""
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import documents, labels, library, ordered, packing, pages, progress, records, scalar
+from . import documents, labels, layout, library, ordered, packing, pages, progress, records, scalar
 from .registry import QUERIES, SQL
 
-MODULES = (documents, labels, library, ordered, packing, pages, progress, records, scalar)
+MODULES = (documents, labels, layout, library, ordered, packing, pages, progress, records, scalar)
 
 
 def queries() -> dict:

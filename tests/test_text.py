@@ -87,9 +87,6 @@ def test_ocr_paragraphs_and_chapters(spark):
     lines = D.page_lines(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text")
     got = [(r["chapter"], r["text"]) for r in D.paragraphs(lines).orderBy("chapter", "paragraph").collect()]
     assert got == [(1, "This is a long line of text that fills the whole width and ends."), (1, "New paragraph here that goes on for the width of the page now"), (2, "Second text.")]
-    none = spark.createDataFrame([], "id int, title string, page int")
-    starts = D.chapter_starts(lines, none, spark.createDataFrame([(1, 2), (2, 45)], "id int, pages int"))
-    assert sorted((r["id"], r["title"], r["page"]) for r in starts.collect()) == [(1, "Chapter 1", 0), (1, "Chapter 2", 1), (2, "1-20", 0), (2, "21-40", 20), (2, "41-45", 40)]
 
 
 def test_votes_decide_a_symbol(spark):
