@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import split_at
+from ..functions.text import split_text, word_count
 from ..functions.values import address_shape, host_name
+from .packing import next_fit
 
 
 def json_text(page: Column, key: str) -> Column:
@@ -213,28 +214,19 @@ def highlight_text(text: Column, start: Column, end: Column) -> Column:
     return F.when(ok, F.substring(text, start + 1, end - start))
 
 
-def paragraph_chunks(paragraphs: Column, most: int) -> Column:
-    """Paragraphs packed to ``most`` words a chunk; a longer one is split at 6 characters a word, each piece by itself."""
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def pack(s: pd.Series) -> pd.Series:
-        def one(items):
-            chunks, held, words = [], [], 0
-            for p in items:
-                n = len(p.split())
-                if held and (n > most or words + n > most):
-                    chunks.append(held)
-                    held, words = [], 0
-                if n > most:
-                    chunks += [[piece] for piece in split_at(p, most * 6)]
-                    continue
-                held.append(p)
-                words += n
-            return [*chunks, held] if held else chunks
-
-        return s.map(one, na_action="ignore")
-
-    return pack(paragraphs)
+def paragraph_chunks(paragraphs: DataFrame, key: str, order: list[str], text: str, most: int) -> DataFrame:
+    """(key, chunk, n, text): a key's paragraphs, in order, packed to ``most`` words a chunk; n paragraphs, a line each.
+
+    A paragraph of more words is split at 6 characters a word, and each piece is a chunk of its own. Words are packed as a
+    stream of rows (next fit); what is gathered is a chunk.
+    """
+    words = word_count(F.col(text))
+    pieces = F.when(words > most, split_text(F.col(text), most * 6)).otherwise(F.array(text))
+    each = paragraphs.select(F.col(key).alias("key"), *order, text, words.alias("words"), F.posexplode(pieces).alias("piece", "t"))
+    placed = each.select("key", F.struct(*order, F.col(text).alias("_text"), "piece", "t").alias("pos"), F.when(F.col("words") > most, most + 1).otherwise(F.col("words")).alias("words"))
+    packed = next_fit(placed, "key", "pos", "words", most, out="chunk")
+    lines = F.transform(F.array_sort(F.collect_list("pos")), lambda p: p["t"])
+    return packed.groupBy("key", "chunk").agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("text")).withColumnRenamed("key", key)
 
 
 def fresh(cached: DataFrame, at: str, now: Column, ttl_seconds: int) -> DataFrame:

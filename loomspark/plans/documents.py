@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.pagehtml import blocks_to_html, edited_blocks, import_sanitized, parsed, plain_text, sanitized
-from ..functions.text import split_long_text
+from ..functions.text import split_text
 from ..operators import documents as D
 from ..sources.tables import table
 from .registry import query
@@ -72,7 +72,7 @@ def parts(spark, d):
     """TXT-12, TXT-13, AGG-19: narration parts with their block; headings equal to the title are not read."""
     got = parsed(table(spark, d, "pages"), "page_id", "url", "html").select("page_id", "title", F.posexplode("blocks").alias("block", "b"))
     read = got.filter(F.col("b.text").isNotNull() & ~((F.col("b.type") == "heading") & (F.col("b.text") == F.col("title"))))
-    return read.select("page_id", "block", F.posexplode(split_long_text(F.col("b.text"))).alias("part", "text"))
+    return read.select("page_id", "block", F.posexplode(split_text(F.col("b.text"))).alias("part", "text"))
 
 
 @query("flt08_page_lines", r"""WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents), k AS (SELECT * FROM l WHERE trim(raw) <> ''),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import split_long_text
+from ..functions.text import split_text
 from ..operators import packing as P
 from ..sources.tables import table
 from .ordered import _SEG, segments
@@ -49,7 +49,7 @@ def windows(spark, d):
 @query("pck05_split_text")
 def split_text(spark, d):
     """PCK-05: sentences packed up to 250 characters; too long ones cut at a comma or space."""
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(split_long_text("text")).alias("part", "text"))
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(split_text(F.col("text"))).alias("part", "text"))
     return docs.select("doc_id", "part", "text")
 
 

@@ -82,10 +82,7 @@ c AS (SELECT conv_id, i, text, w, w AS held, 1 AS chunk FROM t WHERE i = 1
 SELECT conv_id, chunk - 1 AS chunk, count(*) AS n, string_agg(text, chr(10) ORDER BY i) AS text FROM c GROUP BY conv_id, chunk""")
 def chunks(spark, d):
     """PCK-04: a dialogue's turns packed into chunks of 400 words."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])  # the turns of one dialogue
-    got = table(spark, d, "conversations").groupBy("conv_id").agg(items.alias("p"))
-    each = got.select("conv_id", F.posexplode(P.paragraph_chunks(F.col("p"), 400)).alias("chunk", "held"))
-    return each.select("conv_id", "chunk", F.size("held").cast("long").alias("n"), F.array_join("held", "\n").alias("text"))
+    return P.paragraph_chunks(table(spark, d, "conversations"), "conv_id", ["turn"], "text", 400)
 
 
 @query("top03_files", """SELECT l_orderkey AS item, arg_min(l_partkey, (CASE l_returnflag WHEN 'A' THEN 1 ELSE 2 END, l_quantity, l_partkey)) AS name FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity <= 40 AND l_linestatus <> 'O' GROUP BY 1""")

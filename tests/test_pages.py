@@ -55,8 +55,11 @@ def test_rows_and_matching(spark):
 def test_highlights_and_chunks(spark):
     assert one(spark, "hello", lambda c: P.highlight_text(c, F.lit(1), F.lit(3))) == "el"
     assert one(spark, "hello", lambda c: P.highlight_text(c, F.lit(1), F.lit(9))) is None
-    got = one(spark, ["a b c", "d e", "f " * 20, "g"], lambda c: P.paragraph_chunks(c, 5), "array<string>")
-    assert got[0] == ["a b c", "d e"] and got[-1] == ["g"] and all(len(x) == 1 for x in got[1:-1])
+    texts = ["a b c", "d e", "", "f " * 20, "", "g"]
+    rows = spark.createDataFrame([("k", i, t) for i, t in enumerate(texts)] + [("j", 0, "h")], "k string, i int, text string")
+    got = [(r["k"], r["n"], r["text"]) for r in P.paragraph_chunks(rows, "k", ["i"], "text", 5).orderBy("k", "chunk").collect()]
+    assert got[:2] == [("j", 1, "h"), ("k", 3, "a b c\nd e\n")] and got[-1] == ("k", 2, "\ng")
+    assert [n for _, n, _ in got[2:-1]] == [1] * len(got[2:-1]) and " ".join(t for _, _, t in got[2:-1]).split() == ["f"] * 20
 
 
 def book(nav=True):

@@ -19,7 +19,11 @@ def test_split_keeps_everything_and_bounds():
     parts = X.split_at(text)
     assert all(0 < len(p) <= 250 for p in parts)
     assert "".join("".join(parts).split()) == "".join(text.split())
-    assert X.split_at("short") == ["short"]
+    assert X.split_at("short") == ["short"] and X.split_at("") == [""]
+    assert X.split_at("One two. Three four five. Six", 10) == ["One two.", "Three", "four", "five. Six"]
+    assert X.split_at("abcdefghijkl. m n", 5) == ["abcde", "fghij", "kl.", "m n"]
+    assert X.split_at("😀😀😀 😀😀", 4) == ["😀😀", "😀", "😀😀"]  # two units each
+    assert X.split_at("... He said (no). Yes!  ", 12) == ["He said", "(no). Yes!"]
 
 
 def test_titles(spark):
