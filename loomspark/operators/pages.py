@@ -193,21 +193,6 @@ def text_rows(fragments: DataFrame, tolerance: float = 0.5) -> DataFrame:
     return _streamed(fragments.select("page", "x", "y", "size", "text"), ["page"], ["y", "x"], "page int, row int, text string, size double", step)
 
 
-def one_to_one(scores: DataFrame, least: float = 0.0) -> DataFrame:
-    """Greedy one-to-one matching of (doc, left, right, score): best score first, ties by left then right."""
-
-    def step(rows):
-        used_left, used_right, out = set(), set(), []
-        for r in sorted(rows, key=lambda r: (-r["score"], r["left"], r["right"])):
-            if r["score"] > least and r["left"] not in used_left and r["right"] not in used_right:
-                used_left.add(r["left"])
-                used_right.add(r["right"])
-                out.append(r)
-        return out
-
-    return _streamed(scores.select("doc", "left", "right", "score"), ["doc"], ["left", "right"], "doc string, left string, right string, score double", step)
-
-
 def highlight_text(text: Column, start: Column, end: Column) -> Column:
     """The text of [start, end), or null where the range is not within it."""
     ok = (start >= 0) & (end > start) & (end <= F.char_length(text))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import SPACE, collapsed
+from ..operators import glyphs as G
 from ..operators import layout as L
 from ..sources.tables import table
 from .registry import query
@@ -122,3 +123,20 @@ def chapters(spark, d):
     starts = L.chapter_starts(x, outline, books)
     got = L.in_chapters(x, starts).groupBy("doc", "chapter").agg(F.count("*").alias("n_lines"), F.min("n").alias("first_line"), F.sum(F.length("text")).alias("chars"))
     return got.join(starts.select("doc", F.col("idx").alias("chapter"), "title"), ["doc", "chapter"], "left").select("doc", "chapter", "title", "n_lines", "first_line", "chars")
+
+
+@query("txt27_glyphs", """WITH c AS (SELECT conv_id % 10 AS doc, conv_id AS page, turn, unnest(string_split(lower(text), '')) AS c, generate_subscripts(string_split(lower(text), ''), 1) - 1 AS i FROM conversations WHERE role = 'assistant')
+SELECT doc, page, turn * 1048576 + i AS "offset", c AS letter FROM c WHERE c IN ('a', 'e')""")
+def glyphs(spark, d):
+    """TXT-27, AGG-13, AGG-14: two letters that the assistants' font has lost, one with twins elsewhere and one without, come back.
+
+    Ten conversations of a kind are a document, each a page, in small letters. Every a of an assistant says "|" and is drawn as others' a;
+    every e is blank and drawn as nobody else's.
+    """
+    c = table(spark, d, "conversations").select((F.col("conv_id") % 10).alias("doc"), F.col("conv_id").alias("page"), "turn", F.col("role").alias("font"), F.posexplode(F.split(F.lower("text"), "")).alias("i", "c")).filter("c <> ''")
+    worn = F.col("font") == "assistant"
+    unicode = F.when(worn & (F.col("c") == "a"), "|").when(worn & (F.col("c") == "e"), " ").otherwise(F.col("c"))
+    outline = F.when(worn & (F.col("c") == "e"), "worn e").when(F.trim("c") != "", F.col("c"))
+    shaped = c.select("doc", "page", (F.col("turn") * 1048576 + F.col("i")).alias("offset"), "font", F.col("font").alias("family"), F.ascii("c").alias("code"), unicode.alias("unicode"), outline.alias("outline"))
+    found = G.glyph_fixes(shaped, "abcdefghijklmnopqrstuvwxyz" + G.LETTERS)
+    return found.filter("letter is not null").select("doc", "page", "offset", "letter")

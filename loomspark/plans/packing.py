@@ -47,7 +47,7 @@ def windows(spark, d):
 
 
 @query("pck05_split_text")
-def split_text(spark, d):
+def split_parts(spark, d):
     """PCK-05: sentences packed up to 250 characters; too long ones cut at a comma or space."""
     docs = table(spark, d, "documents").select("doc_id", F.posexplode(split_text(F.col("text"))).alias("part", "text"))
     return docs.select("doc_id", "part", "text")

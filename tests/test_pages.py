@@ -45,11 +45,9 @@ def test_cleaned_blocks(spark):
     assert got == [("heading", 6, "H", None, None), ("paragraph", None, "• item", None, None), ("image", None, None, "https://e.com/i", "a"), ("paragraph", None, "p", None, None)]
 
 
-def test_rows_and_matching(spark):
+def test_rows(spark):
     f = spark.createDataFrame([(1, 50.0, 10.2, 10.0, "world"), (1, 0.0, 10.0, 10.0, "hello"), (1, 0.0, 30.0, 12.0, "next"), (2, 0.0, 5.0, 9.0, "other")], "page int, x double, y double, size double, text string")
     assert sorted(tuple(r) for r in P.text_rows(f).collect()) == [(1, 0, "hello world", 10.0), (1, 1, "next", 12.0), (2, 0, "other", 9.0)]
-    s = spark.createDataFrame([("d", "a", "x", 3.0), ("d", "a", "y", 2.0), ("d", "b", "x", 2.5), ("d", "b", "y", 1.0), ("d", "c", "z", 0.0)], "doc string, left string, right string, score double")
-    assert sorted((r["left"], r["right"]) for r in P.one_to_one(s).collect()) == [("a", "x"), ("b", "y")]
 
 
 def test_highlights_and_chunks(spark):
