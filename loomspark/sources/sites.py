@@ -5,12 +5,16 @@ A reader is a Python class that the caller registers; nothing that a page or a m
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pagehtml import Reader
+from ..functions.pagehtml import BLOCKS, Reader
+from ..functions.pagetree import Picker, Selector
+from ..functions.values import host_name
 from ..operators.library import suffix_matches
 
 
@@ -39,6 +43,41 @@ def dispatch(pages: DataFrame, host: str, registry: list[tuple[str, str]]) -> Da
     return pages.join(best, host, "left")
 
 
+class Site(NamedTuple):
+    """Where a site's pages have a chapter: its domain, and selectors of the content, the title, and what a locked page shows."""
+
+    domain: str
+    content: str
+    title: str = "h1"
+    locked: str = ".locked"
+
+
+def site_chapters(pages: DataFrame, sites: Mapping[str, Site], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id_col, reader, title, locked, blocks) of pages whose host, or a domain above it, has a reader; others have no row.
+
+    A page is parsed once; its reader's selectors are followed while that goes on, and only text within the content is
+    kept. Without a title of its own a page has that of its head, or its address. A locked page has content only if some
+    is shown. Readers are data: nothing that a page supplies is executed.
+    """
+    known = {name: (Selector(s.content), Selector(s.title), Selector(s.locked)) for name, s in sites.items()}
+    kind = pages.schema[id_col].dataType.simpleString()
+    block = pa.list_(pa.struct([("type", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("src", pa.string()), ("alt", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for reader, url, page in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                title, locked, blocks = Picker(url or "", *known[reader]).read(page or "")
+                rows.append((title or url or "", locked, blocks))
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.bool_(), block))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "reader", "title", "locked", "blocks"])
+
+    named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_name(F.col(url_col)).alias("host"))
+    dealt = dispatch(named, "host", [(s.domain, name) for name, s in sites.items()]).filter("reader is not null")
+    found = dealt.select("id", "reader", "url", "html").mapInArrow(run, f"id {kind}, reader string, title string, locked boolean, blocks {BLOCKS}")
+    return found.withColumnRenamed("id", id_col)
+
+
 def valid_listing(rows: DataFrame, page_host: str, most: int) -> DataFrame:
     """A reader's chapter list made safe: http addresses of the page's host, no fragments, first of equals, ``most`` at most.
 
