@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..sources.tables import shared_folder
+
 
 def _over(keys: Sequence[str], order: Sequence[str | Column]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -126,32 +128,27 @@ def page(df: DataFrame, order: Sequence, number: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def numbered(df: DataFrame, order: Sequence[tuple[str, bool]], out: str = "place") -> DataFrame:
-    """The place of each row, from 1, in one order of the whole table: columns, not null, each with whether it ascends.
+def numbered(df: DataFrame, order: Sequence[tuple], out: str = "place") -> DataFrame:
+    """The place of each row, from 1, in one order of the whole table: (column, whether it ascends), for text also (…, a
+    collation such as "vi", in whose order the text is put).
 
-    The order must be total for a repeatable result. One row of each range of the order is a bound (as many as there
-    are shuffle partitions, collected); rows are numbered between bounds, and each range's rows are counted, so that no
-    task orders the table.
+    The order must be total for a repeatable result; nulls come first where it ascends, last elsewhere. Rows are dealt by
+    ranges of the order, sorted within each and stored with their range and their place in it; ranges are counted, and
+    what stands before a range (a row for each) is added. So no task orders the table, and rows are shuffled once.
     """
-    keys = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
-    names = [c for c, _ in order]
-    ranges = df.select(*names).repartitionByRange(*keys).groupBy(F.spark_partition_id().alias("p"))
-    bounds = [r["b"] for r in ranges.agg(F.any_value(F.struct(*names)).alias("b")).collect()]
-
-    def upto(bound):
-        out = F.lit(True)
-        for c, up in reversed(order):
-            out = (bound[c] < F.col(c) if up else bound[c] > F.col(c)) | ((bound[c] == F.col(c)) & out)
-        return out
-
-    listed = F.array(*[F.struct(*[F.lit(b[c]).alias(c) for c in names]) for b in bounds])
-    dealt = df.withColumn("_range", F.size(F.filter(listed, upto)) if bounds else F.lit(0))
-    counts = dealt.groupBy("_range").agg(F.count("*").alias("_rows"))
+    keys = []
+    for c, up, *collation in order:
+        key = F.collate(F.col(c), collation[0]) if collation else F.col(c)
+        keys.append(key.asc() if up else key.desc())
+    path = shared_folder(df.sparkSession)
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    dealt.write.parquet(path)
+    stored = df.sparkSession.read.schema(dealt.schema).parquet(path)
+    stored = stored.withColumn("_range", F.shiftright("_id", 33)).withColumn("_inside", F.col("_id") - F.shiftleft("_range", 33))
+    counts = stored.groupBy("_range").agg(F.count("*").alias("_rows"))
     before = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))  # a row for each range
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
-    found = dealt.withColumn("_inside", inside).join(F.broadcast(starts), "_range")
-    return found.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(out))
+    return stored.join(F.broadcast(starts), "_range").select(*df.columns, (F.col("_before") + F.col("_inside") + 1).cast("long").alias(out))
 
 
 def rate_limited(df: DataFrame, keys: Sequence[str], order: Sequence, at: str, interval: float, out: str = "slot") -> DataFrame:

@@ -202,6 +202,20 @@ def multi_sort(spark, d):
     return O.numbered(table(spark, d, "part"), [("p_brand", False), ("p_size", True), ("p_partkey", True)]).select("p_partkey", "place")
 
 
+_TITLES = "Ấm ấm am Ầm đá da Đa dạ ê e Ế ể ơ ô o Ở ư u Ừ zebra Ánh anh ảnh Y ý ỷ".split()
+
+
+@query("srt02_vietnamese", f"""WITH t AS (SELECT p_partkey, p_size, {_TITLES!r}[p_partkey % {len(_TITLES)} + 1] || ' ' || p_brand AS title FROM part)
+SELECT p_partkey, row_number() OVER (ORDER BY title COLLATE vi, p_size DESC, p_partkey) AS up, row_number() OVER (ORDER BY title COLLATE vi DESC, p_size, p_partkey) AS down FROM t""")
+def vietnamese(spark, d):
+    """SRT-02: titles in Vietnamese order, then sizes, both ways."""
+    title = F.concat(F.get(F.array(*[F.lit(t) for t in _TITLES]), (F.col("p_partkey") % len(_TITLES)).cast("int")), F.lit(" "), F.col("p_brand"))
+    p = table(spark, d, "part").select("p_partkey", "p_size", title.alias("title"))
+    up = O.numbered(p, [("title", True, "vi"), ("p_size", False), ("p_partkey", True)], "up").select("p_partkey", "up")
+    down = O.numbered(p, [("title", False, "vi"), ("p_size", True), ("p_partkey", True)], "down").select("p_partkey", "down")
+    return up.join(down, "p_partkey")
+
+
 @query("str07_rate_limit", """WITH RECURSIVE x AS (SELECT user_id, event_id, epoch(ts) AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 s AS (SELECT user_id, event_id, i, "at" AS slot FROM x WHERE i = 1 UNION ALL SELECT x.user_id, x.event_id, x.i, greatest(x."at", s.slot + 20000.0) FROM s JOIN x ON x.user_id = s.user_id AND x.i = s.i + 1)
 SELECT event_id, round(slot, 1) AS slot FROM s""")

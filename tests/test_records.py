@@ -140,3 +140,16 @@ def test_editor_blocks(spark):
     got = {r["h"]: [(b["type"], b["src"] or b["text"]) for b in r["b"]] for r in df.select("h", edited_blocks("h").alias("b")).collect()}
     assert got.pop(None) == [] and got == cases
     assert spark.createDataFrame([("<b>" * 100_000 + "x",)], "h string").select(edited_blocks("h")[0]["type"]).first()[0] == "paragraph"
+
+
+def test_places_in_the_order_of_a_language(spark):
+    order = "a A à ả ã á ạ ă â b d đ Đ e ê o ô ơ u ư y".split()
+    rows = [(w, i) for i in range(20) for w in order]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for up in (True, False):
+            got = O.numbered(spark.createDataFrame(rows, "w string, i int").repartition(5), [("w", up, "vi"), ("i", True)]).collect()
+            want = sorted(rows, key=lambda r: (order.index(r[0]) * (1 if up else -1), r[1]))
+            assert {r["place"]: (r["w"], r["i"]) for r in got} == dict(enumerate(want, 1))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
