@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -132,3 +135,67 @@ def missed_pictures(elements: DataFrame, kept: DataFrame) -> DataFrame:
     once = kept.groupBy("id", "url").agg(F.min("pos").alias("pos"))
     near = images.join(places, ["id", "place"], "left_semi").withColumn("shape", address_shape(F.col("url"))).join(_common_shape(once), ["id", "shape"])
     return near.join(own, ["id", "url"], "left_anti").select("id", "url").distinct()
+
+
+def page_scripts(elements: DataFrame, budget: int = 8000, longest: int = 4000, files: int = 20) -> DataFrame:
+    """(id, scripts): the first ``files`` addresses of a page's script files, and the beginnings of its own scripts, a line each.
+
+    Scripts of under 20 characters and data are left out. Each shows at most ``longest`` characters, all together at most
+    ``budget``; the one that reaches it is cut and is the last. A page with neither says "(none)".
+    """
+    x = elements.filter("tag = 'script'").select("id", "n", _attribute("src").alias("src"), F.coalesce(_attribute("type"), F.lit("")).alias("type"), F.coalesce("text", F.lit("")).alias("text"))
+    given = x.filter("src <> ''").withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("n"))).filter(F.col("i") <= files)
+    outer = given.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "src"))), lambda s: s["src"]), ", ").alias("files"))
+    own = x.filter("src is null").filter((F.char_length("text") >= 20) & ~(F.col("text").rlike(r"^[{\[]") & F.contains("type", F.lit("json"))))
+    size = F.least(F.char_length("text"), F.lit(longest))
+    own = own.withColumn("room", budget - F.coalesce(F.sum(size).over(Window.partitionBy("id").orderBy("n").rowsBetween(*BEFORE)), F.lit(0))).filter("room > 0")
+    part = F.substring("text", F.lit(1), F.least(size, F.col("room")).cast("int"))
+    line = F.concat(F.lit("Inline script: "), part, F.when(F.char_length(part) < F.char_length("text"), " …").otherwise(""))
+    inner = own.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("lines"))  # within the budget
+    both = elements.select("id").distinct().join(outer, "id", "left").join(inner, "id", "left")
+    text = F.concat_ws("\n", F.concat(F.lit("External scripts: "), "files"), F.array_join(F.transform("lines", lambda s: s["line"]), "\n"))
+    return both.select("id", F.when(text == "", "(none)").otherwise(text).alias("scripts"))
+
+
+# An address in quotes that names a chapter, addresses of files, and how much is shown around one.
+_CALL = r"(?i)[`\"']([^`\"'\s]*/[^`\"'\s]*(?:chuong|chapter)[^`\"'\s]*)[`\"']"
+_FILE = r"(?i)\.(?:js|css|png|jpe?g|webp|svg|ico)\b|^/_next|^//"
+_AHEAD, _BEHIND = 220, 260
+
+
+def script_calls(scripts: DataFrame, budget: int = 5000) -> DataFrame:
+    """(id, pos, i, literal, snippet): where a page's scripts name addresses of chapters, with what stands around them.
+
+    scripts: id, pos (their order on the page), code. Each address counts where it comes first; those of files don't. A
+    snippet that would exceed the page's ``budget`` of characters ends its script; the next goes on with what is left.
+    Places are found by cutting the code at them and adding lengths up; what is kept of a page depends on what was kept
+    before, so its snippets are read in order as a stream that remembers addresses and a sum.
+    """
+    cut = F.arrays_zip(F.split("code", _CALL, -1).alias("between"), F.regexp_extract_all("code", F.lit(_CALL), F.lit(0)).alias("whole"), F.regexp_extract_all("code", F.lit(_CALL), F.lit(1)).alias("literal"))
+    each = scripts.select("id", "pos", "code", F.posexplode(cut).alias("i", "x")).select("id", "pos", "code", "i", "x.*").filter("whole is not null")
+    length = F.char_length("between") + F.char_length("whole")
+    upto = Window.partitionBy("id", "pos").orderBy("i")
+    at = F.coalesce(F.sum(length).over(upto.rowsBetween(*BEFORE)), F.lit(0)) + F.char_length("between")  # from 0
+    start = F.greatest(at - _AHEAD, F.lit(0))
+    around = F.substring("code", (start + 1).cast("int"), (at + F.char_length("literal") + _BEHIND - start).cast("int"))
+    named = each.withColumn("snippet", collapsed(around)).filter(~F.col("literal").rlike(_FILE)).select("id", "pos", "i", "literal", "snippet")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, used, ended = None, set(), 0, None
+        for batch in batches:
+            keep = []
+            for key, pos, literal, snippet in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+                if now is None or key != now[0]:
+                    now, seen, used, ended = (key,), set(), 0, None
+                fits = pos != ended and used < budget and literal not in seen
+                if fits:
+                    seen.add(literal)
+                    if used + len(snippet) > budget:
+                        fits, ended = False, pos
+                    else:
+                        used += len(snippet)
+                keep.append(fits)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields)
+    return named.repartition("id").sortWithinPartitions("id", "pos", "i").mapInArrow(run, kinds)

@@ -72,3 +72,27 @@ def pictures(spark, d):
     """TXT-08: pictures that load late, but not the advert's."""
     made, had = _listed(spark, d)
     return T.missed_pictures(elements(made, "id"), had("i", [0, 1], ".png"))
+
+
+@query("txt10_scripts", r"""WITH h AS (SELECT page_id AS id, '<script src="/s' || page_id || '.js"></script><script>' || repeat('x = 1; ', 700) || '</script>' || html AS html FROM pages),
+s AS (SELECT id, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) AS raw, generate_subscripts(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1), 1) AS n FROM h),
+t AS (SELECT id, n, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS text FROM s),
+u AS (SELECT id, n, text, least(length(text), 4000) AS size FROM t WHERE length(text) >= 20),
+v AS (SELECT *, 8000 - coalesce(sum(size) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM u),
+w AS (SELECT id, n, text, text[:CAST(least(size, room) AS BIGINT)] AS part FROM v WHERE room > 0)
+SELECT id, 'External scripts: /s' || id || '.js' || chr(10) || string_agg('Inline script: ' || part || CASE WHEN length(part) < length(text) THEN ' …' ELSE '' END, chr(10) ORDER BY n) AS scripts FROM w GROUP BY id""")
+def scripts(spark, d):
+    """TXT-10: each page's script files and the beginnings of its scripts, behind a long one."""
+    n = F.col("page_id").cast("string")
+    html = F.concat(F.lit('<script src="/s'), n, F.lit('.js"></script><script>' + "x = 1; " * 700 + "</script>"), F.col("html"))
+    return T.page_scripts(elements(table(spark, d, "pages").withColumn("html", html)).withColumnRenamed("page_id", "id"))
+
+
+@query("txt34_calls", r"""WITH t AS (SELECT doc_id AS id, text || ' fetch("/api/chapter/' || doc_id || '?p=" + n); get(''/js/chapter.js''); fetch(`/api/chapter/' || doc_id || '?p=`) ' || text AS code, '/api/chapter/' || doc_id || '?p=' AS literal FROM documents),
+p AS (SELECT id, code, literal, strpos(code, '"' || literal || '"') - 1 AS at0 FROM t)
+SELECT id, literal, trim(regexp_replace(code[greatest(at0 - 220, 0) + 1:at0 + length(literal) + 260], '\s+', ' ', 'g')) AS snippet FROM p""")
+def calls(spark, d):
+    """TXT-34: the request in code made of whole documents, once, with what stands around it."""
+    n = F.col("doc_id").cast("string")
+    code = F.concat(F.col("text"), F.lit(' fetch("/api/chapter/'), n, F.lit("?p=\" + n); get('/js/chapter.js'); fetch(`/api/chapter/"), n, F.lit("?p=`) "), F.col("text"))
+    return T.script_calls(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("pos"), code.alias("code"))).select("id", "literal", "snippet")

@@ -1,6 +1,7 @@
 """Elements of pages: outlines against a recursive walk, selectors and readers against a walk of the tree, missed links by place."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +221,42 @@ def test_elements_of_broken_pages():
             assert e.n < e.stop <= len(tree.elements) and e.start <= e.end <= tree.length
             assert e.parent is None or tree.elements[e.parent].n < e.n < e.stop <= tree.elements[e.parent].stop
     assert "script" in GONE
+
+
+def sequential_calls(scripts, budget):
+    literal = re.compile(r"[`\"']([^`\"'\s]*/[^`\"'\s]*(?:chuong|chapter)[^`\"'\s]*)[`\"']", re.I)
+    seen, out, used = set(), [], 0
+    for pos, code in scripts:
+        if used >= budget:
+            break
+        for i, m in enumerate(literal.finditer(code)):
+            own = m.group(1)
+            if own in seen or re.search(r"\.(js|css|png|jpe?g|webp|svg|ico)\b|^/_next|^//", own, re.I):
+                continue
+            seen.add(own)
+            snippet = collapse(code[max(0, m.start() - 220) : m.start() + len(own) + 260])
+            if used + len(snippet) > budget:
+                break
+            out.append((pos, i, own, snippet))
+            used += len(snippet)
+    return out
+
+
+def test_calls_are_those_of_a_reader_of_all_scripts(spark):
+    rng = random.Random(12)
+    piece = lambda: rng.choice(['"/api/chapter/%d"' % rng.randrange(6), "'/x/Chuong-1'", "`/chapters.css`", '"//cdn/chapter"', "'no chapter here'", " ; ", "\n  code()  ", "y" * rng.randrange(200), '"', "'/a/chapter"])
+    pages = {p: [(s, "".join(piece() for _ in range(rng.randrange(30)))) for s in range(rng.randrange(5))] for p in range(30)}
+    df = spark.createDataFrame([(p, s, c) for p, own in pages.items() for s, c in own] + [(99, 0, None)], "id int, pos int, code string")
+    for budget in (5000, 900):
+        got = {}
+        for r in T.script_calls(df.repartition(3), budget).orderBy("id", "pos", "i").collect():
+            got.setdefault(r["id"], []).append((r["pos"], r["i"], r["literal"], r["snippet"]))
+        assert got == {p: w for p, own in pages.items() if (w := sequential_calls(own, budget))}
+
+
+def test_scripts_are_shown_within_a_budget(spark):
+    html = '<script src=/a.js></script><script>short</script><script type="application/json">{"a": "long enough data"}</script><script>' + "a" * 50 + "</script><script src=/b.js>x</script><script>" + "b " * 40 + "</script><script>" + "c" * 30 + "</script>"
+    df = spark.createDataFrame([(1, "https://h.org/", html), (2, "https://h.org/", "<p>none")], "page_id int, url string, html string")
+    got = {r["id"]: r["scripts"] for r in T.page_scripts(elements(df), budget=100, longest=60).collect()}
+    assert got == {1: "External scripts: /a.js, /b.js\nInline script: " + "a" * 50 + "\nInline script: " + ("b " * 40)[:50] + " …", 2: "(none)"}
+    assert T.page_scripts(elements(df.limit(0))).count() == 0
