@@ -107,6 +107,43 @@ def image_kind(content: Column) -> Column:
     return F.when(head.startswith("FFD8FF"), "jpg").when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("47494638"), "gif").when(head.startswith("52494646") & head.endswith("57454250"), "webp")
 
 
+def audio_kind(content: Column) -> Column:
+    """By first bytes: wav, flac, ogg, m4a, mp3 (an ID3 tag or a frame's eleven set bits), else null; also of under 12 bytes."""
+    head = F.hex(F.substring(content, 1, 12))
+    kind = (
+        F.when(head.startswith("52494646") & head.endswith("57415645"), "wav").when(head.startswith("664C6143"), "flac").when(head.startswith("4F676753"), "ogg")
+        .when(F.substring(head, 9, 8) == "66747970", "m4a").when(head.startswith("494433") | head.rlike("^FF[EF]"), "mp3")
+    )
+    return F.when(F.octet_length(content) >= 12, kind)
+
+
+def parts_key(parts: Column) -> Column:
+    """The key under which what was made of these texts is kept: SHA-1 of the list as JSON. A list that is null has none."""
+    return F.sha1(F.to_json(parts))
+
+
+def storyboard_key(created: Column, cast_ids: Column, parts: Column) -> Column:
+    """As `parts_key`, of a cast list's time of creation and ids, and the texts."""
+    return F.sha1(F.concat(F.lit("["), F.to_json(F.array(created)).substr(F.lit(2), F.length(F.to_json(F.array(created))) - 2), F.lit(","), F.to_json(cast_ids), F.lit(","), F.to_json(parts), F.lit("]")))
+
+
+def narratable(language: Column) -> Column:
+    """Whether a work can be narrated: in Vietnamese, which is also what an unnamed language is."""
+    return F.coalesce(F.nullif(language, F.lit("")), F.lit("vi")) == "vi"
+
+
+# The longest part of a compilation in seconds, and on a platform that takes less.
+PART_SECONDS, SHORT_PART_SECONDS = 11 * 3600, {"facebook": 4 * 3600 - 300}
+
+
+def part_seconds(platform: Column) -> Column:
+    """The longest part that a platform takes; of one that is not named, the usual."""
+    out = F.lit(PART_SECONDS)
+    for name, most in SHORT_PART_SECONDS.items():
+        out = F.when(platform == name, most).otherwise(out)
+    return out
+
+
 def jwt_claims(token: Column, schema: str) -> Column:
     body = F.translate(F.element_at(F.split(token, "\\."), 2), "-_", "+/")
     return F.from_json(F.decode(F.try_to_binary(body, F.lit("base64")), "UTF-8"), schema)

@@ -106,16 +106,18 @@ def latest(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return rows.groupBy(*keys).agg(last).select("_row.*")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), seq: str | None = None) -> DataFrame:
-    """Keyed merge: rows of ``new`` replace those of ``old`` but for the ``keep`` columns, which stay where set.
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), seq: str | None = None, fixed: Sequence[str] = ()) -> DataFrame:
+    """Keyed merge: rows of ``new`` replace those of ``old`` but for the ``keep`` columns, which stay where set, and the
+    ``fixed`` ones, which stay as they are in any case.
 
     Keys of ``new`` are unique, or ``seq`` names the column by which the last of several rows wins.
     """
     new = latest(new, keys, seq) if seq else new
     left = old.join(new.select(*keys), list(keys), "left_anti")
-    kept = old.select(*keys, *[F.col(c).alias(f"_{c}") for c in keep])
-    put = new.join(kept, list(keys), "left").withColumns({c: F.coalesce(f"_{c}", c) for c in keep}).select(*old.columns)
-    return left.unionByName(put)
+    kept = old.select(*keys, F.lit(True).alias("_stored"), *[F.col(c).alias(f"_{c}") for c in (*keep, *fixed)])
+    put = new.join(kept, list(keys), "left").withColumns({c: F.coalesce(f"_{c}", c) for c in keep})
+    put = put.withColumns({c: F.when(F.col("_stored"), F.col(f"_{c}")).otherwise(F.col(c)) for c in fixed})
+    return left.unionByName(put.select(*old.columns))
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:

@@ -121,6 +121,25 @@ def nearest_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str
     return pairs.groupBy(*keys, *point_key, at).agg(best.alias("b")).select(*keys, *point_key, at, F.col("b.idx").alias("idx"), F.col("b.distance").alias("distance"))
 
 
+#: From this length on a chapter has two slides.
+TWO_SLIDES_SECONDS = 90
+
+
+def slides(chapters: DataFrame, scenes: DataFrame, keys: Sequence[str], seconds: str) -> DataFrame:
+    """(keys, slide, idx, shown): the scene of each slide of a chapter and how long it is shown.
+
+    A chapter has one slide, of the scene nearest to its middle, or from `TWO_SLIDES_SECONDS` on two, of those nearest to
+    a quarter and three quarters, half of the time each; scenes with somebody in them (``preferred``) come before others,
+    then the nearest, then the first. scenes as in `nearest_interval`; a chapter without scenes has no slides.
+    """
+    two = F.col(seconds) >= TWO_SLIDES_SECONDS
+    shares = F.when(two, F.array(F.lit(0.25), F.lit(0.75))).otherwise(F.array(F.lit(0.5)))
+    points = chapters.select(*keys, seconds, F.posexplode(shares).alias("slide", "_share"))
+    points = points.withColumn("_at", F.col(seconds) * F.col("_share"))
+    found = nearest_interval(points.select(*keys, "slide", "_at", seconds), scenes, keys, "_at", ["slide", seconds])
+    return found.select(*keys, "slide", "idx", F.when(two, F.col(seconds) / 2).otherwise(F.col(seconds)).alias("shown"))
+
+
 def page(df: DataFrame, order: Sequence, number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1), or the last there is."""
     n = df.count()

@@ -229,12 +229,37 @@ def merged_list(spark, d):
 SELECT story_id, "order", status, title, seconds FROM chapters WHERE "order" % 4 <> 0 UNION ALL
 SELECT n.story_id, n."order", n.status, n.title, c.seconds FROM n JOIN chapters c USING (story_id, "order")""")
 def upsert(spark, d):
-    """SNK-01, SNK-02, SNK-05, SNK-06: upsert that keeps a column that is set."""
+    """SNK-01, SNK-02: upsert that keeps a column that is set."""
     old = chapters(spark, d).select("story_id", "order", "status", "title", "seconds")
     new = old.filter("order % 4 = 0").withColumns({"status": F.lit("done"), "title": F.lit("new"), "seconds": F.lit(5.0)})
     return L.upsert(old, new, ["story_id", "order"], keep=["seconds"])
 
 
+@query("snk05_created", """WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS created_at FROM orders),
+n AS (SELECT k + 2 AS k, 'new' AS status, CASE WHEN k % 4 = 0 THEN NULL ELSE TIMESTAMP '2020-01-01' END AS created_at FROM o WHERE k % 5 <> 0)
+SELECT coalesce(n.k, o.k) AS k, coalesce(n.status, o.status) AS status, CASE WHEN n.k IS NULL THEN o.created_at ELSE coalesce(o.created_at, n.created_at, TIMESTAMP '2024-02-03') END AS created_at FROM o FULL JOIN n ON n.k = o.k""")
+def created(spark, d):
+    """SNK-05: the time of creation is the stored one, else the record's, else now."""
+    old, new = _records(spark, d)
+    return L.upsert(old, new.withColumn("created_at", F.coalesce("created_at", F.lit("2024-02-03").cast("timestamp_ntz"))), ["k"], keep=["created_at"])
+
+
+@query("snk06_first_created", """WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderdate END AS created_at FROM orders),
+n AS (SELECT k + 2 AS k, 'new' AS status, CASE WHEN k % 4 = 0 THEN NULL ELSE TIMESTAMP '2020-01-01' END AS created_at FROM o WHERE k % 5 <> 0)
+SELECT coalesce(n.k, o.k) AS k, coalesce(n.status, o.status) AS status, CASE WHEN o.k IS NULL THEN n.created_at ELSE o.created_at END AS created_at FROM o FULL JOIN n ON n.k = o.k""")
+def first_created(spark, d):
+    """SNK-06: an update never touches the time of creation, not even a missing one."""
+    old, new = _records(spark, d)
+    return L.upsert(old, new, ["k"], fixed=["created_at"])
+
+
+def _records(spark, d):
+    """Stored records, of which some have no time of creation, and later ones that partly meet them."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")).cast("timestamp_ntz").alias("created_at"))
+    n = o.filter("k % 5 <> 0").select((F.col("k") + 2).alias("k"), F.lit("new").alias("status"), F.when(F.col("k") % 4 != 0, F.lit("2020-01-01")).cast("timestamp_ntz").alias("created_at"))
+    return o, n
+
+
 @query("snk03_replace", f"""WITH {_CHAPTERS} SELECT story_id, "order", status FROM chapters WHERE story_id % 2 <> 0 UNION ALL SELECT story_id, "order", 'pending' FROM chapters WHERE story_id % 2 = 0 AND "order" % 2 = 0
 UNION ALL SELECT story_id, "order", status FROM chapters WHERE story_id % 2 = 0 AND story_id NOT IN (SELECT story_id FROM chapters WHERE story_id % 2 = 0 AND "order" % 2 = 0)""")
 def replace(spark, d):

@@ -184,12 +184,23 @@ def as_of(spark, d):
 x AS (SELECT k, "at", idx, greatest(0, lo - "at", "at" - hi) AS distance, row_number() OVER (PARTITION BY k, "at" ORDER BY preferred DESC, greatest(0, lo - "at", "at" - hi), idx) AS n FROM pt JOIN iv USING (k))
 SELECT k, "at", idx, distance FROM x WHERE n = 1""")
 def nearest(spark, d):
-    """JOIN-17, TXT-31."""
+    """JOIN-17."""
     iv = segments(spark, d).select("k", F.col("i").alias("idx"), F.col("s").alias("lo"), (F.col("s") + 5).alias("hi"), (F.col("p") % 2 == 0).alias("preferred"))
     pt = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 100).alias("at"))
     return O.nearest_interval(pt, iv, ["k"], "at", [])
 
 
+@query("txt31_slides", f"""WITH {_SEG}, iv AS (SELECT k, i AS idx, (i - 1) * 40.0 AS lo, i * 40.0 - 5 AS hi, p % 2 = 0 AS preferred FROM seg), c AS (SELECT o_orderkey AS k, o_custkey % 300 AS seconds FROM orders),
+t AS (SELECT k, seconds, unnest(CASE WHEN seconds >= 90 THEN [0, 1] ELSE [0] END) AS slide FROM c), a AS (SELECT *, seconds * CASE WHEN seconds < 90 THEN 0.5 WHEN slide = 0 THEN 0.25 ELSE 0.75 END AS sec FROM t),
+x AS (SELECT k, slide, idx, seconds, row_number() OVER (PARTITION BY k, slide ORDER BY preferred DESC, greatest(0, lo - sec, sec - hi), idx) AS n FROM a JOIN iv USING (k))
+SELECT k, slide, idx, CASE WHEN seconds >= 90 THEN seconds / 2 ELSE seconds END AS shown FROM x WHERE n = 1""")
+def slides(spark, d):
+    """TXT-31: one slide at a chapter's middle, or two at its quarters."""
+    iv = segments(spark, d).select("k", F.col("i").alias("idx"), ((F.col("i") - 1) * 40.0).alias("lo"), (F.col("i") * 40.0 - 5).alias("hi"), (F.col("p") % 2 == 0).alias("preferred"))
+    c = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 300).cast("double").alias("seconds"))
+    return O.slides(c, iv, ["k"], "seconds")
+
+
 @query("lim02_page", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 100")
 def paged(spark, d):
     """LIM-02."""

@@ -234,3 +234,37 @@ def partial_list(spark, d):
     x = table(spark, d, "pages").select(F.regexp_extract("url", "://[^/?#]*/(..)", 1).alias("part"), n.alias("n"))
     g = x.groupBy("part").agg(F.count("n").alias("numbered"), F.max("n").alias("top"))
     return g.withColumn("partial", (F.col("numbered") >= 2) & (F.col("top") >= 20) & (F.col("numbered") < F.col("top") / 2))
+
+
+@query("fn28_keys", """SELECT doc_id, sha1(CAST(to_json(string_split(text, chr(10))) AS VARCHAR)) AS key, sha1('[' || CAST(to_json(lang) AS VARCHAR) || ',["' || source || '"],' || CAST(to_json(string_split(text, chr(10))) AS VARCHAR) || ']') AS board FROM documents""")
+def keys(spark, d):
+    """FN-28: keys of each document's lines, alone and with a cast list."""
+    parts = F.split("text", "\n")
+    return table(spark, d, "documents").select("doc_id", V.parts_key(parts).alias("key"), V.storyboard_key(F.col("lang"), F.array("source"), parts).alias("board"))
+
+
+@query("fn40_narratable", """SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN lang END, ''), 'vi') = 'vi' AS narratable, CASE WHEN source LIKE '%5' THEN 14100 ELSE 39600 END AS seconds FROM documents""")
+def narratable(spark, d):
+    """FN-40: works without a language count as Vietnamese; the longest part depends on the platform."""
+    language = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("lang"))
+    platform = F.when(F.col("source").endswith("5"), "facebook").otherwise("youtube")
+    return table(spark, d, "documents").select("doc_id", V.narratable(language).alias("narratable"), V.part_seconds(platform).alias("seconds"))
+
+
+@query("fn29_kinds", """SELECT doc_id, CASE WHEN length(text) >= 12 THEN (['wav', 'flac', 'ogg', 'm4a', 'mp3', 'mp3', NULL, NULL])[doc_id % 8 + 1] END AS audio, CASE WHEN doc_id % 8 = 6 AND length(text) >= 12 THEN 'webp' END AS image FROM documents""")
+def kinds(spark, d):
+    """FN-29: kinds of sound and pictures by the first bytes, put before each document; of a short one only four are left."""
+    heads = ["52494646 00000000 57415645", "664C6143", "4F676753", "00000018 66747970", "494433", "FFFB90", "52494646 00000000 57454250", ""]
+    head = F.unhex(F.get(F.array(*[F.lit(h.replace(" ", "")) for h in heads]), (F.col("doc_id") % 8).cast("int")))
+    whole = F.when(F.length("text") < 12, F.substring(head, 1, 4)).otherwise(F.concat(head, F.encode("text", "UTF-8")))
+    return table(spark, d, "documents").select("doc_id", V.audio_kind(whole).alias("audio"), V.image_kind(whole).alias("image"))
+
+
+@query("fn09_titles", r"""WITH p AS (SELECT p_partkey, p_name AS listed, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) || '  and  more ' WHEN 1 THEN substr(p_name, 2) || ' other' WHEN 2 THEN p_name END AS found FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN trim(regexp_replace(found, '\s+', ' ', 'g')) ELSE listed END AS title FROM p""")
+def titles(spark, d):
+    """FN-09: a page's title is taken where it goes on from the listed one."""
+    i = F.col("p_partkey") % 4
+    found = F.when(i == 0, F.concat(F.upper("p_name"), F.lit("  and  more "))).when(i == 1, F.concat(F.expr("substr(p_name, 2)"), F.lit(" other"))).when(i == 2, F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", X.chosen_title(F.col("p_name"), found).alias("title"))
+

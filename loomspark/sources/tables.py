@@ -6,6 +6,8 @@ lineitems, pages and documents are themselves, and the progress stream is the ev
 
 from __future__ import annotations
 
+import atexit
+import sys
 import tempfile
 import uuid
 
@@ -20,14 +22,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: dict[str, list] = {}
+
+
+def _deleted() -> None:
+    """Deletes what `remembered` was told, as far as the store can still be reached."""
+    for path, store in [x for own in _made.values() for x in own]:
+        try:
+            store.delete(path, True)
+        except Exception as e:  # the session's machine may be gone at the end
+            print(f"left behind: {path}: {type(e).__name__}", file=sys.stderr)
+            break
+    _made.clear()
+
+
+atexit.register(_deleted)
+
+
+def remembered(spark: SparkSession, root: str) -> str:
+    """A folder of this application below ``root`` for intermediate tables, deleted when the program ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{root.rstrip('/')}/loomspark-{app}"
+    if folder not in _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        _made[folder] = [(path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()))]
+    return folder
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all machines share; one of this machine only where Spark runs on it alone."""
+    """A new folder below ``spark.checkpoint.dir``, which all machines share; one of this machine only where Spark runs on it alone.
+
+    It is deleted when the program ends.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="loomspark-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        root = "file://" + tempfile.gettempdir()
+    return f"{remembered(spark, root)}/{uuid.uuid4().hex}"
 
 
 def seconds_of(ts: str):

@@ -1,5 +1,8 @@
 """Records, names, repairs, saved images, and page readers on small rows."""
 
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +156,28 @@ def test_places_in_the_order_of_a_language(spark):
             assert {r["place"]: (r["w"], r["i"]) for r in got} == dict(enumerate(want, 1))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_kinds_keys_and_limits(spark):
+    heads = {b"RIFF....WAVE": "wav", b"fLaC........": "flac", b"OggS........": "ogg", b"....ftyp....": "m4a", b"ID3.........": "mp3", b"\xff\xe0..........": "mp3", b"\xff\xd8\xff.........": None, b"ID3": None, None: None, b"RIFF....WEBP": None}
+    got = spark.createDataFrame([(bytearray(h) if h else None,) for h in heads], "b binary").select(V.audio_kind(F.col("b")).alias("k")).collect()
+    assert [r["k"] for r in got] == list(heads.values())
+    row = spark.createDataFrame([(["a", 'b"'], "t", ["x", "y"], "")], "parts array<string>, at string, ids array<string>, lang string")
+    got = row.select(V.parts_key(F.col("parts")), V.storyboard_key(F.col("at"), F.col("ids"), F.col("parts")), V.narratable(F.col("lang")), V.narratable(F.lit("en")), V.part_seconds(F.lit("facebook")), V.part_seconds(F.lit(None))).first()
+    sha = lambda x: hashlib.sha1(json.dumps(x, separators=(",", ":")).encode()).hexdigest()
+    assert tuple(got) == (sha(["a", 'b"']), sha(["t", ["x", "y"], ["a", 'b"']]), True, False, 14100, 39600)
+
+
+def test_slides_take_the_nearest_scene_with_somebody_in_it(spark):
+    scenes = spark.createDataFrame([(1, 0, 0.0, 40.0, False), (1, 1, 40.0, 60.0, True), (1, 2, 60.0, 200.0, True), (2, 0, 0.0, 9.0, False), (2, 1, 9.0, 80.0, False)], "k int, idx int, lo double, hi double, preferred boolean")
+    chapters = spark.createDataFrame([(1, 100.0), (2, 89.0), (3, 500.0)], "k int, seconds double")
+    got = {(r["k"], r["slide"]): (r["idx"], r["shown"]) for r in O.slides(chapters, scenes, ["k"], "seconds").collect()}
+    assert got == {(1, 0): (1, 50.0), (1, 1): (2, 50.0), (2, 0): (1, 89.0)}
+
+
+def test_intermediate_tables_have_a_folder_of_the_application(spark):
+    from loomspark.sources.tables import remembered, shared_folder
+
+    at = shared_folder(spark)
+    assert spark.sparkContext.applicationId in at and at != shared_folder(spark)
+    assert remembered(spark, "file:///tmp/") == remembered(spark, "file:///tmp")
