@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import remembered
+
 #: What separates words everywhere in this subpackage: space, tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,14 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="loomspark-")
+        found = "file://" + tempfile.gettempdir()
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again with the same schema."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table in the shared folder, read again with the same schema; it goes when the program ends."""
+    path = f"{remembered(df.sparkSession, shared_dir(df.sparkSession))}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
