@@ -1,6 +1,7 @@
 """Every stage of the pipeline against brute force, and the whole of it."""
 
 import collections
+import hashlib
 
 import corpus_pipeline as pipeline
 from loomspark.llm import toxicity
@@ -48,3 +49,13 @@ def test_the_whole_runs(spark, sf):
     got = pipeline.run(spark, sf)
     assert got.columns == [*spark.read.parquet(f"{sf}/documents.parquet").columns, "shard"]
     assert all(0 <= r["shard"] < 24 for r in got.collect())
+
+
+def test_an_id_with_several_texts_keeps_a_defined_one(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(1, f"text number {i} of an id that has several " + "word " * i, "en", f"s{i}", i) for i in range(6)] + [(1, "text number 3 of an id that has several " + "word " * 3, "de", "other", 3), (2, "another document with words of its own", "en", "s", 1), (None, "x y z", "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(*docs.columns)
+    runs = [sorted(map(str, pipeline.neardup_stage(spark, df.repartition(n), sf).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == 3
+    kept = pipeline.neardup_stage(spark, df, sf).filter("doc_id = 1").first()["text"]
+    assert kept == min((r[1] for r in rows if r[0] == 1), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
