@@ -214,6 +214,13 @@ def paragraph_chunks(paragraphs: DataFrame, key: str, order: list[str], text: st
     return packed.groupBy("key", "chunk").agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("text")).withColumnRenamed("key", key)
 
 
+def highlight_scan(highlights: DataFrame, story: str, chapter: str, start: str, end: str, text: str, out: str = "place") -> DataFrame:
+    """A story's highlights that lie within their chapter's text, in reading order: by chapter, start, then end, with the
+    words and the place from 1 in the story; of highlights of the same range each counts."""
+    marked = highlights.withColumn("marked", highlight_text(F.col(text), F.col(start), F.col(end))).filter("marked is not null")
+    return marked.withColumn(out, F.row_number().over(Window.partitionBy(story).orderBy(chapter, start, end))).drop(text)
+
+
 def fresh(cached: DataFrame, at: str, now: Column, ttl_seconds: int) -> DataFrame:
     """Cache entries that are not too old."""
     return cached.filter(F.unix_seconds(now) - F.unix_seconds(F.col(at)) < ttl_seconds)

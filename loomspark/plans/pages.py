@@ -65,10 +65,20 @@ def coverage(spark, d):
 
 @query("txt30_highlights", "SELECT doc_id, CASE WHEN length(text) >= 25 THEN substr(text, 11, 15) END AS marked FROM documents")
 def highlights(spark, d):
-    """TXT-30, SRC-07."""
+    """TXT-30."""
     return table(spark, d, "documents").select("doc_id", P.highlight_text(F.col("text"), F.lit(10), F.lit(25)).alias("marked"))
 
 
+@query("src07_highlights", """WITH h AS (SELECT conv_id AS story, turn AS chapter, unnest([40, 3, 11]) AS start, unnest([60, 3 + turn, 25]) AS stop, text FROM conversations),
+k AS (SELECT story, chapter, start, stop, substr(text, start + 1, stop - start) AS marked FROM h WHERE stop > start AND stop <= length(text))
+SELECT *, CAST(row_number() OVER (PARTITION BY story ORDER BY chapter, start, stop) AS INT) AS place FROM k""")
+def highlight_scan(spark, d):
+    """SRC-07: the highlights of a dialogue in reading order; those outside of their turn's text are left out."""
+    ranges = F.array(F.struct(F.lit(40).alias("start"), F.lit(60).cast("long").alias("stop")), F.struct(F.lit(3).alias("start"), (F.col("turn") + 3).alias("stop")), F.struct(F.lit(11).alias("start"), F.lit(25).cast("long").alias("stop")))
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("story"), F.col("turn").alias("chapter"), "text", F.explode(ranges).alias("r"))
+    return P.highlight_scan(c.select("story", "chapter", "text", "r.start", "r.stop"), "story", "chapter", "start", "stop", "text")
+
+
 @query("src16_rows", f"""WITH RECURSIVE {_SEG}, f AS (SELECT k, p AS x, q * 3 AS y, s, row_number() OVER (PARTITION BY k ORDER BY q * 3, p) AS n FROM seg),
 r AS (SELECT k, n, y AS y0, 0 AS line FROM f WHERE n = 1
 UNION ALL SELECT f.k, f.n, CASE WHEN abs(f.y - r.y0) > 5 THEN f.y ELSE r.y0 END, CASE WHEN abs(f.y - r.y0) > 5 THEN r.line + 1 ELSE r.line END FROM r JOIN f ON f.k = r.k AND f.n = r.n + 1)
