@@ -21,36 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
+from .alignment import SEGMENT, align, limits, pair_codes, places_kept, segment_codes, segment_seeds
+from .seedjoin import joined
 from .tables import dropped, read, written
-from .textcodes import mixed, texts_in_chunks, word_codes
-
-#: Words of a segment at most, so that an alignment is bounded.
-SEGMENT = 128
-MISMATCH, GAP = 0.5, 0.5
-
-
-def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int]:
-    """The best local alignment's score (match 1, mismatch and gap minus 1/2) and the position in ``words`` where it ends."""
-    steps = np.arange(1, len(words) + 1) * GAP
-    row, best, at = np.zeros(len(words) + 1), 0.0, 0
-    for code in item:
-        new = np.maximum(row[:-1] + np.where(words == code, 1.0, -MISMATCH), row[1:] - GAP)
-        np.maximum(new, 0, out=new)
-        new = np.maximum.accumulate(new + steps) - steps  # gaps along the row
-        row = np.concatenate([[0.0], new])
-        k = int(new.argmax())
-        if new[k] > best:
-            best, at = float(new[k]), k
-    return best, at
-
-
-def pair_codes(words: np.ndarray, gap: int) -> np.ndarray:
-    """Codes of each word with the one ``gap`` places on, the same for every gap; of the words alone for gap 0."""
-    if not gap:
-        return words
-    n = max(0, len(words) - gap)
-    return mixed(words[:n] * np.uint64(0xA0761D6478BD642F) + words[gap:]) if n else words[:0]
-
+from .textcodes import texts_in_chunks, word_codes
 
 class Seeds:
     """A block of segments with an index of their word pairs (all, until ``keep`` leaves those of the rarer places)."""
@@ -58,22 +32,18 @@ class Seeds:
     def __init__(self, items: list[tuple[object, str | None]], least: float):
         self.item, self.words = [], []
         for key, text in items:
-            data = np.frombuffer((text or "").encode(), dtype=np.uint8)
-            codes, _ = word_codes(data, np.array([0, len(data)]), loose=True)
-            for part in np.array_split(codes, -(-len(codes) // SEGMENT)) if len(codes) else []:
+            for part in segment_codes(text):
                 self.item.append(key)
                 self.words.append(part)
         self.size = np.array([len(w) for w in self.words], dtype=np.int64)
-        #: The least score of a segment, the words by which its gaps may shift it then, the kept places that must be met.
-        self.score = np.minimum(self.size, np.maximum(least * self.size, 6))
-        self.shift = np.floor(2 * (self.size - self.score)).astype(np.int64)
-        self.met_least = np.maximum(1, (np.ceil(self.score).astype(np.int64) + 1) // 3)
+        self.score, self.shift, self.met_least = limits(self.size, least)
+        self.kept = places_kept(self.size, least)
         self.gaps = [g for g in range(3) if g or (self.size == 1).any()]
-        found = [(k, g, pair_codes(w, g)) for k, w in enumerate(self.words) for g in ((1, 2) if len(w) > 1 else (0,))]
-        codes = np.concatenate([np.zeros(0, np.uint64), *[c for _, _, c in found]])
+        found = [(k, c) for k, w in enumerate(self.words) for c in segment_seeds(w)]
+        codes = np.concatenate([np.zeros(0, np.uint64), *[c for _, c in found]])
         self.codes, where = np.unique(codes, return_inverse=True)
         none = np.zeros(0, np.int64)
-        self.index(where, np.concatenate([none, *[np.full(len(c), k) for k, _, c in found]]), np.concatenate([none, *[np.arange(len(c)) for _, _, c in found]]))
+        self.index(where, np.concatenate([none, *[np.full(len(c), k) for k, c in found]]), np.concatenate([none, *[np.arange(len(c)) for _, c in found]]))
 
     def index(self, seed: np.ndarray, segment: np.ndarray, place: np.ndarray) -> None:
         """Postings (segment, place) of each seed, and a table of bits that rules most other codes out."""
@@ -92,9 +62,7 @@ class Seeds:
         order = np.lexsort((n, segment))
         rank = np.empty(len(spots), np.int64)
         rank[order] = np.arange(len(spots)) - np.searchsorted(segment, segment[order])
-        least = np.maximum(1, np.ceil(self.score).astype(np.int64) - 1)  # places that are shared
-        places = np.maximum(1, self.size - 1)
-        rare = (rank < (places - least + self.met_least)[segment])[at]
+        rare = (rank < self.kept[segment])[at]
         self.index(self.seed[rare], self.segment[rare], self.place[rare])
 
     def met(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,8 +153,38 @@ def _aligned_part(seeds: Seeds, codes: np.ndarray, at: np.ndarray, where: np.nda
     return [(*key, *what) for key, what in best.items()]
 
 
-#: Bytes of test items that are sent to the executors at a time; more items take further passes over the documents.
-BLOCK_BYTES = 4 << 20
+#: Bytes of test items that are sent to the executors at most; more are joined with the documents by their seeds.
+SENT_BYTES = 4 << 20
+
+
+def _sent(source: DataFrame, items: DataFrame, least: float, schema: StructType) -> DataFrame:
+    """Matches of few items, all of which every task holds: two passes over the documents, nothing of which is shuffled."""
+    spark = source.sparkSession
+    arrow = to_arrow_schema(schema)
+    rows = items.orderBy("item", "text").collect()  # SENT_BYTES bounds them
+    seeds = Seeds([(r["item"], r["text"]) for r in rows], least)
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(seeds))
+
+    def count(batches):
+        return _counted(pickle.loads(sent.value))(batches)
+
+    counts = np.zeros(len(seeds.codes), np.int64)
+    if len(seeds.codes):
+        for r in source.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # a number for each seed
+            counts[r["seed"]] = r["n"]
+    seeds.keep(counts)
+    kept = spark.sparkContext.broadcast(cloudpickle.dumps(seeds))
+
+    def match(batches):
+        own = pickle.loads(kept.value)
+        for batch in batches:
+            rows = []
+            for i, _, data, bounds in texts_in_chunks(batch.column(1)):
+                rows += [(i + k, *what) for k, *what in _aligned(own, *word_codes(data, bounds, loose=True))]
+            ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())).cast(arrow.field(0).type)
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[c] for r in rows], arrow.field(c).type) for c in range(1, 5)]], schema=arrow)
+
+    return source.mapInArrow(match, schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = 0.5) -> DataFrame:
@@ -198,45 +196,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     has the best. Items or documents that are null, empty or without words match nothing. Repeated rows give repeated results;
     repeated items count as one. Null ids are kept as they are. Other columns are not read.
 
-    Test items are passed to the tasks in blocks of ``BLOCK_BYTES``, each with two passes over the documents (counts,
-    then matches), so no benchmark is too large.
+    Test items of up to ``SENT_BYTES`` are passed to the tasks; more of them are joined with the documents by their
+    seeds (`seedjoin`), with the same results, so the passes over the documents don't grow with the benchmark.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     items = written(benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text}`").alias("text")).filter("text is not null").distinct(), "items")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    kinds = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
-    schema = StructType([StructField("id", kinds[0]), StructField("item", kinds[1]), StructField("score", DoubleType()), StructField("window", LongType()), StructField("item_words", IntegerType())])
-    arrow = to_arrow_schema(schema)
-    out = None
-    for block in range(blocks):
-        # BLOCK_BYTES bounds these rows
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").collect()
-        seeds = Seeds([(r["item"], r["text"]) for r in rows], least)
-        sent = spark.sparkContext.broadcast(cloudpickle.dumps(seeds))
-
-        def count(batches, sent=sent):
-            return _counted(pickle.loads(sent.value))(batches)
-
-        counts = np.zeros(len(seeds.codes), np.int64)
-        if len(seeds.codes):
-            for r in source.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # a number for each seed
-                counts[r["seed"]] = r["n"]
-        seeds.keep(counts)
-        kept = spark.sparkContext.broadcast(cloudpickle.dumps(seeds))
-
-        def match(batches, kept=kept):
-            own = pickle.loads(kept.value)
-            for batch in batches:
-                rows = []
-                for i, _, data, bounds in texts_in_chunks(batch.column(1)):
-                    rows += [(i + k, *what) for k, *what in _aligned(own, *word_codes(data, bounds, loose=True))]
-                ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())).cast(arrow.field(0).type)
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[c] for r in rows], arrow.field(c).type) for c in range(1, 5)]], schema=arrow)
-
-        part = source.mapInArrow(match, schema)
-        out = part if out is None else out.unionByName(part)
+    if total > SENT_BYTES:
+        out = joined(source, items, least)
+    else:
+        kinds = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+        schema = StructType([StructField("id", kinds[0]), StructField("item", kinds[1]), StructField("score", DoubleType()), StructField("window", LongType()), StructField("item_words", IntegerType())])
+        out = _sent(source, items, least, schema)
     dropped(items)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "window", "item_words")
 

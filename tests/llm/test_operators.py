@@ -400,7 +400,7 @@ def test_toxicity_of_held_out_documents(spark, sf):
 # contamination
 
 
-def test_contamination_finds_copies_and_edited_copies_only(spark):
+def test_contamination_finds_copies_and_edited_copies_only(spark, way):
     rng = random.Random(6)
     items = [(i, words(rng, 40, 900)) for i in range(8)] + [(90, None), (91, ""), (92, "tiny item"), (93, words(rng, 400, 900))]
     changed = items[2][1].split()
@@ -424,7 +424,14 @@ def test_contamination_finds_copies_and_edited_copies_only(spark):
     assert decontamination.contaminated(docs(spark, []), bench).count() == 0
 
 
-def test_contamination_is_that_of_brute_force_alignment(spark):
+@pytest.fixture(params=["sent", "joined"])
+def way(request, monkeypatch):
+    """Test items sent to the tasks, or joined by their seeds, which many items are."""
+    if request.param == "joined":
+        monkeypatch.setattr(decontamination, "SENT_BYTES", -1)
+
+
+def test_contamination_is_that_of_brute_force_alignment(spark, way):
     rng = random.Random(16)
     items = [(i, words(rng, n, 900)) for i, n in enumerate([40, 40, 40, 60, 128, 129, 12, 9, 2])]
 
@@ -456,7 +463,7 @@ def test_contamination_is_that_of_brute_force_alignment(spark):
 
 
 @pytest.mark.parametrize("kind", ["int", "smallint", "string", "date", "bigint"])
-def test_contamination_keeps_ids_of_any_type(spark, kind):
+def test_contamination_keeps_ids_of_any_type(spark, kind, way):
     text = "a passage of some twelve different words that a benchmark item really has"
     items = spark.createDataFrame([(7, text), (8, "tiny item")], "n int, text string")
     key = F.date_add(F.lit("2020-01-01"), F.col("n")) if kind == "date" else F.col("n").cast(kind)
@@ -466,6 +473,21 @@ def test_contamination_keeps_ids_of_any_type(spark, kind):
     assert decontamination.contaminated(found.filter("doc_id = 3"), items.select(key.alias("item_id"), "text")).count() == 0
 
 
+def test_both_ways_give_the_same_rows(spark, monkeypatch):
+    rng = random.Random(4)
+    items = [(i % 9, words(rng, n, 60)) for i, n in enumerate([40, 300, 7, 129, 1, 2, 6, 90, 40, 40, 50])]  # two texts of an item
+    often = items[1][1]
+    texts = [often] * 40 + [" ".join([items[0][1]] * 30), None, "", items[4][1], "x " * 5000 + items[3][1]]  # copies, and a text that repeats one
+    texts += [" ".join(w if rng.random() < 0.8 else "y" for w in t.split()) for _, t in items for _ in range(3)] + [words(rng, 3000, 60)]
+    found = docs(spark, [(i if i % 11 else None, t, None) for i, t in enumerate(texts)]).withColumns({c: F.lit("clash") for c in ("key", "code", "seg", "pos", "item")})
+    bench = spark.createDataFrame(items + items[:2] + [(None, items[7][1])], "item_id long, text string")
+    rows = []
+    for most in (1 << 20, -1):
+        monkeypatch.setattr(decontamination, "SENT_BYTES", most)
+        rows.append(sorted(map(tuple, decontamination.contaminated(found, bench).collect()), key=repr))
+    assert len(rows[0]) > 100 and rows[0] == rows[1]
+
+
 def test_alignment_is_that_of_the_full_table():
     rng = random.Random(8)
     for _ in range(30):
