@@ -150,7 +150,15 @@ def jwt_claims(token: Column, schema: str) -> Column:
 
 
 def chunked(items: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(items) / n).cast("int") - 1)), lambda i: F.slice(items, i * n + 1, F.lit(n)))
+    """An array as slices of ``n``, the last one shorter; an empty array has none."""
+    last = F.ceil(F.size(items) / n).cast("int") - 1
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * n + 1, F.lit(n)))).when(items.isNotNull(), F.slice(F.array(items), 2, 1))
+
+
+def capped_body(body: Column, declared: Column, most: int) -> Column:
+    """A body of at most ``most`` bytes; null where it, or the length declared for it, is more. No body is an empty one."""
+    size = F.coalesce(F.octet_length(body), F.lit(0))
+    return F.when((F.coalesce(declared, F.lit(0)) <= most) & (size <= most), F.coalesce(body, F.lit("")))
 
 
 def violated(rules: list[tuple[str, Column]]) -> Column:
@@ -174,3 +182,36 @@ def canonical(url: Column, rules: list[tuple[str, str]]) -> Column:
         put = F.regexp_replace(F.regexp_extract(url, pattern, 0), pattern, template)
         out = F.when(url.rlike(pattern), put) if out is None else out.when(url.rlike(pattern), put)
     return url if out is None else out.otherwise(url)
+
+
+def local_time(iso: Column, zone: str) -> Column:
+    """The clock in ``zone`` at a time as written, with an offset, as UTC (Z, or a date alone), or else local; null if it is none."""
+    written = iso.try_cast("timestamp_ntz")
+    offset = F.regexp_extract(iso, r"[T ].*([+-]\d{2}:?\d{2})$", 1)
+    minutes = F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, -2, 2).cast("int")
+    ahead = F.when(offset == "", 0).when(F.substring(offset, 1, 1) == "-", -minutes).otherwise(minutes)
+    instant = iso.rlike(r"Z$|^\d{4}-\d{2}-\d{2}$") | (offset != "")
+    return F.when(instant, F.convert_timezone(F.lit("UTC"), F.lit(zone), written - F.make_dt_interval(mins=ahead))).otherwise(written)
+
+
+def iso_with_offset(utc: Column, zone: str) -> Column:
+    """A time in UTC, to the minute, as ``zone`` writes it, with its offset then."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    ahead = F.timestamp_diff("MINUTE", utc, local)
+    hours = F.lpad(F.floor(F.abs(ahead) / 60).cast("string"), 2, "0")
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:00"), F.when(ahead < 0, "-").otherwise("+"), hours, F.lit(":"), F.lpad((F.abs(ahead) % 60).cast("string"), 2, "0"))
+
+
+def tomorrow(utc: Column, zone: str) -> Column:
+    """The day after the day that it is in ``zone``."""
+    return F.date_format(F.date_add(F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)), 1), "yyyy-MM-dd")
+
+
+def local_input(iso: Column, zone: str) -> Column:
+    """A written time as date and minute in ``zone``; empty where there is none."""
+    return F.coalesce(F.date_format(local_time(iso, zone), "yyyy-MM-dd'T'HH:mm"), F.lit(""))
+
+
+def publish_label(iso: Column, zone: str) -> Column:
+    """A written time for reading, minute first; what can't be read as a time stays as it is."""
+    return F.coalesce(F.date_format(local_time(iso, zone), "HH:mm dd/MM/yyyy"), iso, F.lit(""))

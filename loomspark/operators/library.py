@@ -68,6 +68,22 @@ def live_counts(chapters: DataFrame, live: DataFrame) -> DataFrame:
     return now.groupBy("story_id").agg(F.count_if(F.col("state") == "done").alias("done"), F.count_if(F.col("state") == "error").alias("failed"), F.count("*").alias("live"))
 
 
+def counters(chapters: DataFrame, live: DataFrame) -> DataFrame:
+    """(story_id, done, error, pending, remaining): chapters by state, where pending ones that a run has ended count as it
+    ended them; remaining are those not done."""
+    stored = chapters.groupBy("story_id").agg(F.count_if(F.col("status") == "done").alias("_done"), F.count_if(F.col("status") == "error").alias("_error"), F.count("*").alias("_all"))
+    now = live_counts(chapters, live).withColumnsRenamed({"done": "_now", "failed": "_failed"})
+    both = stored.join(now, "story_id", "left").na.fill(0, ["_now", "_failed"])
+    done, error = F.col("_done") + F.col("_now"), F.col("_error") + F.col("_failed")
+    return both.select("story_id", done.alias("done"), error.alias("error"), (F.col("_all") - done - error).alias("pending"), (F.col("_all") - done).alias("remaining"))
+
+
+def owned_bytes(owners: DataFrame, files: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
+    """(keys, files, bytes) of every owner; one without files has none, and files without an owner don't count."""
+    held = files.groupBy(*keys).agg(F.count("*").alias("files"), F.sum(size).alias("bytes"))
+    return owners.select(*keys).distinct().join(held, list(keys), "left").na.fill(0, ["files", "bytes"])
+
+
 def ready_to_post(rendered: DataFrame, posted: DataFrame, keys: Sequence[str], states: Sequence[str]) -> DataFrame:
     """Rows in one of the states that are not posted yet."""
     return rendered.filter(F.col("status").isin(list(states))).join(posted, list(keys), "left_anti")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import documents, labels, layout, library, ordered, packing, pages, progress, records, scalar, trees
+from . import contracts, documents, labels, layout, library, ordered, packing, pages, progress, records, scalar, trees
 from .registry import QUERIES, SQL
 
-MODULES = (documents, labels, layout, library, ordered, packing, pages, progress, records, scalar, trees)
+MODULES = (contracts, documents, labels, layout, library, ordered, packing, pages, progress, records, scalar, trees)
 
 
 def queries() -> dict:

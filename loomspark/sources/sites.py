@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.pagehtml import BLOCKS, Reader
 from ..functions.pagetree import Picker, Selector
+from ..functions.text import collapsed
 from ..functions.values import host_name
 from ..operators.library import suffix_matches
+from ..operators.pages import cleaned_blocks
 
 
 class PageBlocks:
@@ -91,6 +93,63 @@ def valid_listing(rows: DataFrame, page_host: str, most: int) -> DataFrame:
     return first.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter(F.col("_n") <= most).drop("_n")
 
 
+#: So many characters a chapter or an article has at least, and so many a title has at most.
+LEAST_CHARS, LONGEST_TITLE = 200, 300
+
+
+def _title(text: Column, default: Column) -> Column:
+    """A title on one line, cut to length; an empty one is ``default``."""
+    return F.coalesce(F.nullif(F.substring(collapsed(text), 1, LONGEST_TITLE), F.lit("")), default)
+
+
+def _chars(blocks: Column) -> Column:
+    return F.aggregate(blocks, F.lit(0), lambda n, b: n + F.coalesce(F.length(b["text"]), F.lit(0)))
+
+
+def _pictured(blocks: Column) -> Column:
+    return F.exists(blocks, lambda b: b["type"] == "image")
+
+
+def _problem(locked: Column, chars: Column, pictured: Column) -> Column:
+    return F.when(F.coalesce(locked, F.lit(False)), "locked").when((chars < LEAST_CHARS) & ~pictured, "too short")
+
+
+def valid_chapters(rows: DataFrame) -> DataFrame:
+    """What readers returned as chapters made safe: (page_id, title, blocks, problem).
+
+    rows: (page_id, url, title, locked, blocks), blocks as in `cleaned_blocks`. A chapter without a title has its address
+    for one. problem: "locked" behind a login, "too short" below `LEAST_CHARS` characters without a picture, else null.
+    """
+    clean = rows.withColumn("blocks", cleaned_blocks(F.coalesce("blocks", F.array().cast(rows.schema["blocks"].dataType))))
+    problem = _problem(F.col("locked"), _chars(F.col("blocks")), _pictured(F.col("blocks")))
+    return clean.select("page_id", _title(F.col("title"), F.col("url")).alias("title"), "blocks", problem.alias("problem"))
+
+
+def valid_articles(rows: DataFrame, most: int = 20_000) -> DataFrame:
+    """What readers returned as whole texts made safe: (page_id, title, author, language, cover_url, chapters, problem).
+
+    rows: (page_id, url, html, title, author, cover_url, locked, chapters), chapters an array of (title, blocks). Of at
+    most ``most`` chapters (a text has no more: the limit is the feature) those with blocks stay; one without a title has
+    its number among them. The title is the host where there is none, the language that of the page's html element, a
+    cover a web address. problem as in `valid_chapters`, over all chapters.
+    """
+    kept = F.transform(F.slice(F.coalesce("chapters", F.array().cast(rows.schema["chapters"].dataType)), 1, most), lambda c: F.struct(c["title"].alias("title"), cleaned_blocks(c["blocks"]).alias("blocks")))
+    kept = F.filter(kept, lambda c: F.size(c["blocks"]) > 0)
+    named = F.transform(kept, lambda c, i: F.struct(_title(c["title"], (i + 1).cast("string")).alias("title"), c["blocks"].alias("blocks")))
+    clean = rows.withColumn("chapters", named)
+    chars = F.aggregate("chapters", F.lit(0), lambda n, c: n + _chars(c["blocks"]))
+    problem = _problem(F.col("locked"), chars, F.exists("chapters", lambda c: _pictured(c["blocks"])))
+    return clean.select(
+        "page_id",
+        _title(F.col("title"), host_name(F.col("url"))).alias("title"),
+        _title(F.col("author"), F.lit(None)).alias("author"),
+        F.nullif(F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1)), F.lit("")).alias("language"),
+        F.when(F.col("cover_url").rlike("(?i)^https?://"), F.col("cover_url")).alias("cover_url"),
+        "chapters",
+        problem.alias("problem"),
+    )
+
+
 def cast_problems(characters: Column) -> Column:
     """Violated rules of a cast list: empty, too many, bad id, repeated id, no name, head out of range."""
     ids = F.transform(characters, lambda c: c["id"])
