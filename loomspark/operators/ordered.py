@@ -5,12 +5,13 @@ Each is a window over the rows of one work, chapter or key; nothing is ordered g
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..sources.tables import shared_folder
@@ -110,15 +111,65 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, since
     return line.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("_left = 1").drop("_t", "_left")
 
 
+#: Up to so many intervals are held before ended ones are looked for.
+_FEW_HELD = 1024
+
+
+def _held(n_keys: int, few: int):
+    """Adds to rows (keys, place, turn, idx, until), in order, the least idx of the intervals that hold a point there.
+
+    An interval's row (turn 0) has its idx and end; it is held while it is open, with at most as many that have ended.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_now, most = None, [], few
+        for batch in batches:
+            found = []
+            for *key, at, turn, idx, until in zip(*(batch.column(i).to_pylist() for i in range(n_keys + 4)), strict=True):
+                if key != now:
+                    now, open_now, most = key, [], few
+                if turn == 0:
+                    if len(open_now) >= most:
+                        open_now = [x for x in open_now if x[1] >= at]
+                        heapq.heapify(open_now)
+                        most = max(few, 2 * len(open_now))
+                    heapq.heappush(open_now, (idx, until))
+                else:
+                    while open_now and open_now[0][1] < at:
+                        heapq.heappop(open_now)
+                found.append(open_now[0][0] if turn and open_now else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "_held"])
+
+    return run
+
+
 def nearest_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, point_key: Sequence[str]) -> DataFrame:
     """For each point the interval of its keys that holds it or is nearest; preferred ones first, then the first by idx.
 
-    intervals: keys, idx, lo, hi, preferred. Pairs are made within a key only (a chapter's scenes).
+    intervals: keys, idx, lo, hi, preferred; they may overlap. Repeated points count once; points of a key without
+    intervals, and points or intervals without a place, go. No pairs are made: starts and points are read in order, with
+    the open intervals held, and the nearest end before a point and the nearest start after it are as-of joins.
     """
-    gap = F.greatest(F.lit(0), F.col("lo") - F.col(at), F.col(at) - F.col("hi"))
-    pairs = points.join(intervals, list(keys)).withColumn("distance", gap)
-    best = F.min_by(F.struct("idx", "distance"), F.struct((~F.col("preferred")).alias("p"), "distance", "idx"))
-    return pairs.groupBy(*keys, *point_key, at).agg(best.alias("b")).select(*keys, *point_key, at, F.col("b.idx").alias("idx"), F.col("b.distance").alias("distance"))
+    any_preferred = F.max("preferred").over(Window.partitionBy(*keys))
+    iv = intervals.withColumn("_any", any_preferred).filter("(preferred or not _any) and lo <= hi").select(*keys, F.col("idx").cast("long").alias("idx"), F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
+    place = F.col(at).cast("double")
+    pts = points.select(*keys, *point_key, at).filter(place.isNotNull()).distinct()
+    none = F.lit(None)
+    line = iv.select(*keys, F.col("lo").alias("_at"), F.lit(0).alias("_turn"), "idx", F.col("hi").alias("_until"))
+    asked = pts.select(*keys, place.alias("_at")).distinct().select(*keys, "_at", F.lit(1).alias("_turn"), none.cast("long").alias("idx"), none.cast("double").alias("_until"))
+    line = line.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "_at", "_turn")
+    held = line.mapInArrow(_held(len(keys), _FEW_HELD), StructType([*line.schema.fields, StructField("_held", LongType())])).filter("_turn = 1").select(*keys, "_at", "_held")
+    before = as_of(held, iv.select(*keys, F.col("hi").alias("_end"), F.struct("hi", (-F.col("idx")).alias("i")).alias("_before")), keys, "_at", "_end", "_before")
+    turned = before.withColumn("_back", -F.col("_at"))
+    both = as_of(turned, iv.select(*keys, (-F.col("lo")).alias("_start"), F.struct((-F.col("lo")).alias("lo"), (-F.col("idx")).alias("i")).alias("_after")), keys, "_back", "_start", "_after")
+    sides = F.array_compact(F.array(
+        F.when(F.col("_held").isNotNull(), F.struct(F.lit(0.0).alias("distance"), F.col("_held").alias("idx"))),
+        F.when(F.col("_before").isNotNull(), F.struct((F.col("_at") - F.col("_before.hi")).alias("distance"), (-F.col("_before.i")).alias("idx"))),
+        F.when(F.col("_after").isNotNull(), F.struct((-F.col("_after.lo") - F.col("_at")).alias("distance"), (-F.col("_after.i")).alias("idx"))),
+    ))
+    best = both.withColumn("_b", F.array_min(sides)).filter("_b is not null").select(*keys, "_at", "_b")
+    kinds = intervals.schema["idx"].dataType, intervals.select(F.col("lo") - F.col("hi")).schema[0].dataType
+    return pts.withColumn("_at", place).join(best, [*keys, "_at"]).select(*keys, *point_key, at, F.col("_b.idx").cast(kinds[0]).alias("idx"), F.col("_b.distance").cast(kinds[1]).alias("distance"))
 
 
 #: From this length on a chapter has two slides.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.text import split_text, word_count
+from ..functions.text import collapsed, split_text, word_count
 from ..functions.values import address_shape, host_name
 from .packing import next_fit
 
@@ -137,60 +137,36 @@ def cleaned_blocks(blocks: Column) -> Column:
     return F.transform(F.filter(blocks, ok), one)
 
 
-def _streamed(df: DataFrame, keys: list[str], order: list[str], schema: str, step) -> DataFrame:
-    """``step(rows of one key)`` over rows dealt by key and sorted, a key at a time; for operators that consume rows."""
-    fields = df.columns
+def _row_numbers(tolerance: float):
+    """Adds to fragments (page, y, size and others), in order, the row of their page; only where a row began is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done():
-            return pa.RecordBatch.from_pylist(step(held), schema=target)
-
-        target = arrow
+        now, top, tall, row = object(), 0.0, 0.0, 0
         for batch in batches:
-            for r in batch.to_pylist():
-                k = tuple(r[c] for c in keys)
-                if k != now and held:
-                    yield done()
-                    held = []
-                now = k
-                held.append(r)
-        if held:
-            yield done()
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+            rows = []
+            for page, y, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if page != now:
+                    now, top, tall, row = page, y, size, 0
+                elif abs(y - top) > tall * tolerance:
+                    top, tall, row = y, size, row + 1
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int32())], names=[*batch.schema.names, "row"])
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-    return df.select(*fields).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return run
 
 
 def text_rows(fragments: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """(page, row, text, size) from positioned fragments (page, x, y, size, text): a row holds what lies within
     ``tolerance`` of the size of the row's first fragment; its size is the one with the most characters, the first of
-    equals. A page is the unit of work."""
-
-    def step(rows):
-        out, group = [], []
-
-        def close():
-            if group:
-                group.sort(key=lambda r: r["x"])
-                weight: dict = {}
-                for r in group:
-                    weight[r["size"]] = weight.get(r["size"], 0) + len(r["text"])
-                out.append({"page": group[0]["page"], "row": len(out), "text": " ".join(" ".join(r["text"] for r in group).split()), "size": max(weight, key=weight.get)})
-
-        for r in rows:
-            if group and abs(r["y"] - group[0]["y"]) > group[0]["size"] * tolerance:
-                close()
-                group = []
-            group.append(r)
-        close()
-        return out
-
-    return _streamed(fragments.select("page", "x", "y", "size", "text"), ["page"], ["y", "x"], "page int, row int, text string, size double", step)
+    equals. Fragments at one x are read by y, at one spot by their text. A page's fragments are sorted and read as a
+    stream; what is gathered is a row."""
+    f = fragments.select("page", "y", "size", "x", F.coalesce("text", F.lit("")).alias("text"))
+    schema = T.StructType([*f.schema.fields, T.StructField("row", T.IntegerType())])
+    placed = f.repartition("page").sortWithinPartitions("page", "y", "x").mapInArrow(_row_numbers(tolerance), schema)
+    by_size = placed.groupBy("page", "row", "size").agg(F.sum(F.length("text")).alias("chars"), F.min("x").alias("first"), F.collect_list(F.struct("x", "y", "text")).alias("parts"))
+    size = F.max_by("size", F.struct("chars", -F.col("first"))).alias("size")
+    parts = F.transform(F.array_sort(F.flatten(F.collect_list("parts"))), lambda t: t["text"])
+    return by_size.groupBy("page", "row").agg(collapsed(F.array_join(parts, " ")).alias("text"), size).select("page", "row", "text", "size")
 
 
 def highlight_text(text: Column, start: Column, end: Column) -> Column:

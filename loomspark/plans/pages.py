@@ -82,7 +82,7 @@ def highlight_scan(spark, d):
 @query("src16_rows", f"""WITH RECURSIVE {_SEG}, f AS (SELECT k, p AS x, q * 3 AS y, s, row_number() OVER (PARTITION BY k ORDER BY q * 3, p) AS n FROM seg),
 r AS (SELECT k, n, y AS y0, 0 AS line FROM f WHERE n = 1
 UNION ALL SELECT f.k, f.n, CASE WHEN abs(f.y - r.y0) > 5 THEN f.y ELSE r.y0 END, CASE WHEN abs(f.y - r.y0) > 5 THEN r.line + 1 ELSE r.line END FROM r JOIN f ON f.k = r.k AND f.n = r.n + 1)
-SELECT CAST(k AS INT) AS page, line AS row, string_agg(CAST(s AS VARCHAR), ' ' ORDER BY x) AS text, CAST(10 AS DOUBLE) AS size FROM r JOIN f USING (k, n) GROUP BY k, line""")
+SELECT CAST(k AS INT) AS page, line AS row, string_agg(CAST(s AS VARCHAR), ' ' ORDER BY x, y, CAST(s AS VARCHAR)) AS text, CAST(10 AS DOUBLE) AS size FROM r JOIN f USING (k, n) GROUP BY k, line""")
 def rows(spark, d):
     """SRC-16, TXT-20: fragments of a page clustered into rows."""
     f = segments(spark, d).select(F.col("k").cast("int").alias("page"), F.col("p").cast("double").alias("x"), (F.col("q") * 3).alias("y"), F.lit(10.0).alias("size"), F.col("s").cast("string").alias("text"))

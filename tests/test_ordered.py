@@ -70,6 +70,26 @@ def test_nearest_interval_prefers_then_distance_then_first(spark):
     assert pairs(O.nearest_interval(points, iv, ["k"], "at", []), "idx", "distance") == [(2, 3)]
 
 
+@pytest.mark.parametrize("few", [1, 1024])
+def test_nearest_interval_is_that_of_all_pairs(spark, few, monkeypatch):
+    monkeypatch.setattr(O, "_FEW_HELD", few)
+    rng = random.Random(7)
+    iv, points = [], [("none", 1, 4.0), ("k0", 98, None)]
+    for k in range(6):
+        for i in rng.sample(range(50), 12):
+            lo = rng.randrange(60) / 2
+            iv.append((f"k{k}", i, lo, lo + rng.choice([0, 1, 3, 20, 0.5]), k % 3 == 0 or (k % 3 == 1 and rng.random() < 0.3)))
+        points += [(f"k{k}", n, rng.randrange(80) / 2 - 2) for n in range(40)]
+    points += points[5:9]
+    want = {}
+    for k, n, at in points:
+        own = [(not p, max(0.0, lo - at, at - hi), i) for j, i, lo, hi, p in iv if j == k and at is not None]
+        if own:
+            want[k, n, at] = min(own)[:0:-1]
+    got = O.nearest_interval(spark.createDataFrame(points, "k string, n int, at double"), spark.createDataFrame(iv, "k string, idx int, lo double, hi double, preferred boolean"), ["k"], "at", ["n"]).collect()
+    assert len(got) == len(want) == 240 and {(r["k"], r["n"], r["at"]): (r["idx"], r["distance"]) for r in got} == want
+
+
 def test_unique_names_runs_and_medians(spark):
     df = spark.createDataFrame([("k", 0, "a"), ("k", 1, "a"), ("k", 2, "b"), ("k", 3, "a")], "k string, i int, n string")
     assert [r["u"] for r in O.unique_names(df, ["k"], ["i"], "n", "u").orderBy("i").collect()] == ["a", "a (2)", "b", "a (3)"]

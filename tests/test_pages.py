@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -50,6 +51,26 @@ def test_rows(spark):
     assert sorted(tuple(r) for r in P.text_rows(f).collect()) == [(1, 0, "hello world", 10.0), (1, 1, "next", 12.0), (2, 0, "other", 9.0)]
 
 
+def test_rows_are_those_of_a_loop(spark):
+    rng = random.Random(3)
+    rows = [(p, x, rng.randrange(60) / 2, rng.choice([4.0, 6.0, 10.0]), rng.choice(["a", "bb ", " c\n d", "", "eee"])) for p in range(4) for x in rng.sample(range(1000), 60)]
+    want, groups = [], {}
+    for f in sorted(rows, key=lambda f: (f[0], f[2], f[1])):
+        own = groups.setdefault(f[0], [])
+        if not own or abs(f[2] - own[-1][0][2]) > own[-1][0][3] * 0.5:
+            own.append([])
+        own[-1].append(f)
+    for page, found in groups.items():
+        for n, row in enumerate(found):
+            row.sort(key=lambda f: f[1])
+            chars = {}
+            for f in row:
+                chars[f[3]] = chars.get(f[3], 0) + len(f[4])
+            want.append((page, n, " ".join(" ".join(f[4] for f in row).split()), max(chars, key=chars.get)))
+    df = spark.createDataFrame([(p, float(x), y, s, t) for p, x, y, s, t in rows], "page int, x double, y double, size double, text string")
+    assert sorted(map(tuple, P.text_rows(df).collect())) == want
+
+
 def test_highlights_and_chunks(spark):
     assert one(spark, "hello", lambda c: P.highlight_text(c, F.lit(1), F.lit(3))) == "el"
     assert one(spark, "hello", lambda c: P.highlight_text(c, F.lit(1), F.lit(9))) is None
