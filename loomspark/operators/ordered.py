@@ -27,15 +27,16 @@ def running_start(df: DataFrame, keys: Sequence[str], order: Sequence, length: s
     return df.withColumn(out, F.coalesce(F.sum(F.coalesce(length, F.lit(0))).over(before), F.lit(0)))
 
 
-def estimated_timeline(parts: DataFrame, keys: Sequence[str], order: Sequence, chars: str, seconds: str, pause: float = 0.35) -> DataFrame:
-    """start and end of each part: speech is shared by length, with a pause after each part; rounded to milliseconds."""
+def estimated_timeline(parts: DataFrame, keys: Sequence[str], order: Sequence, chars: str, seconds: str, pause: float = 0.35, exact: bool = False) -> DataFrame:
+    """start and end of each part: speech is shared by length, with a pause after each part; rounded to milliseconds, or ``exact``."""
     every, w = Window.partitionBy(*keys), _over(keys, order)
     speech = F.greatest(F.lit(0.0), F.col(seconds) - pause * F.count("*").over(every))
     total = F.greatest(F.sum(chars).over(every), F.lit(1))
     before = F.coalesce(F.sum(chars).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = speech * before / total + pause * (F.row_number().over(w) - 1)
-    half_up = lambda x: F.floor(x * 1000 + 0.5) / 1000
-    return parts.withColumn("start", half_up(start)).withColumn("end", half_up(start + speech * F.col(chars) / total))
+    end = start + speech * F.col(chars) / total
+    told = lambda x: x if exact else F.floor(x * 1000 + 0.5) / 1000
+    return parts.withColumn("start", told(start)).withColumn("end", told(end))
 
 
 def lead_ranges(df: DataFrame, keys: Sequence[str], start: str, last: Column, out: str = "until") -> DataFrame:

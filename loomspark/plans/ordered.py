@@ -36,8 +36,8 @@ s AS (SELECT conv_id, turn, chars, greatest(CAST(0 AS DOUBLE), seconds - CAST(0.
  coalesce(sum(chars) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM p)
 SELECT conv_id, turn, floor(speech * before / total + CAST(0.35 AS DOUBLE) * i) AS start, floor(speech * before / total + CAST(0.35 AS DOUBLE) * i + speech * chars / total - 0.0001) AS "end" FROM s""")
 def timeline(spark, d):
-    """WIN-02, here to whole seconds."""
-    parts = O.estimated_timeline(turns(spark, d).withColumn("seconds", F.lit(60.0)), ["conv_id"], ["turn"], "chars", "seconds")
+    """WIN-02, here to whole seconds, of the exact times: one just below a second is not rounded up to it first."""
+    parts = O.estimated_timeline(turns(spark, d).withColumn("seconds", F.lit(60.0)), ["conv_id"], ["turn"], "chars", "seconds", exact=True)
     return parts.select("conv_id", "turn", F.floor("start").cast("double").alias("start"), F.floor(F.col("end") - 0.0001).cast("double").alias("end"))
 
 
