@@ -50,7 +50,7 @@ def assembled_lines(runs: DataFrame, page_keys: Sequence[str] = ("doc", "page"))
     read once. A gap of over 0.15 of the size is a space. A first letter over twice as large as what follows belongs to
     the next word. A line's size is the one with most characters, of equals the first. Lines are numbered by the seq of
     their first run; those without text, and a bare number at either end of a page, go. Runs without text only end
-    lines. Stretches between ends of lines are dealt over tasks, so a page is no unit of work but for their count.
+    lines. Runs are dealt by page, once to read them in order and once to put lines together; a page's rows are streamed.
     """
     keys = list(page_keys)
     by_seq = Window.partitionBy(*keys).orderBy("seq")
@@ -60,9 +60,9 @@ def assembled_lines(runs: DataFrame, page_keys: Sequence[str] = ("doc", "page"))
     columns = [*keys, "seq", "x", "y", "size", "width", "text"]
     own = [f"_k{i}" for i in range(len(keys))]
     fed = drawn.select(*columns, *keys, "_stretch", "seq", "y", "size").toDF(*columns, *own, "_stretch", "_seq", "_y", "_size")
-    fed = fed.repartition(*own, "_stretch").sortWithinPartitions(*own, "_stretch", "_seq")
+    fed = fed.sortWithinPartitions(*own, "_stretch", "_seq")  # the windows have left a page's runs in one task
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in drawn.select(*columns).schema) + ", line long"
-    lines = fed.mapInArrow(_headed(len(own) + 1), schema)
+    lines = fed.mapInArrow(_headed(len(own) + 1), schema).repartition(*keys)
 
     line = Window.partitionBy(*keys, "line")
     order = line.orderBy("seq")

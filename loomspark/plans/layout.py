@@ -14,6 +14,16 @@ from .registry import query
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: So many characters of text go to a task; their runs are some sixty times as many bytes.
+_TASK_CHARS = 2_000_000
+
+
+def _parts(spark, lines) -> int:
+    """Over how many tasks lines are dealt, so that a task's share of their runs can be sorted in memory."""
+    chars = lines.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()[0]
+    return max(spark.sparkContext.defaultParallelism, chars // _TASK_CHARS + 1)
+
+
 def runs(spark, d):
     """The words of ``documents`` where a press would set them: 40 lines a page, every run drawn twice.
 
@@ -21,11 +31,15 @@ def runs(spark, d):
     every other line says that it ends.
     """
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
-    words = lines.select("doc_id", F.col("n").cast("long").alias("n"), F.posexplode(F.regexp_extract_all("raw", F.lit(_WORD), F.lit(0))).alias("k", "word"))
-    upto = Window.partitionBy("doc_id", "n").orderBy("k")
+    lines = lines.select("doc_id", (F.floor(F.col("n") / 40) + 1).alias("page"), F.col("n").cast("long").alias("n"), "raw")
+    # pages are dealt while they are short lines; their words, many times as large, are only ever put in order where they are
+    dealt = lines.repartition(_parts(spark, lines), "doc_id", "page")
+    words = dealt.select("doc_id", "page", "n", F.posexplode(F.regexp_extract_all("raw", F.lit(_WORD), F.lit(0))).alias("k", "word"))
+    line = Window.partitionBy("doc_id", "page", "n")
+    upto = line.orderBy("k")
     words = words.withColumn("offset", F.coalesce(F.sum(F.length("word") + 1).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     words = words.withColumn("last", F.lead("k").over(upto).isNull())
-    cap = (F.col("n") % 10 == 0) & (F.max(F.when(F.col("k") == 0, F.length("word"))).over(Window.partitionBy("doc_id", "n")) > 1)
+    cap = (F.col("n") % 10 == 0) & (F.max(F.when(F.col("k") == 0, F.length("word"))).over(line) > 1)
     words = words.withColumn("cap", cap)
     shape = lambda x, y, size, width, text, eol: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), size.cast("double").alias("size"), width.cast("double").alias("width"), text.alias("text"), eol.alias("eol"))
     y, no = 800 - 18 * (F.col("n") % 40), F.lit(False)
@@ -35,10 +49,10 @@ def runs(spark, d):
     letter = shape(F.lit(50), y, F.lit(30), F.lit(20), F.substring("word", 1, 1), no)
     rest = shape(F.lit(72), y + 3, F.lit(12), 6 * F.length("word") - 6, F.expr("substring(word, 2)"), eol)
     pieces = words.withColumn("runs", F.when(F.col("cap") & (F.col("k") == 0), F.array(letter, rest)).otherwise(F.array(plain)))
-    each = pieces.select("doc_id", "n", "k", F.posexplode("runs").alias("part", "r"), F.lit(0).alias("copy"))
+    each = pieces.select("doc_id", "page", "n", "k", F.posexplode("runs").alias("part", "r"), F.lit(0).alias("copy"))
     twice = each.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     seq = F.shiftleft("n", 32) + F.col("k") * 4 + F.col("part") * 2 + F.col("copy")
-    return twice.select("doc_id", (F.floor(F.col("n") / 40) + 1).alias("page"), seq.alias("seq"), "r.*")
+    return twice.select("doc_id", "page", seq.alias("seq"), "r.*")
 
 
 @query("txt20_lines", rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
