@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions.text import SPACE, collapsed
 from ..operators import glyphs as G
 from ..operators import layout as L
-from ..sources.tables import table
+from ..sources.tables import stored, table
 from .registry import query
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -110,7 +110,7 @@ def blocks(spark, d):
     cap = (F.col("n") % 19 == 8) & (F.col("size") == 12) & F.col("text").rlike(r"^\p{L}[a-zà-ỹ]")
     letter = x.filter(cap).withColumns({"line": F.col("line") - 1, "size": F.lit(30.0), "text": F.substring("text", 1, 1)})
     rest = x.withColumn("text", F.when(cap, F.expr("substring(text, 2)")).otherwise(F.col("text")))
-    got = L.typeset_blocks(rest.unionByName(letter).drop("n"), F.lit(600.0), ["doc"], ["doc"])
+    got = L.typeset_blocks(stored(rest.unionByName(letter).drop("n")), F.lit(600.0), ["doc"], ["doc"])
     return got.select("doc", F.floor(F.col("block.line") / 2).alias("first_line"), "type", "text")
 
 
@@ -129,7 +129,7 @@ def chapters(spark, d):
     """TXT-22, JOIN-16: each line in the last chapter that starts at or before it, by page and height."""
     x = set_lines(spark, d)
     heading = (F.col("doc") % 3 == 1) & (F.col("n") % 50).isin(7, 30)
-    x = x.withColumn("text", F.when(heading, F.concat(F.lit("Chapter "), F.col("n").cast("string"))).otherwise(F.col("text")))
+    x = stored(x.withColumn("text", F.when(heading, F.concat(F.lit("Chapter "), F.col("n").cast("string"))).otherwise(F.col("text"))))
     books = x.groupBy("doc").agg(F.max("page").alias("pages")).withColumn("title", F.concat(F.lit("Book "), F.col("doc").cast("string")))
     parts = books.filter("doc % 3 = 0").withColumn("page", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pages")))).filter("page % 4 = 1")
     entry = lambda name, top: parts.select("doc", F.concat(F.lit(name), F.col("page").cast("string")).alias("title"), "page", F.lit(top).alias("top"))

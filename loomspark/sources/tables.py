@@ -62,6 +62,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{remembered(spark, root)}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, made once and read again from a shared folder, for what reads it many times over."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def seconds_of(ts: str):
     """Seconds since 1970 of a timestamp without zone, whatever the session's zone."""
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts}) / 1e6")
