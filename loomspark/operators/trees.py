@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import collapsed
 from ..functions.values import address_shape, host_name
+from ..sources.tables import stored
 
 UPTO = (Window.unboundedPreceding, Window.currentRow)
 BEFORE = (Window.unboundedPreceding, -1)
@@ -82,6 +83,7 @@ def missed_chapters(elements: DataFrame, listed: DataFrame, pages: DataFrame) ->
     on the page, all places count. Fragments don't count. A title is the link's text, or else its address.
     """
     links = elements.filter("tag = 'a' and address is not null").select("id", "n", "place", F.regexp_replace("address", "#.*$", "").alias("url"), collapsed(F.col("text")).alias("title"))
+    links = stored(links)  # pages are parsed once
     own = listed.select("id", "url").distinct()
     places = links.join(own, ["id", "url"], "left_semi").select("id", "place").distinct()
     anywhere = own.select("id").distinct().join(places, "id", "left_anti")
@@ -98,6 +100,8 @@ def unread_pages(elements: DataFrame, listed: DataFrame, pages: DataFrame) -> Da
     The last page is the largest page= of links back to the page, or number on a button or link beside the list: one of the
     four elements around it holds at least half of the page's listed links. Fewer than three pages are none.
     """
+    pressed = F.col("tag").isin("a", "button") & F.trim("text").rlike(r"^\d{1,4}$")
+    elements = stored(elements.select("id", "n", "stop", "tag", "address", F.when(pressed, F.trim("text").cast("int")).alias("number"), F.when(pressed, F.col("around")).alias("around")))  # pages are parsed once
     links = elements.filter("tag = 'a' and address is not null").select("id", "n", F.regexp_replace("address", "#.*$", "").alias("url"), "address")
     own = listed.select("id", "url").distinct()
     chapters = links.join(own, ["id", "url"], "left_semi").select("id", "n", F.lit(1).alias("hit"))
@@ -111,8 +115,8 @@ def unread_pages(elements: DataFrame, listed: DataFrame, pages: DataFrame) -> Da
     counted = elements.select("id", "n", "stop").join(chapters, ["id", "n"], "left").withColumn("upto", F.sum(F.coalesce("hit", F.lit(0))).over(page))
     ends = counted.select(F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("upto").alias("through"))
     boxes = counted.join(ends, (F.col("id") == F.col("_id")) & (F.col("stop") - 1 == F.col("_n"))).select("id", F.col("n").alias("box"), (F.col("through") - F.col("upto")).alias("inside"))
-    buttons = elements.filter(F.col("tag").isin("a", "button") & F.trim("text").rlike(r"^\d{1,4}$")).join(chapters.select("id", "n"), ["id", "n"], "left_anti")
-    buttons = buttons.select("id", F.trim("text").cast("int").alias("number"), F.explode("around").alias("box"))
+    buttons = elements.filter("number is not null").join(chapters.select("id", "n"), ["id", "n"], "left_anti")
+    buttons = buttons.select("id", "number", F.explode("around").alias("box"))
     beside = buttons.join(boxes, ["id", "box"]).join(total, "id").filter(F.col("inside") >= F.greatest(F.lit(1.0), F.col("links") / 2))
     by_button = beside.groupBy("id").agg(F.max("number").alias("number"))
 
@@ -130,6 +134,7 @@ def missed_pictures(elements: DataFrame, kept: DataFrame) -> DataFrame:
     An image's addresses are those in any of its attributes, as pages that load late keep the real one elsewhere.
     """
     images = elements.filter(F.size("pictures") > 0).select("id", "place", F.explode("pictures").alias("url"))
+    images = stored(images)  # pages are parsed once
     own = kept.select("id", "url").distinct()
     places = images.join(own, ["id", "url"], "left_semi").select("id", "place").distinct()
     once = kept.groupBy("id", "url").agg(F.min("pos").alias("pos"))
@@ -143,7 +148,10 @@ def page_scripts(elements: DataFrame, budget: int = 8000, longest: int = 4000, f
     Scripts of under 20 characters and data are left out. Each shows at most ``longest`` characters, all together at most
     ``budget``; the one that reaches it is cut and is the last. A page with neither says "(none)".
     """
-    x = elements.filter("tag = 'script'").select("id", "n", _attribute("src").alias("src"), F.coalesce(_attribute("type"), F.lit("")).alias("type"), F.coalesce("text", F.lit("")).alias("text"))
+    script = F.col("tag") == "script"
+    told = elements.filter(script | (F.col("n") == 0)).select("id", "n", script.alias("script"), F.when(script, _attribute("src")).alias("src"), F.when(script, F.coalesce(_attribute("type"), F.lit(""))).alias("type"), F.when(script, F.coalesce("text", F.lit(""))).alias("text"))
+    told = stored(told)  # pages are parsed once; each has an element 0
+    x = told.filter("script").drop("script")
     given = x.filter("src <> ''").withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("n"))).filter(F.col("i") <= files)
     outer = given.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "src"))), lambda s: s["src"]), ", ").alias("files"))
     own = x.filter("src is null").filter((F.char_length("text") >= 20) & ~(F.col("text").rlike(r"^[{\[]") & F.contains("type", F.lit("json"))))
@@ -152,7 +160,7 @@ def page_scripts(elements: DataFrame, budget: int = 8000, longest: int = 4000, f
     part = F.substring("text", F.lit(1), F.least(size, F.col("room")).cast("int"))
     line = F.concat(F.lit("Inline script: "), part, F.when(F.char_length(part) < F.char_length("text"), " …").otherwise(""))
     inner = own.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("lines"))  # within the budget
-    both = elements.select("id").distinct().join(outer, "id", "left").join(inner, "id", "left")
+    both = told.filter("n = 0").select("id").distinct().join(outer, "id", "left").join(inner, "id", "left")
     text = F.concat_ws("\n", F.concat(F.lit("External scripts: "), "files"), F.array_join(F.transform("lines", lambda s: s["line"]), "\n"))
     return both.select("id", F.when(text == "", "(none)").otherwise(text).alias("scripts"))
 
