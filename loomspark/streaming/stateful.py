@@ -9,43 +9,45 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _in_order(rows: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(list(order), kind="stable", na_position="first")
+def _known(value) -> bool:
+    return value is not None and value == value  # NaN is no place
 
 
-def _or_none(value):
-    return None if pd.isna(value) else value
+def _time(value) -> float:
+    return float("nan") if value is None else value
+
+
+def _in_order(rows: Iterator[Row], order: Sequence[str]) -> list[Row]:
+    """The rows of a key; nulls first. Most keys have few rows, so these are sorted as they are, not as a table."""
+    return sorted(rows, key=lambda r: [(True, r[c]) if _known(r[c]) else (False, 0) for c in order])
 
 
 class Throttle(StatefulProcessor):
     """Sends a row if the phase changed, it is a final one, or ``interval`` passed since the last that was sent."""
 
-    def __init__(self, order: Sequence[str], at: str, phase: str, final: str, interval: float):
-        self.order, self.at, self.phase, self.final, self.interval = list(order), at, phase, final, interval
+    def __init__(self, columns: Sequence[str], order: Sequence[str], at: str, phase: str, final: str, interval: float):
+        self.columns, self.order, self.at, self.phase, self.final, self.interval = list(columns), list(order), at, phase, final, interval
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "sent double, phase string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        x = _in_order(rows, self.order)
-        sent, phase = self.last.get() if self.last.exists() else (float("-inf"), None)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        sent, phase = self.last.get() or (float("-inf"), None)
         kept = []
-        for at, own, final in zip(x[self.at], x[self.phase], x[self.final], strict=True):
-            own = _or_none(own)
-            keep = own != phase or bool(_or_none(final)) or at - sent >= self.interval
-            kept.append(keep)
-            if keep:
+        for r in _in_order(rows, self.order):
+            at, own = _time(r[self.at]), r[self.phase]
+            if own != phase or r[self.final] or at - sent >= self.interval:
                 sent, phase = float(at), own
-        if any(kept):
+                kept.append(Row(**{c: r[c] for c in self.columns}))
+        if kept:
             self.last.update((sent, phase))
-            yield x[kept]
+        yield from kept
 
     def close(self) -> None:
         pass
@@ -54,34 +56,32 @@ class Throttle(StatefulProcessor):
 class Retries(StatefulProcessor):
     """How the attempts at an item stand: attempts, state, error_kind, and the outcomes that counted.
 
-    The first success, the first terminal error or attempt ``most`` ends it; what comes later doesn't count. The outcomes
-    are a list that grows by one an attempt; a row goes out whenever it has grown.
+    The first success, the first terminal error or attempt ``most`` ends it; what comes later doesn't count. The state
+    is one value, of the outcomes so far and whether they have ended; a row goes out whenever there are more.
     """
 
     def __init__(self, keys: Sequence[str], order: Sequence[str], outcome: str, terminal: Sequence[str], most: int):
         self.keys, self.order, self.outcome, self.terminal, self.most = list(keys), list(order), outcome, set(terminal), most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tried = handle.getListState("tried", "outcome string")
-        self.ended = handle.getValueState("ended", "state string")
+        self.tried = handle.getValueState("tried", "outcomes array<string>, ended boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.ended.exists():
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held, ended = self.tried.get() or ((), False)
+        if ended:
             for _ in rows:
                 pass
             return
-        tried = [o for (o,) in self.tried.get()] if self.tried.exists() else []
-        state = "pending"
-        for said in _in_order(rows, self.order)[self.outcome]:
-            said = _or_none(said) or "other"
+        tried, state = list(held), "pending"
+        for r in _in_order(rows, self.order):
+            said = r[self.outcome] or "other"
             tried.append(said)
-            self.tried.appendValue((said,))
             if said == "ok" or said in self.terminal or len(tried) == self.most:
                 state = "done" if said == "ok" else "failed"
-                self.ended.update((state,))
                 break
+        self.tried.update((tried, state != "pending"))
         kind = (tried[-1] if tried[-1] in self.terminal else "other") if state == "failed" else None
-        yield pd.DataFrame({**{c: [k] for c, k in zip(self.keys, key, strict=True)}, "attempts": [len(tried)], "state": [state], "error_kind": [kind], "outcomes": [",".join(tried)]})
+        yield Row(**dict(zip(self.keys, key, strict=True)), attempts=len(tried), state=state, error_kind=kind, outcomes=",".join(tried))
 
     def close(self) -> None:
         pass
@@ -102,15 +102,16 @@ class Cache(StatefulProcessor):
         self.entry = handle.getValueState("entry", "at double, value double", ttlDurationMs=int(self.ttl * 1000))
         self.due = handle.getValueState("due", "at long")
 
-    def _rows(self, key, kind: list[str], ids: list, values: list) -> pd.DataFrame:
-        return pd.DataFrame({**{c: [k] * len(ids) for c, k in zip(self.keys, key, strict=True)}, self.order[-1]: pd.array(ids, "Int64"), "kind": kind, "value": pd.array(values, "Float64")})
+    def _rows(self, key, kind: list[str], ids: list, values: list) -> list[Row]:
+        own = dict(zip(self.keys, key, strict=True))
+        return [Row(**own, **{self.order[-1]: n}, kind=k, value=v) for n, k, v in zip(ids, kind, values, strict=True)]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        x = _in_order(rows, self.order)
-        at, value = self.entry.get() if self.entry.exists() else (None, None)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        at, value = self.entry.get() or (None, None)
         ids, kinds, values, new = [], [], [], False
-        for n, now, own in zip(x[self.order[-1]], x[self.at], x[self.value], strict=True):
-            if not pd.isna(own):
+        for r in _in_order(rows, self.order):
+            n, now, own = r[self.order[-1]], _time(r[self.at]), r[self.value]
+            if _known(own):
                 at, value, new = float(now), float(own), True
                 continue
             hit = at is not None and now - at < self.ttl
@@ -124,13 +125,12 @@ class Cache(StatefulProcessor):
             due = timerValues.getCurrentProcessingTimeInMs() + int(self.ttl * 1000)
             self.handle.registerTimer(due)
             self.due.update((due,))
-        if ids:
-            yield self._rows(key, kinds, ids, values)
+        yield from self._rows(key, kinds, ids, values)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.due.clear()
         self.entry.clear()
-        yield self._rows(key, ["expired"], [None], [None])
+        yield from self._rows(key, ["expired"], [None], [None])
 
     def close(self) -> None:
         pass
@@ -143,21 +143,21 @@ def _kinds(df: DataFrame, columns: Sequence[str]) -> str:
 def throttled_stream(events: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, phase: str, final: str, interval: float) -> DataFrame:
     """The events of a stream that are sent, as `Throttle` has it."""
     columns = list(dict.fromkeys([*keys, *order, at, phase, final]))
-    return events.select(*columns).groupBy(*keys).transformWithStateInPandas(Throttle(order, at, phase, final, interval), _kinds(events, columns), "Append", "None")
+    return events.select(*columns).groupBy(*keys).transformWithState(Throttle(columns, order, at, phase, final, interval), _kinds(events, columns), "Append", "None")
 
 
 def retried_stream(attempts: DataFrame, keys: Sequence[str], order: Sequence[str], outcome: str, terminal: Sequence[str], most: int = 3) -> DataFrame:
     """(keys, attempts, state, error_kind, outcomes) whenever an item's attempts have grown, as `Retries` has it."""
     columns = list(dict.fromkeys([*keys, *order, outcome]))
     kinds = _kinds(attempts, keys) + ", attempts int, state string, error_kind string, outcomes string"
-    return attempts.select(*columns).groupBy(*keys).transformWithStateInPandas(Retries(keys, order, outcome, terminal, most), kinds, "Update", "None")
+    return attempts.select(*columns).groupBy(*keys).transformWithState(Retries(keys, order, outcome, terminal, most), kinds, "Update", "None")
 
 
 def cached_stream(rows: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, value: str, ttl: float) -> DataFrame:
     """(keys, the last column of ``order``, kind, value) of questions, and of entries that expired, as `Cache` has it."""
     columns = list(dict.fromkeys([*keys, *order, at, value]))
     kinds = _kinds(rows, [*keys, order[-1]]) + ", kind string, value double"
-    return rows.select(*columns).groupBy(*keys).transformWithStateInPandas(Cache(keys, order, at, value, ttl), kinds, "Update", "ProcessingTime")
+    return rows.select(*columns).groupBy(*keys).transformWithState(Cache(keys, order, at, value, ttl), kinds, "Update", "ProcessingTime")
 
 
 def run_now(stream: DataFrame, folder: str, first: int = 0, once: bool = False) -> int:
