@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..sources.tables import shared_folder
@@ -117,78 +117,91 @@ _FEW_HELD = 1024
 
 
 def _held(n_keys: int, few: int):
-    """Adds to rows (keys, place, turn, idx, until), in order, the least idx of the intervals that hold a point there.
+    """Of rows (keys, place, turn, idx, until, more), in order, the points (turn 1), with what is nearest at or before each.
 
+    That is the least idx of the intervals that hold the point, or if none does the one that ended last, and its distance.
     An interval's row (turn 0) has its idx and end; it is held while it is open, with at most as many that have ended.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, open_now, most = None, [], few
+        now, open_now, most, ended = None, [], few, None
         for batch in batches:
-            found = []
+            asked, near, far = [], [], []
             for *key, at, turn, idx, until in zip(*(batch.column(i).to_pylist() for i in range(n_keys + 4)), strict=True):
                 if key != now:
-                    now, open_now, most = key, [], few
+                    now, open_now, most, ended = key, [], few, None
+                asked.append(turn == 1)
                 if turn == 0:
                     if len(open_now) >= most:
                         open_now = [x for x in open_now if x[1] >= at]
                         heapq.heapify(open_now)
                         most = max(few, 2 * len(open_now))
                     heapq.heappush(open_now, (idx, until))
-                else:
-                    while open_now and open_now[0][1] < at:
-                        heapq.heappop(open_now)
-                found.append(open_now[0][0] if turn and open_now else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "_held"])
+                    ended = (until, -idx) if ended is None else max(ended, (until, -idx))
+                    continue
+                while open_now and open_now[0][1] < at:
+                    heapq.heappop(open_now)
+                if open_now:
+                    near.append(open_now[0][0])
+                    far.append(0.0)
+                else:  # all that began have ended
+                    near.append(None if ended is None else -ended[1])
+                    far.append(None if ended is None else at - ended[0])
+            points = batch.filter(pa.array(asked, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*points.columns, pa.array(near, pa.int64()), pa.array(far, pa.float64())], names=[*batch.schema.names, "_near", "_far"])
 
     return run
 
 
-def nearest_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, point_key: Sequence[str]) -> DataFrame:
+def nearest_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str], at: str, point_key: Sequence[str], tasks: int | None = None) -> DataFrame:
     """For each point the interval of its keys that holds it or is nearest; preferred ones first, then the first by idx.
 
     intervals: keys, idx, lo, hi, preferred; they may overlap. Repeated points count once; points of a key without
-    intervals, and points or intervals without a place, go. No pairs are made: starts and points are read in order, with
-    the open intervals held, and the nearest end before a point and the nearest start after it are as-of joins.
+    intervals, and points or intervals without a place, go. No pairs are made: starts and points are put on one line and
+    dealt by key over ``tasks`` (else the session's number of partitions), read backwards for the next start and forwards,
+    with the open intervals held, for what holds the point or ended last.
     """
+    dealt = lambda df: df.repartition(tasks, *keys) if tasks else df.repartition(*keys)
     any_preferred = F.max("preferred").over(Window.partitionBy(*keys))
-    iv = intervals.withColumn("_any", any_preferred).filter("(preferred or not _any) and lo <= hi").select(*keys, F.col("idx").cast("long").alias("idx"), F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
+    iv = intervals.withColumn("_any", any_preferred).filter("(preferred or not _any) and lo <= hi")
     place = F.col(at).cast("double")
-    pts = points.select(*keys, *point_key, at).filter(place.isNotNull()).distinct()
-    none = F.lit(None)
-    line = iv.select(*keys, F.col("lo").alias("_at"), F.lit(0).alias("_turn"), "idx", F.col("hi").alias("_until"))
-    asked = pts.select(*keys, place.alias("_at")).distinct().select(*keys, "_at", F.lit(1).alias("_turn"), none.cast("long").alias("idx"), none.cast("double").alias("_until"))
-    line = line.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "_at", "_turn")
-    held = line.mapInArrow(_held(len(keys), _FEW_HELD), StructType([*line.schema.fields, StructField("_held", LongType())])).filter("_turn = 1").select(*keys, "_at", "_held")
-    before = as_of(held, iv.select(*keys, F.col("hi").alias("_end"), F.struct("hi", (-F.col("idx")).alias("i")).alias("_before")), keys, "_at", "_end", "_before")
-    turned = before.withColumn("_back", -F.col("_at"))
-    both = as_of(turned, iv.select(*keys, (-F.col("lo")).alias("_start"), F.struct((-F.col("lo")).alias("lo"), (-F.col("idx")).alias("i")).alias("_after")), keys, "_back", "_start", "_after")
+    known = points.select(*keys, *point_key, at).filter(place.isNotNull())
+    for key in keys:
+        known = known.filter(F.col(key).isNotNull())
+    pts = dealt(known).distinct()
+    told = F.struct(*dict.fromkeys([*point_key, at]))
+    asked = pts.select(*keys, place.alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast("long").alias("_idx"), F.lit(None).cast("double").alias("_until"), told.alias("_point"))
+    starts = iv.select(*keys, F.col("lo").cast("double").alias("_at"), F.lit(0).alias("_turn"), F.col("idx").cast("long").alias("_idx"), F.col("hi").cast("double").alias("_until"), F.lit(None).cast(asked.schema["_point"].dataType).alias("_point"))
+    line = dealt(starts.unionByName(asked))
+    back = _over(keys, [F.desc("_at"), "_turn", F.desc("_idx")]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.when(F.col("_turn") == 0, F.struct("_at", "_idx"))
+    line = line.withColumn("_next", F.last(start, ignorenulls=True).over(back)).sortWithinPartitions(*keys, "_at", "_turn")
+    both = line.mapInArrow(_held(len(keys), _FEW_HELD), StructType([*line.schema.fields, StructField("_near", LongType()), StructField("_far", DoubleType())]))
     sides = F.array_compact(F.array(
-        F.when(F.col("_held").isNotNull(), F.struct(F.lit(0.0).alias("distance"), F.col("_held").alias("idx"))),
-        F.when(F.col("_before").isNotNull(), F.struct((F.col("_at") - F.col("_before.hi")).alias("distance"), (-F.col("_before.i")).alias("idx"))),
-        F.when(F.col("_after").isNotNull(), F.struct((-F.col("_after.lo") - F.col("_at")).alias("distance"), (-F.col("_after.i")).alias("idx"))),
+        F.when(F.col("_near").isNotNull(), F.struct(F.col("_far").alias("distance"), F.col("_near").alias("idx"))),
+        F.when(F.col("_next").isNotNull(), F.struct((F.col("_next._at") - F.col("_at")).alias("distance"), F.col("_next._idx").alias("idx"))),
     ))
-    best = both.withColumn("_b", F.array_min(sides)).filter("_b is not null").select(*keys, "_at", "_b")
+    best = both.withColumn("_b", F.array_min(sides)).filter("_b is not null")
     kinds = intervals.schema["idx"].dataType, intervals.select(F.col("lo") - F.col("hi")).schema[0].dataType
-    return pts.withColumn("_at", place).join(best, [*keys, "_at"]).select(*keys, *point_key, at, F.col("_b.idx").cast(kinds[0]).alias("idx"), F.col("_b.distance").cast(kinds[1]).alias("distance"))
+    return best.select(*keys, *[F.col("_point")[c].alias(c) for c in (*point_key, at)], F.col("_b.idx").cast(kinds[0]).alias("idx"), F.col("_b.distance").cast(kinds[1]).alias("distance"))
 
 
 #: From this length on a chapter has two slides.
 TWO_SLIDES_SECONDS = 90
 
 
-def slides(chapters: DataFrame, scenes: DataFrame, keys: Sequence[str], seconds: str) -> DataFrame:
+def slides(chapters: DataFrame, scenes: DataFrame, keys: Sequence[str], seconds: str, tasks: int | None = None) -> DataFrame:
     """(keys, slide, idx, shown): the scene of each slide of a chapter and how long it is shown.
 
     A chapter has one slide, of the scene nearest to its middle, or from `TWO_SLIDES_SECONDS` on two, of those nearest to
     a quarter and three quarters, half of the time each; scenes with somebody in them (``preferred``) come before others,
-    then the nearest, then the first. scenes as in `nearest_interval`; a chapter without scenes has no slides.
+    then the nearest, then the first. scenes and ``tasks`` as in `nearest_interval`; a chapter without scenes has no slides.
     """
     two = F.col(seconds) >= TWO_SLIDES_SECONDS
     shares = F.when(two, F.array(F.lit(0.25), F.lit(0.75))).otherwise(F.array(F.lit(0.5)))
     points = chapters.select(*keys, seconds, F.posexplode(shares).alias("slide", "_share"))
     points = points.withColumn("_at", F.col(seconds) * F.col("_share"))
-    found = nearest_interval(points.select(*keys, "slide", "_at", seconds), scenes, keys, "_at", ["slide", seconds])
+    found = nearest_interval(points.select(*keys, "slide", "_at", seconds), scenes, keys, "_at", ["slide", seconds], tasks)
     return found.select(*keys, "slide", "idx", F.when(two, F.col(seconds) / 2).otherwise(F.col(seconds)).alias("shown"))
 
 

@@ -13,12 +13,23 @@ _SQL_KEY = ", ".join(_KEY)
 _SEG = f"seg AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_SQL_KEY}) AS i, l_quantity AS q, l_partkey AS p, l_suppkey AS s FROM lineitem)"
 
 
+#: So many rows go to a task, which sorts them in some 100 MB.
+_TASK_ROWS = 500_000
+
+
+def tasks(spark, d, **times):
+    """Over how many tasks the rows of the given tables are dealt, each so many times; Parquet files tell their rows."""
+    rows = sum(n * table(spark, d, name).count() for name, n in times.items())
+    return max(spark.sparkContext.defaultParallelism, rows // _TASK_ROWS + 1)
+
+
 def segments(spark, d):
     """(k, i, q, p, s): lineitems of an order, numbered in a total order."""
     from pyspark.sql.window import Window
 
     i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_KEY))
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), i.alias("i"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    dealt = table(spark, d, "lineitem").select("l_orderkey", *_KEY).repartition(tasks(spark, d, lineitem=1), "l_orderkey")
+    return dealt.select(F.col("l_orderkey").alias("k"), i.alias("i"), F.col("l_quantity").alias("q"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
 
 
 def turns(spark, d):
@@ -187,7 +198,7 @@ def nearest(spark, d):
     """JOIN-17."""
     iv = segments(spark, d).select("k", F.col("i").alias("idx"), F.col("s").alias("lo"), (F.col("s") + 5).alias("hi"), (F.col("p") % 2 == 0).alias("preferred"))
     pt = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 100).alias("at"))
-    return O.nearest_interval(pt, iv, ["k"], "at", [])
+    return O.nearest_interval(pt, iv, ["k"], "at", [], tasks(spark, d, lineitem=1, orders=1))
 
 
 @query("txt31_slides", f"""WITH {_SEG}, iv AS (SELECT k, i AS idx, (i - 1) * 40.0 AS lo, i * 40.0 - 5 AS hi, p % 2 = 0 AS preferred FROM seg), c AS (SELECT o_orderkey AS k, o_custkey % 300 AS seconds FROM orders),
@@ -198,7 +209,7 @@ def slides(spark, d):
     """TXT-31: one slide at a chapter's middle, or two at its quarters."""
     iv = segments(spark, d).select("k", F.col("i").alias("idx"), ((F.col("i") - 1) * 40.0).alias("lo"), (F.col("i") * 40.0 - 5).alias("hi"), (F.col("p") % 2 == 0).alias("preferred"))
     c = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 300).cast("double").alias("seconds"))
-    return O.slides(c, iv, ["k"], "seconds")
+    return O.slides(c, iv, ["k"], "seconds", tasks(spark, d, lineitem=1, orders=2))
 
 
 @query("lim02_page", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 100")
