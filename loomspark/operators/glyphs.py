@@ -14,6 +14,9 @@ from ..sources.tables import shared_folder
 LETTERS = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ"
 LEAST_PATTERNS, LEAST_USES = 3, 5
 
+#: Words of up to so many letters are looked up by what stands around each letter, longer ones by each letter that a hole may be.
+_FEW_LETTERS = 64
+
 
 def _stored(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
@@ -46,6 +49,24 @@ def one_to_one(scores: DataFrame, keys: Sequence[str] = ("doc",), least: float =
     return out
 
 
+def _tried(patterns: DataFrame, free: DataFrame, words: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Patterns with each free letter that makes a word of them, and how often that is found.
+
+    A word of few letters is cut open at each that may be free in its document, and meets the patterns by what is left; so
+    rows grow with words and patterns, not with patterns times letters. Only long patterns are filled with each letter, as
+    the pieces of a long word are as many as its letters and as long.
+    """
+    size = F.length("head") + F.length("tail") + 1
+    at = F.explode(F.sequence(F.lit(1), F.length("word")))
+    cut = words.filter(F.length("word").between(1, _FEW_LETTERS)).select("*", at.alias("at")).withColumn("candidate", F.substring("word", F.col("at"), F.lit(1)))
+    cut = cut.join(free.select("doc", "candidate").distinct(), ["doc", "candidate"], "left_semi")
+    cut = cut.select("doc", "candidate", "found", F.substring("word", F.lit(1), F.col("at") - 1).alias("head"), F.substring("word", F.col("at") + 1, F.length("word")).alias("tail"))
+    few = patterns.filter(size <= _FEW_LETTERS).join(cut, ["doc", "head", "tail"]).join(free, [*key, "candidate"])
+    filled = patterns.filter(size > _FEW_LETTERS).join(free, key).withColumn("word", F.concat("head", "candidate", "tail"))
+    many = filled.join(words.filter(F.length("word") > _FEW_LETTERS), ["doc", "word"]).drop("word")
+    return few.unionByName(many)
+
+
 def glyph_letters(glyphs: DataFrame, letters: str = LETTERS) -> DataFrame:
     """(doc, font, code, letter): what broken glyphs stand for. glyphs: doc, page, offset, font, family, code, unicode, outline.
 
@@ -54,12 +75,13 @@ def glyph_letters(glyphs: DataFrame, letters: str = LETTERS) -> DataFrame:
     ``letters`` that its family draws nowhere: each different word with it votes for the letters that make a word of the
     document, by how common these are; letters with words enough compete one to one within the family, the best first. The
     last letter that a family has left goes to a glyph that stands only inside words, the first seen of these.
-    Glyphs without an outline are read as they are.
+    Glyphs without an outline are read as they are. Where pages (doc, page) are dealt over tasks already, they stay there.
     """
     place = F.struct("page", "offset")
     known = glyphs.withColumn("is_letter", F.col("unicode").rlike(r"^\p{L}$")).withColumn("drawn", F.col("outline").isNotNull())
     good = known.filter("drawn and is_letter")
-    twins = good.groupBy("doc", "outline", "unicode").agg(F.count("*").alias("n"), F.min(place).alias("at"))
+    shapes = _stored(good.groupBy("doc", "family", "outline", "unicode").agg(F.count("*").alias("n"), F.min(place).alias("at")))
+    twins = shapes.groupBy("doc", "outline", "unicode").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
     order = Window.partitionBy("doc", "outline").orderBy(F.desc("n"), "at")
     twins = twins.withColumn("r", F.row_number().over(order)).filter("r = 1").select("doc", "outline", F.col("unicode").alias("twin"))
     key = ["doc", "font", "code"]
@@ -84,13 +106,15 @@ def glyph_letters(glyphs: DataFrame, letters: str = LETTERS) -> DataFrame:
     spelt = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("inside"), F.struct("offset", "c")))), lambda x: x["c"]), "")  # the letters of one word
     stretch = read.groupBy("doc", "page", "n").agg(spelt.alias("word"), F.max("hole").alias("hole"), F.max("glyph").alias("glyph"))
     w = Window.partitionBy("doc", "page").orderBy("n")
-    stretch = _stored(stretch.withColumn("before", F.coalesce(F.lag("word").over(w), F.lit(""))).withColumn("next_hole", F.coalesce(F.lead("hole").over(w), F.lit(False))))
-    words = stretch.filter("not hole and not next_hole and word <> ''").groupBy("doc", "word").agg(F.count("*").alias("found"))
-    patterns = stretch.filter("hole").groupBy("doc", "glyph.font", "glyph.code", F.col("before").alias("head"), F.col("word").alias("tail")).agg(F.count("*").alias("uses"))
-
-    drawn = good.select("doc", "family", F.lower("unicode").alias("candidate")).distinct()
-    free = lost.select(*key, "family", "first", F.explode(F.array(*[F.lit(c) for c in letters])).alias("candidate")).join(drawn, ["doc", "family", "candidate"], "left_anti")
-    tried = patterns.join(free, key).withColumn("word", F.concat("head", "candidate", "tail")).join(words, ["doc", "word"])
+    stretch = stretch.withColumn("before", F.coalesce(F.lag("word").over(w), F.lit(""))).withColumn("next_hole", F.coalesce(F.lead("hole").over(w), F.lit(False)))
+    told = stretch.filter("hole or not next_hole and word <> ''").withColumn("head", F.when(F.col("hole"), F.col("before")))
+    counted = _stored(told.groupBy("doc", "hole", "glyph", "head", "word").agg(F.count("*").alias("uses")))
+    words = counted.filter("not hole").select("doc", "word", F.col("uses").alias("found"))
+    patterns = counted.filter("hole").select("doc", "glyph.font", "glyph.code", "head", F.col("word").alias("tail"), "uses")
+
+    drawn = shapes.select("doc", "family", F.lower("unicode").alias("candidate")).distinct()
+    free = _stored(lost.select(*key, "family", "first", F.explode(F.array(*[F.lit(c) for c in letters])).alias("candidate")).join(drawn, ["doc", "family", "candidate"], "left_anti"))
+    tried = _tried(patterns, free, words, key)
     share = F.col("found") / F.sum("found").over(Window.partitionBy(*key, "head", "tail"))
     votes = tried.withColumn("vote", share).groupBy(*key, "family", "candidate").agg(F.sum("vote").alias("score"), F.count("*").alias("types"))
     scores = votes.filter(F.col("types") >= LEAST_PATTERNS).select("doc", "family", F.struct("font", "code").alias("left"), F.col("candidate").alias("right"), "score")
@@ -108,4 +132,4 @@ def glyph_letters(glyphs: DataFrame, letters: str = LETTERS) -> DataFrame:
 def glyph_fixes(glyphs: DataFrame, letters: str = LETTERS) -> DataFrame:
     """(doc, page, offset, letter) of every broken glyph whose letter `glyph_letters` finds."""
     broken = glyphs.filter(F.col("outline").isNotNull() & ~F.col("unicode").rlike(r"^\p{L}$"))
-    return broken.join(glyph_letters(glyphs, letters), ["doc", "font", "code"]).select("doc", "page", "offset", "letter")
+    return broken.join(_stored(glyph_letters(glyphs, letters)), ["doc", "font", "code"]).select("doc", "page", "offset", "letter")

@@ -16,12 +16,14 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 #: So many characters of text go to a task; their runs are some sixty times as many bytes.
 _TASK_CHARS = 2_000_000
+#: The same where each character is a row.
+_TASK_GLYPHS = 1_000_000
 
 
-def _parts(spark, lines) -> int:
+def _parts(spark, lines, text="raw", most=_TASK_CHARS) -> int:
     """Over how many tasks lines are dealt, so that a task's share of their runs can be sorted in memory."""
-    chars = lines.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()[0]
-    return max(spark.sparkContext.defaultParallelism, chars // _TASK_CHARS + 1)
+    chars = lines.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    return max(spark.sparkContext.defaultParallelism, chars // most + 1)
 
 
 def runs(spark, d):
@@ -147,7 +149,10 @@ def glyphs(spark, d):
     Ten conversations of a kind are a document, each a page, in small letters. Every a of an assistant says "|" and is drawn as others' a;
     every e is blank and drawn as nobody else's.
     """
-    c = table(spark, d, "conversations").select((F.col("conv_id") % 10).alias("doc"), F.col("conv_id").alias("page"), "turn", F.col("role").alias("font"), F.posexplode(F.split(F.lower("text"), "")).alias("i", "c")).filter("c <> ''")
+    said = table(spark, d, "conversations").select((F.col("conv_id") % 10).alias("doc"), F.col("conv_id").alias("page"), "turn", F.col("role").alias("font"), "text")
+    # pages are dealt while they are texts; their glyphs, many times as large, stay where they are
+    dealt = said.repartition(_parts(spark, said, "text", _TASK_GLYPHS), "doc", "page")
+    c = dealt.select("doc", "page", "turn", "font", F.posexplode(F.split(F.lower("text"), "")).alias("i", "c")).filter("c <> ''")
     worn = F.col("font") == "assistant"
     unicode = F.when(worn & (F.col("c") == "a"), "|").when(worn & (F.col("c") == "e"), " ").otherwise(F.col("c"))
     outline = F.when(worn & (F.col("c") == "e"), "worn e").when(F.trim("c") != "", F.col("c"))

@@ -66,3 +66,12 @@ def test_twins_then_votes_then_the_last_letter_left(spark):
 def test_too_few_words_decide_nothing(spark):
     rows = page("cũ vũ", "good", {}, 1) + page("cũ vũ", "bad", {"ũ": (" ", "odd")}, 2) + [("e", 1, 0, "f", "f", 1, " ", None)]
     assert G.glyph_letters(spark.createDataFrame(rows, GLYPH)).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 64, 75, 1000])
+def test_long_words_vote_as_short_ones_do(spark, few, monkeypatch):
+    monkeypatch.setattr(G, "_FEW_LETTERS", few)
+    text = f"{'a' * 70}ũb {'c' * 80}ũd {'e' * 30}ũ vũa"
+    rows = page(text, "good", {}, 1) + page(text, "bad", {"ũ": (" ", "odd ũ")}, 2)
+    got = G.glyph_letters(spark.createDataFrame(rows, GLYPH), "ũxy").collect()
+    assert {(r["font"], r["code"], r["letter"]) for r in got} == {("bad", ord("ũ"), "ũ")}
