@@ -1,14 +1,17 @@
 """Typeset books: positioned runs of glyphs to lines, lines to blocks, and lines to chapters.
 
-Only the test whether a run stays on its line depends on what that line began with, so it alone is a fold, over rows
+Whether a run stays on its line depends on what that line began with, so lines are put together in a fold over runs
 streamed in order; all else is windows and grouping.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,24 +23,126 @@ BEFORE = (Window.unboundedPreceding, -1)
 UPTO = (Window.unboundedPreceding, Window.currentRow)
 ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
-
-def _headed(n_keys: int):
-    """Adds to runs, in order, the seq of the first run of their line; only that run's height and the last one's size are held.
-
-    Behind the columns to keep come the keys of a stretch and seq, height and size.
+#: SPACE and $ as Spark's patterns have them: \s is ASCII only, and $ is also before a last line end that is no SPACE.
+_BLANK = SPACE.replace("\\s", " \\t-\\r")
+_END = r"(?=\x85?\Z)"
+#: What collapsed() changes.
+_RAGGED = f"{_BLANK.replace(' ', '', 1)}|  |^ | $"
+
+
+def _changed(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are alike."""
+    before, now = column[:-1], column[1:]
+    differs = pc.not_equal(before, now)
+    if column.null_count:
+        differs = pc.coalesce(differs, pc.xor(pc.is_null(before), pc.is_null(now)))
+    return differs.to_numpy(zero_copy_only=False)
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _put_together(columns: list[pa.Array], starts: np.ndarray) -> list[pa.Array]:
+    """Whole lines, which begin at ``starts``, of runs (keys, seq, x, y, size, width, text): keys, seq, x, y, right, size, text."""
+    *keys, seq, x, y, size, width, text = columns
+    n = len(seq)
+    first = np.zeros(n, bool)
+    first[starts] = True
+    line = np.cumsum(first) - 1
+    head, last = starts[line], np.append(starts[1:], n) - 1
+    sizes, xs, right = _numbers(size), _numbers(x), pc.add(x, width)
+
+    ink = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+    weight = ink.copy()
+    blank = pc.match_substring_regex(text, _BLANK).to_numpy(zero_copy_only=False)
+    opens, closes, bare = np.zeros(n, bool), np.zeros(n, bool), {}
+    for i, t in zip(spaced := np.flatnonzero(blank), text.take(pa.array(spaced)).to_pylist(), strict=True):
+        bare[i] = re.sub(_BLANK, "", t)
+        ink[i], weight[i] = len(bare[i]), len(re.sub(f"^{_BLANK}+|{_BLANK}+{_END}", "", t))
+        opens[i], closes[i] = bool(re.match(_BLANK, t)), bool(re.search(f"{_BLANK}{_END}", t))
+
+    sofar = np.cumsum(ink) - ink
+    cap = (sofar - sofar[head] == 1) & (sizes[head] > sizes * 2) & (ink > 0)
+    joint = np.full(len(starts), -1)
+    joint[line[cap]] = np.flatnonzero(cap)
+    lone = np.arange(n) < joint[line]  # before a large first letter's word there is that letter alone
+    apart = np.zeros(n, bool)
+    apart[1:] = (xs[1:] - _numbers(right)[:-1] > sizes[1:] * 0.15) & ~closes[:-1] & ~opens[1:]
+    apart &= ~(first | cap | lone)
+    if (lone & blank).any():
+        text = pc.replace_with_mask(text, pa.array(lone & blank), pa.array([bare[i] for i in np.flatnonzero(lone & blank)], text.type))
+    pieces = pc.binary_join_element_wise(pa.array(["", " "], text.type).take(pa.array(apart.astype(np.int8))), text, pa.scalar("", text.type))
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, n), pa.int32()), pieces), pa.scalar("", text.type))
+
+    if pc.any(ragged := pc.match_substring_regex(texts, _RAGGED)).as_py():
+        texts = pc.if_else(ragged, pc.utf8_trim(pc.replace_substring_regex(texts, f"{_BLANK}+", " "), " "), texts)
+
+    kinds, code = np.unique(sizes, return_inverse=True)
+    _, seen, kind = np.unique(line * len(kinds) + code, return_index=True, return_inverse=True)
+    order = np.lexsort((seen, -np.bincount(kind, weight), line[seen]))
+    most = seen[order[np.searchsorted(line[seen][order], np.arange(len(starts)))]]
+    at = pa.array(starts)
+    return [*(k.take(at) for k in keys), seq.take(at), x.take(at), y.take(at), right.take(pa.array(last)), size.take(pa.array(most)), texts]
+
+
+def _assembled(n_keys: int, names: Sequence[str]):
+    """Lines of runs that come in order: keys, seq, x, y, size, width, text, and 1 if a run is read, 2 more if it ends its line.
+
+    Held are the runs of the line that is not yet whole. Only where the height changes, within what nothing ends, is
+    looked at run by run, up to where a line begins.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, head, top, tall = None, None, 0.0, 0.0
+        held: list[list[pa.Array]] = []  # columns of the open line's runs, by batch
+        last, top, ended = None, 0.0, 0
+
+        def whole(parts: list[list[pa.Array]], starts: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(_put_together([pa.concat_arrays(c) for c in zip(*parts, strict=True)], np.array(starts, np.int64)), names=list(names))
+
         for batch in batches:
-            kept = batch.num_columns - n_keys - 3
-            heads = []
-            for *key, seq, y, size in zip(*(batch.column(i).to_pylist() for i in range(kept, batch.num_columns)), strict=True):
-                if key != now or abs(top - y) >= 0.5 * max(size, tall):
-                    now, head, top = key, seq, y
-                tall = size
-                heads.append(head)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(heads, pa.int64())], names=[*batch.schema.names[:kept], "line"])
+            tells = _numbers(batch.column(n_keys + 6)).astype(np.int64)
+            read, eol = pa.array(tells % 2 == 1), tells // 2
+            stretch = pa.array(ended + np.cumsum(eol) - eol)
+            ended += int(eol.sum())
+            columns = [c.filter(read) for c in (*batch.columns[:-1], stretch)]
+            n = len(columns[-1])
+            if n == 0:
+                continue
+            began = last is None
+            needed = [columns[i] for i in (*range(n_keys), -1, n_keys + 2, n_keys + 3)]
+            *told, y, size = needed if began else [pa.concat_arrays(c) for c in zip(last, needed, strict=True)]
+            last = [c.slice(n - 1) for c in needed]
+            ends = np.logical_or.reduce([_changed(c) for c in told])
+            y, size = _numbers(y), _numbers(size)
+            if began:
+                ends, y, size = np.append(True, ends), np.append(y[:1], y), np.append(size[:1], size)
+            reach = 0.5 * np.where(size[:-1] > size[1:], size[:-1], size[1:])
+            levels = np.flatnonzero(ends | (y[1:] != y[:-1]) | (np.arange(n) == 0))  # where runs of one height begin
+            starts = []
+            for i, j, end, least, height in zip(levels.tolist(), [*levels[1:].tolist(), n], ends[levels].tolist(), np.minimum.reduceat(reach, levels).tolist(), y[1:][levels].tolist(), strict=True):
+                if end:
+                    starts.append(i)
+                    i, top = i + 1, height
+                if abs(top - height) < least:
+                    continue
+                for k in range(i, j):
+                    if abs(top - height) >= reach[k]:
+                        starts.append(k)
+                        top = height
+                        if least > 0:
+                            break
+            runs = columns[:-1]
+            if starts:
+                cut = starts[-1]
+                before = sum(len(c[0]) for c in held)
+                if before + cut:
+                    yield whole([*held, [c.slice(0, cut) for c in runs]], [0] * bool(held) + [before + i for i in starts[:-1]])
+                held = []
+                runs = [c.slice(cut) for c in runs]
+            held.append(runs)
+        if held:
+            yield whole(held, [0])
 
     return run
 
@@ -50,41 +155,22 @@ def assembled_lines(runs: DataFrame, page_keys: Sequence[str] = ("doc", "page"))
     read once. A gap of over 0.15 of the size is a space. A first letter over twice as large as what follows belongs to
     the next word. A line's size is the one with most characters, of equals the first. Lines are numbered by the seq of
     their first run; those without text, and a bare number at either end of a page, go. Runs without text only end
-    lines. Runs are dealt by page, once to read them in order and once to put lines together; a page's rows are streamed.
+    lines. Runs are dealt by page and never again: a page's rows are streamed, and leave their task as lines.
     """
     keys = list(page_keys)
-    by_seq = Window.partitionBy(*keys).orderBy("seq")
-    ended = F.coalesce(F.sum(F.coalesce(F.col("eol"), F.lit(False)).cast("long")).over(by_seq.rowsBetween(*BEFORE)), F.lit(0))
-    spot = Window.partitionBy(*keys, F.floor(F.col("x") + 0.5), F.floor(F.col("y") + 0.5), "text").orderBy("seq")
-    drawn = runs.withColumn("_stretch", ended).filter(F.col("text") != "").withColumn("_again", F.row_number().over(spot)).filter("_again = 1")
-    columns = [*keys, "seq", "x", "y", "size", "width", "text"]
-    own = [f"_k{i}" for i in range(len(keys))]
-    fed = drawn.select(*columns, *keys, "_stretch", "seq", "y", "size").toDF(*columns, *own, "_stretch", "_seq", "_y", "_size")
-    fed = fed.sortWithinPartitions(*own, "_stretch", "_seq")  # the windows have left a page's runs in one task
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in drawn.select(*columns).schema) + ", line long"
-    lines = fed.mapInArrow(_headed(len(own) + 1), schema).repartition(*keys)
-
-    line = Window.partitionBy(*keys, "line")
-    order = line.orderBy("seq")
-    ink = F.char_length(F.regexp_replace("text", SPACE, ""))
-    capped = (F.sum(ink).over(order.rowsBetween(*BEFORE)) == 1) & (F.first("size").over(order.rowsBetween(*UPTO)) > F.col("size") * 2) & (ink > 0)
-    gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(order)
-    apart = (gap > F.col("size") * 0.15) & ~F.lag("text").over(order).rlike(f"{SPACE}$") & ~F.col("text").rlike(f"^{SPACE}")
-    weight = F.char_length(F.regexp_replace("text", f"^{SPACE}+|{SPACE}+$", ""))
-    kind = Window.partitionBy(*keys, "line", "size")
-    parts = lines.withColumn("_cap", F.coalesce(capped, F.lit(False))).withColumn("_apart", F.coalesce(apart, F.lit(False)))
-    parts = parts.withColumn("_weight", F.sum(weight).over(kind)).withColumn("_seen", F.min("seq").over(kind))
-    parts = parts.withColumn("_joint", F.max(F.when(F.col("_cap"), F.col("seq"))).over(line))
-    bare = F.regexp_replace("text", SPACE, "")  # before a large first letter's word there is that letter alone
-    piece = F.when(F.col("seq") < F.col("_joint"), bare).when(F.col("_apart") & ~F.col("_cap"), F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text"))
-    pieces = F.array_sort(F.collect_list(F.struct("seq", piece.alias("t"))))  # the runs of one line
-    joined = parts.groupBy(*keys, "line").agg(
-        F.min_by("x", "seq").alias("x"),
-        F.min_by("y", "seq").alias("y"),
-        F.max_by(F.col("x") + F.col("width"), "seq").alias("right"),
-        F.max_by("size", F.struct("_weight", (-F.col("_seen")).alias("s"))).alias("size"),
-        collapsed(F.array_join(F.transform(pieces, lambda p: p["t"]), "")).alias("text"),
-    )
+    # a page's runs are put in order twice, by spot and by seq; heights come first, as a line's runs are mostly in order
+    x = runs.withColumns({"_across": F.floor(F.col("x") + 0.5), "_up": F.floor(F.col("y") + 0.5)})
+    by_spot = Window.partitionBy(*keys).orderBy("_up", "_across", "text", "seq")
+    again = [F.col(c).eqNullSafe(F.col(f"_was{c}")) for c in ("_up", "_across", "text")]
+    x = x.withColumns({f"_was{c}": F.lag(c).over(by_spot) for c in ("_up", "_across", "text")})
+    read = F.coalesce(F.col("text") != "", F.lit(False)) & ~(again[0] & again[1] & again[2])
+    told = x.withColumn("_tells", (F.when(read, 1).otherwise(0) + F.when(F.col("eol"), 2).otherwise(0)).cast("byte"))
+    told = told.select(*runs.columns, "_tells").filter("_tells > 0")
+    number = lambda c: F.col(c).cast("double").alias(c)
+    fed = told.sortWithinPartitions(*keys, "seq").select(*keys, F.col("seq").cast("long").alias("seq"), *map(number, ("x", "y", "size", "width")), "text", "_tells")
+    names = [*keys, "line", "x", "y", "right", "size", "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.select(*keys).schema), "line long", *(f"{c} double" for c in names[-5:-1]), "text string"])
+    joined = fed.mapInArrow(_assembled(len(keys), names), schema)
     on_page = Window.partitionBy(*keys)
     edge = (F.col("line") == F.min("line").over(on_page)) | (F.col("line") == F.max("line").over(on_page))
     return joined.withColumn("_edge", edge).filter((F.col("text") != "") & ~(F.col("_edge") & F.col("text").rlike(PAGE_NUMBER))).drop("_edge")

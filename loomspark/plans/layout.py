@@ -12,6 +12,7 @@ from ..sources.tables import stored, table
 from .registry import query
 
 _WORD = r"[^\x20\x09-\x0D]+"
+_BETWEEN = r"[\x20\x09-\x0D]+"
 
 
 #: So many characters of text go to a task; their runs are some sixty times as many bytes.
@@ -20,7 +21,7 @@ _TASK_CHARS = 2_000_000
 _TASK_GLYPHS = 1_000_000
 
 
-def _parts(spark, lines, text="raw", most=_TASK_CHARS) -> int:
+def _parts(spark, lines, text, most=_TASK_CHARS) -> int:
     """Over how many tasks lines are dealt, so that a task's share of their runs can be sorted in memory."""
     chars = lines.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
     return max(spark.sparkContext.defaultParallelism, chars // most + 1)
@@ -32,17 +33,18 @@ def runs(spark, d):
     Long words are larger; every tenth line begins with a large letter set a little lower than the rest of its word;
     every other line says that it ends.
     """
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
+    documents = table(spark, d, "documents")
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw"))
     lines = lines.select("doc_id", (F.floor(F.col("n") / 40) + 1).alias("page"), F.col("n").cast("long").alias("n"), "raw")
     # pages are dealt while they are short lines; their words, many times as large, are only ever put in order where they are
-    dealt = lines.repartition(_parts(spark, lines), "doc_id", "page")
-    words = dealt.select("doc_id", "page", "n", F.posexplode(F.regexp_extract_all("raw", F.lit(_WORD), F.lit(0))).alias("k", "word"))
-    line = Window.partitionBy("doc_id", "page", "n")
-    upto = line.orderBy("k")
+    dealt = lines.repartition(_parts(spark, documents, "text"), "doc_id", "page")
+    pieces = F.when(F.col("raw").rlike(r"[\x09-\x0D]"), F.split("raw", _BETWEEN)).otherwise(F.split("raw", " "))  # a pattern takes longer
+    worded = dealt.withColumn("words", F.array_remove(pieces, ""))
+    cap = (F.col("n") % 10 == 0) & (F.length(F.get("words", F.lit(0))) > 1)
+    words = worded.select("doc_id", "page", "n", cap.alias("cap"), F.size("words").alias("of"), F.posexplode("words").alias("k", "word"))
+    upto = Window.partitionBy("doc_id", "page", "n").orderBy("k")
     words = words.withColumn("offset", F.coalesce(F.sum(F.length("word") + 1).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    words = words.withColumn("last", F.lead("k").over(upto).isNull())
-    cap = (F.col("n") % 10 == 0) & (F.max(F.when(F.col("k") == 0, F.length("word"))).over(line) > 1)
-    words = words.withColumn("cap", cap)
+    words = words.withColumn("last", F.col("k") == F.col("of") - 1)
     shape = lambda x, y, size, width, text, eol: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), size.cast("double").alias("size"), width.cast("double").alias("width"), text.alias("text"), eol.alias("eol"))
     y, no = 800 - 18 * (F.col("n") % 40), F.lit(False)
     eol = F.col("last") & (F.col("n") % 2 == 0)
